@@ -115,7 +115,11 @@ def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, fl
 
 
 def with_standing(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Rows with the ladder columns of their value; rows without a value get nulls."""
+    """Rows with the ladder columns of their value; rows without a value get nulls.
+
+    The input is used twice, so it is materialised first.
+    """
+    df = cut_lineage(df)
     steps = ladder(df, groups, value)
     keys = [*groups, value]
     return df.join(steps, keys, "left").select(*df.columns, "n", "below", "total")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from compindex.config import config_table
 from compindex.functions import scaling as S
 from compindex.operators import order as O
+from compindex.session import cut_lineage
 
 # Accepted directions.
 DIRECTIONS = ("high_risk", "low_risk")
@@ -95,6 +96,7 @@ def _directed(score, inverted: bool):
 
 def winsor_minmax(long: DataFrame, groups: list[str], value: str = "value", tail: float = 0.05, inverted: bool = False):
     """Min-max between two interpolated quantiles; a zero span counts as 1."""
+    long = cut_lineage(long)
     cuts = O.quantiles(long, groups, value, {"_lo": tail, "_hi": 1.0 - tail})
     joined = O.attach(long, cuts, groups, "left")
     span = F.when(F.col("_hi") - F.col("_lo") == 0, 1.0).otherwise(F.col("_hi") - F.col("_lo"))
@@ -111,6 +113,7 @@ def percentile_scale(long: DataFrame, groups: list[str], value: str = "value", i
 
 def minmax(long: DataFrame, groups: list[str], value: str = "value", inverted: bool = False) -> DataFrame:
     """Plain min-max; a zero span counts as 1."""
+    long = cut_lineage(long)
     ends = long.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     joined = O.attach(long, ends, groups, "left")
     span = F.when(F.col("_hi") - F.col("_lo") == 0, 1.0).otherwise(F.col("_hi") - F.col("_lo"))
