@@ -2,8 +2,206 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, NumericType, StructType
+
+from compindex.functions import cleaning as K
+
+TOLERANCE = 1e-9
+
+
+# --- document and table differences ----------------------------------------------------
+
+
+def _leaf(path: Column, value: Column, kind: DataType) -> Column:
+    number = value.cast("double") if isinstance(kind, NumericType) else F.lit(None).cast("double")
+    return F.struct(path.alias("path"), value.cast("string").alias("text"), number.alias("number"))
+
+
+def _leaves(path: Column, value: Column, kind: DataType) -> Column:
+    """Array of leaves below a value; nesting follows the schema."""
+    if isinstance(kind, StructType):
+        return F.concat(*[_leaves(F.concat(path, F.lit("." + f.name)), value[f.name], f.dataType) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        inner = F.transform(
+            value, lambda x, i: _leaves(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x, kind.elementType)
+        )
+        return F.coalesce(F.flatten(inner), F.array().cast("array<struct<path:string,text:string,number:double>>"))
+    return F.array(_leaf(path, value, kind))
+
+
+def flattened(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., path, text, number): one row per leaf of every other column."""
+    fields = [f for f in df.schema.fields if f.name not in keys]
+    leaves = F.concat(*[_leaves(F.lit("." + f.name), F.col(f"`{f.name}`"), f.dataType) for f in fields])
+    return df.select(*keys, F.inline(leaves))
+
+
+def leaf_diff(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Leaves that differ, with the kind of difference and the numeric delta."""
+    at = [*keys, "path"]
+    a = flattened(first, keys).select(*at, F.col("text").alias("a_text"), F.col("number").alias("a_number"), F.lit(True).alias("_in_a"))
+    b = flattened(second, keys).select(*at, F.col("text").alias("b_text"), F.col("number").alias("b_number"), F.lit(True).alias("_in_b"))
+    both = a.join(b, at, "full_outer")
+    numeric = F.col("a_number").isNotNull() & F.col("b_number").isNotNull()
+    kind = (
+        F.when(F.col("_in_b").isNull(), "only_first").when(F.col("_in_a").isNull(), "only_second")
+        .when(numeric, F.when(F.col("a_number") != F.col("b_number"), "numeric"))
+        .when(~F.col("a_text").eqNullSafe(F.col("b_text")), "text")
+    )
+    delta = F.when(numeric, F.abs(F.col("a_number") - F.col("b_number")))
+    return both.withColumn("kind", kind).withColumn("delta", delta).where(F.col("kind").isNotNull()).select(
+        *at, "kind", "a_text", "b_text", "delta"
+    )
+
+
+def diff_summary(diff: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("only_first", "only_second", "numeric", "text")]
+    out = diff.agg(*counts, F.max("delta").alias("max_delta"))
+    same = (F.col("only_first") == 0) & (F.col("only_second") == 0) & (F.col("text") == 0)
+    return out.withColumn("within", same & (F.coalesce("max_delta", F.lit(0.0)) <= tolerance))
+
+
+def unsanctioned(
+    diff: DataFrame, allowed_paths: list[str], new_fields: list[str], allowed_leaves: DataFrame | None = None
+) -> DataFrame:
+    """Differences left after the sanctioned ones: path patterns, fields that may only be
+    added, and listed leaves (keys, path)."""
+    rest = diff
+    for pattern in allowed_paths:
+        rest = rest.where(~F.col("path").rlike(pattern))
+    if new_fields:
+        field = F.regexp_extract("path", r"^\.([^.\[]+)", 1)
+        rest = rest.where(~((F.col("kind") == "only_first") & field.isin(*new_fields)))
+    if allowed_leaves is not None:
+        rest = rest.join(allowed_leaves, allowed_leaves.columns, "left_anti")
+    return rest
+
+
+# --- invariants and gates --------------------------------------------------------------
+
+
+def score_violations(scores: DataFrame, meta: DataFrame) -> DataFrame:
+    """Broken rules of a published score table as rows (level, rule, key).
+
+    ``meta`` is one row with n_universe and n_scored. Ranks are 1..n exactly when they are
+    distinct, none is missing and the largest equals n.
+    """
+    n_scored = meta.select("n_scored").scalar()
+    key = F.col("key").cast("string")
+    scored, unscored = scores.where("scored"), scores.where(~F.col("scored"))
+    bands = ("rank_p5", "rank_p50", "rank_p95", "tier_stability", "low_confidence")
+
+    def row(df: DataFrame, test: Column, rule: str, level: str = "error") -> DataFrame:
+        return df.where(test).select(F.lit(level).alias("level"), F.lit(rule).alias("rule"), key.alias("key"))
+
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in bands])
+    carried = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in bands])
+    ordered = (
+        (F.col("rank_p5") >= 1) & (F.col("rank_p5") <= F.col("rank_p50"))
+        & (F.col("rank_p50") <= F.col("rank_p95")) & (F.col("rank_p95") <= n_scored)
+    )
+    counts = scores.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("scored").alias("scored"), F.max("rank").alias("top"),
+    )
+    sizes = counts.select(
+        F.explode(
+            F.array(
+                F.when(F.col("rows") != meta.select("n_universe").scalar(), "n_universe differs from the rows"),
+                F.when(F.col("scored") != n_scored, "n_scored differs from the scored rows"),
+                F.when(F.coalesce("top", F.lit(0)) != F.col("scored"), "largest rank is not n"),
+            )
+        ).alias("rule")
+    ).where(F.col("rule").isNotNull()).select(F.lit("error").alias("level"), "rule", F.lit(None).cast("string").alias("key"))
+    doubled = scored.where(F.col("rank").isNotNull()).groupBy("rank").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("key"))
+    doubled = doubled.where(F.col("_n") > 1).select(F.lit("error").alias("level"), F.lit("rank given twice").alias("rule"), "key")
+    parts = [
+        sizes,
+        doubled,
+        row(scored, F.col("rank").isNull(), "scored without a rank"),
+        row(scored, missing, "scored without bands"),
+        row(scored, ~ordered, "band out of order"),
+        row(scored, ~F.col("tier_stability").between(0.0, 1.0), "stability outside 0-1"),
+        row(scored, F.col("low_confidence") != (F.coalesce("domains_not_scored", F.lit(0)) >= 2), "badge does not follow its rule"),
+        row(unscored, carried, "unscored with bands"),
+        row(scored, ~F.col("rank").between(F.col("rank_p5"), F.col("rank_p95")), "rank outside its band", "warning"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def regression(current: DataFrame, stored: DataFrame, drops_fail: list[str], rises_note: list[str]) -> DataFrame:
+    """Counts against a stored reference row: drops of some fail, rises of others are noted."""
+    now, then = current.select(F.struct("*")).scalar(), stored
+    rows = [
+        F.struct(
+            F.lit(c).alias("count"), F.col(c).cast("long").alias("stored"), now[c].cast("long").alias("current"),
+            F.when(now[c] < F.col(c), "error").otherwise("ok").alias("status"),
+        )
+        for c in drops_fail
+    ] + [
+        F.struct(
+            F.lit(c).alias("count"), F.col(c).cast("long").alias("stored"), now[c].cast("long").alias("current"),
+            F.when(now[c] > F.col(c), "note").otherwise("ok").alias("status"),
+        )
+        for c in rises_note
+    ]
+    return then.select(F.inline(F.array(*rows)))
+
+
+def fingerprint(df: DataFrame, name: str) -> DataFrame:
+    """Row count and an order-free content hash."""
+    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), total.cast("string").alias("hash"))
+
+
+def drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Which snapshots changed, appeared or vanished."""
+    a = before.select("name", F.col("rows").alias("rows_before"), F.col("hash").alias("_a"))
+    b = after.select("name", F.col("rows").alias("rows_after"), F.col("hash").alias("_b"))
+    status = F.when(F.col("_b").isNull(), "gone").when(F.col("_a").isNull(), "new").when(F.col("_a") != F.col("_b"), "changed").otherwise("same")
+    return a.join(b, "name", "full_outer").select("name", "rows_before", "rows_after", status.alias("status"))
+
+
+def change_report(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Added, removed and changed rows between two snapshots of a register."""
+    columns = [c for c in after.columns if c not in keys]
+    pack = lambda df, n: df.select(*keys, F.struct(*columns).alias(n))
+    both = pack(before, "_a").join(pack(after, "_b"), keys, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")
+    changed = F.filter(
+        F.array(*[F.when(~F.col("_a")[c].eqNullSafe(F.col("_b")[c]), c) for c in columns]), lambda c: c.isNotNull()
+    )
+    return both.select(*keys, status.alias("status"), F.when(status == "changed", F.array_join(changed, ",")).alias("changed"))
+
+
+# --- reports ---------------------------------------------------------------------------
+
+
+def vintages(register: DataFrame, today: Column) -> DataFrame:
+    """Staleness, coverage-floor and gap flags per register row."""
+    year_max = K.to_year(F.col("year_max"))
+    countries = K.to_double(F.col("countries"))
+    gap = (F.coalesce(countries, F.lit(0.0)) == 0) & year_max.isNull()
+    return register.withColumn("staleness", K.staleness(year_max, today)).withColumn(
+        "below_floor", F.coalesce(F.col("flags").contains("BELOW-COVERAGE-FLOOR"), F.lit(False))
+    ).withColumn("gap_row", gap)
+
+
+def vintage_rollup(report: DataFrame, by: list[str]) -> DataFrame:
+    scored = ~F.col("gap_row")
+    return report.groupBy(*by).agg(
+        F.count_if(scored).alias("n_series"), F.count_if(F.col("gap_row")).alias("n_gaps"),
+        F.count_if(scored & F.col("below_floor")).alias("n_below"), F.max(F.when(scored, F.col("staleness"))).alias("stalest"),
+    )
+
+
+def alternate_coverage(observed: DataFrame, universe: DataFrame, notes: DataFrame) -> DataFrame:
+    """Key counts of unscored alternate series, beside note rows without counts."""
+    counts = observed.join(universe, "key", "left_semi").groupBy("series").agg(F.count_distinct("key").alias("n_keys"))
+    return counts.unionByName(notes.select("series", F.lit(None).cast("long").alias("n_keys")))
 
 
 def reproduction(first: DataFrame, second: DataFrame, key: str, score: str) -> DataFrame:
@@ -13,3 +211,36 @@ def reproduction(first: DataFrame, second: DataFrame, key: str, score: str) -> D
     return both.agg(
         F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("r"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_diff")
     )
+
+
+def reconciliation(domains: DataFrame, phases: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """Published phase scores against the mean of the published domain scores."""
+    means = domains.where(F.col("score").isNotNull()).groupBy("key", "phase").agg(F.avg("score").alias("_mean"))
+    both = phases.where(F.col("score").isNotNull()).join(means, ["key", "phase"])
+    return both.groupBy("phase").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("score") - F.col("_mean"))).alias("max_diff")
+    ).withColumn("within", F.col("max_diff") <= tolerance)
+
+
+def zero_scores(scores: DataFrame) -> DataFrame:
+    """Composites of exactly 0, which smell of missing values turned into numbers."""
+    return scores.where(F.col("composite") == 0)
+
+
+def coverage_ledger(domains: DataFrame, composites: DataFrame, phases: list[str]) -> DataFrame:
+    """Scored keys in all, per phase and per domain."""
+    kinds = [("composite", "composite"), *[(f"phase {p}", p) for p in phases]]
+    overall = composites.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("item"), F.col(c).isNotNull().alias("has")) for n, c in kinds]))
+    ).groupBy("item").agg(F.count_if("has").alias("n_scored"))
+    per_domain = domains.groupBy(F.concat(F.lit("domain "), F.col("domain")).alias("item")).agg(
+        F.count_if("scored").alias("n_scored")
+    )
+    return overall.unionByName(per_domain)
+
+
+def score_summary(scores: DataFrame, column: str) -> DataFrame:
+    return scores.agg(
+        F.count(F.lit(1)).alias("n_universe"), F.count(column).alias("n_scored"), F.min(column).alias("lowest"),
+        F.max(column).alias("highest"),
+    )
