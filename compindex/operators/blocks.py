@@ -8,6 +8,7 @@ blocks, whose pairs spread over the cluster, and nothing quadratic is ever shuff
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from compindex.functions import geo as G
 from compindex.session import cut_lineage
 
 BLOCK_ROWS = 2048
+CELL_ROWS = 256
 
 
 def locations(points: DataFrame, x: str, y: str, sums: dict[str, Column]) -> DataFrame:
@@ -58,7 +60,14 @@ def block_pairs(probe: DataFrame, source: DataFrame, dims: int, adjacent: bool)
     renamed_p = probe.select(*[F.col(c).alias(f"p_{c}") for c in probe.columns])
     renamed_s = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns])
     full = pairs.join(renamed_p, [f"p_{n}" for n in (*names, "b")])
-    return full.join(renamed_s, [f"s_{n}" for n in (*names, "b")])
+    # a stated number of partitions: the rows are few but each is a block comparison
+    keys = [f"s_{n}" for n in (*names, "b")]
+    return full.repartition(compute_tasks(probe), *keys).join(renamed_s, keys)
+
+
+def compute_tasks(df: DataFrame) -> int:
+    """Tasks for compute-heavy steps, which size-based coalescing would put into one."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def haversine_matrix(lon1, lat1, lon2, lat2):
@@ -68,6 +77,25 @@ def haversine_matrix(lon1, lat1, lon2, lat2):
     return 2.0 * G.EARTH_KM * np.arcsin(np.sqrt(np.clip(half_lat**2 + np.cos(a) * np.cos(b) * half_lon**2, 0.0, 1.0)))
 
 
+def _unit_vectors(lon, lat):
+    a, b = np.radians(lon), np.radians(lat)
+    return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=1)
+
+
+def near_pairs(lon1, lat1, lon2, lat2, band_km: float):
+    """Index pairs within a great-circle band and their distances.
+
+    Dot products rule out the far pairs; the distance itself decides about the rest.
+    """
+    close = _unit_vectors(lon1, lat1) @ _unit_vectors(lon2, lat2).T >= math.cos(min(band_km / G.EARTH_KM, math.pi)) - 1e-9
+    i, j = np.nonzero(close)
+    half_lat, half_lon = np.sin(np.radians(lat2[j] - lat1[i]) / 2.0), np.sin(np.radians(lon2[j] - lon1[i]) / 2.0)
+    h = half_lat**2 + np.cos(np.radians(lat1[i])) * np.cos(np.radians(lat2[j])) * half_lon**2
+    far = 2.0 * G.EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0.0, 1.0)))
+    keep = far <= band_km
+    return i[keep], j[keep], far[keep]
+
+
 def pair_sums(
     pairs: DataFrame,
     x: str,
@@ -81,11 +109,15 @@ def pair_sums(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            gathered: dict[str, list] = {c: [] for c in (x, y, *outputs)}
             for row in batch.itertuples(index=False):
                 fields = dict(zip(wanted, row))
                 probe = {c: np.asarray(fields[f"p_{c}"]) for c in (x, y, *carried)}
                 source = {c: np.asarray(fields[f"s_{c}"]) for c in (x, y, *carried)}
-                yield pd.DataFrame({x: probe[x], y: probe[y], **kernel(probe, source)})
+                for name, part in {x: probe[x], y: probe[y], **kernel(probe, source)}.items():
+                    gathered[name].append(part)
+            if gathered[x]:
+                yield pd.DataFrame({name: np.concatenate(parts) for name, parts in gathered.items()})
 
     schema = ", ".join(f"{c} double" for c in (x, y, *outputs))
     partial = pairs.select(*wanted).mapInPandas(run, schema)
@@ -96,9 +128,15 @@ def band_sums(
     locs: DataFrame, band_km: float, carried: list[str], outputs: list[str], kernel: Callable, rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Per location: sums over the locations within a great-circle band (and possibly beyond it;
-    the kernel applies the exact distance)."""
+    the kernel applies the exact distance).
+
+    Cells are at least as wide as the band. Where points are sparse they grow until a cell
+    holds about ``CELL_ROWS`` locations, so that a task compares arrays and not single points.
+    """
     locs = cut_lineage(locs)
-    side = G.chord_km(band_km) * (1.0 + 1e-9)
+    chord = G.chord_km(band_km) * (1.0 + 1e-9)
+    per_cell = locs.count() * chord * chord / (4.0 * math.pi * G.EARTH_KM**2)
+    side = chord * max(1.0, math.sqrt(CELL_ROWS / max(per_cell, 1e-9)))
     cells = G.sphere_cells(F.col("lon"), F.col("lat"), side)
     parts = cut_lineage(blocked(locs, cells, ["lon", "lat", *carried], ["lon", "lat"], rows))
     return pair_sums(block_pairs(parts, parts, 3, True), "lon", "lat", carried, outputs, kernel)

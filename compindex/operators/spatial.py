@@ -102,8 +102,9 @@ def band_gi_star(points: DataFrame, value: Column, band_km: float = 500.0) -> Da
     locs = K.locations(rows, "lon", "lat", {"sx": F.col("_x")})
 
     def kernel(probe: dict, source: dict) -> dict:
-        near = K.haversine_matrix(probe["lon"], probe["lat"], source["lon"], source["lat"]) <= band_km
-        return {"n_near": near @ source["w"], "sum_near": near @ source["sx"]}
+        i, j, _ = K.near_pairs(probe["lon"], probe["lat"], source["lon"], source["lat"], band_km)
+        add = lambda v: np.bincount(i, v, len(probe["lon"]))
+        return {"n_near": add(source["w"][j]), "sum_near": add(source["sx"][j])}
 
     sums = K.band_sums(locs, band_km, ["w", "sx"], ["n_near", "sum_near"], kernel)
     overall = rows.agg(
@@ -129,10 +130,10 @@ def inverse_distance_lag(points: DataFrame, value: Column, band_km: float = 4000
     locs = K.locations(rows, "lon", "lat", {"sx": F.col("_x")})
 
     def kernel(probe: dict, source: dict) -> dict:
-        far = K.haversine_matrix(probe["lon"], probe["lat"], source["lon"], source["lat"])
-        use = (far > 0.0) & (far <= band_km)
-        w = np.where(use, 1.0 / np.where(use, far, 1.0), 0.0)
-        return {"n_near": use @ source["w"], "w_sum": w @ source["w"], "w_x": w @ source["sx"]}
+        i, j, far = K.near_pairs(probe["lon"], probe["lat"], source["lon"], source["lat"], band_km)
+        i, j, far = i[far > 0.0], j[far > 0.0], far[far > 0.0]
+        add = lambda v: np.bincount(i, v, len(probe["lon"]))
+        return {"n_near": add(source["w"][j]), "w_sum": add(source["w"][j] / far), "w_x": add(source["sx"][j] / far)}
 
     sums = K.band_sums(locs, band_km, ["w", "sx"], ["n_near", "w_sum", "w_x"], kernel)
     return sums.withColumn("lag", F.when(F.col("w_sum") > 0, F.try_divide(F.col("w_x"), F.col("w_sum"))).otherwise(0.0))
@@ -230,12 +231,13 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
         F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count(F.lit(1)).alias("n")
     ).first()
     extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9)
-    side = min(extent, extent * math.sqrt(2.0 * (k + 1) / max(box["n"], 1)))
+    side = min(extent, extent * math.sqrt(max(2.0 * (k + 1), K.CELL_ROWS / 2) / max(box["n"], 1)))
     todo = points.select(x, y).distinct()
     settled = []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for row in batch.to_dict("records"):
                 px, py = np.asarray(row[f"p_{x}"]), np.asarray(row[f"p_{y}"])
                 keys = np.asarray(row[f"s_{key}"])
@@ -244,12 +246,16 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
                 d2 = (px[:, None] - sx[None, :]) ** 2 + (py[:, None] - sy[None, :]) ** 2
                 best = np.argsort(d2, axis=1, kind="stable")[:, : k + 1]
                 width = best.shape[1]
-                yield pd.DataFrame(
-                    {
-                        x: np.repeat(px, width), y: np.repeat(py, width), "j": keys[best].ravel(),
-                        "d2": np.take_along_axis(d2, best, axis=1).ravel(),
-                    }
+                parts.append(
+                    pd.DataFrame(
+                        {
+                            x: np.repeat(px, width), y: np.repeat(py, width), "j": keys[best].ravel(),
+                            "d2": np.take_along_axis(d2, best, axis=1).ravel(),
+                        }
+                    )
                 )
+            if parts:
+                yield pd.concat(parts)
 
     while True:
         cells = G.plane_cells(F.col(x), F.col(y), side)
@@ -322,6 +328,7 @@ def kde_grid(points: DataFrame, weight: str) -> DataFrame:
     shape = kde_shape(points, weight)
     locs = points.groupBy("lon", "lat").agg(F.sum(weight).alias("sw"))
     rows = locs.select("lon", "lat", "sw", *[shape[n].alias(n) for n in ("ia", "ib", "ic", "norm")])
+    rows = rows.repartition(K.compute_tasks(points), "lon", "lat")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gx, gy = np.linspace(*GRID["lon"]), np.linspace(*GRID["lat"])

@@ -211,7 +211,7 @@ def name_search(spark, sf):
 
 @query(
     "binary_flag",
-    """SELECT c_custkey AS key, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier) THEN CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 1.0 ELSE 0.0 END END AS flag FROM customer""",
+    """SELECT c_custkey AS key, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier) THEN CAST(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 1 ELSE 0 END AS DOUBLE) END AS flag FROM customer""",
 )
 def binary_flag(spark, sf):
     """1 for a listed known key, a true 0 for a known unlisted one, null for an unknown one."""

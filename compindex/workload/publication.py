@@ -69,7 +69,7 @@ def sanctioned_diff(spark, sf):
 
 @query(
     "nested_document_diff",
-    X.sql("phase", """SELECT key, '.phases[' || (CASE phase WHEN 'E' THEN 0 WHEN 'M' THEN 1 ELSE 2 END) || '].score' AS path, 'numeric' AS kind, round(0.25, 6) AS delta FROM phase WHERE phase = 'E' AND score IS NOT NULL"""),
+    X.sql("phase", """SELECT key, '.phases[' || (CASE phase WHEN 'E' THEN 0 WHEN 'M' THEN 1 ELSE 2 END) || '].score' AS path, 'numeric' AS kind, CAST(0.25 AS DOUBLE) AS delta FROM phase WHERE phase = 'E' AND score IS NOT NULL"""),
 )
 def nested_document_diff(spark, sf):
     """Documents with an array of structs, compared leaf by leaf."""
@@ -378,7 +378,7 @@ def within_group_spread(spark, sf):
 
 @query(
     "surface_variance_share",
-    X.sql("sig", """SELECT sum(k) AS n, count(*) AS n_groups, round(sum(k * (m - g) * (m - g)) / any_value(tot), 8) AS eta2, round(1 - sum(k * (m - g) * (m - g)) / any_value(tot), 8) AS within_share FROM
+    X.sql("sig", """SELECT CAST(sum(k) AS BIGINT) AS n, count(*) AS n_groups, round(sum(k * (m - g) * (m - g)) / any_value(tot), 8) AS eta2, round(1 - sum(k * (m - g) * (m - g)) / any_value(tot), 8) AS within_share FROM
       (SELECT grp, count(*) AS k, avg(risk) AS m FROM u GROUP BY 1), (SELECT avg(risk) AS g, var_pop(risk) * count(*) AS tot FROM u)""",
       {**_SURF, "u": "SELECT grp, CAST(0.7 AS DOUBLE) * idx + CAST(0.3 AS DOUBLE) * shock AS risk FROM s2 WHERE idx IS NOT NULL"}),
 )
