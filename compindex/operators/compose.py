@@ -1,6 +1,6 @@
 """Signals to domains, domains to phases, phases to one score.
 
-The long signal table is partitioned by key once; the domain, phase and composite steps that
+The signal table is partitioned by key once; the domain, phase and composite steps that
 follow are all satisfied by that partitioning, so they add no further shuffle.
 """
 
@@ -12,12 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compindex.functions import scaling as S
-
-
-def domain_slots(crosswalk: DataFrame, domains: DataFrame) -> DataFrame:
-    """Per domain: number of designed signals, phase and design confidence."""
-    sizes = crosswalk.groupBy("domain").agg(F.count(F.lit(1)).cast("int").alias("n_total"))
-    return domains.join(sizes, "domain")
+from compindex.operators import order as O
 
 
 def coverage_flag(scored: Column, confidence: Column, n: Column, total: Column) -> Column:
@@ -36,34 +31,41 @@ def is_scored(n: Column, total: Column) -> Column:
     return S.meets_floor(n, total) | ((total == 1) & (n == 1))
 
 
-def domain_scores(
-    signals: DataFrame, crosswalk: DataFrame, slots: list[tuple], keys: DataFrame, by: list[str] | None = None
-) -> DataFrame:
+def signal_name(tbl: str, col: str) -> str:
+    return f"{tbl}|{col}"
+
+
+def wide_signals(signals: DataFrame, pairs: list[tuple[str, str]], by: str = "key") -> DataFrame:
+    """One row per key with a column per designed signal. The only shuffle of the build."""
+    wanted = sorted(set(pairs))
+    hit = lambda t, c: (F.col("tbl") == t) & (F.col("col") == c)
+    return signals.where(F.col("value").isNotNull()).groupBy(by).agg(
+        *[F.max(F.when(hit(t, c), F.col("value"))).alias(signal_name(t, c)) for t, c in wanted]
+    )
+
+
+def domain_scores(signals: DataFrame, design: list[tuple], keys: DataFrame, by: str = "key") -> DataFrame:
     """Equal-weight mean of the present signals of every domain, for every key.
 
-    ``signals`` is (by..., tbl, col, value); ``slots`` lists (domain, phase, confidence,
-    n_total, in_composite); ``keys`` holds one row per key to report on. The domain list is
-    a fixed part of the design, so each key expands to that many rows without a join.
+    ``signals`` is (key, tbl, col, value); ``design`` lists (domain, phase, in_composite,
+    confidence, signals); ``keys`` holds one row per key to report on. The design is fixed, so
+    a key's signals are one wide row and its domains are computed inside that row.
     """
-    by = by or ["key"]
-    usable = signals.where(F.col("value").isNotNull())
-    bridged = usable.join(crosswalk.select("tbl", "col", "domain"), ["tbl", "col"]).repartition(*by)
-    means = bridged.groupBy(*by, "domain").agg(F.avg("value").alias("raw"), F.count("value").alias("n"))
-    rows = [
-        F.struct(
-            F.lit(d).alias("domain"), F.lit(p).alias("phase"), F.lit(c).alias("confidence"),
-            F.lit(int(t)).alias("n_total"), F.lit(bool(i)).alias("in_composite"),
+    wide = wide_signals(signals, [pair for row in design for pair in row[4]], by)
+    rows = []
+    for domain, phase, inside, confidence, pairs in design:
+        values = [F.col(f"`{signal_name(t, c)}`") for t, c in pairs]
+        rows.append(
+            F.struct(
+                F.lit(domain).alias("domain"), F.lit(phase).alias("phase"), F.lit(bool(inside)).alias("in_composite"),
+                F.lit(confidence).alias("confidence"), S.present_count(values).cast("int").alias("n_present"),
+                F.lit(len(pairs)).alias("n_total"), S.present_mean(values).alias("raw"),
+            )
         )
-        for d, p, c, t, i in slots
-    ]
-    frame = keys.select(*by).repartition(*by).select(*by, F.inline(F.array(*rows)))
-    joined = frame.join(means, [*by, "domain"], "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    scored = is_scored(n, F.col("n_total"))
-    return joined.select(
-        *by, "domain", "phase", "in_composite", "confidence", n.cast("int").alias("n_present"), "n_total",
-        F.col("raw"), scored.alias("scored"), F.when(scored, F.col("raw")).alias("score"),
-        coverage_flag(scored, F.col("confidence"), n, F.col("n_total")).alias("coverage_flag"),
+    frame = keys.select(by).join(wide, by, "left").select(by, F.inline(F.array(*rows)))
+    scored = is_scored(F.col("n_present"), F.col("n_total"))
+    return frame.withColumn("scored", scored).withColumn("score", F.when(F.col("scored"), F.col("raw"))).withColumn(
+        "coverage_flag", coverage_flag(F.col("scored"), F.col("confidence"), F.col("n_present"), F.col("n_total"))
     )
 
 
@@ -76,14 +78,27 @@ def attenuate(domains: DataFrame, modulator: DataFrame, key: str = "key") -> Dat
     ).drop("g")
 
 
-def phase_scores(domains: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean of the scored domains of each phase, under the same floor and without exception."""
+def phase_totals(design: list[tuple]) -> dict[str, int]:
+    """Designed number of domains per phase."""
+    totals: dict[str, int] = {}
+    for _, phase, *_ in design:
+        totals[phase] = totals.get(phase, 0) + 1
+    return totals
+
+
+def phase_scores(domains: DataFrame, totals: dict[str, int], by: list[str] | None = None) -> DataFrame:
+    """Mean of the scored domains of each phase, under the same floor and without exception.
+
+    The designed number of domains comes from ``totals``, so domains without a score need no rows.
+    """
     by = by or ["key"]
     counts = domains.groupBy(*by, "phase", "in_composite").agg(
-        F.avg("score").alias("mean"),
-        F.count("score").cast("int").alias("n_domains_scored"),
-        F.count(F.lit(1)).cast("int").alias("n_domains_total"),
+        F.avg("score").alias("mean"), F.count("score").cast("int").alias("n_domains_scored")
     )
+    total = F.lit(None).cast("int")
+    for phase, n in totals.items():
+        total = F.when(F.col("phase") == phase, F.lit(int(n))).otherwise(total)
+    counts = counts.withColumn("n_domains_total", total)
     fine = S.meets_floor(F.col("n_domains_scored"), F.col("n_domains_total"))
     return counts.withColumn("score", F.when(fine, F.col("mean"))).drop("mean")
 
@@ -111,13 +126,12 @@ def weighted_domain_scores(
     domains: list[tuple],
     arms: list[dict],
     flagged: DataFrame,
-    keys: DataFrame,
     dropped: list[tuple[str, str]] = (),
     optional: DataFrame | None = None,
     replacement: DataFrame | None = None,
     replaced: list[tuple[str, str, str]] = (),
 ) -> DataFrame:
-    """Weighted domain means of every arm in one pass.
+    """Weighted domain means of every arm in one pass; a domain without any input has no row.
 
     An arm has ``arm``, ``weight``, ``only_domain`` (null means every domain) and ``replace``.
     Flagged signals carry the arm's weight; weight 0 keeps them in the designed number but
@@ -140,7 +154,7 @@ def weighted_domain_scores(
     for tbl, col in dropped:
         slots = slots.where(~((F.col("tbl") == tbl) & (F.col("col") == col)))
     flags = flagged.select("tbl", "col", F.lit(True).alias("flagged"))
-    base = signals.where(F.col("value").isNotNull()).join(slots, ["tbl", "col"]).join(flags, ["tbl", "col"], "left")
+    base = O.attach(signals.where(F.col("value").isNotNull()).join(slots, ["tbl", "col"]), flags, ["tbl", "col"], "left")
     wanted = F.lit(False)
     for tbl, col, _ in replaced:
         wanted = wanted | ((F.col("tbl") == tbl) & (F.col("col") == col))
@@ -177,25 +191,24 @@ def weighted_domain_scores(
         F.sum(F.col("value") * F.col("w")).alias("weighted"), F.sum("w").alias("w_sum"),
         F.count(F.lit(1)).alias("n"), F.count_if("extra").alias("n_extra"),
     )
-    frame_rows = [
-        F.struct(
-            F.lit(d).alias("domain"), F.lit(p).alias("phase"), F.lit(bool(i)).alias("in_composite"),
-            F.lit(int(t)).alias("n_design"), F.lit(a["arm"]).alias("arm"),
-        )
-        for a in arms for d, p, i, t in domains
-    ]
-    frame = keys.select("key").repartition("key").select("key", F.inline(F.array(*frame_rows)))
-    joined = frame.join(means, ["key", "arm", "domain"], "left")
-    n = F.coalesce("n", F.lit(0))
-    total = F.col("n_design") + F.coalesce("n_extra", F.lit(0))
-    scored = is_scored(n, total)
-    return joined.select(
-        "key", "arm", "domain", "phase", "in_composite", n.cast("int").alias("n_present"),
-        total.cast("int").alias("n_total"), scored.alias("scored"),
+    look = lambda i, kind: _by_domain({row[0]: row[i] for row in domains}, kind)
+    total = look(3, "int") + F.col("n_extra")
+    scored = is_scored(F.col("n"), total)
+    known = means.where(F.col("domain").isin(*[row[0] for row in domains]))
+    return known.select(
+        "key", "arm", "domain", look(1, "string").alias("phase"), look(2, "boolean").alias("in_composite"),
+        F.col("n").cast("int").alias("n_present"), total.cast("int").alias("n_total"), scored.alias("scored"),
         F.when(scored, F.try_divide(F.col("weighted"), F.col("w_sum"))).alias("score"),
     )
 
 
+def _by_domain(values: dict, kind: str) -> Column:
+    out = F.lit(None).cast(kind)
+    for domain, value in values.items():
+        out = F.when(F.col("domain") == domain, F.lit(value).cast(kind)).otherwise(out)
+    return out
+
+
 def fill_missing(observed: DataFrame, modeled: DataFrame, keys: list[str]) -> DataFrame:
     """Modeled values fill nulls only; the flag says where they did."""
     extra = modeled.select(*keys, F.col("value").alias("_modeled"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from compindex.functions import cleaning as K
+from compindex.operators import order as O
 from compindex.operators import ranking as R
 from compindex.session import cut_lineage
 
@@ -76,7 +77,8 @@ def resolve(raw: DataFrame, column: str, aliases: DataFrame, fuzzy: bool = True,
         close = best.select(F.col("norm").alias("_raw"), F.col("alias").alias("norm")).join(by_alias, "norm")
         found = direct.unionByName(close.select(F.col("_raw").alias("norm"), "key"))
     keyed = raw.withColumn("norm", K.folded(F.col(column)))
-    return keyed.join(found, "norm", "left").drop("norm")
+    # few names, many rows each: a shuffle by name would be skewed
+    return O.attach(keyed, found, ["norm"], "left").drop("norm")
 
 
 def resolve_two(raw: DataFrame, code: str, name: str, aliases: DataFrame) -> DataFrame:

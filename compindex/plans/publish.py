@@ -30,7 +30,7 @@ def scores_table(composites: DataFrame, domains: DataFrame, bands: DataFrame, di
 
 
 def domains_table(
-    signals: DataFrame, modeled: DataFrame, crosswalk: DataFrame, slots: list[tuple], keys: DataFrame
+    signals: DataFrame, modeled: DataFrame, crosswalk: DataFrame, design: list[tuple], keys: DataFrame
 ) -> DataFrame:
     """Domain scores where modeled inputs are fenced: their interval follows from swapping the
     modeled value for its bounds, and the domain is always of low confidence.
@@ -40,7 +40,7 @@ def domains_table(
     known = signals.where(F.col("value").isNotNull())
     fenced = cut_lineage(modeled.join(known.select("key", "tbl", "col"), ["key", "tbl", "col"], "left_anti"))
     filled = known.select("key", "tbl", "col", "value").unionByName(fenced.select("key", "tbl", "col", "value"))
-    domains = C.domain_scores(filled, crosswalk, slots, keys)
+    domains = C.domain_scores(filled, design, keys)
     below, above = F.sum(F.col("value") - F.col("lo")), F.sum(F.col("hi") - F.col("value"))
     spans = fenced.join(crosswalk.select("tbl", "col", "domain"), ["tbl", "col"]).groupBy("key", "domain").agg(
         F.count(F.lit(1)).alias("modeled_n"), below.alias("_below"), above.alias("_above")

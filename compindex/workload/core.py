@@ -404,7 +404,7 @@ def attenuated_domains(spark, sf):
     X.sql("phase", "SELECT key, phase, n_domains_scored, n_domains_total, round(score, 8) AS score FROM phase"),
 )
 def phase_mean(spark, sf):
-    out = C.phase_scores(X.domain_scores(spark, sf))
+    out = C.phase_scores(X.domain_scores(spark, sf), X.TOTALS)
     return out.select("key", "phase", "n_domains_scored", "n_domains_total", r8("score"))
 
 
@@ -436,7 +436,7 @@ def composite_rank(spark, sf):
 )
 def locked_composite_rank(spark, sf):
     domains = C.attenuate(X.domain_scores(spark, sf), X.modulator(spark, sf))
-    out = C.composite(C.phase_scores(domains).where("in_composite"), list(X.PHASES))
+    out = C.composite(C.phase_scores(domains, X.TOTALS).where("in_composite"), list(X.PHASES))
     return R.rank_scored(out, "composite", ["key"]).select("key", r8("composite"), "rank")
 
 

@@ -43,6 +43,7 @@ CROSSWALK = [
     for domain, _, _, _, signals in DESIGN
     for pos, (tbl, col) in enumerate(signals)
 ]
+TOTALS = C.phase_totals(DESIGN)
 SLOT_ROWS = [(domain, phase, conf, len(sig), inside) for domain, phase, inside, conf, sig in DESIGN]
 
 
@@ -101,12 +102,12 @@ def modulator(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def domain_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return C.domain_scores(signals(spark, sf), crosswalk(spark), SLOT_ROWS, universe(spark, sf))
+    return C.domain_scores(signals(spark, sf), DESIGN, universe(spark, sf))
 
 
 def composite(spark: SparkSession, sf: str) -> DataFrame:
     """key, R, E, composite for the whole universe."""
-    phases = C.phase_scores(domain_scores(spark, sf)).where("in_composite")
+    phases = C.phase_scores(domain_scores(spark, sf), TOTALS).where("in_composite")
     return C.composite(phases, list(PHASES))
 
 

@@ -419,5 +419,5 @@ PHASE_LABELS = [("R", "Recruitment"), ("E", "Exploitation")]
 )
 def label_lookup(spark, sf):
     labels = config_table(spark, PHASE_LABELS, "phase string, label string")
-    rows = C.phase_scores(X.domain_scores(spark, sf)).join(labels, "phase", "left")
+    rows = C.phase_scores(X.domain_scores(spark, sf), X.TOTALS).join(labels, "phase", "left")
     return rows.select("key", F.coalesce("label", F.col("phase")).alias("label"), r8("score"))

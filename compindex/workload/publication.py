@@ -73,7 +73,7 @@ def sanctioned_diff(spark, sf):
 )
 def nested_document_diff(spark, sf):
     """Documents with an array of structs, compared leaf by leaf."""
-    phases = cut_lineage(C.phase_scores(X.domain_scores(spark, sf)).select("key", "phase", "score"))
+    phases = cut_lineage(C.phase_scores(X.domain_scores(spark, sf), X.TOTALS).select("key", "phase", "score"))
     nest = lambda df: df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("phase", "score"))).alias("phases"))
     moved = phases.withColumn("score", F.when(F.col("phase") == "E", F.col("score") + 0.25).otherwise(F.col("score")))
     diff = D.leaf_diff(nest(moved), nest(phases), ["key"])
@@ -87,7 +87,7 @@ def published(spark, sf):
     field = W.field(spark, sf)
     bands = U.rank_bands(U.draw_ranks(field, W.DRAWS)).select("key", "rank_p5", "rank_p50", "rank_p95", "tier_stability")
     domains = cut_lineage(X.domain_scores(spark, sf))
-    composites = C.composite(C.phase_scores(domains).where("in_composite"), list(X.PHASES))
+    composites = C.composite(C.phase_scores(domains, X.TOTALS).where("in_composite"), list(X.PHASES))
     return P.scores_table(composites, domains, bands)
 
 
@@ -215,7 +215,7 @@ def alternate_coverage(spark, sf):
 )
 def phase_reconciliation(spark, sf):
     domains = cut_lineage(X.domain_scores(spark, sf))
-    out = D.reconciliation(domains, C.phase_scores(domains))
+    out = D.reconciliation(domains, C.phase_scores(domains, X.TOTALS))
     return out.select("phase", "n", F.round("max_diff", 6).alias("max_diff"), "within")
 
 
@@ -236,7 +236,7 @@ def zero_scores(spark, sf):
 )
 def coverage_ledger(spark, sf):
     domains = cut_lineage(X.domain_scores(spark, sf))
-    composites = C.composite(C.phase_scores(domains).where("in_composite"), list(X.PHASES))
+    composites = C.composite(C.phase_scores(domains, X.TOTALS).where("in_composite"), list(X.PHASES))
     return D.coverage_ledger(domains, composites, list(X.PHASES))
 
 
@@ -264,7 +264,7 @@ def domains_table(spark, sf):
     modeled = signals.where((F.col("tbl") == "click") & (F.col("col") == "h2")).select(
         "key", F.lit("view").alias("tbl"), F.lit("h2").alias("col"), "value", (F.col("value") - 0.05).alias("lo"), (F.col("value") + 0.1).alias("hi")
     )
-    out = P.domains_table(signals, modeled, X.crosswalk(spark), X.SLOT_ROWS, X.universe(spark, sf)).where(F.col("n_present") > 0)
+    out = P.domains_table(signals, modeled, X.crosswalk(spark), X.DESIGN, X.universe(spark, sf)).where(F.col("n_present") > 0)
     return out.select("key", "domain", "n_present", "scored", r8("score"), "low_conf", "modeled_input", r8("interval_lo"), r8("interval_hi"))
 
 

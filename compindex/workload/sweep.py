@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from compindex.operators import compose as C
 from compindex.operators import stats as T
+from compindex.session import cut_lineage
 from compindex.workload import fixtures as X
 
 # Weights of the sweep, over all domains and inside a single one, and the replacement arm.
@@ -32,16 +33,17 @@ def design_after_drops() -> list[tuple]:
 
 
 def sweep_domains(spark, sf: str) -> DataFrame:
-    signals = X.signals(spark, sf)
-    screen = T.reference_screen(signals, X.modulator(spark, sf), ["tbl", "col"], "key", cut=SCREEN_CUT)
+    signals = cut_lineage(X.signals(spark, sf))
+    reference = signals.where((F.col("tbl") == X.REFERENCE[0]) & (F.col("col") == X.REFERENCE[1])).select("key", F.col("value").alias("g"))
+    screen = T.reference_screen(signals, reference, ["tbl", "col"], "key", cut=SCREEN_CUT)
     only = lambda t, c: signals.where((F.col("tbl") == t) & (F.col("col") == c)).select("key", "value")
     optional = only("purchase", "h7").withColumn("domain", F.lit("purchase_pair"))
     return C.weighted_domain_scores(
-        signals, X.crosswalk(spark), design_after_drops(), SWEEP, screen.where("flagged"), X.universe(spark, sf),
+        signals, X.crosswalk(spark), design_after_drops(), SWEEP, screen.where("flagged"),
         dropped=DROPPED, optional=optional, replacement=only("error", "h7"), replaced=REPLACED,
     )
 
 
 def sweep(spark, sf: str) -> DataFrame:
-    phases = C.phase_scores(sweep_domains(spark, sf), ["key", "arm"])
+    phases = C.phase_scores(sweep_domains(spark, sf), C.phase_totals(design_after_drops()), ["key", "arm"])
     return C.composite(phases, list(X.PHASES), ["key", "arm"])

@@ -141,7 +141,7 @@ def operator_sensitivity(spark, sf):
 def attenuation_stability(spark, sf):
     """Build with and without the attenuator: concordance and top-set churn."""
     domains = cut_lineage(X.domain_scores(spark, sf))
-    build = lambda d, n: C.composite(C.phase_scores(d).where("in_composite"), list(X.PHASES)).select("key", F.round("composite", 9).alias(n))
+    build = lambda d, n: C.composite(C.phase_scores(d, X.TOTALS).where("in_composite"), list(X.PHASES)).select("key", F.round("composite", 9).alias(n))
     on = build(C.attenuate(domains, X.modulator(spark, sf)), "con")
     both = on.join(build(domains, "coff"), "key")
     return P.agreement(both, [], "con", "coff", "key", 48).select("n", r8("gamma"), r8("churn_symmetric"))
@@ -172,7 +172,7 @@ _FOCUS, _OVERRIDES, _R2 = 5, {"view_day": 0.9, "error_day": 0.8}, 0.36
 )
 def scenario_rescore(spark, sf):
     domains = cut_lineage(X.domain_scores(spark, sf))
-    base = C.composite(C.phase_scores(domains).where("in_composite"), list(X.PHASES))
+    base = C.composite(C.phase_scores(domains, X.TOTALS).where("in_composite"), list(X.PHASES))
     ranked = R.rank_scored(base, "composite", ["key"])
     out = P.rescore(ranked, _SCENARIOS, P.focus_phases(domains, _FOCUS, _OVERRIDES), _R2)
     return out.select("key", "scenario", r8("base"), r8("score"), "base_rank", "rank", r8("delta"))
