@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, NumericType, StructType
 
 from compindex.functions import cleaning as K
+from compindex.operators.stats import correlation
 from compindex.session import cut_lineage
 
 TOLERANCE = 1e-9
@@ -211,7 +212,7 @@ def reproduction(first: DataFrame, second: DataFrame, key: str, score: str) -> D
     a, b = first.select(key, F.col(score).alias("_a")), second.select(key, F.col(score).alias("_b"))
     both = a.join(b, key).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     return both.agg(
-        F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("r"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_diff")
+        F.count(F.lit(1)).alias("n"), correlation("_a", "_b").alias("r"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_diff")
     )
 
 

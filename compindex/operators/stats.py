@@ -25,10 +25,15 @@ def _guarded(value: Column, n: Column, least: int) -> Column:
     return F.when(n >= least, F.when(~F.isnan(value), value))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Aggregate correlation; null, not an error, where a series is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(df: DataFrame, groups: list[str], x: str, y: str, least: int = LEAST_PAIRS) -> DataFrame:
     """r over complete pairs, null below ``least`` pairs; r-squared is rounded to 3 decimals,
     because thresholds are tested on the rounded value."""
-    agg = _paired(df, x, y).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("_r"))
+    agg = _paired(df, x, y).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("_r"))
     r = _guarded(F.col("_r"), F.col("n"), least)
     return agg.select(*groups, "n", r.alias("r"), F.round(r * r, 3).alias("r2"))
 
@@ -38,7 +43,7 @@ def spearman(df: DataFrame, groups: list[str], x: str, y: str, least: int = LEAS
     pairs = cut_lineage(_paired(df, x, y).select(*groups, x, y))
     pairs = R.average_ranks(pairs, groups, x, "_rx")
     pairs = R.average_ranks(pairs, groups, y, "_ry")
-    agg = pairs.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("_r"))
+    agg = pairs.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("_r"))
     return agg.select(*groups, "n", _guarded(F.col("_r"), F.col("n"), least).alias("rho"))
 
 
@@ -100,8 +105,9 @@ def rank_agreement(df: DataFrame, groups: list[str], x: str, y: str, key: str, l
 
 def ols_line(df: DataFrame, groups: list[str], y: str, x: str) -> DataFrame:
     return _paired(df, x, y).groupBy(*groups).agg(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n_fit")
-    )
+        F.try_divide(F.covar_pop(y, x), F.var_pop(x)).alias("slope"), F.avg(y).alias("_y"), F.avg(x).alias("_x"),
+        F.count(F.lit(1)).alias("n_fit"),
+    ).select(*groups, "slope", (F.col("_y") - F.col("slope") * F.col("_x")).alias("intercept"), "n_fit")
 
 
 def residuals(df: DataFrame, groups: list[str], y: str, x: str, name: str = "residual", least: int = 2) -> DataFrame:
@@ -120,7 +126,7 @@ def residuals(df: DataFrame, groups: list[str], y: str, x: str, name: str = "res
 def residual_sd(df: DataFrame, groups: list[str], y: str, x: str, least: int = LEAST_PAIRS) -> DataFrame:
     """Population deviation of the residuals, from second moments in the same aggregation."""
     agg = _paired(df, x, y).groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("_vy"), F.corr(x, y).alias("_r")
+        F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("_vy"), correlation(x, y).alias("_r")
     )
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("_vy") * (1.0 - F.col("_r") * F.col("_r"))))
     return agg.select(*groups, "n", _guarded(sd, F.col("n"), least).alias("residual_sd"))
@@ -138,7 +144,7 @@ def reference_screen(
 def variance_split(df: DataFrame, groups: list[str], value: str, reference: str, least: int = LEAST_PAIRS) -> DataFrame:
     """Variance aligned with the reference and orthogonal to it."""
     agg = _paired(df, value, reference).groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop(value).alias("variance"), F.corr(value, reference).alias("_r")
+        F.count(F.lit(1)).alias("n"), F.var_pop(value).alias("variance"), correlation(value, reference).alias("_r")
     )
     r2 = F.col("_r") * F.col("_r")
     enough = F.col("n") >= least

@@ -10,6 +10,7 @@ from compindex.functions import labels as B
 from compindex.functions import noise as Z
 from compindex.functions import scaling as S
 from compindex.operators import order as O
+from compindex.operators.stats import correlation
 from compindex.session import cut_lineage
 
 # Noise model of the published bands.
@@ -63,7 +64,7 @@ def simulation_summary(ranks: DataFrame, bands: DataFrame, top: int = 10, every:
     """Agreement with the baseline per draw, retention of the top on every ``every``-th draw,
     and the width of the bands."""
     per_draw = ranks.groupBy("draw").agg(
-        F.corr(F.col("rank").cast("double"), F.col("base_rank").cast("double")).alias("_rho"), F.count(F.lit(1)).alias("_n"),
+        correlation(F.col("rank").cast("double"), F.col("base_rank").cast("double")).alias("_rho"), F.count(F.lit(1)).alias("_n"),
         (F.count_if((F.col("rank") <= top) & (F.col("base_rank") <= top)) / F.lit(float(top))).alias("_kept"),
     )
     summary = per_draw.agg(
