@@ -206,33 +206,27 @@ def local_gi_star(units: DataFrame, edges: DataFrame, layers: list[str], perms:
     return tested.withColumn("gistar_cluster", label)
 
 
-def discriminant(values: DataFrame, edges: DataFrame, perms: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Composite, reference and residual as layers of one graph.
-
-    ``values`` is (id, composite, g). Returns global I per layer with its share of the
-    composite's, and membership of the High-High sets per unit.
-    """
+def discriminant_layers(values: DataFrame) -> DataFrame:
+    """(layer, id, y) for composite, reference and residual; ``values`` is (id, composite, g)."""
     both = cut_lineage(values.where(F.col("composite").isNotNull() & F.col("g").isNotNull()))
     fitted = T.residuals(both, [], "composite", "g")
-    layers = fitted.select(
-        "id",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("layer"), F.col(column).alias("y"))
-                    for name, column in (("composite", "composite"), ("reference", "g"), ("residual", "residual"))
-                ]
-            )
-        ),
-    )
-    layers = cut_lineage(layers)
-    base = centred(layers, ["layer"])
+    parts = (("composite", "composite"), ("reference", "g"), ("residual", "residual"))
+    rows = F.array(*[F.struct(F.lit(name).alias("layer"), F.col(column).alias("y")) for name, column in parts])
+    return cut_lineage(fitted.select("id", F.inline(rows)))
+
+
+def discriminant_moran(layers: DataFrame, edges: DataFrame) -> DataFrame:
+    """Global I per layer with its share of the composite's."""
+    base = cut_lineage(centred(layers, ["layer"]))
     overall = cut_lineage(moran(lagged(base, kept_edges(edges, base, ["layer"]), ["layer"]), ["layer"]))
     whole = overall.where(F.col("layer") == "composite").select("moran_i").scalar()
-    shares = overall.withColumn("retained", F.try_divide(F.col("moran_i"), whole))
+    return overall.withColumn("retained", F.try_divide(F.col("moran_i"), whole))
+
+
+def discriminant_sets(layers: DataFrame, edges: DataFrame, perms: int, seed: int) -> DataFrame:
+    """Membership of every unit in the High-High sets of the three layers."""
     local = local_moran(layers, edges, ["layer"], perms, seed)
     member = lambda name: F.max((F.col("layer") == name) & (F.col("cluster_fdr") == "High-High"))
-    sets = local.groupBy("id").agg(
+    return local.groupBy("id").agg(
         member("composite").alias("in_composite"), member("reference").alias("in_reference"), member("residual").alias("in_residual")
     )
-    return shares, sets

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from compindex.config import sql_literal
 from compindex.functions import scaling as S
 from compindex.operators import order as O
 
@@ -37,10 +38,22 @@ def signal_name(tbl: str, col: str) -> str:
 
 def wide_signals(signals: DataFrame, pairs: list[tuple[str, str]], by: str = "key") -> DataFrame:
     """One row per key with a column per designed signal. The only shuffle of the build."""
-    wanted = sorted(set(pairs))
-    hit = lambda t, c: (F.col("tbl") == t) & (F.col("col") == c)
-    return signals.where(F.col("value").isNotNull()).groupBy(by).agg(
-        *[F.max(F.when(hit(t, c), F.col("value"))).alias(signal_name(t, c)) for t, c in wanted]
+    picks = [
+        F.expr(f"max(CASE WHEN tbl = {sql_literal(t)} AND col = {sql_literal(c)} THEN value END) AS `{signal_name(t, c)}`")
+        for t, c in sorted(set(pairs))
+    ]
+    return signals.where(F.col("value").isNotNull()).groupBy(by).agg(*picks)
+
+
+def _domain_row(domain: str, phase: str, inside: bool, confidence: str, pairs: list[tuple[str, str]]) -> str:
+    """SQL of one domain of a wide row: the mean and number of its present signals."""
+    names = [f"`{signal_name(t, c)}`" for t, c in pairs]
+    count = " + ".join(f"int({n} IS NOT NULL)" for n in names)
+    total = " + ".join(f"coalesce({n}, 0D)" for n in names)
+    return (
+        f"named_struct('domain', {sql_literal(domain)}, 'phase', {sql_literal(phase)}, 'in_composite', {sql_literal(bool(inside))}, "
+        f"'confidence', {sql_literal(confidence)}, 'n_present', {count}, 'n_total', {len(pairs)}, "
+        f"'raw', try_divide({total}, double({count})))"
     )
 
 
@@ -52,17 +65,8 @@ def domain_scores(signals: DataFrame, design: list[tuple], keys: DataFrame, by:
     a key's signals are one wide row and its domains are computed inside that row.
     """
     wide = wide_signals(signals, [pair for row in design for pair in row[4]], by)
-    rows = []
-    for domain, phase, inside, confidence, pairs in design:
-        values = [F.col(f"`{signal_name(t, c)}`") for t, c in pairs]
-        rows.append(
-            F.struct(
-                F.lit(domain).alias("domain"), F.lit(phase).alias("phase"), F.lit(bool(inside)).alias("in_composite"),
-                F.lit(confidence).alias("confidence"), S.present_count(values).cast("int").alias("n_present"),
-                F.lit(len(pairs)).alias("n_total"), S.present_mean(values).alias("raw"),
-            )
-        )
-    frame = keys.select(by).join(wide, by, "left").select(by, F.inline(F.array(*rows)))
+    rows = ", ".join(_domain_row(*row) for row in design)
+    frame = keys.select(by).join(wide, by, "left").select(by, F.expr(f"inline(array({rows}))"))
     scored = is_scored(F.col("n_present"), F.col("n_total"))
     return frame.withColumn("scored", scored).withColumn("score", F.when(F.col("scored"), F.col("raw"))).withColumn(
         "coverage_flag", coverage_flag(F.col("scored"), F.col("confidence"), F.col("n_present"), F.col("n_total"))

@@ -195,7 +195,7 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", name: str
     return df.join(capped, [*family, p], "left")
 
 
-def correlation_distance_p(df: DataFrame, rho: str, neff: str, name: str = "p") -> DataFrame:
+def correlation_p(df: DataFrame, rho: str, neff: str, name: str = "p") -> DataFrame:
     """Two-sided p of a correlation at an effective sample size."""
     df_eff = F.col(neff) - 2.0
     t = F.abs(F.col(rho)) * F.sqrt(df_eff / F.greatest(F.lit(1e-9), 1.0 - F.col(rho) * F.col(rho)))

@@ -183,9 +183,7 @@ def contiguity_gi_star(spark, sf):
     return out.select("id", r8("gistar_z"), r8("gistar_p"), r8("gistar_p_fdr"), "gistar_cluster")
 
 
-@query("discriminant_moran", X.sql("", """SELECT layer, n, round(i, 8) AS moran_i, round(i / max(CASE WHEN layer = 'composite' THEN i END) OVER (), 8) AS retained FROM (
-      SELECT layer, max(n) AS n, max(n) * sum(z * lag) / (count(*) FILTER (WHERE k > 0) * max(ss)) AS i FROM ll GROUP BY layer)""",
-      {**{k: v for k, v in _QUEEN.items() if k in ("box", "corner", "adj")},
+_DISC = {**{k: v for k, v in _QUEEN.items() if k in ("box", "corner", "adj")},
        "val": "SELECT CAST(n_nationkey AS BIGINT) AS id, (SELECT avg(c_acctbal) FROM customer WHERE c_nationkey = n_nationkey) AS composite, "
               "(SELECT avg(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey) AS g FROM nation",
        "ok": "SELECT * FROM val WHERE composite IS NOT NULL AND g IS NOT NULL",
@@ -193,9 +191,14 @@ def contiguity_gi_star(spark, sf):
               "SELECT id, 'residual', composite - ((SELECT regr_slope(composite, g) FROM ok) * g + (SELECT regr_intercept(composite, g) FROM ok)) FROM ok",
        "zz": "SELECT layer, id, y - avg(y) OVER w AS z, count(*) OVER w AS n, var_pop(y) OVER w * count(*) OVER w AS ss FROM lay WINDOW w AS (PARTITION BY layer)",
        "ll": "SELECT zz.layer, zz.id, any_value(zz.z) AS z, any_value(zz.n) AS n, any_value(zz.ss) AS ss, count(o.id) AS k, coalesce(avg(o.z), 0.0) AS lag FROM zz "
-             "LEFT JOIN adj ON adj.i = zz.id LEFT JOIN zz o ON o.id = adj.j AND o.layer = zz.layer GROUP BY zz.layer, zz.id"}))
+             "LEFT JOIN adj ON adj.i = zz.id LEFT JOIN zz o ON o.id = adj.j AND o.layer = zz.layer GROUP BY zz.layer, zz.id"}
+
+
+@query("discriminant_moran", X.sql("", """SELECT layer, n, round(i, 8) AS moran_i, round(i / max(CASE WHEN layer = 'composite' THEN i END) OVER (), 8) AS retained FROM (
+      SELECT layer, max(n) AS n, max(n) * sum(z * lag) / (count(*) FILTER (WHERE k > 0) * max(ss)) AS i FROM ll GROUP BY layer)""",
+      _DISC))
 def discriminant_moran(spark, sf):
-    shares, _ = M.discriminant(_discriminant_values(spark, sf), G.queen_edges(polygons(spark, sf)), PERMS, SEED)
+    shares = M.discriminant_moran(M.discriminant_layers(_discriminant_values(spark, sf)), G.queen_edges(polygons(spark, sf)))
     return shares.select("layer", "n", r8("moran_i"), r8("retained"))
 
 
@@ -204,10 +207,30 @@ def _discriminant_values(spark, sf):
     return unit_means(spark, sf).withColumnRenamed("y", "composite").join(ref, "id", "left")
 
 
-@query("discriminant_sets")
+_DISC_LOCAL = {
+    **_DISC,
+    "drawn": f"SELECT layer, id, z, perm, {Z.mixed_sql('perm', 'id', SEED)} AS h FROM zz, (SELECT unnest(range(1, {PERMS + 1})) AS perm)",
+    "placed": "SELECT layer, id, z, perm, row_number() OVER (PARTITION BY layer, perm ORDER BY h, id) AS place FROM drawn",
+    "cond": "SELECT l.layer, l.id, l.k, l.z, l.lag, l.n, l.ss, p.perm, p.z AS pz, row_number() OVER (PARTITION BY l.layer, l.id, p.perm ORDER BY p.place) AS seat "
+            "FROM ll l JOIN placed p ON p.layer = l.layer AND p.id <> l.id WHERE l.k > 0",
+    "sim": "SELECT layer, id, perm, any_value(z) AS z, any_value(lag) AS lag, any_value(n) AS n, any_value(ss) AS ss, avg(pz) AS slag FROM cond WHERE seat <= k GROUP BY layer, id, perm",
+    "pv": f"SELECT layer, id, any_value(z) AS z, any_value(lag) AS lag, (least(count(*) FILTER (WHERE z * slag >= z * lag - 1e-12 * ss / (n - 1)), {PERMS} - count(*) FILTER "
+          f"(WHERE z * slag >= z * lag - 1e-12 * ss / (n - 1))) + 1) / {PERMS + 1}.0 AS p FROM sim GROUP BY layer, id",
+    "bh": "SELECT layer, id, z, lag, least(1.0, min(p * m / i) OVER (PARTITION BY layer ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY p, id) AS i, "
+          "count(*) OVER (PARTITION BY layer) AS m FROM pv)",
+    "hh": "SELECT id, bool_or(layer = 'composite' AND h) AS a, bool_or(layer = 'reference' AND h) AS b, bool_or(layer = 'residual' AND h) AS c FROM (SELECT layer, id, q < 0.05 AND z > 0 AND lag > 0 AS h FROM bh) GROUP BY id",
+}
+
+
+@query(
+    "discriminant_sets",
+    X.sql("", """SELECT count(*) FILTER (WHERE a) AS n_composite, count(*) FILTER (WHERE b) AS n_reference, count(*) FILTER (WHERE c) AS n_residual, count(*) FILTER (WHERE a AND c) AS n_surviving,
+      count(*) FILTER (WHERE a AND b AND NOT c) AS n_explained, coalesce(CAST(count(*) FILTER (WHERE a AND b) AS DOUBLE) / nullif(count(*) FILTER (WHERE a OR b), 0), CAST(0 AS DOUBLE)) AS jaccard FROM hh""", _DISC_LOCAL),
+)
 def discriminant_sets(spark, sf):
     """Survivors of the High-High set and the Jaccard overlap with the reference set."""
-    _, sets = M.discriminant(_discriminant_values(spark, sf), G.queen_edges(polygons(spark, sf)), PERMS, SEED)
+    layers = M.discriminant_layers(_discriminant_values(spark, sf))
+    sets = M.discriminant_sets(layers, G.queen_edges(polygons(spark, sf)), PERMS, SEED)
     both = F.count_if(F.col("in_composite") & F.col("in_reference"))
     either = F.count_if(F.col("in_composite") | F.col("in_reference"))
     return sets.agg(
@@ -348,7 +371,27 @@ def effective_sample_size(spark, sf):
     return G.effective_size(_effective_points(spark, sf), "x", "y").select("n", F.round("n_eff", 4).alias("n_eff"))
 
 
-@query("association_triplet")
+_TRIPLET = {
+    "t": _EFF["t"],
+    "r0": "SELECT key, lon, lat, x, y, x - ((SELECT regr_slope(x, lon) FROM t) * lon + (SELECT regr_intercept(x, lon) FROM t)) AS rx, "
+          "y - ((SELECT regr_slope(y, lon) FROM t) * lon + (SELECT regr_intercept(y, lon) FROM t)) AS ry FROM t",
+    "rk": "SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS k{c}" for c in ("x", "y", "rx", "ry")) + " FROM r0",
+    "z": "SELECT key, lon, lat, rx - (SELECT avg(rx) FROM r0) AS zx, ry - (SELECT avg(ry) FROM r0) AS zy FROM r0",
+    "bins": _EFF["bins"],
+    "eff": "SELECT n, greatest(2, least(n, CASE WHEN inv > 0 THEN 1 / inv ELSE n END)) AS n_eff FROM (SELECT n, 1 / n + 2 / (n * n) * s / (vx * vy) AS inv FROM (SELECT sum(cx * cy / pairs) AS s FROM bins), "
+           "(SELECT CAST(count(*) AS DOUBLE) AS n, var_pop(rx) AS vx, var_pop(ry) AS vy FROM r0))",
+    "res": "SELECT n_eff, n_eff - 2 AS v, rho, abs(rho) * sqrt((n_eff - 2) / greatest(1e-9, 1 - rho * rho)) AS tt FROM eff, (SELECT corr(krx, kry) AS rho FROM rk)",
+    # Simpson's rule over the density of Student's t from 0 to the statistic
+    "simp": "SELECT sum((CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (tt * i / 4000) * (tt * i / 4000) / v, -(v + 1) / 2)) * any_value(tt) / 4000 / 3 "
+            "* exp(lgamma((any_value(v) + 1) / 2) - lgamma(any_value(v) / 2)) / sqrt(any_value(v) * pi()) AS half FROM res, (SELECT unnest(range(4001)) AS i)",
+}
+
+
+@query(
+    "association_triplet",
+    X.sql("pts", """SELECT (SELECT count(*) FROM t) AS n, (SELECT round(corr(x, y), 8) FROM t) AS zero_pearson, (SELECT round(corr(kx, ky), 8) FROM rk) AS zero_spearman, round(rho, 8) AS residual_spearman,
+      round(n_eff, 4) AS n_eff, CASE WHEN n_eff > 2 THEN round(1 - 2 * half, 6) END AS p FROM res, simp""", _TRIPLET),
+)
 def association_triplet(spark, sf):
     """Zero-order and residual association with the effective sample size and its p."""
     rows = _effective_points(spark, sf).withColumn("g", F.col("lon"))
@@ -360,7 +403,8 @@ def association_triplet(spark, sf):
     out = size.select(
         zero["n"].alias("n"), zero["r"].alias("zero_pearson"), zero_rho.alias("zero_spearman"), rho.alias("residual_spearman"), "n_eff"
     )
-    return T.correlation_distance_p(out, "residual_spearman", "n_eff")
+    out = T.correlation_p(out, "residual_spearman", "n_eff")
+    return out.select("n", r8("zero_pearson"), r8("zero_spearman"), r8("residual_spearman"), F.round("n_eff", 4).alias("n_eff"), F.round("p", 6).alias("p"))
 
 
 _KDE = {

@@ -397,3 +397,31 @@ def test_leaf_diff_of_nested_rows(spark):
     got = {(r.k, r.path): r.kind for r in D.leaf_diff(a, b, ["k"]).collect()}
     assert got == {(1, ".d.a"): "numeric", (1, ".d.b[1]"): "only_first", (2, ".d.a"): "only_first", (3, ".d.a"): "only_second", (3, ".d.b[0]"): "only_second"}
     assert D.diff_summary(D.leaf_diff(a, a, ["k"])).first().within is True
+
+
+def test_refresh_applies_landed_files_once(spark):
+    from compindex.streaming.refresh import refresh
+
+    landed, cache, progress = (scratch_path(spark, n) for n in ("landed", "cache", "progress"))
+    schema = "key string, name string, year int, value double, series string"
+    U.write_cache(frame(spark, [("a", "A", 1, 1.0, "s"), ("a", "A", 1, 2.0, "t")], schema), cache)
+    frame(spark, [("a", None, 2, 5.0, "s")], schema).coalesce(1).write.parquet(landed)
+    refresh(spark, landed, cache, progress).awaitTermination()
+    want = [("s", "A", 2, 5.0), ("t", "A", 1, 2.0)]
+    assert rows(spark.read.parquet(cache).select("series", "name", "year", "value"), "series") == want
+    frame(spark, [("a", None, 3, 7.0, "t")], schema).coalesce(1).write.mode("append").parquet(landed)
+    refresh(spark, landed, cache, progress).awaitTermination()
+    assert rows(spark.read.parquet(cache).select("series", "name", "year", "value"), "series") == [("s", "A", 2, 5.0), ("t", "A", 3, 7.0)]
+
+
+def test_index_design_is_consistent(spark):
+    from compindex.plans import risk_design as I
+
+    assert len(I.DESIGN) == 13 and C.phase_totals(I.DESIGN) == {"recruitment": 8, "exploitation": 3, "monetization": 2}
+    assert I.anchors(spark).count() == len(I.ANCHORS)
+    signals = [(t, c) for *_, pairs in I.DESIGN for t, c in pairs]
+    data = [(t, c, k, v) for t, c in set(signals) for k, v in (("x", 0.5), ("y", 0.25))] + [("worldbank", "wb_wgi_rule_of_law", "x", 0.5)]
+    out = I.locked_build(frame(spark, data, "tbl string, col string, key string, value double"), frame(spark, [("y", 0), ("x", 1), ("z", 2)], "key string, ord long"))
+    got = {r.key: (r.composite, r["rank"]) for r in out.collect()}
+    # x is attenuated to half of .5, which ties with y; input order decides
+    assert got == {"x": (pytest.approx(0.25), 2), "y": (pytest.approx(0.25), 1), "z": (None, None)}
