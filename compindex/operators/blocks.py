@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compindex.functions import geo as G
-from compindex.session import cut_lineage
+from compindex.session import compute_tasks, cut_lineage
 
 BLOCK_ROWS = 2048
 CELL_ROWS = 256
@@ -65,18 +65,6 @@ def block_pairs(probe: DataFrame, source: DataFrame, dims: int, adjacent: bool)
     return full.repartition(compute_tasks(probe), *keys).join(renamed_s, keys)
 
 
-def compute_tasks(df: DataFrame) -> int:
-    """Tasks for compute-heavy steps, which size-based coalescing would put into one."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def haversine_matrix(lon1, lat1, lon2, lat2):
-    a, b = np.radians(lat1)[:, None], np.radians(lat2)[None, :]
-    half_lat = np.sin(np.radians(lat2[None, :] - lat1[:, None]) / 2.0)
-    half_lon = np.sin(np.radians(lon2[None, :] - lon1[:, None]) / 2.0)
-    return 2.0 * G.EARTH_KM * np.arcsin(np.sqrt(np.clip(half_lat**2 + np.cos(a) * np.cos(b) * half_lon**2, 0.0, 1.0)))
-
-
 def _unit_vectors(lon, lat):
     a, b = np.radians(lon), np.radians(lat)
     return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=1)

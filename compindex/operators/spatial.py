@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from compindex.functions import geo as G
 from compindex.operators import blocks as K
 from compindex.operators import ranking as R
-from compindex.session import cut_lineage
+from compindex.session import compute_tasks, cut_lineage
 
 
 # --- polygons --------------------------------------------------------------------------
@@ -328,7 +328,7 @@ def kde_grid(points: DataFrame, weight: str) -> DataFrame:
     shape = kde_shape(points, weight)
     locs = points.groupBy("lon", "lat").agg(F.sum(weight).alias("sw"))
     rows = locs.select("lon", "lat", "sw", *[shape[n].alias(n) for n in ("ia", "ib", "ic", "norm")])
-    rows = rows.repartition(K.compute_tasks(points), "lon", "lat")
+    rows = rows.repartition(compute_tasks(points), "lon", "lat")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gx, gy = np.linspace(*GRID["lon"]), np.linspace(*GRID["lat"])

@@ -11,7 +11,7 @@ from compindex.functions import noise as Z
 from compindex.functions import scaling as S
 from compindex.operators import order as O
 from compindex.operators.stats import correlation
-from compindex.session import cut_lineage
+from compindex.session import compute_tasks, cut_lineage
 
 # Noise model of the published bands.
 DRAWS = 10_000
@@ -22,8 +22,8 @@ FLOOR = 1e-4
 
 
 def expanded(df: DataFrame, draws: int) -> DataFrame:
-    """Every row once per draw, without a join."""
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    """Every row once per draw, without a join. Rows spread over tasks before they multiply."""
+    return df.repartition(compute_tasks(df), "key").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
 
 
 def draw_ranks(scored: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:

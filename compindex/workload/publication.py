@@ -88,14 +88,16 @@ def published(spark, sf):
     bands = U.rank_bands(U.draw_ranks(field, W.DRAWS)).select("key", "rank_p5", "rank_p50", "rank_p95", "tier_stability")
     domains = cut_lineage(X.domain_scores(spark, sf))
     composites = C.composite(C.phase_scores(domains, X.TOTALS).where("in_composite"), list(X.PHASES))
-    return P.scores_table(composites, domains, bands)
+    # nine digits first, so that a value on the rounding edge is published alike on every run
+    steady = composites.select("key", *[F.round(c, 9).alias(c) for c in ("R", "E", "composite")])
+    return P.scores_table(steady, domains, bands)
 
 
 @query(
     "scores_table",
-    X.sql("comp scored dom", """SELECT c.key, round(c.R, 4) AS R, round(c.E, 4) AS E, round(c.composite, 4) AS composite, c.composite IS NOT NULL AS scored, r.rank, d.lc AS domains_low_conf, d.ns AS domains_not_scored,
+    X.sql("comp scored dom", """SELECT c.key, round(round(c.R, 9), 4) AS R, round(round(c.E, 9), 4) AS E, round(round(c.composite, 9), 4) AS composite, c.composite IS NOT NULL AS scored, r.rank, d.lc AS domains_low_conf, d.ns AS domains_not_scored,
       d.lowlist AS low_conf, d.nslist AS not_scored, b.rank_p5, b.rank_p50, b.rank_p95, round(b.tier_stability, 6) AS tier_stability, CASE WHEN c.composite IS NOT NULL THEN d.ns >= 2 END AS low_confidence
-      FROM comp c LEFT JOIN (SELECT key, row_number() OVER (ORDER BY round(composite, 4) DESC, key) AS rank FROM scored) r USING (key) LEFT JOIN bands b USING (key) LEFT JOIN (SELECT key,
+      FROM comp c LEFT JOIN (SELECT key, row_number() OVER (ORDER BY round(round(composite, 9), 4) DESC, key) AS rank FROM scored) r USING (key) LEFT JOIN bands b USING (key) LEFT JOIN (SELECT key,
         count(*) FILTER (WHERE scored AND coverage_flag IN ('low_confidence', 'insufficient_data')) AS lc, count(*) FILTER (WHERE NOT scored) AS ns,
         array_to_string(list_sort(list(domain) FILTER (WHERE scored AND coverage_flag IN ('low_confidence', 'insufficient_data'))), ',') AS lowlist,
         array_to_string(list_sort(list(domain) FILTER (WHERE NOT scored)), ',') AS nslist FROM dom WHERE in_composite GROUP BY key) d USING (key)""", W._MC),
@@ -114,7 +116,7 @@ def scores_table(spark, sf):
     X.sql("comp scored dom", """SELECT 'error' AS level, 'scored with a rank broken on purpose' AS rule, CAST(NULL AS VARCHAR) AS key WHERE FALSE
       UNION ALL SELECT 'error', 'rank given twice', '1' FROM rk WHERE rank = 2 AND EXISTS (SELECT 1 FROM rk WHERE rank = 1)
       UNION ALL SELECT 'warning', 'rank outside its band', CAST(key AS VARCHAR) FROM rk JOIN bands USING (key) WHERE NOT shown BETWEEN rank_p5 AND rank_p95""",
-      {**W._MC, "rk": "SELECT key, rank, CASE WHEN rank = 2 THEN 1 ELSE rank END AS shown FROM (SELECT key, row_number() OVER (ORDER BY round(composite, 4) DESC, key) AS rank FROM scored)"}),
+      {**W._MC, "rk": "SELECT key, rank, CASE WHEN rank = 2 THEN 1 ELSE rank END AS shown FROM (SELECT key, row_number() OVER (ORDER BY round(round(composite, 9), 4) DESC, key) AS rank FROM scored)"}),
 )
 def score_invariants(spark, sf):
     """Rules over the published table, where rank 2 was given as rank 1 on purpose."""

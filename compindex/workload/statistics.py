@@ -25,12 +25,19 @@ def re_frame(spark, sf):
     return scored.join(X.modulator(spark, sf), "key", "left")
 
 
+# Halves are compared at nine digits: the last digits of a mean depend on the order of summation.
+_HALVES = "SELECT key, round(R, 9) AS R, round(E, 9) AS E FROM scored"
 _RANKED_RE = {
+    "halves": _HALVES,
     "rk": "SELECT key, rank() OVER (ORDER BY R) + (count(*) OVER (PARTITION BY R) - 1) / 2.0 AS rx, "
-          "rank() OVER (ORDER BY E) + (count(*) OVER (PARTITION BY E) - 1) / 2.0 AS ry FROM scored",
+          "rank() OVER (ORDER BY E) + (count(*) OVER (PARTITION BY E) - 1) / 2.0 AS ry FROM halves",
 }
 _PAIRS = """SELECT count(*) FILTER (WHERE s > 0) AS c, count(*) FILTER (WHERE s < 0) AS d FROM
-  (SELECT sign(a.R - b.R) * sign(a.E - b.E) AS s FROM scored a JOIN scored b ON a.key < b.key)"""
+  (SELECT sign(a.R - b.R) * sign(a.E - b.E) AS s FROM halves a JOIN halves b ON a.key < b.key)"""
+
+
+def halves(spark, sf):
+    return X.scored(spark, sf).select("key", F.round("R", 9).alias("R"), F.round("E", 9).alias("E"))
 
 
 @query("pearson", X.sql("scored", "SELECT count(*) AS n, round(corr(R, E), 8) AS r, round(round(corr(R, E) * corr(R, E), 8), 3) AS r2 FROM scored"))
@@ -47,16 +54,18 @@ def average_rank(spark, sf):
 
 @query("spearman", X.sql("scored", "SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM rk", _RANKED_RE))
 def spearman(spark, sf):
-    return T.spearman(X.scored(spark, sf), [], "R", "E").select("n", r8("rho"))
+    return T.spearman(halves(spark, sf), [], "R", "E").select("n", r8("rho"))
 
 
 @query(
     "kendall_and_gamma",
     X.sql("scored", f"""SELECT (SELECT count(*) FROM scored) AS n, c AS concordant, d AS discordant,
-      round((c - d) / (c + d), 8) AS gamma, round((c - d) / (c + d), 8) AS tau_b FROM ({_PAIRS})"""),
+      round((c - d) / (c + d), 8) AS gamma,
+      round((c - d) / sqrt(CAST((SELECT count(*) FROM halves a JOIN halves b ON a.key < b.key AND a.R <> b.R) AS DOUBLE)
+        * (SELECT count(*) FROM halves a JOIN halves b ON a.key < b.key AND a.E <> b.E)), 8) AS tau_b FROM ({_PAIRS})""", {"halves": _HALVES}),
 )
 def kendall_and_gamma(spark, sf):
-    out = T.rank_agreement(X.scored(spark, sf), [], "R", "E", "key")
+    out = T.rank_agreement(halves(spark, sf), [], "R", "E", "key")
     return out.select("n", "concordant", "discordant", r8("gamma"), r8("tau_b"))
 
 

@@ -22,8 +22,10 @@ OFFSET = U.SEED % 1000
 
 def field(spark, sf):
     """Scored keys with phases and the number of unscored domains."""
-    rollup = C.flag_rollup(X.domain_scores(spark, sf)).select("key", "domains_not_scored", "domains_low_conf")
-    return X.scored(spark, sf).join(rollup, "key")
+    domains = cut_lineage(X.domain_scores(spark, sf))
+    rollup = C.flag_rollup(domains).select("key", "domains_not_scored", "domains_low_conf")
+    scores = C.composite(C.phase_scores(domains, X.TOTALS).where("in_composite"), list(X.PHASES))
+    return scores.where(F.col("composite").isNotNull()).join(rollup, "key")
 
 
 _FIELD = {
