@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compindex.functions import geo as G
+from compindex.operators.order import attach
 from compindex.session import compute_tasks, cut_lineage
 
 BLOCK_ROWS = 2048
@@ -36,7 +37,8 @@ def blocked(df: DataFrame, cells: list[Column], columns: list[str], by: list[str
     placed = df.select(*columns, *[c.alias(n) for c, n in zip(cells, names)])
     sizes = placed.groupBy(*names).agg(F.count(F.lit(1)).alias("_size"))
     slices = F.ceil(F.col("_size") / rows)
-    sliced = placed.join(sizes, names).withColumn("b", F.pmod(F.xxhash64(*by), slices).cast("int"))
+    # a crowded cell must not become one join key: the size table goes to the points
+    sliced = attach(placed, sizes, names).withColumn("b", F.pmod(F.xxhash64(*by), slices).cast("int"))
     return sliced.groupBy(*names, "b").agg(*[F.collect_list(c).alias(c) for c in columns])
 
 
@@ -65,6 +67,13 @@ def block_pairs(probe: DataFrame, source: DataFrame, dims: int, adjacent: bool)
     return full.repartition(compute_tasks(probe), *keys).join(renamed_s, keys)
 
 
+def haversine_matrix(lon1, lat1, lon2, lat2):
+    a, b = np.radians(lat1)[:, None], np.radians(lat2)[None, :]
+    half_lat = np.sin(np.radians(lat2[None, :] - lat1[:, None]) / 2.0)
+    half_lon = np.sin(np.radians(lon2[None, :] - lon1[:, None]) / 2.0)
+    return 2.0 * G.EARTH_KM * np.arcsin(np.sqrt(np.clip(half_lat**2 + np.cos(a) * np.cos(b) * half_lon**2, 0.0, 1.0)))
+
+
 def _unit_vectors(lon, lat):
     a, b = np.radians(lon), np.radians(lat)
     return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=1)

@@ -58,4 +58,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def compute_tasks(df: DataFrame) -> int:
     """Tasks for compute-heavy steps, which size-based coalescing would put into one."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * max(shuffles, spark.sparkContext.defaultParallelism)

@@ -31,8 +31,11 @@ def merged_series(existing: DataFrame | None, rows: DataFrame) -> DataFrame:
 
 
 def write_cache(df: DataFrame, path: str) -> None:
-    """Partitioned by series; only the partitions present in ``df`` are replaced."""
-    ordered = df.select(*CACHE_COLUMNS).repartition("series", "key").sortWithinPartitions("series", "key", "year")
+    """Partitioned by series; only the partitions present in ``df`` are replaced.
+
+    Ranges of (series, key) keep a task to few series, and split a series that holds most rows.
+    """
+    ordered = df.select(*CACHE_COLUMNS).repartitionByRange("series", "key").sortWithinPartitions("series", "key", "year")
     writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("series").parquet(path)
 
