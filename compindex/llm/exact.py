@@ -111,15 +111,13 @@ def collided(texts: DataFrame) -> DataFrame:
     return contents.groupBy(*KEY, "at").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(*KEY).distinct()
 
 
-def repeated_filter(groups: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bit map of the fingerprints that occur more than once: 2^bits bits whatever the input.
+def bit_map(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bit map of the values of a column modulo 2^bits: 2^bits bits whatever the input.
 
-    It spares texts without a partner the way through the shuffle; a false hit costs time, nothing else.
+    It spares rows without a partner the way through the shuffle; a false hit costs time, nothing else.
     """
-    slot = F.pmod("h0", F.lit(1 << bits)) + 1
-    maps = groups.where("group_size > 1").groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap")
-    )
+    slot = F.pmod(column, F.lit(1 << bits)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
     out = np.zeros(1 << bits, np.uint8)
     for row in maps.collect():  # 2^bits / 32,768 rows of 4 KB at most
         own = np.unpackbits(np.frombuffer(bytes(row["bitmap"]), np.uint8), bitorder="little")
@@ -132,7 +130,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(text_bytes(), F.lit(b"")).alias("data"))
     marked = cut_lineage(with_fingerprint(texts.withColumn("text_sha256", F.sha2("data", 256)), "data").drop("data"))
     groups = cut_lineage(marked.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    clashes = cut_lineage(collided(with_fingerprint(texts, "data", repeated_filter(groups))))
+    clashes = cut_lineage(collided(with_fingerprint(texts, "data", bit_map(groups.where("group_size > 1"), "h0", FILTER_BITS))))
     clean = lookup(marked, groups, KEY)
     if not clashes.isEmpty():
         whole = with_fingerprint(texts.withColumn("text_sha256", F.sha2("data", 256)), "data").join(clashes, KEY, "left_semi")
