@@ -23,34 +23,42 @@ from compindex.session import cut_lineage
 # The characters that count as symbols, and what separates words.
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\r\x0b\x0c"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_lower", "n_marks")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_plain", "n_small", "n_upper", "n_lower", "n_marks", "n_stops")
 WINDOW = 3
 MIN_WORDS = 50
 ACCEPT = 0.5
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
 
-def repeat_words(words: list[bytes]) -> tuple[int, int]:
-    """Words inside 3-word windows that occur twice or more, and the number of distinct words."""
+def word_kinds(words: list[bytes]) -> tuple[int, int, int, int]:
+    """Words inside 3-word windows that occur twice or more, distinct words, plain and small words.
+
+    A plain word is letters with at most a stop or comma behind them; a small one is plain, lower case and of
+    three letters at most, as most function words are.
+    """
     index: dict[bytes, int] = {}
     ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    size, times = len(index), np.bincount(ids)
+    bare = [w.decode("utf-8", "replace").rstrip(".,") for w in index]
+    plain = np.fromiter((w.isalpha() for w in bare), bool, size)
+    small = np.fromiter((len(w) <= 3 and w.islower() for w in bare), bool, size) & plain
+    kinds = size, int(times[plain].sum()), int(times[small].sum())
     if len(ids) < WINDOW:
-        return 0, len(index)
-    size = len(index)
+        return 0, *kinds
     # a pair's number is below size^2 and is renumbered first, so three words always fit into 64 bits
     _, pairs = np.unique(ids[:-1] * size + ids[1:], return_inverse=True)
-    _, slot, times = np.unique(pairs[:-1] * size + ids[2:], return_inverse=True, return_counts=True)
-    again, covered = times[slot] > 1, np.zeros(len(ids), bool)
+    _, slot, found = np.unique(pairs[:-1] * size + ids[2:], return_inverse=True, return_counts=True)
+    again, covered = found[slot] > 1, np.zeros(len(ids), bool)
     for k in range(WINDOW):
         covered[k : len(ids) - WINDOW + 1 + k] |= again
-    return int(covered.sum()), size
+    return int(covered.sum()), *kinds
 
 
 def counts(data: bytes | None) -> tuple[int, ...]:
     """The counts named in ``COUNTS`` for one whole text."""
     data = data or b""
     words = data.split()
-    repeated, distinct = repeat_words(words)
+    repeated, distinct, plain, small = word_kinds(words)
     seen: set[bytes] = set()
     lines = dup_lines = 0
     for line in data.split(b"\n"):
@@ -62,7 +70,7 @@ def counts(data: bytes | None) -> tuple[int, ...]:
     upper, lower = int(((codes >= 65) & (codes <= 90)).sum()), int(((codes >= 97) & (codes <= 122)).sum())
     word_chars = len(data.translate(None, BLANKS).decode("utf-8", "replace"))
     symbols = len(data) - len(data.translate(None, SYMBOLS))
-    return len(words), word_chars, symbols, lines, dup_lines, repeated, distinct, upper, lower, data.count(b"!")
+    return len(words), word_chars, symbols, lines, dup_lines, repeated, distinct, plain, small, upper, lower, data.count(b"!"), data.count(b".")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -82,18 +90,22 @@ def vote(bad: Column, good: Column) -> Column:
 
 
 def default_rules() -> list[Column]:
-    """One vote per property; a middling value is no evidence and abstains."""
+    """One vote per property; a middling value is no evidence and abstains.
+
+    The broad ones (plain words, small words, sentences) overlap with each narrow one, which ties the rules together.
+    """
     c = F.col
     words, letters = c("n_words"), c("n_upper") + c("n_lower")
     return [
-        vote(words < 50, words >= 80),
+        vote(c("n_plain") * 10 < words * 7, c("n_plain") * 20 > words * 17),
+        vote(c("n_small") * 20 < words, c("n_small") * 10 > words),
+        vote(c("n_stops") * 50 < words, c("n_stops") * 25 > words),
         vote(c("n_symbols") * 5 > words, c("n_symbols") * 50 < words),
-        vote(c("n_repeat_words") * 10 > words * 3, c("n_repeat_words") * 10 < words),
-        vote(c("n_dup_lines") * 10 > c("n_lines") * 3, c("n_dup_lines") == 0),
         vote(c("n_upper") * 2 > letters, c("n_upper") * 5 < letters),
         vote(c("n_marks") * 4 > words, c("n_marks") * 50 <= words),
-        vote((c("word_chars") > words * 14) | (c("word_chars") < words * 2), c("word_chars").between(words * 3, words * 10)),
-        vote(c("n_distinct_words") * 20 < words, c("n_distinct_words") * 5 > words),
+        vote(c("n_repeat_words") * 10 > words * 3, c("n_repeat_words") * 10 < words),
+        vote(c("n_distinct_words") * 4 < words, c("n_distinct_words") * 5 > words * 2),
+        vote(c("n_dup_lines") * 10 > c("n_lines") * 3, c("n_dup_lines") == 0),
     ]
 
 
@@ -116,22 +128,22 @@ class VoteModel:
 def fit(patterns: np.ndarray, rows: np.ndarray, rounds: int = 200, tolerance: float = 1e-10) -> VoteModel:
     """EM over vote patterns (one row each) with their numbers of documents.
 
-    A rule starts as right in 8 of 10 votes; as many pseudo-votes keep rules that nearly always agree away
-    from certainty and the two classes from trading places.
+    A rule catches some kinds of fault and passes all others, so a bad vote is rare and trusted at first: the first
+    guess is even odds after one bad vote and bad after two. A few pseudo-votes keep every rate away from 0 and 1.
     """
-    prior, g, b = 0.8, np.full(patterns.shape[1], 0.8), np.full(patterns.shape[1], 0.8)
     good, bad = patterns == GOOD, patterns == BAD
+    voted, p = good | bad, rows * np.array([0.95, 0.5, 0.05])[np.minimum(bad.sum(axis=1), 2)]
+    before = None
     for _ in range(rounds):
-        score = np.log(prior / (1 - prior)) + good @ np.log(g / (1 - b)) + bad @ np.log((1 - g) / b)
-        p = rows / (1 + np.exp(-score))
         q = rows - p
-        new_prior = (p.sum() + 8) / (rows.sum() + 10)
-        new_g = (p @ good + 8) / (p @ (good | bad) + 10)
-        new_b = (q @ bad + 8) / (q @ (good | bad) + 10)
-        moved = max(abs(new_prior - prior), np.abs(new_g - g).max(), np.abs(new_b - b).max())
-        prior, g, b = new_prior, new_g, new_b
-        if moved < tolerance:
+        prior = (p.sum() + 4) / (rows.sum() + 5)
+        g = (p @ good + 9.5) / (p @ voted + 10)
+        b = (q @ bad + 1) / (q @ voted + 4)
+        now = np.concatenate([[prior], g, b])
+        if before is not None and np.abs(now - before).max() < tolerance:
             break
+        before = now
+        p = rows / (1 + np.exp(-(np.log(prior / (1 - prior)) + good @ np.log(g / (1 - b)) + bad @ np.log((1 - g) / b))))
     return VoteModel(float(prior), tuple(map(float, g)), tuple(map(float, b)))
 
 
@@ -139,7 +151,7 @@ def learned(votes: DataFrame, names: list[str]) -> VoteModel:
     """The model of all rows of ``votes``; at most 3 ^ rules patterns reach the driver."""
     found = votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).orderBy(*names).collect()
     if not found:
-        return VoteModel(0.8, (0.8,) * len(names), (0.8,) * len(names))
+        return VoteModel(0.8, (0.95,) * len(names), (0.25,) * len(names))
     table = np.array([tuple(r) for r in found], np.int64)
     return fit(table[:, :-1], table[:, -1].astype(float))
 

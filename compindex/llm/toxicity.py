@@ -2,7 +2,7 @@
 
 Features are single words, neighbouring pairs and pairs with one word between, hashed to ``DIMENSIONS`` slots;
 a feature counts once per text. FTRL keeps a rate per slot and its L1 term leaves most weights at exactly zero,
-so the model is a short list. It learns in order of a hash of doc_id from at most ``LEARN_ROWS`` labelled rows
+so the model is a short list. Slots met in fewer than ``INCLUDE`` texts of the sample do not enter it. It learns in order of a hash of doc_id from at most ``LEARN_ROWS`` labelled rows
 (an online learner is sequential; one task streams over the bounded sample once per pass). Scoring covers all
 rows. Null and empty texts have no features and score as the bias does. Without labels the score is the prior.
 """
@@ -24,8 +24,9 @@ from compindex.session import cut_lineage
 
 DIMENSIONS = 1 << 20
 LEARN_ROWS = 20_000
-PASSES = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 1.0
+PASSES = 6
+INCLUDE = 3
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 WORD = regex.compile(r"\w+")
 # Fixed odd multipliers that make pairs and skip pairs different features.
@@ -55,8 +56,8 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def learn(z: np.ndarray, n: np.ndarray, slots: np.ndarray, label: int, base: float) -> None:
-    """One FTRL-proximal step, in place. The last slot is the bias."""
-    own = np.append(np.unique(slots), DIMENSIONS)
+    """One FTRL-proximal step, in place, on the distinct slots of a text. The last slot is the bias."""
+    own = np.append(slots, DIMENSIONS)
     zi, ni = z[own], n[own]
     w = _weights(zi, ni)
     gradient = 1 / (1 + np.exp(-np.clip(base + w.sum(), -35, 35))) - label
@@ -84,18 +85,28 @@ def train(chosen: DataFrame, passes: int = PASSES) -> Model:
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
     base = log((seen["pos"] + 1) / (seen["n"] - seen["pos"] + 19))
     context = chosen.sparkSession.sparkContext
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = np.zeros(DIMENSIONS, np.int32)
+        for batch in batches:
+            for slots in batch["slots"]:
+                met[slots] += 1
+        yield pd.DataFrame({"included": [np.packbits(met >= INCLUDE).tobytes()]})
+
+    # one row of fixed size here and in each pass
+    included = context.broadcast(bytes(rows.mapInPandas(count, "included binary").first()["included"]))
     state = np.zeros((2, DIMENSIONS + 1))
     for _ in range(passes):
         before = context.broadcast(state)
 
         def run(batches: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
             z, n = before.value.copy()
+            open_slots = np.unpackbits(np.frombuffer(included.value, np.uint8)).astype(bool)
             for batch in batches:
                 for label, slots in zip(batch["label"], batch["slots"]):
-                    learn(z, n, slots, label, base)
+                    learn(z, n, slots[open_slots[slots]], label, base)
             yield pd.DataFrame({"state": [np.stack([z, n]).tobytes()]})
 
-        # one row of fixed size
         state = np.frombuffer(bytes(rows.mapInPandas(run, "state binary").first()["state"])).reshape(2, -1)
     weights = _weights(*state)
     slots = np.flatnonzero(weights[:-1])
