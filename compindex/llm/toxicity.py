@@ -84,6 +84,8 @@ def train(chosen: DataFrame, passes: int = PASSES) -> Model:
     rows = cut_lineage(found.repartition(1).sortWithinPartitions("order", "doc_id"))
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
     base = log((seen["pos"] + 1) / (seen["n"] - seen["pos"] + 19))
+    if not seen["n"]:
+        return Model(base, 0.0, np.zeros(0, int), np.zeros(0))
     context = chosen.sparkSession.sparkContext
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +96,7 @@ def train(chosen: DataFrame, passes: int = PASSES) -> Model:
         yield pd.DataFrame({"included": [np.packbits(met >= INCLUDE).tobytes()]})
 
     # one row of fixed size here and in each pass
-    included = context.broadcast(bytes(rows.mapInPandas(count, "included binary").first()["included"]))
+    included = context.broadcast(bytes(rows.mapInPandas(count, "included binary").collect()[0]["included"]))
     state = np.zeros((2, DIMENSIONS + 1))
     for _ in range(passes):
         before = context.broadcast(state)
@@ -107,7 +109,7 @@ def train(chosen: DataFrame, passes: int = PASSES) -> Model:
                     learn(z, n, slots[open_slots[slots]], label, base)
             yield pd.DataFrame({"state": [np.stack([z, n]).tobytes()]})
 
-        state = np.frombuffer(bytes(rows.mapInPandas(run, "state binary").first()["state"])).reshape(2, -1)
+        state = np.frombuffer(bytes(rows.mapInPandas(run, "state binary").collect()[0]["state"])).reshape(2, -1)
     weights = _weights(*state)
     slots = np.flatnonzero(weights[:-1])
     return Model(base, float(weights[-1]), slots, weights[slots])
