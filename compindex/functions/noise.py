@@ -26,6 +26,15 @@ def mixed(draw: Column, key: Column, stream: int) -> Column:
     return (third * MULTIPLIER + INCREMENT) % MODULUS
 
 
+def text_number(key: Column) -> Column:
+    """Integer of a text key: 32 bits of its SHA-256, which other engines can repeat."""
+    return F.conv(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("bigint")
+
+
+def text_number_sql(key: str) -> str:
+    return f"CAST('0x' || substr(sha256({key}), 1, 8) AS BIGINT)"
+
+
 def uniform(draw: Column, key: Column, stream: int) -> Column:
     return (mixed(draw, key, stream).cast("double") + 0.5) / F.lit(float(MODULUS))
 

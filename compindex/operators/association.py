@@ -20,10 +20,10 @@ NOT_SIGNIFICANT = "Not-Significant"
 
 
 def number_of(df: DataFrame, column: str = "id") -> Column:
-    """The integer the seeded noise runs on: the id itself, or a hash of a text id."""
+    """The integer the seeded noise runs on: the id itself, or the head of a text id's SHA-256."""
     if dict(df.dtypes)[column] in ("bigint", "int", "smallint", "tinyint"):
         return F.col(column)
-    return F.pmod(F.xxhash64(column), F.lit(Z.MODULUS))
+    return Z.text_number(F.col(column))
 
 
 def centred(units: DataFrame, layers: list[str]) -> DataFrame:

@@ -55,30 +55,37 @@ def fuzzy_candidates(left: DataFrame, aliases: DataFrame, cutoff: float = FUZZY_
     b = aliases.select(F.col("norm").alias("alias"), F.explode(_bigrams(F.col("norm"))).alias("_g")).distinct()
     la, lb = F.length("norm"), F.length("alias")
     near = F.abs(la - lb) <= (la + lb) * F.lit(1.0 - cutoff) + 1e-9
-    return a.join(b, "_g").where(near).select("norm", "alias").distinct()
+    pairs = a.join(b, "_g").where(near).select("norm", "alias").distinct()
+    # edits bound the ratio from above: matched letters <= (la + lb - edits) / 2
+    return pairs.where(F.levenshtein("norm", "alias") <= (la + lb) * F.lit(1.0 - cutoff) + 1e-9)
 
 
 def resolve(raw: DataFrame, column: str, aliases: DataFrame, fuzzy: bool = True, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """Raw values with their ``key``; each distinct value is resolved once.
 
-    Aliases by priority first, then the closest alias above the cutoff, else null.
+    Aliases by priority first, then the closest alias above the cutoff, else null. Three upper-case letters are a
+    code: they match exactly or not at all. A spelling that occurs both ways is resolved for either shape.
     """
-    names = cut_lineage(raw.select(K.folded(F.col(column)).alias("norm")).where(F.col("norm").isNotNull()).distinct())
+    shaped = lambda df, *more: df.select(*more, K.folded(F.col(column)).alias("norm"), F.coalesce(F.trim(F.col(column)).rlike("^[A-Z]{3}$"), F.lit(False)).alias("_code"))
+    shapes = cut_lineage(shaped(raw).where(F.col("norm").isNotNull()).distinct())
+    names = shapes.select("norm").distinct()
     direct = R.first_wins(names.join(aliases, "norm"), ["norm"], [F.col("priority"), F.col("key")]).select("norm", "key")
     found = direct
     if fuzzy:
         direct = cut_lineage(direct)
-        rest = names.join(direct, "norm", "left_anti")
+        rest = shapes.where(~F.col("_code")).select("norm").join(direct, "norm", "left_anti")
         scored = fuzzy_candidates(rest, aliases, cutoff).withColumn("_ratio", similarity("norm", "alias"))
         best = R.first_wins(
             scored.where(F.col("_ratio") >= cutoff), ["norm"], [F.col("_ratio").desc(), F.col("alias").desc()]
         )
         by_alias = R.first_wins(aliases, ["norm"], [F.col("priority"), F.col("key")])
         close = best.select(F.col("norm").alias("_raw"), F.col("alias").alias("norm")).join(by_alias, "norm")
-        found = direct.unionByName(close.select(F.col("_raw").alias("norm"), "key"))
-    keyed = raw.withColumn("norm", K.folded(F.col(column)))
+        close = close.select(F.col("_raw").alias("norm"), "key").withColumn("_code", F.lit(False))
+        found = direct.join(shapes, "norm").unionByName(close)
+    else:
+        found = direct.join(shapes, "norm")
     # few names, many rows each: a shuffle by name would be skewed
-    return O.attach(keyed, found, ["norm"], "left").drop("norm")
+    return O.attach(shaped(raw, "*"), found, ["norm", "_code"], "left").drop("norm", "_code")
 
 
 def resolve_two(raw: DataFrame, code: str, name: str, aliases: DataFrame) -> DataFrame:

@@ -12,16 +12,32 @@ from pyspark.sql import functions as F
 
 from compindex.session import cut_lineage
 
-# A table this short is sent to every task; a longer one is joined by shuffle.
-SMALL_ROWS = 100_000
+# A summary table of up to this many bytes is sent to every task.
+BROADCAST_BYTES = 8 << 20
+# Beyond it, rows of one key spread over this many join keys.
+SALTS = 32
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a summary table: materialised once, counted, and broadcast only when it is short."""
+    """Join a summary table to rows without a hot task.
+
+    The summary is materialised and its bytes are counted. A small one is broadcast, which moves no row of ``big``.
+    A larger one is copied once per salt and joined by shuffle on (keys, salt), so that a key with a third of all
+    rows is ``SALTS`` keys; the salt is a hash of the row, so a recomputed row gets the same one.
+    """
     small = cut_lineage(small)
-    if small.count() <= SMALL_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, keys, how)
+    size = small.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), keys, how)
+    return salted_join(big, small, keys, how)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Inner or left join in which every key of ``big`` is split over ``SALTS`` keys."""
+    hashed = [c for c, kind in big.dtypes if not kind.startswith(("map", "variant"))]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def _marked(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:

@@ -90,7 +90,7 @@ def score_violations(scores: DataFrame, meta: DataFrame) -> DataFrame:
     """Broken rules of a published score table as rows (level, rule, key).
 
     ``meta`` is one row with n_universe and n_scored. Ranks are 1..n exactly when they are
-    distinct, none is missing and the largest equals n.
+    whole, distinct, none is missing, the smallest is 1 and the largest equals n.
     """
     scores = cut_lineage(scores)
     n_scored = meta.select("n_scored").scalar()
@@ -109,6 +109,7 @@ def score_violations(scores: DataFrame, meta: DataFrame) -> DataFrame:
     )
     counts = scores.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("scored").alias("scored"), F.max("rank").alias("top"),
+        F.min("rank").alias("bottom"), F.count_if(F.col("rank") != F.floor("rank")).alias("broken"),
     )
     sizes = counts.select(
         F.explode(
@@ -116,6 +117,8 @@ def score_violations(scores: DataFrame, meta: DataFrame) -> DataFrame:
                 F.when(F.col("rows") != meta.select("n_universe").scalar(), "n_universe differs from the rows"),
                 F.when(F.col("scored") != n_scored, "n_scored differs from the scored rows"),
                 F.when(F.coalesce("top", F.lit(0)) != F.col("scored"), "largest rank is not n"),
+                F.when((F.col("scored") > 0) & (F.coalesce("bottom", F.lit(0)) != 1), "smallest rank is not 1"),
+                F.when(F.col("broken") > 0, "rank is not a whole number"),
             )
         ).alias("rule")
     ).where(F.col("rule").isNotNull()).select(F.lit("error").alias("level"), "rule", F.lit(None).cast("string").alias("key"))

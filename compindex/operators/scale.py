@@ -129,15 +129,19 @@ def log_index(df: DataFrame, count: str, name: str) -> DataFrame:
 def per_capita_or_relative(
     values: DataFrame, denominator: DataFrame | None, key: str, spec: dict, per: float = 1.0
 ) -> DataFrame:
-    """Absolute anchors where a denominator table exists, else the flagged relative fallback."""
+    """Absolute anchors where a denominator table exists, else the flagged relative fallback.
+
+    Both follow the direction of ``spec``; ``flag`` says why a score is relative.
+    """
     if denominator is None:
-        scored = winsor_minmax(values.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
-        return scored.withColumn("method", F.lit("relative:winsor_minmax"))
+        flip = resolve_inverted(spec.get("direction"), spec.get("invert"))
+        scored = winsor_minmax(values.withColumn("_all", F.lit(1)), ["_all"], inverted=flip).drop("_all")
+        return scored.withColumn("method", F.lit("relative:winsor_minmax")).withColumn("flag", F.lit("no per-capita base: relative scale of raw counts"))
     rate = F.when(F.col("population") > 0, F.try_divide(F.col("value"), F.col("population")) * F.lit(float(per)))
     joined = values.join(denominator.select(key, "population"), key, "left").withColumn("rate", rate)
     inverted = F.lit(resolve_inverted(spec.get("direction"), spec.get("invert")))
     score = S.anchored(F.col("rate"), F.lit(float(spec["floor"])), F.lit(float(spec["ceiling"])), inverted)
-    return joined.withColumn("score", score).drop("population", "rate").withColumn("method", F.lit("absolute"))
+    return joined.withColumn("score", score).drop("population", "rate").withColumn("method", F.lit("absolute")).withColumn("flag", F.lit(""))
 
 
 def trimmed_surface(df: DataFrame, value: str, name: str, least: float = 0.06) -> DataFrame:

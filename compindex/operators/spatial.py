@@ -263,7 +263,7 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
         source_blocks = blocked_xy(source, cells, [x, y, key], [x, y, key])
         pairs = K.block_pairs(probe_blocks, source_blocks, 2, True).drop(f"p_{key}")
         found = pairs.select(f"p_{x}", f"p_{y}", f"s_{x}", f"s_{y}", f"s_{key}").mapInPandas(
-            run, f"{x} double, {y} double, j long, d2 double"
+            run, f"{x} double, {y} double, j {dict(points.dtypes)[key]}, d2 double"
         )
         best = R.top_by_group(found, [x, y], [F.col("d2"), F.col("j")], k + 1)
         last = side >= extent

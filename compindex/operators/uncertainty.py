@@ -3,13 +3,14 @@ one distributed sort; noise depends only on (draw, key), never on task layout.""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from compindex.functions import labels as B
 from compindex.functions import noise as Z
 from compindex.functions import scaling as S
 from compindex.operators import order as O
+from compindex.operators.association import number_of
 from compindex.operators.stats import correlation
 from compindex.session import compute_tasks, cut_lineage
 
@@ -38,17 +39,36 @@ def draw_ranks(scored: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataF
     base = cut_lineage(O.ranked(base, [], [F.col("_base").desc(), F.col("key")], "base_rank"))
     rows = expanded(base, draws)
     sd = F.when(B.low_confidence(F.col("domains_not_scored")), SD_LOW_CONFIDENCE).otherwise(SD_NORMAL)
-    offset = seed % 1000
-    noisy = lambda c, stream: S.clamp(F.col(c) + sd * Z.normal(F.col("draw"), F.col("key"), offset + stream), FLOOR, 1.0)
+    offset, number = seed % 1000, number_of(base, "key")
+    noisy = lambda c, stream: S.clamp(F.col(c) + sd * Z.normal(F.col("draw"), number, offset + stream), FLOOR, 1.0)
     weight = WEIGHT_LOW + (WEIGHT_HIGH - WEIGHT_LOW) * Z.uniform(F.col("draw"), F.lit(0), offset + 4)
     rows = rows.select(
         "key", "draw", "base_rank", B.tier(F.col("_base")).alias("_tier"),
         (F.pow(noisy("R", 0), weight) * F.pow(noisy("E", 2), 1.0 - weight)).alias("sim"),
     )
-    ranked = O.ranked(rows, ["draw"], [F.col("sim").desc(), F.col("key")], "rank")
+    ranked = ranked_in_draws(rows, ["draw"], "sim", F.col("key"), "rank")
     return ranked.select("key", "draw", "base_rank", "rank", (B.tier(F.col("sim")) == F.col("_tier")).alias("in_tier"))
 
 
+# Slices of the score range; a draw's keys are ranked slice by slice, so that no task holds a whole draw.
+SLICES = 64
+
+
+def ranked_in_draws(rows: DataFrame, draws: list[str], score: str, tie: Column, name: str) -> DataFrame:
+    """``row_number`` by descending score (0 to 1) within each draw, ties by ``tie``, without materialising the draws.
+
+    Noise is a function of draw and key, so the rows can be made twice: once to count a draw's slices, once to
+    rank within them. The count table has draws x ``SLICES`` rows, whatever the number of keys.
+    """
+    rows = rows.withColumn("_slice", F.floor(F.col(score) * SLICES))
+    above = Window.partitionBy(*draws).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*draws, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*draws, "_slice", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy(*draws, "_slice").orderBy(F.col(score).desc(), tie)
+    placed = rows.withColumn(name, F.row_number().over(inside)).join(starts, [*draws, "_slice"])
+    return placed.withColumn(name, F.col(name) + F.col("_above")).drop("_slice", "_above")
+
+
 def rank_bands(ranks: DataFrame) -> DataFrame:
     """5th, 50th and 95th percentile of each key's rank, and how often it stays in its tier."""
     cuts = F.percentile("rank", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
@@ -97,9 +117,9 @@ def noise_stability(
     base = cut_lineage(base.withColumn("_n", size))
     rows = expanded(base, draws).withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
     growth = F.lit(1.0) if flags is None else 1.0 + 0.5 * F.col(flags)
-    noise = F.col("level") * growth * Z.normal(F.col("draw"), F.col("key"), seed)
+    noise = F.col("level") * growth * Z.normal(F.col("draw"), number_of(base, "key"), seed)
     rows = rows.select("key", "draw", "level", "base_rank", "_n", S.clamp(F.col("composite") + noise).alias("sim"))
-    ranked = cut_lineage(O.ranked(rows, ["level", "draw"], [F.col("sim").desc(), F.col("key").desc()], "place"))
+    ranked = cut_lineage(ranked_in_draws(rows, ["level", "draw"], "sim", F.col("key").desc(), "place"))
     # only clipped values can tie; they share the mean of their places
     ties = ranked.where(F.col("sim").isin(0.0, 1.0)).groupBy("level", "draw", "sim").agg(F.avg("place").alias("_mean"))
     ranked = O.attach(ranked, ties, ["level", "draw", "sim"], "left")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from compindex.functions import labels as B
 from compindex.functions import scaling as S
 from compindex.operators import compose as C
-from compindex.operators import latest as L
 from compindex.operators import order as O
 from compindex.operators import ranking as R
 from compindex.operators import scale as N
@@ -74,8 +73,9 @@ def divergence_table(units: DataFrame, ranked: DataFrame, universe_size: Column,
     """
     units = cut_lineage(units.where(F.col("risk").isNotNull()))
     profile = T.group_profile(units, ["group"], "risk")
-    worst = L.pick_first(units, ["group"], [F.col("risk"), -F.col("unit")], ["unit", "risk"])
-    worst = worst.select("group", F.col("unit").alias("worst_unit"), F.col("risk").alias("worst_risk"))
+    # the smallest unit id among the worst, whatever its type
+    first = F.min(F.struct((-F.col("risk")).alias("down"), "unit", "risk")).alias("_w")
+    worst = units.groupBy("group").agg(first).select("group", F.col("_w.unit").alias("worst_unit"), F.col("_w.risk").alias("worst_risk"))
     steps = cut_lineage(O.ladder(units, [], "risk"))
     ecdf = steps.select(F.col("risk").alias("worst_risk"), O.cume_share(F.col("below"), F.col("n"), F.col("total")).alias("corridor_pctile"))
     cut = O.quantiles(units, [], "risk", {"cut": share}).scalar()

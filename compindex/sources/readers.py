@@ -134,9 +134,21 @@ def scan_geojson_points(spark: SparkSession, path: str, properties: str, lines:
 
 
 def scan_polygons(spark: SparkSession, path: str, id_property: str, width: int = 6, lines: bool = True) -> DataFrame:
-    """Polygon features with a padded text id; features without an id are dropped."""
-    shapes = _features(spark, path, "array<array<array<double>>>", f"{id_property}: string", lines)
-    rings = F.transform("geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    """Polygon and multi-polygon features with a padded text id; features without an id are dropped.
+
+    All parts' rings stand side by side, which crossing parity reads as it does holes. A feature without geometry
+    has no rings; any other geometry type fails the job.
+    """
+    # the nesting depends on the type, so coordinates are read as text first
+    shapes = _features(spark, path, "string", f"{id_property}: string", lines)
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    ring = "array<array<double>>"
+    parts = (
+        F.when(kind == "Polygon", F.from_json(text, f"array<{ring}>"))
+        .when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<array<{ring}>>")))
+        .when(kind.isNotNull(), F.raise_error(F.concat(F.lit("not a polygon layer: "), kind)).cast(f"array<{ring}>"))
+    )
+    rings = F.transform(parts, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     raw = F.col(f"properties.{id_property}")
     return shapes.where(raw.isNotNull()).select(K.unit_id(raw, width).alias("id"), rings.alias("rings"))
 

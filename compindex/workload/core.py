@@ -342,13 +342,13 @@ def per_capita_scale(spark, sf):
     "relative_fallback_scale",
     """WITH v AS (SELECT l_suppkey AS key, sum(l_quantity) AS value FROM lineitem GROUP BY 1),
     q AS (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM v)
-    SELECT key, round(value, 4) AS value, round(least(1.0, greatest(0.0, (value - lo) / (hi - lo))), 8) AS score,
-      'relative:winsor_minmax' AS method FROM v, q""",
+    SELECT key, round(value, 4) AS value, round(1 - least(1.0, greatest(0.0, (value - lo) / (hi - lo))), 8) AS score,
+      'relative:winsor_minmax' AS method, 'no per-capita base: relative scale of raw counts' AS flag FROM v, q""",
 )
 def relative_fallback_scale(spark, sf):
     values = X.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.sum("l_quantity").alias("value"))
-    out = N.per_capita_or_relative(values, None, "key", {})
-    return out.select("key", F.round("value", 4).alias("value"), r8("score"), "method")
+    out = N.per_capita_or_relative(values, None, "key", {"direction": "low_risk"})
+    return out.select("key", F.round("value", 4).alias("value"), r8("score"), "method", "flag")
 
 
 @query(

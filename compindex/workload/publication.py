@@ -113,17 +113,20 @@ def scores_table(spark, sf):
 
 @query(
     "score_invariants",
-    X.sql("comp scored dom", """SELECT 'error' AS level, 'scored with a rank broken on purpose' AS rule, CAST(NULL AS VARCHAR) AS key WHERE FALSE
-      UNION ALL SELECT 'error', 'rank given twice', '1' FROM rk WHERE rank = 2 AND EXISTS (SELECT 1 FROM rk WHERE rank = 1)
+    X.sql("comp scored dom", """SELECT 'error' AS level, 'rank given twice' AS rule, min(CAST(key AS VARCHAR)) AS key FROM rk GROUP BY shown HAVING count(*) > 1
+      UNION ALL SELECT 'error', 'largest rank is not n', NULL FROM rk HAVING max(shown) <> count(*)
+      UNION ALL SELECT 'error', 'smallest rank is not 1', NULL FROM rk HAVING min(shown) <> 1
       UNION ALL SELECT 'warning', 'rank outside its band', CAST(key AS VARCHAR) FROM rk JOIN bands USING (key) WHERE NOT shown BETWEEN rank_p5 AND rank_p95""",
-      {**W._MC, "rk": "SELECT key, rank, CASE WHEN rank = 2 THEN 1 ELSE rank END AS shown FROM (SELECT key, row_number() OVER (ORDER BY round(round(composite, 9), 4) DESC, key) AS rank FROM scored)"}),
+      {**W._MC, "rk": "SELECT key, rank, CASE rank WHEN 1 THEN 2 WHEN n THEN n + 1 ELSE rank END AS shown FROM (SELECT key, row_number() OVER (ORDER BY round(round(composite, 9), 4) DESC, key) AS rank, (SELECT count(*) FROM scored) AS n FROM scored)"}),
 )
 def score_invariants(spark, sf):
-    """Rules over the published table, where rank 2 was given as rank 1 on purpose."""
-    out = cut_lineage(published(spark, sf).withColumn("rank", F.when(F.col("rank") == 2, 1).otherwise(F.col("rank"))))
+    """Rules over the published table, where the first rank was given as 2 and the last as n + 1 on purpose."""
+    table = cut_lineage(published(spark, sf))
+    last = table.agg(F.max("rank")).scalar()
+    moved = F.when(F.col("rank") == 1, 2).when(F.col("rank") == last, last + 1).otherwise(F.col("rank"))
+    out = cut_lineage(table.withColumn("rank", moved))
     meta = out.agg(F.count(F.lit(1)).alias("n_universe"), F.count_if("scored").alias("n_scored"))
-    broken = D.score_violations(out, meta)
-    return broken.withColumn("key", F.when(F.col("rule") == "rank given twice", "1").otherwise(F.col("key")))
+    return D.score_violations(out, meta)
 
 
 @query(

@@ -15,7 +15,8 @@ from compindex.workload import fixtures as X
 from compindex.workload.core import r8
 from compindex.workload.registry import query
 
-PERMS = 199
+# Fixed value: permutations of the published association tests.
+PERMS = 999
 SEED = 42
 
 
@@ -324,6 +325,18 @@ def nearest_neighbours(spark, sf):
     return G.nearest(points(spark, sf), "key", "lon", "lat", 8).select("i", "j", "place")
 
 
+@query(
+    "nearest_neighbours_named",
+    X.sql("pts", f"""SELECT a.c_name AS i, b.c_name AS j, place FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d2, jn) AS place FROM
+      (SELECT n.i, n.j, n.d2, c.c_name AS jn FROM near n JOIN customer c ON c.c_custkey = n.j)) JOIN customer a ON a.c_custkey = i JOIN customer b ON b.c_custkey = j WHERE place <= 8""",
+      {"near": "SELECT a.key AS i, b.key AS j, (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) AS d2 FROM pts a JOIN pts b ON a.key <> b.key"}),
+)
+def nearest_neighbours_named(spark, sf):
+    """The same with customer names as keys; equal distances go by name."""
+    names = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), "c_name")
+    return G.nearest(points(spark, sf).join(names, "key"), "c_name", "lon", "lat", 8).select("i", "j", "place")
+
+
 @query(
     "neighbour_moran",
     X.sql("pts", """SELECT k, n, round(n * s / (n * ss), 8) AS moran_i FROM (SELECT k.k, (SELECT count(*) FROM z) AS n, (SELECT sum(z * z) FROM z) AS ss,

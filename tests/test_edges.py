@@ -1,5 +1,6 @@
 """Hand-written edge cases: nulls, ties, floors, isolates, guards."""
 
+import json
 import math
 
 import numpy as np
@@ -21,6 +22,7 @@ from compindex.operators import scale as N
 from compindex.operators import scenario as P
 from compindex.operators import spatial as G
 from compindex.operators import stats as T
+from compindex.plans import publish as PB
 from compindex.sources import cache as U
 from compindex.sources import readers as RD
 from compindex.sources import writers as Y
@@ -425,3 +427,63 @@ def test_index_design_is_consistent(spark):
     got = {r.key: (r.composite, r["rank"]) for r in out.collect()}
     # x is attenuated to half of .5, which ties with y; input order decides
     assert got == {"x": (pytest.approx(0.25), 2), "y": (pytest.approx(0.25), 1), "z": (None, None)}
+
+
+# --- directions, codes, ranks, shapes and text keys ------------------------------------
+
+
+def test_relative_fallback_follows_the_direction(spark):
+    values = frame(spark, [("a", 1.0), ("b", 2.0), ("c", 3.0)], "key string, value double")
+    score = lambda spec: {r.key: round(r.score, 6) for r in N.per_capita_or_relative(values, None, "key", spec).collect()}
+    assert score({"direction": "low_risk"}) == {"a": 1.0, "b": 0.5, "c": 0.0}
+    assert score({"direction": "high_risk"}) == {"a": 0.0, "b": 0.5, "c": 1.0}
+
+
+def test_upper_case_codes_never_match_by_similarity(spark):
+    aliases = J.alias_table(frame(spark, [("Oman", 1), ("YEM", 2), ("Omam", 3)], "name string, key int"))
+    raw = frame(spark, [("OMA",), ("oma",), ("YEM",), ("yem",), (" ZZZ ",), ("Omann",)], "raw string")
+    got = {r.raw: r.key for r in J.resolve(raw, "raw", aliases).collect()}
+    assert got["OMA"] is None and got[" ZZZ "] is None
+    assert got["YEM"] == got["yem"] == 2 and got["oma"] in (1, 3) and got["Omann"] == 1
+
+
+def test_ranks_must_start_at_one(spark):
+    columns = "key string, rank int, scored boolean, rank_p5 int, rank_p50 int, rank_p95 int, tier_stability double, low_confidence boolean, domains_not_scored int"
+    table = lambda ranks: frame(spark, [(f"k{i}", r, True, 1, 1, 3, 0.5, False, 0) for i, r in enumerate(ranks)], columns)
+    meta = frame(spark, [(3, 3)], "n_universe int, n_scored int")
+    errors = lambda ranks: {r.rule for r in D.score_violations(table(ranks), meta).where("level = 'error'").collect()}
+    assert errors([1, 2, 3]) == set()
+    assert errors([0, 2, 3]) == {"smallest rank is not 1"}
+
+
+def test_multi_polygons_keep_all_parts(spark, tmp_path):
+    def feature(kind, coordinates, unit):
+        return json.dumps({"type": "Feature", "geometry": {"type": kind, "coordinates": coordinates}, "properties": {"u": unit}})
+
+    slanted = [[[0, 0], [4, 1], [5, 5], [1, 4], [0, 0]]]
+    second = [[[10, 10], [14, 10], [12, 14], [10, 10]]]
+    lines = [feature("MultiPolygon", [slanted, second], "1"), feature("Polygon", [[[20, 0], [24, 0], [24, 4], [20, 4], [20, 0]]], "2")]
+    (tmp_path / "shapes.json").write_text("\n".join(lines))
+    shapes = RD.scan_polygons(spark, str(tmp_path / "shapes.json"), "u", 2)
+    points = frame(spark, [("a", 2.0, 2.0), ("b", 12.0, 11.0), ("c", 22.0, 1.0), ("d", 4.9, 1.0), ("e", 7.0, 7.0)], "p string, lon double, lat double")
+    assert {(r.p, r.unit) for r in G.points_within(points, shapes).collect()} == {("a", "01"), ("b", "01"), ("c", "02")}
+    (tmp_path / "bad.json").write_text(feature("LineString", [[0, 0], [1, 1]], "3"))
+    with pytest.raises(Exception, match="not a polygon layer"):
+        RD.scan_polygons(spark, str(tmp_path / "bad.json"), "u", 2).collect()
+
+
+def test_text_units_in_the_divergence_table(spark):
+    units = frame(spark, [("g", "b", 0.9), ("g", "a", 0.9), ("g", "c", 0.1), ("h", "z", 0.4)], "group string, unit string, risk double")
+    ranked = frame(spark, [("g", 1), ("h", 2)], "group string, rank int")
+    got = {r.group: r.worst_unit for r in PB.divergence_table(units, ranked, F.lit(2)).collect()}
+    assert got == {"g": "a", "h": "z"}
+
+
+def test_large_summaries_are_joined_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(O, "BROADCAST_BYTES", 0)
+    big = frame(spark, [(1 if i % 3 else i, i) for i in range(300)], "k int, v int")
+    small = frame(spark, [(i, i * 10) for i in range(0, 300, 2)] + [(1, 10)], "k int, w int")
+    got = O.attach(big, small, ["k"], "left")
+    assert got.columns == ["k", "v", "w"]
+    want = {i * 1: i * 10 for i in range(0, 300, 2)} | {1: 10}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((k, i, want.get(k)) for i in range(300) for k in [1 if i % 3 else i]), key=str)
