@@ -252,12 +252,13 @@ def collinearity(signals: DataFrame, names: list[str], key: str = "key", name: s
     follows from the fixed signal list.
     """
     wide = signals.groupBy(key).agg(*[F.max(F.when(F.col(name) == s, F.col("value"))).alias(s) for s in names])
-    tests = []
-    for i, a in enumerate(names):
-        for b in names[i + 1:]:
-            tests.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")))
-    long = wide.select(F.inline(F.array(*tests)))
-    out = pearson(long, ["a", "b"], "x", "y")
+    # one nested loop over positions, so that the plan does not grow with the number of pairs
+    values, labels, last = F.array(*[F.col(n) for n in names]), F.array(*[F.lit(n) for n in names]), len(names) - 1
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.get("v", i).alias("x"), F.get("v", j).alias("y"))
+    loop = F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda i: F.transform(F.sequence(i + 1, F.lit(last)), lambda j: pair(i, j)))
+    long = wide.select(values.alias("v")).select(F.inline(F.flatten(loop)))
+    found = pearson(long, ["i", "j"], "x", "y")
+    out = found.withColumn("a", F.get(labels, F.col("i"))).withColumn("b", F.get(labels, F.col("j"))).drop("i", "j")
     size = F.abs(F.col("r"))
     label = F.when(size >= 0.85, "merge").when(size >= 0.6, "review").when(size.isNotNull(), "keep")
     return out.withColumn("screen", label)

@@ -12,18 +12,22 @@ from compindex.workload import fixtures as X
 from compindex.workload.registry import query
 
 
+_SLOTS = [f"h{i}" for i in range(X.SLOTS)]
+_TYPE_ROWS, _SLOT_ROWS = (f"(VALUES {', '.join(f'({v!r})' for v in names)})" for names in (X.TYPES, _SLOTS))
+
+
 @query(
     "scan_processed",
-    X.sql("sig uni", """SELECT t.tbl, t.col, CAST(u.key AS VARCHAR) AS key, round_even(s.value, 4) AS value FROM uni u CROSS JOIN (SELECT tbl, col FROM
-      (VALUES ('view'), ('error')) a(tbl), (VALUES ('h0'), ('h1'), ('h2')) b(col)) t LEFT JOIN sig s ON s.key = u.key AND s.tbl = t.tbl AND s.col = t.col
+    X.sql("sig uni", f"""SELECT t.tbl, t.col, CAST(u.key AS VARCHAR) AS key, round_even(s.value, 4) AS value FROM uni u CROSS JOIN (SELECT tbl, col FROM
+      {_TYPE_ROWS} a(tbl), {_SLOT_ROWS} b(col)) t LEFT JOIN sig s ON s.key = u.key AND s.tbl = t.tbl AND s.col = t.col
       UNION ALL SELECT 'view', 'source', CAST(key AS VARCHAR), NULL FROM uni"""),
 )
 def scan_processed(spark, sf):
     """Wide tables written one folder per table, a text column among them, scanned back as signals."""
     folder = scratch_path(spark, "processed")
     signals, keys = X.signals(spark, sf), X.universe(spark, sf)
-    for name in ("view", "error"):
-        wide = Y.wide_table(signals.where(F.col("tbl") == name), keys, ["h0", "h1", "h2"])
+    for name in X.TYPES:
+        wide = Y.wide_table(signals.where(F.col("tbl") == name), keys, _SLOTS)
         if name == "view":
             wide = wide.withColumn("source", F.lit("events"))
         Y.write_wide(wide, f"{folder}/{name}.csv", ["key"])
@@ -32,20 +36,26 @@ def scan_processed(spark, sf):
 
 @query(
     "write_wide",
-    X.sql("sig uni", """SELECT u.key, round_even(max(value) FILTER (WHERE col = 'h0'), 4) AS h0, round_even(max(value) FILTER (WHERE col = 'h1'), 4) AS h1
-      FROM uni u LEFT JOIN sig ON sig.key = u.key AND tbl = 'click' GROUP BY u.key"""),
+    X.sql("sig uni", f"""SELECT u.key, {", ".join(f"round_even(max(value) FILTER (WHERE tbl = '{t}' AND col = '{c}'), 4) AS {t}_{c}" for t in X.TYPES for c in _SLOTS)}
+      FROM uni u LEFT JOIN sig ON sig.key = u.key GROUP BY u.key"""),
 )
 def write_wide(spark, sf):
     path = scratch_path(spark, "wide")
-    wide = Y.wide_table(X.signals(spark, sf).where(F.col("tbl") == "click"), X.universe(spark, sf), ["h0", "h1"])
+    named = X.signals(spark, sf).withColumn("col", F.concat_ws("_", "tbl", "col"))
+    wide = Y.wide_table(named, X.universe(spark, sf), [f"{t}_{c}" for t in X.TYPES for c in _SLOTS])
     Y.write_wide(wide, path, ["key"], "parquet")
     return spark.read.parquet(path)
 
 
-def _cache(spark, sf):
-    """Observation cache partitioned by series, from the first twenty days of events."""
+# Features per collection, on average.
+COLLECTION_ROWS = 500
+
+
+def _cache(spark, sf, first_days=None):
+    """Observation cache partitioned by series, from all events or those of the first days."""
     path = scratch_path(spark, "cache")
-    rows = X.observations(spark, sf).where(F.col("year") < 20)
+    rows = X.observations(spark, sf)
+    rows = rows if first_days is None else rows.where(F.col("year") < first_days)
     names = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
     old = rows.join(names, "key", "left").groupBy("key", "name", "year", "series").agg(F.max("value").alias("value"))
     U.write_cache(old, path)
@@ -56,7 +66,10 @@ _OLD = ("SELECT o.key, c.c_name AS name, o.year, o.series, max(value) AS value F
         "WHERE year < 20 GROUP BY ALL")
 
 
-@query("scan_observations", X.sql("obs", "SELECT * FROM old WHERE series IN ('view', 'click')", {"old": _OLD}))
+_ALL = _OLD.replace("WHERE year < 20 ", "")
+
+
+@query("scan_observations", X.sql("obs", "SELECT * FROM old WHERE series IN ('view', 'click')", {"old": _ALL}))
 def scan_observations(spark, sf):
     return S.scan_observations(spark, _cache(spark, sf), ["view", "click"]).select("key", "name", "year", "series", "value")
 
@@ -67,7 +80,7 @@ _NEW = ("SELECT key, year, series, CASE WHEN series <> 'error' THEN value END AS
 
 def _upserted(spark, sf):
     """New rows for two series, without names; those of one series are all null and are refused."""
-    path = _cache(spark, sf)
+    path = _cache(spark, sf, 20)
     rows = X.observations(spark, sf).where((F.col("year") >= 10) & F.col("series").isin("view", "error"))
     new = rows.groupBy("key", "year", "series").agg(F.max("value").alias("value"))
     new = new.withColumn("value", F.when(F.col("series") != "error", F.col("value")))
@@ -122,13 +135,13 @@ def _panel(spark, sf):
     path = scratch_path(spark, "panel")
     rows = X.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.year("l_shipdate").alias("y"), "l_quantity")
     wide = rows.groupBy("code").agg(
-        *[F.sum(F.when((F.col("y") == y) & (F.col("l_quantity") > 45), F.col("l_quantity"))).alias(str(y)) for y in range(1995, 2000)]
+        *[F.sum(F.when(F.col("y") == y, F.col("l_quantity"))).alias(str(y)) for y in range(1995, 2000)]
     )
     Y.write_wide(wide.withColumn("label", F.lit("text")), path, ["code"])
     return path
 
 
-_PANEL_SQL = "SELECT l_suppkey AS code, extract(year FROM l_shipdate) AS y, sum(CASE WHEN l_quantity > 45 THEN l_quantity END) AS v FROM lineitem GROUP BY 1, 2"
+_PANEL_SQL = "SELECT l_suppkey AS code, extract(year FROM l_shipdate) AS y, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
 
 
 @query("scan_year_panel", f"SELECT CAST(code AS VARCHAR) AS key, v AS value FROM ({_PANEL_SQL}) WHERE y = 1997 AND v IS NOT NULL")
@@ -189,7 +202,9 @@ def scan_geojson_points(spark, sf):
     lines = scratch_path(spark, "points")
     Y.write_lines(_point_lines(spark, sf), lines)
     whole = scratch_path(spark, "collections")
-    parts = spark.read.text(lines).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(16)))
+    rows = spark.read.text(lines)
+    # a collection is one document, so their number grows with the points
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(rows.count() // COLLECTION_ROWS + 1)))
     body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}"))
     parts.groupBy("part").agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(whole)
     a = S.scan_geojson_points(spark, lines, "key: bigint, name: string", lines=True).withColumn("layout", F.lit("lines"))

@@ -173,7 +173,7 @@ def register_changes(spark, sf):
 
 def _vintage_register(spark, sf):
     """One register row per supplier: years and counts from its line items, gap rows for some."""
-    sums = X.table(spark, sf, "lineitem").where(F.col("l_quantity") > 40).groupBy(F.col("l_suppkey").alias("key")).agg(
+    sums = X.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(
         F.max(F.year("l_shipdate")).alias("year_max"), F.count_distinct("l_orderkey").alias("n")
     )
     rows = X.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("connector")).join(sums, "key", "left")
@@ -181,12 +181,12 @@ def _vintage_register(spark, sf):
     return rows.select(
         "key", "connector", F.when(~gap, F.col("year_max").cast("string")).alias("year_max"),
         F.when(gap, "n/a").otherwise(F.col("n").cast("string")).alias("countries"),
-        F.when(F.col("n") < 100, "BELOW-COVERAGE-FLOOR (x)").otherwise("").alias("flags"),
+        F.when(F.col("n") % 3 == 0, "BELOW-COVERAGE-FLOOR (x)").otherwise("").alias("flags"),
     )
 
 
-_VINTAGE = """SELECT s_suppkey AS key, s_nationkey AS connector, CASE WHEN s_suppkey % 9 <> 4 THEN 2026 - y END AS staleness, coalesce(n < 100, FALSE) AS below_floor, s_suppkey % 9 = 4 OR y IS NULL AS gap_row
-  FROM supplier LEFT JOIN (SELECT l_suppkey, max(extract(year FROM l_shipdate)) AS y, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON l_suppkey = s_suppkey"""
+_VINTAGE = """SELECT s_suppkey AS key, s_nationkey AS connector, CASE WHEN s_suppkey % 9 <> 4 THEN 2026 - y END AS staleness, coalesce(n % 3 = 0, FALSE) AS below_floor, s_suppkey % 9 = 4 OR y IS NULL AS gap_row
+  FROM supplier LEFT JOIN (SELECT l_suppkey, max(extract(year FROM l_shipdate)) AS y, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey"""
 
 
 @query("vintage_report", _VINTAGE)
@@ -206,11 +206,11 @@ def vintage_rollup(spark, sf):
 
 @query(
     "alternate_coverage",
-    X.sql("obs uni", "SELECT series, count(DISTINCT key) AS n_keys FROM obs WHERE key IN (SELECT key FROM uni) AND value > 100 GROUP BY 1 UNION ALL SELECT 'refund', NULL UNION ALL SELECT 'chargeback', NULL"),
+    X.sql("obs uni", "SELECT series, count(DISTINCT key) AS n_keys FROM obs WHERE key IN (SELECT key FROM uni) GROUP BY 1 UNION ALL SELECT 'refund', NULL UNION ALL SELECT 'chargeback', NULL"),
 )
 def alternate_coverage(spark, sf):
     notes = config_table(spark, [("refund",), ("chargeback",)], "series string")
-    return D.alternate_coverage(X.observations(spark, sf).where(F.col("value") > 100), X.universe(spark, sf), notes)
+    return D.alternate_coverage(X.observations(spark, sf), X.universe(spark, sf), notes)
 
 
 @query(

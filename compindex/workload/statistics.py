@@ -177,10 +177,10 @@ def bh_fdr(spark, sf):
     X.sql("sig", """SELECT a, b, n, round(r, 8) AS r, CASE WHEN abs(r) >= 0.85 THEN 'merge' WHEN abs(r) >= 0.6 THEN 'review'
       WHEN r IS NOT NULL THEN 'keep' END AS screen FROM (SELECT x.s AS a, y.s AS b, count(*) AS n,
         CASE WHEN count(*) >= 10 THEN corr(x.value, y.value) END AS r FROM t x JOIN t y ON x.key = y.key AND x.s < y.s GROUP BY 1, 2)""",
-        {"t": "SELECT key, tbl || '_' || col AS s, value FROM sig WHERE tbl IN ('view', 'error')"}),
+        {"t": "SELECT key, tbl || '_' || col AS s, value FROM sig"}),
 )
 def collinearity(spark, sf):
-    names = sorted(f"{t}_h{i}" for t in ("view", "error") for i in range(X.SLOTS))
+    names = sorted(f"{t}_h{i}" for t in X.TYPES for i in range(X.SLOTS))
     rows = X.signals(spark, sf).select("key", F.concat_ws("_", "tbl", "col").alias("series"), "value")
     return T.collinearity(rows, names).select("a", "b", "n", r8("r"), "screen")
 
