@@ -9,6 +9,8 @@ from compindex.session import cut_lineage
 
 # Fixed value: a word is a run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+# The smallest long stands for a null id inside pandas.
+NO_ID = -(1 << 63)
 # A key with more than one in HOT_SHARE of all rows counts as hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 500
 
@@ -22,6 +24,16 @@ def text_bytes(column: str = "text") -> Column:
     return F.col(column).cast("binary")
 
 
+def carried_id() -> Column:
+    """doc_id on its way through pandas, where a null would turn a whole batch of ids into floats."""
+    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id")
+
+
+def returned(df: DataFrame) -> DataFrame:
+    """``df`` with null ids back in place."""
+    return df.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+
+
 def word_count(column: str = "text") -> Column:
     """Number of words of the whole text, null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -34,19 +46,20 @@ def is_held_out() -> Column:
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that hold more than one in ``HOT_SHARE`` rows of ``df``: fewer than ``HOT_SHARE`` rows by arithmetic."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = df.count()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    over = counts.join(F.broadcast(total), F.col("_rows") * HOT_SHARE > F.col("_total"), "left_semi")
-    return cut_lineage(over.select(*keys))
+    return cut_lineage(counts.where(F.col("_rows") * HOT_SHARE > total).select(*keys))
 
 
 def lookup(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``df`` joined with ``facts`` (one row per key, short fixed-width columns) without a hot task.
 
     Rows of hot keys meet their few facts by broadcast where they are, all others by shuffle. ``df`` is read
-    three times, so it should be materialised. Null keys match nothing; ``how`` is inner or left.
+    several times, so it should be materialised. Null keys match nothing; ``how`` is inner or left.
     """
     hot = hot_keys(df, keys)
+    if hot.isEmpty():
+        return df.join(facts, keys, how)
     few = facts.join(F.broadcast(hot), keys, "left_semi")
     spread = df.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
     rest = df.join(F.broadcast(hot), keys, "left_anti").join(facts, keys, how)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from compindex.llm.common import lookup, text_bytes
+from compindex.llm.common import carried_id, lookup, returned, text_bytes
 from compindex.llm.graph import components
 from compindex.session import cut_lineage
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             values = np.fromiter((fingerprint(t) for t in batch["data"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64)})
 
-    return docs.select("doc_id", text_bytes().alias("data")).mapInPandas(hashed, "doc_id long, fp long")
+    return returned(docs.select(carried_id(), text_bytes().alias("data")).mapInPandas(hashed, "doc_id long, fp long"))
 
 
 def _joint_counts(prints: DataFrame) -> tuple[int, np.ndarray]:

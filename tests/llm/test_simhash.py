@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from compindex.llm import graph, simhash
@@ -24,7 +25,9 @@ def near(values, ids):
     return [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if bin(values[i] ^ values[j]).count("1") <= 2]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [100_000, 20])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH_ROWS", finish)
     random.seed(3)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(random.randrange(200, 400), random.randrange(200, 400)) for _ in range(120)]
     nodes = {n for p in pairs for n in p}
