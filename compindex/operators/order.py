@@ -16,6 +16,8 @@ from compindex.session import cut_lineage
 BROADCAST_BYTES = 8 << 20
 # Beyond it, rows of one key spread over this many join keys.
 SALTS = 32
+# A value held by more than one in HOT_SHARE rows of its group, and by more rows than one task easily takes, is hot.
+HOT_SHARE, HOT_ROWS = 500, 10_000
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -133,12 +135,26 @@ def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, fl
 def with_standing(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Rows with the ladder columns of their value; rows without a value get nulls.
 
-    The input is used twice, so it is materialised first.
+    The input is used several times, so it is materialised first.
     """
     df = cut_lineage(df)
-    steps = ladder(df, groups, value)
-    keys = [*groups, value]
-    return df.join(steps, keys, "left").select(*df.columns, "n", "below", "total")
+    return by_value(df, ladder(df, groups, value), groups, value).select(*df.columns, "n", "below", "total")
+
+
+def by_value(df: DataFrame, steps: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Rows beside the ladder row of their value, null where the value is; a value that many rows share is split.
+
+    ``steps`` carries n and total. Values with more than one in ``HOT_SHARE`` rows of their group are fewer than that
+    per group; their rows meet them by broadcast where they are. Null values take no part in the join.
+    """
+    steps, keys = cut_lineage(steps), [*groups, value]
+    known, absent = df.where(F.col(value).isNotNull()), df.where(F.col(value).isNull())
+    hot = steps.where(F.col("n") * HOT_SHARE > F.col("total") + HOT_ROWS * HOT_SHARE)
+    if hot.isEmpty():
+        return df.join(steps, keys, "left") if absent.isEmpty() else known.join(steps, keys, "left").unionByName(absent, True)
+    spread = known.join(F.broadcast(hot), keys)
+    rest = known.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(steps, keys, "left")
+    return spread.unionByName(rest).unionByName(absent, True)
 
 
 def average_rank(below: Column, n: Column) -> Column:

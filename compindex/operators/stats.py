@@ -57,8 +57,7 @@ def rank_agreement(df: DataFrame, groups: list[str], x: str, y: str, key: str, l
     grow by log2(n); no group exceeds a block or the number of blocks.
     """
     pairs = cut_lineage(_paired(df, x, y).select(*groups, key, x, y))
-    ranks = O.ladder(pairs, groups, y).select(*groups, y, F.col("below").alias("_y"), F.col("total").alias("_n"))
-    coded = pairs.join(ranks, [*groups, y])
+    coded = O.with_standing(pairs, groups, y).withColumnRenamed("below", "_y").withColumnRenamed("total", "_n").drop("n")
     placed = O.ranked(coded, groups, [F.col(x), F.col(y), F.col(key)], "_at")
     levels = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n").cast("double"))).cast("int")))
     bits = placed.select(*groups, "_at", "_y", "_n", F.explode(levels).alias("_level"))
@@ -191,8 +190,8 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", name: str
     df = cut_lineage(df)
     steps = O.ladder(df, family, p).withColumn("_raw", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
     running = O.prefix(steps, family, [F.col(p).desc()], mins={name: "_raw"})
-    capped = running.select(*family, p, F.least(F.lit(1.0), F.col(name)).alias(name))
-    return df.join(capped, [*family, p], "left")
+    capped = running.select(*family, p, "n", "total", F.least(F.lit(1.0), F.col(name)).alias(name))
+    return O.by_value(df, capped, family, p).drop("n", "total")
 
 
 def correlation_p(df: DataFrame, rho: str, neff: str, name: str = "p") -> DataFrame:

@@ -487,3 +487,25 @@ def test_large_summaries_are_joined_by_salt(spark, monkeypatch):
     assert got.columns == ["k", "v", "w"]
     want = {i * 1: i * 10 for i in range(0, 300, 2)} | {1: 10}
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((k, i, want.get(k)) for i in range(300) for k in [1 if i % 3 else i]), key=str)
+
+
+def test_a_value_that_a_third_of_the_rows_share_is_split(spark, monkeypatch):
+    monkeypatch.setattr(O, "HOT_ROWS", 0)
+    data = [("g", i, 1.0 if i % 3 == 0 else float(i)) for i in range(300)] + [("g", 900, None), ("h", 1, 1.0), ("h", 2, None)]
+    df = frame(spark, data, "grp string, i int, v double")
+    standing = {(r.grp, r.i): (r.n, r.below, r.total) for r in O.with_standing(df, ["grp"], "v").collect()}
+    for grp in "gh":
+        own = [v for g, _, v in data if g == grp and v is not None]
+        for g, i, v in data:
+            if g == grp:
+                want = (None, None, None) if v is None else (own.count(v), sum(o < v for o in own), len(own))
+                assert standing[g, i] == want
+    ps = frame(spark, [("f", i, 0.5 if i % 3 == 0 else (i + 1) / 400) for i in range(300)] + [("f", 999, None)], "fam string, i int, p double")
+    got = {r.i: r.q for r in T.benjamini_hochberg(ps, ["fam"]).collect()}
+    ordered = sorted((r.p, r.i) for r in ps.collect() if r.p is not None)
+    low = 1.0
+    for rank in range(len(ordered), 0, -1):
+        p, i = ordered[rank - 1]
+        low = min(low, p * len(ordered) / rank)
+        assert abs(got[i] - low) < 1e-12
+    assert got[999] is None
