@@ -1,9 +1,9 @@
 """Byte-pair encoding with a segment tree over the ranks of adjacent pairs, and decoding.
 
 A piece of text starts as one symbol per byte, the last one carrying the end-of-word mark. The leaves of the
-tree are the merge ranks of neighbouring symbols and each inner node holds the smallest rank below it, so the
-root knows the next merge and the way down, left on ties, finds it. A merge changes three leaves, each in
-logarithmic time, until the root holds no rank.
+tree are the merge ranks of neighbouring symbols, each above its place, and an inner node holds the smallest leaf
+below it, so the root names the leftmost merge of lowest rank. A merge changes three leaves, each in logarithmic
+time, until the root holds none.
 
 The vocabulary file is read by the driver and broadcast (a few MB, whatever the corpus). Special tokens
 in a text become their ids, as in the library. Null counts as empty: no ids, empty decoded text.
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 BLANK = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+"
 END = "</w>"
-NO_RANK = 1 << 60
-# Pieces remembered per worker: bounds its memory, not the result.
-REMEMBERED = 100_000
+ID_BITS = 20
+# Pieces remembered per worker, twice: bounds its memory, not the result.
+REMEMBERED = 250_000
+# Characters or ids that are worked on at once.
+PIECE = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -37,33 +39,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class RankTree:
-    """Smallest rank of adjacent pairs, with point updates."""
+def build_tree(leaves: list[int], nothing: int) -> tuple[list[int], int]:
+    """Segment tree of minima as a flat list (root at 1), and the place of the first leaf."""
+    width = 1 << (len(leaves) - 1).bit_length() if leaves else 1
+    low = [nothing] * width + leaves + [nothing] * (width - len(leaves))
+    for k in range(width - 1, 0, -1):
+        left, right = low[2 * k], low[2 * k + 1]
+        low[k] = left if left < right else right
+    return low, width
 
-    def __init__(self, ranks: list[int]) -> None:
-        self.width = 1 << max(0, len(ranks) - 1).bit_length()
-        self.low = [NO_RANK] * self.width + ranks + [NO_RANK] * (self.width - len(ranks))
-        for k in range(self.width - 1, 0, -1):
-            self.low[k] = min(self.low[2 * k], self.low[2 * k + 1])
 
-    def put(self, place: int, rank: int) -> None:
-        low, k = self.low, self.width + place
-        low[k] = rank
-        while k > 1:
-            k >>= 1
-            best = min(low[2 * k], low[2 * k + 1])
-            if low[k] == best:
-                return
-            low[k] = best
-
-    def leftmost_lowest(self) -> int:
-        """Place of the leftmost lowest rank, or -1."""
-        low, k = self.low, 1
-        if low[1] == NO_RANK:
-            return -1
-        while k < self.width:
-            k = 2 * k + (low[2 * k] > low[2 * k + 1])
-        return k - self.width
+def put(low: list[int], k: int, leaf: int) -> None:
+    """Point update: the path to the root, as far as its minima change."""
+    if low[k] == leaf:
+        return
+    low[k] = leaf
+    k >>= 1
+    while k:
+        left, right = low[2 * k], low[2 * k + 1]
+        best = left if left < right else right
+        if low[k] == best:
+            return
+        low[k] = best
+        k >>= 1
 
 
 class Vocabulary:
@@ -75,52 +73,71 @@ class Vocabulary:
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.specials).items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {self.ids[a] << ID_BITS | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
         letters = byte_letters()
         self.inner = [self.ids[c] for c in letters]
         self.final = [self.ids[c + END] for c in letters]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.pieces = regex.compile(PIECES)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece."""
-        raw = piece.encode()
-        symbols = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
-        n, merges, none = len(symbols), self.merges, (NO_RANK, -1)
+        """Ids of one piece. A leaf holds a pair's rank above its place, so the root names the next merge in full."""
+        raw, rank_of, made = piece.encode(), self.ranks.get, self.made
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.final[raw[-1]]
+        n = len(symbols)
+        shift = n.bit_length()
+        places, nothing, leaves, first = (1 << shift) - 1, len(made) << shift, [], symbols[0]
+        for i in range(1, n):
+            second = symbols[i]
+            rank = rank_of(first << ID_BITS | second)
+            leaves.append(nothing if rank is None else rank << shift | i - 1)
+            first = second
+        low, width = build_tree(leaves, nothing)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tree = RankTree([merges.get(p, none)[0] for p in zip(symbols, symbols[1:])])
-        while (at := tree.leftmost_lowest()) >= 0:
+        while (top := low[1]) < nothing:
+            at = top & places
             gone = after[at]
-            symbols[at] = merges[symbols[at], symbols[gone]][1]
+            symbols[at] = new = made[top >> shift]
             symbols[gone] = -1
             after[at] = then = after[gone]
-            if gone < n - 1:
-                tree.put(gone, NO_RANK)
+            rank = None
             if then < n:
+                put(low, width + gone, nothing)
                 before[then] = at
-                tree.put(at, merges.get((symbols[at], symbols[then]), none)[0])
-            else:
-                tree.put(at, NO_RANK)
-            if at and (left := before[at]) >= 0:
-                tree.put(left, merges.get((symbols[left], symbols[at]), none)[0])
-        return tuple(s for s in symbols if s >= 0)
+                rank = rank_of(new << ID_BITS | symbols[then])
+            put(low, width + at, nothing if rank is None else rank << shift | at)
+            left = before[at]
+            if left >= 0:
+                rank = rank_of(symbols[left] << ID_BITS | new)
+                put(low, width + left, nothing if rank is None else rank << shift | left)
+        return tuple([s for s in symbols if s >= 0])
+
+    def _met(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece that is not among the recent ones; the older half is kept until the next turn."""
+        ids = self.older.get(piece) or self.merged(piece)
+        if len(piece) <= 100:
+            if len(self.recent) >= REMEMBERED:
+                self.older, self.recent = self.recent, {}
+            self.recent[piece] = ids
+        return ids
 
     def _plain(self, text: str, out: list[int]) -> None:
         text = unicodedata.normalize("NFC", text)
         # letter by letter: the whole-text rule for a final sigma does not apply
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        known = self.known
-        for match in self.pieces.finditer(text):
-            piece = match[0]
-            ids = known.get(piece)
+        cut, extend = self.pieces.findall, out.extend
+        # no piece crosses a space or a line feed; most tokens are one piece, met before
+        for token in text.replace("\n", " ").split(" "):
+            ids = self.recent.get(token)
             if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self.merged(piece)
-                if len(piece) <= 100:
-                    known[piece] = ids
-            out.extend(ids)
+                for piece in cut(token):
+                    extend(self.recent.get(piece) or self._met(piece))
+            else:
+                extend(ids)
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
@@ -163,33 +180,45 @@ def load(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
+def _in_pieces(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """Batches cut so that what is made of one piece stays small: up to ``PIECE`` units, or one row."""
+    for batch in batches:
+        ends = batch[column].map(lambda v: 0 if v is None else len(v)).cumsum() // PIECE
+        for _, piece in batch.groupby(ends.to_numpy(), sort=False):
+            yield piece
+
+
 def encode(docs: DataFrame, shared) -> DataFrame:
     """(doc_id, ids) of every row of ``docs`` (doc_id, text)."""
+    return round_trip(docs, shared).select("doc_id", "ids")
+
+
+def decode(encoded: DataFrame, shared) -> DataFrame:
+    """(doc_id, decoded): the text of the column ``ids``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _vocabulary(shared)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.array(words.encode(t), np.int32) for t in batch["text"]]})
+        for piece in _in_pieces(batches, "ids"):
+            yield pd.DataFrame({"doc_id": piece["doc_id"], "decoded": [words.decode(ids) for ids in piece["ids"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded string")
 
 
-def decode(encoded: DataFrame, shared) -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its column ``ids``."""
+def round_trip(docs: DataFrame, shared) -> DataFrame:
+    """(doc_id, ids, decoded) of every row of ``docs`` (doc_id, text): the ids, and the text decoded from them."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _vocabulary(shared)
-        for batch in batches:
-            yield pd.Series([words.decode(ids) for ids in batch], dtype=object)
+        for piece in _in_pieces(batches, "text"):
+            ids = [np.array(words.encode(t), np.int32) for t in piece["text"]]
+            yield pd.DataFrame({"doc_id": piece["doc_id"], "ids": ids, "decoded": [words.decode(i.tolist()) for i in ids]})
 
-    return encoded.withColumn("decoded", F.pandas_udf(run, "string")("ids"))
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    shared = load(docs, path)
-    both = decode(encode(docs, shared), shared)
-    return both.select(
+    return round_trip(docs, load(docs, path)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
