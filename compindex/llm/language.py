@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compindex.llm.common import is_held_out
+from compindex.llm.common import carried_id, is_held_out, returned
 from compindex.session import cut_lineage
 
 LEARN_ROWS = 20_000
@@ -135,7 +135,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             found = [m.predict(t, met) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return returned(docs.select(carried_id(), "text").mapInPandas(run, "doc_id long, lang_pred string, score double"))
 
 
 def languages(docs: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:

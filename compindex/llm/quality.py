@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from compindex.llm.common import text_bytes
+from compindex.llm.common import carried_id, returned, text_bytes
 from compindex.session import cut_lineage
 
 # The characters that count as symbols, and what separates words.
@@ -82,7 +82,8 @@ def measured(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", text_bytes().alias("data")).mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    found = docs.select(carried_id(), text_bytes().alias("data")).mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return returned(found)
 
 
 def vote(bad: Column, good: Column) -> Column:
