@@ -3,7 +3,7 @@
 Features are single words, neighbouring pairs and pairs with one word between, hashed to ``DIMENSIONS`` slots;
 a feature counts once per text. FTRL keeps a rate per slot and its L1 term leaves most weights at exactly zero,
 so the model is a short list. Slots met in fewer than ``INCLUDE`` texts of the sample do not enter it. It learns in order of a hash of doc_id from at most ``LEARN_ROWS`` labelled rows
-(an online learner is sequential; one task streams over the bounded sample once per pass). Scoring covers all
+(an online learner is sequential: one task holds the slots of the bounded sample and goes over them in passes). Scoring covers all
 rows. Null and empty texts have no features and score as the bias does. Without labels the score is the prior.
 """
 
@@ -86,33 +86,27 @@ def train(chosen: DataFrame, passes: int = PASSES) -> Model:
     base = log((seen["pos"] + 1) / (seen["n"] - seen["pos"] + 19))
     if not seen["n"]:
         return Model(base, 0.0, np.zeros(0, int), np.zeros(0))
-    context = chosen.sparkSession.sparkContext
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met = np.zeros(DIMENSIONS, np.int32)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, met = [], np.zeros(DIMENSIONS, np.int32)
         for batch in batches:
-            for slots in batch["slots"]:
+            for label, slots in zip(batch["label"], batch["slots"]):
+                texts.append((label, slots))
                 met[slots] += 1
-        yield pd.DataFrame({"included": [np.packbits(met >= INCLUDE).tobytes()]})
-
-    # one row of fixed size here and in each pass
-    included = context.broadcast(bytes(rows.mapInPandas(count, "included binary").collect()[0]["included"]))
-    state = np.zeros((2, DIMENSIONS + 1))
-    for _ in range(passes):
-        before = context.broadcast(state)
-
-        def run(batches: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
-            z, n = before.value.copy()
-            open_slots = np.unpackbits(np.frombuffer(included.value, np.uint8)).astype(bool)
-            for batch in batches:
-                for label, slots in zip(batch["label"], batch["slots"]):
-                    learn(z, n, slots[open_slots[slots]], label, base)
-            yield pd.DataFrame({"state": [np.stack([z, n]).tobytes()]})
-
-        state = np.frombuffer(bytes(rows.mapInPandas(run, "state binary").collect()[0]["state"])).reshape(2, -1)
-    weights = _weights(*state)
-    slots = np.flatnonzero(weights[:-1])
-    return Model(base, float(weights[-1]), slots, weights[slots])
+        included = met >= INCLUDE
+        texts = [(label, slots[included[slots]]) for label, slots in texts]
+        z, n = np.zeros((2, DIMENSIONS + 1))
+        for _ in range(passes):
+            for label, slots in texts:
+                learn(z, n, slots, label, base)
+        weights = _weights(z, n)
+        used = np.append(np.flatnonzero(weights[:-1]), DIMENSIONS)
+        yield pd.DataFrame({"slot": used, "weight": weights[used]})
+
+    # one row per weight that is not zero: L1 leaves few, and there are no more than slots
+    found = rows.mapInPandas(run, "slot int, weight double").orderBy("slot").collect()
+    slots, weights = np.array([r["slot"] for r in found], int), np.array([r["weight"] for r in found])
+    return Model(base, float(weights[-1]), slots[:-1], weights[:-1])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
