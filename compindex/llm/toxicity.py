@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compindex.llm.common import is_held_out
+from compindex.llm.common import carried_id, is_held_out, returned
 from compindex.session import cut_lineage
 
 DIMENSIONS = 1 << 20
@@ -124,7 +124,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(1 / (1 + np.exp(-np.clip(m.base + m.bias + dense[hit].sum(), -35, 35))))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.array(scores, float)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return returned(docs.select(carried_id(), "text").mapInPandas(run, "doc_id long, score double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
