@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from compindex.llm.common import carried_id, returned
+
 # Fixed values of the vocabulary's text rules: white space, and the pieces that the merges work on.
 BLANK = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+"
@@ -201,7 +203,7 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
         for piece in _in_pieces(batches, "ids"):
             yield pd.DataFrame({"doc_id": piece["doc_id"], "decoded": [words.decode(ids) for ids in piece["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded string")
+    return returned(encoded.select(carried_id(), "ids").mapInPandas(run, "doc_id long, decoded string"))
 
 
 def round_trip(docs: DataFrame, shared) -> DataFrame:
@@ -213,7 +215,7 @@ def round_trip(docs: DataFrame, shared) -> DataFrame:
             ids = [np.array(words.encode(t), np.int32) for t in piece["text"]]
             yield pd.DataFrame({"doc_id": piece["doc_id"], "ids": ids, "decoded": [words.decode(i.tolist()) for i in ids]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return returned(docs.select(carried_id(), "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
