@@ -20,6 +20,7 @@ from compindex.session import cut_lineage
 
 # What a candidate is made of, and names that hold credentials or stand for nothing.
 CANDIDATE = r"[A-Za-z0-9_+/.@:-]{12,}"
+BLANKS = r"[\x20\x09-\x0D]+"
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|pwd|credential|api_?key|access_?key|private_?key|auth|bearer)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|your|xxxx|changeme)"
 LEARN_ROWS = 20_000
@@ -32,11 +33,14 @@ FEATURES = (
 )
 
 
+def _long(word: Column) -> Column:
+    return (F.char_length(word) >= 12) & word.rlike(CANDIDATE) & word.rlike("[0-9]")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_no, value, left2, left1, word, right1) for every candidate."""
-    words = docs.where("text IS NOT NULL").select("doc_id", F.split("text", r"[\x20\x09-\x0D]+").alias("words"))
-    long_one = lambda w: (F.char_length(w) >= 12) & w.rlike(CANDIDATE) & w.rlike("[0-9]")
-    places = F.filter(F.transform("words", lambda w, i: F.when(long_one(w), i)), lambda i: i.isNotNull())
+    words = docs.where("text IS NOT NULL").select("doc_id", F.split("text", BLANKS).alias("words"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(_long(w), i)), lambda i: i.isNotNull())
     near = lambda d: F.coalesce(F.get("words", F.col("word_no") + d), F.lit(""))
     found = words.select("doc_id", "words", F.explode(places).alias("word_no")).select(
         "doc_id", "word_no", near(F.lit(-2)).alias("left2"), near(F.lit(-1)).alias("left1"), near(F.lit(0)).alias("word"), near(F.lit(1)).alias("right1"),
@@ -46,9 +50,13 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """(part): words of four letters or more in at least ``DICTIONARY_DOCS`` texts, over all documents."""
-    parts = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
-    words = docs.select(F.explode(F.filter(parts, lambda p: F.char_length(p) >= 4)).alias("part"))
+    """(part): words of four letters or more in at least ``DICTIONARY_DOCS`` distinct texts, over all documents.
+
+    Words that hold candidates do not count: a key must not vouch for itself.
+    """
+    plain = F.array_join(F.filter(F.split("text", BLANKS), lambda w: ~_long(w)), " ")
+    parts = F.array_distinct(F.split(F.lower(plain), "[^a-z]+"))
+    words = docs.select("text").distinct().select(F.explode(F.filter(parts, lambda p: F.char_length(p) >= 4)).alias("part"))
     return words.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DICTIONARY_DOCS).select("part")
 
 
