@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are long runs of key-like characters with a digit. The forest sees a candidate's length, its changes
+Candidates are long runs of key-like characters with a digit, and whatever word is assigned to or follows a credential
+name, of any length and characters. The forest sees a candidate's length, its changes
 between letters, digits and cases, how much of it the corpus's own words cover, whether it looks like a path, address or
 number, and the words beside it. It learns from labelled findings: by default those that plain signs settle (a random-looking
 value assigned to a credential name; an address, number or name that words cover), at most ``LEARN_ROWS`` in hash order.
@@ -22,6 +23,13 @@ from compindex.session import cut_lineage
 CANDIDATE = r"[A-Za-z0-9_+/.@:-]{12,}"
 BLANKS = r"[\x20\x09-\x0D]+"
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|pwd|credential|api_?key|access_?key|private_?key|auth|bearer)"
+# A name that ends its word, and one with its value in the same word.
+NAME = r"(?i)(?:token|secret|passw(?:or)?d|pwd|credential|api_?key|access_?key|private_?key|auth(?!or)|bearer)[A-Za-z0-9_-]*"
+NAMED = NAME + r"[\"'`\])]*(?::=|=>|=|:)?$"
+INLINE = NAME + r"[\"'`\])]*(?::=|=>|=|:)([^\x20]+)$"
+SIGN = r"^(?::=|=>|=|:)$"
+# What encloses a value or ends its sentence, but is no part of it.
+EDGES = "\"'`,;()[]{}<>"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|your|xxxx|changeme)"
 LEARN_ROWS = 20_000
 DICTIONARY_DOCS = 3
@@ -37,16 +45,33 @@ def _long(word: Column) -> Column:
     return (F.char_length(word) >= 12) & word.rlike(CANDIDATE) & word.rlike("[0-9]")
 
 
+def _given(word: Column, left1: Column, left2: Column) -> Column:
+    """The value that a credential name gives this word, without quotes; empty if there is none."""
+    inline = F.regexp_extract(word, INLINE, 1)
+    follows = left1.rlike(NAMED) | (left1.rlike(SIGN) & left2.rlike(NAMED))
+    value = F.when(inline != "", inline).when(follows & ~word.rlike(SIGN) & ~word.rlike(NAMED), word)
+    return F.btrim(F.coalesce(value, F.lit("")), F.lit(EDGES))
+
+
+def _holds(words: Column, i: Column) -> Column:
+    """Whether word ``i`` holds a candidate."""
+    at = lambda d: F.coalesce(F.get(words, i + d), F.lit(""))
+    return _long(at(0)) | (_given(at(0), at(-1), at(-2)) != "")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_no, value, left2, left1, word, right1) for every candidate."""
     words = docs.where("text IS NOT NULL").select("doc_id", F.split("text", BLANKS).alias("words"))
-    places = F.filter(F.transform("words", lambda w, i: F.when(_long(w), i)), lambda i: i.isNotNull())
+    places = F.filter(F.transform("words", lambda w, i: F.when(_holds(F.col("words"), i), i)), lambda i: i.isNotNull())
     near = lambda d: F.coalesce(F.get("words", F.col("word_no") + d), F.lit(""))
     found = words.select("doc_id", "words", F.explode(places).alias("word_no")).select(
         "doc_id", "word_no", near(F.lit(-2)).alias("left2"), near(F.lit(-1)).alias("left1"), near(F.lit(0)).alias("word"), near(F.lit(1)).alias("right1"),
     )
-    values = found.select("*", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("value"))
-    return values.where(F.col("value").rlike("[0-9]"))
+    given = _given(F.col("word"), F.col("left1"), F.col("left2"))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda v: v.rlike("[0-9]"))
+    # a given value replaces the runs it holds; runs beside it stay
+    values = F.when(given == "", runs).otherwise(F.concat(F.array(given), F.filter(runs, lambda v: ~F.contains(given, v) & ~F.contains(v, given))))
+    return found.select("*", F.explode(values).alias("value"))
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -54,9 +79,10 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
     Words that hold candidates do not count: a key must not vouch for itself.
     """
-    plain = F.array_join(F.filter(F.split("text", BLANKS), lambda w: ~_long(w)), " ")
+    texts = docs.select("text").distinct().select(F.split("text", BLANKS).alias("words"))
+    plain = F.array_join(F.filter("words", lambda w, i: ~_holds(F.col("words"), i)), " ")
     parts = F.array_distinct(F.split(F.lower(plain), "[^a-z]+"))
-    words = docs.select("text").distinct().select(F.explode(F.filter(parts, lambda p: F.char_length(p) >= 4)).alias("part"))
+    words = texts.select(F.explode(F.filter(parts, lambda p: F.char_length(p) >= 4)).alias("part"))
     return words.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DICTIONARY_DOCS).select("part")
 
 
@@ -102,7 +128,8 @@ def sign_label() -> Column:
     c = F.col
     random_looking = (c("digits") > 0.1) & (c("covered") < 0.3) & (c("only_digits") == 0) & (c("at_marks") == 0) & (c("length") >= 16)
     secret = (c("assigned") == 1) & (c("credential_near") == 1) & (c("placeholder_near") == 0) & random_looking
-    harmless = (c("at_marks") > 0) | (c("only_digits") == 1) | (c("covered") > 0.6) | (c("placeholder_near") == 1)
+    credential = (c("assigned") == 1) & (c("credential_near") == 1)
+    harmless = (c("placeholder_near") == 1) | ~credential & ((c("at_marks") > 0) | (c("only_digits") == 1) | (c("covered") > 0.6))
     return F.when(secret, 1.0).when(harmless, 0.0)
 
 

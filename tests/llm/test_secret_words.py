@@ -23,3 +23,14 @@ def test_key_in_copies_is_not_its_own_dictionary(spark):
     assert not {r["part"] for r in secrets.dictionary(docs).collect()} & {"copied", leaked[:9].lower()}
     found = {r["doc_id"] for r in secrets.scan(docs).collect() if r["is_secret"]}
     assert found >= {*range(200, 208), *range(300, 304)} and not found & set(range(100, 130))
+
+
+def test_any_value_of_a_credential_name_is_a_candidate(spark):
+    texts = [
+        'password: "hunter2!" x', 'secret = "correct-horse-battery"', "pwd=ab#1", "Authorization: Bearer q~7&", "token 'z9'", 'api_key="p%w*long1234567890"',
+        "the author wrote this", "password:", "plain words", 'password = ""',
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["value"]) for r in secrets.candidates(docs).collect())
+    assert [g for g in got if g[0] not in (3,)] == [(0, "hunter2!"), (1, "correct-horse-battery"), (2, "ab#1"), (4, "z9"), (5, "p%w*long1234567890")]
+    assert (3, "q~7&") in got
