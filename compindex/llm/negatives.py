@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from compindex.llm.best import Best, run_places
 from compindex.session import cut_lineage
 
 # Anchors broadcast at once: with 64 components of four bytes, 8 MB.
@@ -78,34 +79,9 @@ def fewest(ids: np.ndarray, labels: np.ndarray, matrix: np.ndarray, k: int) -> n
     group = np.unique(parts.view(np.dtype((np.void, parts.shape[1] * parts.itemsize))).ravel(), return_inverse=True)[1].ravel()
     order = np.lexsort((ids, group))
     same_id = np.append(False, (group[order][1:] == group[order][:-1]) & (ids[order][1:] == ids[order][:-1]))
-    order = order[_rank(~same_id) < k]
+    order = order[run_places(~same_id) < k]
     first = np.append(True, group[order][1:] != group[order][:-1])[: len(order)]
-    return order[_rank(first) < 2 * k]
-
-
-def _rank(starts: np.ndarray) -> np.ndarray:
-    """Place of each element in its run; ``starts`` marks where runs begin."""
-    at = np.arange(len(starts))
-    return at - np.maximum.accumulate(np.where(starts, at, 0)) if len(starts) else at
-
-
-class Best:
-    """The ``k`` best (score, id) of each of many keys: higher scores first, then smaller ids."""
-
-    def __init__(self, keys: int, k: int) -> None:
-        self.k, self.least = k, np.full(keys, -np.inf)
-        self.key, self.score, self.id = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, key: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        if not len(key):
-            return
-        key, score, ids = np.append(self.key, key), np.append(self.score, score.astype(np.int64)), np.append(self.id, ids)
-        order = np.lexsort((ids, -score, key))
-        rank = _rank(np.append(True, key[order][1:] != key[order][:-1]))
-        full = order[rank == self.k - 1]
-        self.least[key[full]] = score[full]
-        order = order[rank < self.k]
-        self.key, self.score, self.id = key[order], score[order], ids[order]
+    return order[run_places(first) < 2 * k]
 
 
 class Wave:
