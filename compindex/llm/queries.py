@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compindex.llm import bpe, chat, exact, language, mixing, negatives, passages, quality, search, secrets, simhash, toxicity
+from compindex.llm import bpe, chat, exact, language, mixing, negatives, packing, passages, quality, search, secrets, simhash, toxicity
 from compindex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,6 +164,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"), bpe.default_path())
+    return packing.packed(found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 OP13_SQL = """WITH r AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
