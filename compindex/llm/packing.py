@@ -9,7 +9,8 @@ total / capacity, or no step is left. Sequences that still have a gap of more th
 packed with those of other chunks, in at most ``ROUNDS`` rounds; full ones never move. ``sequences`` joins the ids.
 
 Defined cases: null and empty texts are the end id alone; repeated rows and null ids are packed each for itself; texts of any
-length are read in parts; an empty table gives no rows. Pieces of no length take a place without filling it. ``packed`` carries extra columns along.
+length are read in parts; an empty table gives no rows. Pieces of no length take a place without filling it. ``packed`` carries extra columns along,
+but replaces sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -261,7 +262,8 @@ def packed(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``table`` (a column ``length`` of at most ``capacity``, and any others) with sequence_id and offset."""
     names = [c for c in table.columns if c not in ("sequence_id", "offset")]
     table, out = cut_lineage(table.select(names)), None
-    schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("is_open", T.BooleanType())])
+    is_open = "is_open" + "_" * sum(map(len, names))  # no column has this name
+    schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField(is_open, T.BooleanType())])
     for round_no in range(ROUNDS):
         last = round_no == ROUNDS - 1
         if round_no:
@@ -271,16 +273,16 @@ def packed(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             chunks = -(-rows // CHUNK)
             last = last or chunks == 1
             table = table.repartition(chunks)
-        done = cut_lineage(table.mapInArrow(_packer(round_no, last, capacity, names.index("length")), schema))
-        kept = done.where("NOT is_open").drop("is_open")
+        done = cut_lineage(table.mapInArrow(_packer(round_no, last, capacity, names.index("length"), is_open), schema))
+        kept = done.where(~F.col(is_open)).drop(is_open)
         out = kept if out is None else out.unionByName(kept)
         if last:
             break
-        table = done.where("is_open").select(names)
+        table = done.where(F.col(is_open)).select(names)
     return out
 
 
-def _packer(round_no: int, last: bool, capacity: int, length_at: int):
+def _packer(round_no: int, last: bool, capacity: int, length_at: int, is_open: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (round_no << 56) + (TaskContext.get().partitionId() << 32)
         waiting: list[pa.RecordBatch] = []
@@ -288,17 +290,17 @@ def _packer(round_no: int, last: bool, capacity: int, length_at: int):
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
                 if waiting and sum(b.num_rows for b in waiting) + part.num_rows > CHUNK:
-                    done, first = _chunk(waiting, first, last, capacity, length_at)
+                    done, first = _chunk(waiting, first, last, capacity, length_at, is_open)
                     yield from done
                     waiting = []
                 waiting.append(part)
         if waiting:
-            yield from _chunk(waiting, first, last, capacity, length_at)[0]
+            yield from _chunk(waiting, first, last, capacity, length_at, is_open)[0]
 
     return run
 
 
-def _chunk(batches: list[pa.RecordBatch], first: int, last: bool, capacity: int, length_at: int) -> tuple[list[pa.RecordBatch], int]:
+def _chunk(batches: list[pa.RecordBatch], first: int, last: bool, capacity: int, length_at: int, flag: str) -> tuple[list[pa.RecordBatch], int]:
     """The rows of a chunk with sequence, place and whether the sequence is open; the next free sequence number."""
     lengths = [n for b in batches for n in b.column(length_at).to_pylist()]
     bins = improved(best_fit(lengths, capacity), lengths, capacity)
@@ -313,7 +315,7 @@ def _chunk(batches: list[pa.RecordBatch], first: int, last: bool, capacity: int,
     for b in batches:
         part = slice(at, at + b.num_rows)
         columns = [*b.columns, pa.array(sequence[part]), pa.array(offset[part]), pa.array(is_open[part])]
-        out.append(pa.RecordBatch.from_arrays(columns, [*b.schema.names, "sequence_id", "offset", "is_open"]))
+        out.append(pa.RecordBatch.from_arrays(columns, [*b.schema.names, "sequence_id", "offset", flag]))
         at += b.num_rows
     return out, first + len(bins)
 
