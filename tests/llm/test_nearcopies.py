@@ -56,3 +56,34 @@ def test_stage_drops_near_copies_that_fingerprints_tell_apart(spark):
     assert sum(d > 2 for d in apart) > 10
     left = stages.near_dedup(spark, spark.createDataFrame(given, "doc_id long, text string"), "").collect()
     assert {r["doc_id"] for r in left} == set(range(100, 140, 2))
+
+
+def test_batches_without_a_candidate(spark):
+    """Many partitions: in most of them no text, or no candidate."""
+    given = rows()
+    docs = spark.createDataFrame(given + given[20:23], "doc_id long, text string").repartition(40).sortWithinPartitions("doc_id")
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == groups(given)
+    few = docs.where("doc_id < 20").repartition(30)
+    assert nearcopies.near_copies(few).where("doc_id = component_id").count() == 20
+    assert nearcopies.near_copies(docs.where("false")).count() == 0
+
+
+def test_long_repeated_and_nameless_texts(spark):
+    long = " ".join(words(60_000, 77))
+    given = [(1, long), (2, long + " more"), (2, long + " more"), (None, long), (3, None), (4, " "), (5, "one")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in given], "doc_id long, text string, w int, key int")
+    got = {(r["doc_id"], r["component_id"]) for r in nearcopies.near_copies(docs).collect()}
+    assert got == {(1, 1), (2, 1), (None, 1), (3, 3), (4, 3), (5, 5)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    given = [(i, " ".join(words(80, i % 5)), "s", {"a": i % 2}) for i in range(10)]
+    frame = "doc_id long, text string, source string, m map<string, int>"
+    docs = spark.createDataFrame(given + given, frame)
+    for name in ("_gone", "_id", "_copy", "gone", "id", "copy", "copies", "entries0_", "a.b", "w", "kept"):
+        docs = docs.withColumn(name, docs.doc_id)
+    for stage in (stages.quality_rules, stages.exact_dedup, stages.near_dedup, stages.mix_sources):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert all(r["copy"] == r["doc_id"] == r["_gone"] == r["a.b"] for r in out.collect())
+    assert stages.exact_dedup(spark, docs, "").count() == 5

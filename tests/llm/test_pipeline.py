@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
-from xxhash import xxh64_intdigest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -59,23 +58,23 @@ def accepted(rows):
     return [r for r, c in zip(rows, measured) if keeps(c)]
 
 
-def fingerprint(text):
+def shingles(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    hashes = [xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(len(words) - 2)]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
 
 
 def one_of_each(rows):
-    prints, parent = {d: fingerprint(t) for d, t, _ in rows}, {d: d for d, _, _ in rows}
+    """The document with the smallest id of each component of pairs with a Jaccard of 0.8 or more."""
+    sets, parent = {d: shingles(t) for d, t, _ in rows}, {d: d for d, _, _ in rows}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in prints:
-        for b in prints:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 2:
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return [r for r in rows if find(r[0]) == r[0]]
