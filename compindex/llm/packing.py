@@ -38,7 +38,7 @@ OPEN_SHARE = 100
 # Effort of the exchanges of one chunk: steps, and other sequences that one step looks at.
 STEPS, LOOKED_AT = 2_000, 1_000
 # Words remembered per worker, twice: bounds its memory, not the result.
-REMEMBERED = 250_000
+REMEMBERED = 800_000
 # Characters split into words at once.
 PART = 1_000_000
 # Bytes of ids in one batch of pieces.
@@ -78,8 +78,8 @@ class Encoder:
             end = len(text) if end < 0 else end
             words = text[at:end].split(" ")
             found = list(map(self.recent.get, words))
-            if None in found:
-                found = list(map(self._word, words))
+            for place in [k for k, ids in enumerate(found) if ids is None]:
+                found[place] = self._word(words[place])
             parts.append(b"".join(found))
             at = end
         return b"".join(parts)
