@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +46,24 @@ def normal(draw: Column, key: Column, stream: int) -> Column:
     return radius * F.cos(F.lit(2.0 * math.pi) * uniform(draw, key, stream + 1))
 
 
+def mixed_array(draw: int, key: np.ndarray, stream: int) -> np.ndarray:
+    """``mixed`` of many keys inside a task; remainders keep the sign of the dividend, as in SQL."""
+    key = np.fmod(key.astype(np.int64), MODULUS)
+    start = np.fmod(key * KEY_STEP + draw * DRAW_STEP + stream * STREAM_STEP, MODULUS)
+    first = np.fmod(start * start + (stream + 1) * MULTIPLIER, MODULUS)
+    second = np.fmod(first * MULTIPLIER + draw * INCREMENT + stream, MODULUS)
+    third = np.fmod(second * second + key, MODULUS)
+    return np.fmod(third * MULTIPLIER + INCREMENT, MODULUS)
+
+
+def uniform_array(draw: int, key: np.ndarray, stream: int) -> np.ndarray:
+    return (mixed_array(draw, key, stream).astype(float) + 0.5) / float(MODULUS)
+
+
+def normal_array(draw: int, key: np.ndarray, stream: int) -> np.ndarray:
+    return np.sqrt(-2.0 * np.log(uniform_array(draw, key, stream))) * np.cos(2.0 * math.pi * uniform_array(draw, key, stream + 1))
+
+
 def mixed_sql(draw: str, key: str, stream: int) -> str:
     """The same integer as SQL text."""
     d, k = f"CAST({draw} AS BIGINT)", f"CAST({key} AS BIGINT)"

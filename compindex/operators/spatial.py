@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from compindex.functions import geo as G
 from compindex.operators import blocks as K
+from compindex.operators import celltree as CT
 from compindex.operators import ranking as R
 from compindex.session import compute_tasks, cut_lineage
 
@@ -101,12 +102,7 @@ def band_gi_star(points: DataFrame, value: Column, band_km: float = 500.0) -> Da
     rows = cut_lineage(points.where(value.isNotNull()).select("lon", "lat", value.cast("double").alias("_x")))
     locs = K.locations(rows, "lon", "lat", {"sx": F.col("_x")})
 
-    def kernel(probe: dict, source: dict) -> dict:
-        i, j, _ = K.near_pairs(probe["lon"], probe["lat"], source["lon"], source["lat"], band_km)
-        add = lambda v: np.bincount(i, v, len(probe["lon"]))
-        return {"n_near": add(source["w"][j]), "sum_near": add(source["sx"][j])}
-
-    sums = K.band_sums(locs, band_km, ["w", "sx"], ["n_near", "sum_near"], kernel)
+    sums = CT.band_totals(locs, ["w", "sx"], band_km).withColumnsRenamed({"w": "n_near", "sx": "sum_near"})
     overall = rows.agg(
         F.struct(
             F.count("_x").cast("double").alias("n"), F.avg("_x").alias("mean"), F.avg(F.col("_x") * F.col("_x")).alias("mean_sq")
@@ -162,8 +158,8 @@ DISTANCE_EDGES = (0, 500, 1000, 1500, 2000, 3000, 4000, 6000, 8000, 12000, 20000
 def distance_autocovariance(points: DataFrame, x: str, y: str) -> DataFrame:
     """Per distance bin: number of unordered pairs and summed products of two centred series.
 
-    Pairs at one place follow from the place's sums; pairs of places from the products of
-    their sums, block against block.
+    Pairs at one place follow from the place's sums; pairs of places from sums over whole cells, where the
+    cells' distance settles the bin.
     """
     points = cut_lineage(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("lon", "lat", x, y))
     means = points.agg(F.struct(F.avg(x).alias("x"), F.avg(y).alias("y"))).scalar()
@@ -171,26 +167,7 @@ def distance_autocovariance(points: DataFrame, x: str, y: str) -> DataFrame:
     centred = points.select("lon", "lat", zx.alias("zx"), zy.alias("zy"))
     squares = {"qx": F.col("zx") * F.col("zx"), "qy": F.col("zy") * F.col("zy")}
     locs = cut_lineage(K.locations(centred, "lon", "lat", {"zx": F.col("zx"), "zy": F.col("zy"), **squares}))
-    edges = np.array(DISTANCE_EDGES, dtype=float)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                p = {c: np.asarray(row[f"p_{c}"]) for c in ("lon", "lat", "w", "zx", "zy")}
-                s = {c: np.asarray(row[f"s_{c}"]) for c in ("lon", "lat", "w", "zx", "zy")}
-                far = K.haversine_matrix(p["lon"], p["lat"], s["lon"], s["lat"])
-                same = (p["lon"][:, None] == s["lon"][None, :]) & (p["lat"][:, None] == s["lat"][None, :])
-                bins = np.where(same, len(edges), np.searchsorted(edges, far, side="right") - 1).ravel()
-                total = lambda a, b: np.bincount(bins, np.outer(a, b).ravel(), len(edges) + 1)[: len(edges) - 1]
-                yield pd.DataFrame(
-                    {
-                        "bin": np.arange(len(edges) - 1), "pairs": total(p["w"], s["w"]) / 2.0,
-                        "cx": total(p["zx"], s["zx"]) / 2.0, "cy": total(p["zy"], s["zy"]) / 2.0,
-                    }
-                )
-
-    schema = "bin int, pairs double, cx double, cy double"
-    across = K.all_pairs(locs, ["w", "zx", "zy"]).mapInPandas(run, schema)
+    across = CT.distance_bins(locs, "w", ["zx", "zy"], DISTANCE_EDGES).withColumnsRenamed({"zx": "cx", "zy": "cy"})
     within = locs.agg(
         F.lit(0).alias("bin"), (F.sum(F.col("w") * (F.col("w") - 1)) / 2).alias("pairs"),
         (F.sum(F.col("zx") * F.col("zx") - F.col("qx")) / 2).alias("cx"),

@@ -1,8 +1,17 @@
-"""Monte-Carlo rank bands and noise stability. A draw is a column, so all draws are ranked in
-one distributed sort; noise depends only on (draw, key), never on task layout."""
+"""Monte-Carlo rank bands and noise stability. Noise depends only on (draw, key), never on task layout.
+
+A field of up to ``KEYS_AT_ONCE`` keys (its size is counted) goes to every task as a few numbers per key. A task ranks its share of the
+draws and adds the ranks up per key, so what moves is a histogram of ranks, not one row per key and draw. A larger field is ranked slice
+by slice of the score range in one distributed sort, where a draw is a column, and added up to the same histogram.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +29,19 @@ SEED = 20260602
 SD_NORMAL, SD_LOW_CONFIDENCE = 0.04, 0.07
 WEIGHT_LOW, WEIGHT_HIGH = 0.40, 0.60
 FLOOR = 1e-4
+# Keys of a field that every task holds: a few MB. Larger fields are ranked slice by slice.
+KEYS_AT_ONCE = 50_000
+# Draws whose ranks a task adds up at once: bounds its memory to so many numbers per key.
+DRAWS_AT_ONCE = 64
+# Retention is taken on every twentieth draw.
+EVERY = 20
+
+
+class Simulated(NamedTuple):
+    """Ranks per key as (key, rank, n, kept), and per draw (draw, n, rho, top_10, top_decile)."""
+
+    histogram: DataFrame
+    agreement: DataFrame
 
 
 def expanded(df: DataFrame, draws: int) -> DataFrame:
@@ -27,18 +49,19 @@ def expanded(df: DataFrame, draws: int) -> DataFrame:
     return df.repartition(compute_tasks(df), "key").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
 
 
-def draw_ranks(scored: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """(key, draw, base_rank, rank, in_tier): the field re-ranked under noise in every draw.
+def ranked_base(scored: DataFrame) -> DataFrame:
+    """Keys with both halves, their combined score and its rank."""
+    base = scored.where(F.col("R").isNotNull() & F.col("E").isNotNull()).withColumn("_base", F.sqrt(F.col("R") * F.col("E")))
+    return cut_lineage(O.ranked(base, [], [F.col("_base").desc(), F.col("key")], "base_rank"))
 
-    ``scored`` is (key, R, E, domains_not_scored). Both halves get noise, wider where the
-    evidence is thin; the weight between them is drawn once per draw.
-    """
-    base = scored.where(F.col("R").isNotNull() & F.col("E").isNotNull()).withColumn(
-        "_base", F.sqrt(F.col("R") * F.col("E"))
-    )
-    base = cut_lineage(O.ranked(base, [], [F.col("_base").desc(), F.col("key")], "base_rank"))
-    rows = expanded(base, draws)
-    sd = F.when(B.low_confidence(F.col("domains_not_scored")), SD_LOW_CONFIDENCE).otherwise(SD_NORMAL)
+
+def _deviation() -> Column:
+    return F.when(B.low_confidence(F.col("domains_not_scored")), SD_LOW_CONFIDENCE).otherwise(SD_NORMAL)
+
+
+def draw_ranks(base: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(key, draw, base_rank, rank, in_tier) of a field of any size: ``base`` as ``ranked_base`` returns it."""
+    rows, sd = expanded(base, draws), _deviation()
     offset, number = seed % 1000, number_of(base, "key")
     noisy = lambda c, stream: S.clamp(F.col(c) + sd * Z.normal(F.col("draw"), number, offset + stream), FLOOR, 1.0)
     weight = WEIGHT_LOW + (WEIGHT_HIGH - WEIGHT_LOW) * Z.uniform(F.col("draw"), F.lit(0), offset + 4)
@@ -69,10 +92,88 @@ def ranked_in_draws(rows: DataFrame, draws: list[str], score: str, tie: Column,
     return placed.withColumn(name, F.col(name) + F.col("_above")).drop("_slice", "_above")
 
 
-def rank_bands(ranks: DataFrame) -> DataFrame:
+def collected(base: DataFrame, order: list[Column], columns: list[str]) -> pd.DataFrame:
+    """A field of at most ``KEYS_AT_ONCE`` rows on the driver, in the order in which ties are ranked."""
+    return base.orderBy(*order).select("key", *columns).toPandas()
+
+
+def added_up(codes: list[np.ndarray], kept: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, n, kept) of the codes (key x size + rank) of some draws."""
+    code, at, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    return code, n, np.bincount(at.ravel(), np.concatenate(kept), len(code)).astype(np.int64)
+
+
+def in_draws(spark, levels: int, draws: int, tasks: int, handle: Callable[[int, int], tuple[np.ndarray, np.ndarray, tuple]], size: int) -> DataFrame:
+    """Runs ``handle(level, draw)`` for every draw of every level and adds up what it returns.
+
+    It returns the rank of every key (an integer below ``size``), whether it counts as kept, and four numbers of the draw. Rows with a
+    key are counts of (level, key, rank); those without are one per draw.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for level in range(levels):
+                for start in range(0, len(batch), DRAWS_AT_ONCE):
+                    codes, kept, rows = [], [], []
+                    for draw in batch["id"][start : start + DRAWS_AT_ONCE].tolist():
+                        ranks, stays, numbers = handle(level, draw)
+                        codes.append(np.arange(len(ranks)) * size + ranks)
+                        kept.append(stays)
+                        rows.append((draw, *numbers))
+                    code, n, stayed = added_up(codes, kept, size)
+                    yield pd.DataFrame({"level": level, "i": code // size, "rank": code % size, "n": n, "kept": stayed, "draw": 0, **dict.fromkeys("pqr", 0.0)})
+                    draw, p, q, r = (list(c) for c in zip(*rows))
+                    yield pd.DataFrame({"level": level, "i": -1, "rank": 0, "n": 0, "kept": 0, "draw": draw, "p": p, "q": q, "r": r})
+
+    schema = "level int, i long, rank long, n long, kept long, draw long, p double, q double, r double"
+    found = spark.range(1, draws + 1, 1, tasks).mapInPandas(run, schema)
+    return cut_lineage(found.groupBy("level", "i", "rank", "draw").agg(*[F.sum(c).alias(c) for c in ("n", "kept", *"pqr")]))
+
+
+def simulated(scored: DataFrame, draws: int = DRAWS, seed: int = SEED) -> Simulated:
+    """The field (key, R, E, domains_not_scored) re-ranked under noise in every draw.
+
+    Both halves get noise, wider where the evidence is thin; the weight between them is drawn once per draw.
+    """
+    base = ranked_base(scored)
+    size = base.count()
+    decile = max(1, round(size / 10))
+    if not 0 < size <= KEYS_AT_ONCE:
+        ranks = draw_ranks(base, draws, seed)
+        top = lambda k: F.count_if((F.col("rank") <= k) & (F.col("base_rank") <= k)) / F.lit(float(k))
+        agreement = ranks.groupBy("draw").agg(
+            F.count(F.lit(1)).alias("n"), correlation(F.col("rank").cast("double"), F.col("base_rank").cast("double")).alias("rho"),
+            top(10).alias("top_10"), top(decile).alias("top_decile"),
+        )
+        return Simulated(ranks.groupBy("key", "rank").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_tier").alias("kept")), agreement)
+    told = collected(base.select("*", number_of(base, "key").cast("long").alias("_no"), _deviation().alias("_sd")), [F.col("key")], ["_no", "_sd", "R", "E", "_base", "base_rank"])
+    number, sd, first, second, before, place = (told[c].to_numpy() for c in ("_no", "_sd", "R", "E", "_base", "base_rank"))
+    offset, tier_of, low, high = seed % 1000, lambda v: np.searchsorted(B.TIER_CUTS, v, side="right"), FLOOR, 1.0
+    tier, centred = tier_of(before), place - place.mean()
+
+    def handle(_: int, draw: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+        weight = WEIGHT_LOW + (WEIGHT_HIGH - WEIGHT_LOW) * Z.uniform_array(draw, np.zeros(1, np.int64), offset + 4)[0]
+        halves = [np.clip(v + sd * Z.normal_array(draw, number, offset + s), low, high) for v, s in ((first, 0), (second, 2))]
+        sim = halves[0] ** weight * halves[1] ** (1.0 - weight)
+        rank = np.empty(len(sim), np.int64)
+        rank[np.argsort(-sim, kind="stable")] = np.arange(1, len(sim) + 1)
+        moved = rank - rank.mean()
+        spread = np.sqrt((moved * moved).sum() * (centred * centred).sum())
+        rho = float((moved * centred).sum() / spread) if spread > 0 else float("nan")
+        return rank, tier_of(sim) == tier, (rho, *[float(((rank <= k) & (place <= k)).sum() / k) for k in (10, decile)])
+
+    spark = scored.sparkSession
+    rows = in_draws(spark, 1, draws, compute_tasks(scored), handle, size + 1)
+    names = spark.createDataFrame(told[["key"]].assign(i=range(size)), base.select("key", F.lit(0).cast("long").alias("i")).schema)
+    histogram = rows.where("i >= 0").join(names, "i").select("key", F.col("rank").cast("int").alias("rank"), "n", "kept")
+    rho = F.when(~F.isnan("p"), F.col("p"))
+    return Simulated(histogram, rows.where("i < 0").select("draw", F.lit(size).alias("n"), rho.alias("rho"), F.col("q").alias("top_10"), F.col("r").alias("top_decile")))
+
+
+def rank_bands(histogram: DataFrame) -> DataFrame:
     """5th, 50th and 95th percentile of each key's rank, and how often it stays in its tier."""
-    cuts = F.percentile("rank", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    agg = ranks.groupBy("key").agg(cuts.alias("_p"), F.avg(F.col("in_tier").cast("double")).alias("tier_stability"))
+    cuts = F.percentile("rank", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), F.col("n"))
+    agg = histogram.groupBy("key").agg(cuts.alias("_p"), (F.sum("kept") / F.sum("n")).alias("tier_stability"))
     whole = lambda i: F.greatest(F.lit(1), F.bround(F.col("_p")[i], 0).cast("int"))
     return agg.select(
         "key", whole(0).alias("rank_p5"), whole(1).alias("rank_p50"), whole(2).alias("rank_p95"), "tier_stability",
@@ -80,16 +181,13 @@ def rank_bands(ranks: DataFrame) -> DataFrame:
     )
 
 
-def simulation_summary(ranks: DataFrame, bands: DataFrame, top: int = 10, every: int = 20) -> DataFrame:
-    """Agreement with the baseline per draw, retention of the top on every ``every``-th draw,
-    and the width of the bands."""
-    per_draw = ranks.groupBy("draw").agg(
-        correlation(F.col("rank").cast("double"), F.col("base_rank").cast("double")).alias("_rho"), F.count(F.lit(1)).alias("_n"),
-        (F.count_if((F.col("rank") <= top) & (F.col("base_rank") <= top)) / F.lit(float(top))).alias("_kept"),
-    )
-    summary = per_draw.agg(
-        F.max("_n").alias("n"), F.count(F.lit(1)).alias("draws"), F.percentile("_rho", F.lit(0.5)).alias("rho_median"),
-        F.percentile("_rho", F.lit(0.05)).alias("rho_p5"), F.avg(F.when(F.col("draw") % every == 1, F.col("_kept"))).alias("top_retention"),
+def simulation_summary(draws: DataFrame, bands: DataFrame) -> DataFrame:
+    """Agreement with the baseline per draw, retention of the top 10 and of the top decile (at least one key) on every
+    twentieth draw, and the width of the bands."""
+    picked = lambda c: F.avg(F.when(F.col("draw") % EVERY == 1, F.col(c)))
+    summary = draws.agg(
+        F.max("n").alias("n"), F.count(F.lit(1)).alias("draws"), F.percentile("rho", F.lit(0.5)).alias("rho_median"),
+        F.percentile("rho", F.lit(0.05)).alias("rho_p5"), picked("top_10").alias("top_retention"), picked("top_decile").alias("top_decile_retention"),
     )
     bands = cut_lineage(bands)
     widths = O.quantiles(bands, [], "band_width", {"median_band_width": 0.5}).scalar()
@@ -113,26 +211,52 @@ def noise_stability(
     """
     base = scored.where(F.col("composite").isNotNull())
     base = O.ranked(base, [], [F.col("composite").desc(), F.col("key").desc()], "base_rank")
-    size = base.agg(F.count(F.lit(1))).scalar()
-    base = cut_lineage(base.withColumn("_n", size))
+    base = cut_lineage(base)
+    size = base.count()
+    spark, growth = scored.sparkSession, F.lit(1.0) if flags is None else 1.0 + 0.5 * F.col(flags)
+    if 0 < size <= KEYS_AT_ONCE:
+        told = collected(base.select("*", number_of(base, "key").cast("long").alias("_no"), growth.alias("_growth")), [F.col("key").desc()], ["_no", "_growth", "composite", "base_rank"])
+        number, growth_of, score, before = (told[c].to_numpy() for c in ("_no", "_growth", "composite", "base_rank"))
+
+        def handle(level: int, draw: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+            sim = np.clip(score + levels[level] * growth_of * Z.normal_array(draw, number, seed), 0.0, 1.0)
+            place = np.empty(size, np.int64)
+            place[np.argsort(-sim, kind="stable")] = np.arange(1, size + 1)
+            twice = 2 * place
+            for edge in (0.0, 1.0):  # only clipped values can tie; they share the mean of their places
+                tied = sim == edge
+                if tied.any():
+                    twice[tied] = place[tied].min() + place[tied].max()
+            kept = ((place <= top) & (before <= top)).sum(), ((place > size - top) & (before > size - top)).sum()
+            return twice, np.zeros(size, bool), (*map(float, kept), 0.0)
+
+        rows = in_draws(spark, len(levels), draws, compute_tasks(scored), handle, 2 * size + 1)
+        named = F.array(*[F.lit(float(v)) for v in levels])[F.col("level")]
+        histogram = rows.where("i >= 0").select(named.alias("level"), F.col("i").alias("key"), (F.col("rank") / 2.0).alias("rank"), "n")
+        ends = rows.where("i < 0").groupBy(named.alias("level")).agg(F.sum("p").alias("_top"), F.sum("q").alias("_bottom"))
+    else:
+        histogram, ends = _noise_by_slices(base, size, levels, growth, draws, top, seed)
+    kept = ends.select("level", (F.col("_top") / (top * draws)).alias("top_retention"), (F.col("_bottom") / (top * draws)).alias("bottom_retention"))
+    cuts = F.percentile("rank", F.array(F.lit(0.025), F.lit(0.975)), F.col("n"))
+    widths = histogram.groupBy("level", "key").agg(cuts.alias("_p")).select("level", (F.col("_p")[1] - F.col("_p")[0]).alias("width"))
+    widths = cut_lineage(widths)
+    middle = O.quantiles(widths, ["level"], "width", {"median_width": 0.5})
+    mean = widths.groupBy("level").agg(F.avg("width").alias("mean_width"))
+    return kept.join(mean, "level").join(middle, "level")
+
+
+def _noise_by_slices(base: DataFrame, size: int, levels: list[float], growth: Column, draws: int, top: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(level, key, rank, n) and (level, _top, _bottom) of a field of any size."""
     rows = expanded(base, draws).withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
-    growth = F.lit(1.0) if flags is None else 1.0 + 0.5 * F.col(flags)
     noise = F.col("level") * growth * Z.normal(F.col("draw"), number_of(base, "key"), seed)
-    rows = rows.select("key", "draw", "level", "base_rank", "_n", S.clamp(F.col("composite") + noise).alias("sim"))
+    rows = rows.select("key", "draw", "level", "base_rank", S.clamp(F.col("composite") + noise).alias("sim"))
     ranked = cut_lineage(ranked_in_draws(rows, ["level", "draw"], "sim", F.col("key").desc(), "place"))
     # only clipped values can tie; they share the mean of their places
     ties = ranked.where(F.col("sim").isin(0.0, 1.0)).groupBy("level", "draw", "sim").agg(F.avg("place").alias("_mean"))
     ranked = O.attach(ranked, ties, ["level", "draw", "sim"], "left")
     ranked = ranked.withColumn("rank", F.coalesce(F.col("_mean"), F.col("place").cast("double")))
-    cuts = F.percentile("rank", F.array(F.lit(0.025), F.lit(0.975)))
-    widths = ranked.groupBy("level", "key").agg(cuts.alias("_p")).select("level", (F.col("_p")[1] - F.col("_p")[0]).alias("width"))
-    widths = cut_lineage(widths)
-    middle = O.quantiles(widths, ["level"], "width", {"median_width": 0.5})
-    mean = widths.groupBy("level").agg(F.avg("width").alias("mean_width"))
-    kept = ranked.groupBy("level").agg(
-        (F.count_if((F.col("place") <= top) & (F.col("base_rank") <= top)) / F.lit(float(top * draws))).alias("top_retention"),
-        (
-            F.count_if((F.col("place") > F.col("_n") - top) & (F.col("base_rank") > F.col("_n") - top)) / F.lit(float(top * draws))
-        ).alias("bottom_retention"),
+    ends = ranked.groupBy("level").agg(
+        F.count_if((F.col("place") <= top) & (F.col("base_rank") <= top)).alias("_top"),
+        F.count_if((F.col("place") > size - top) & (F.col("base_rank") > size - top)).alias("_bottom"),
     )
-    return kept.join(mean, "level").join(middle, "level")
+    return ranked.groupBy("level", "key", "rank").agg(F.count(F.lit(1)).alias("n")), ends

@@ -85,7 +85,7 @@ def nested_document_diff(spark, sf):
 
 def published(spark, sf):
     field = W.field(spark, sf)
-    bands = U.rank_bands(U.draw_ranks(field, W.DRAWS)).select("key", "rank_p5", "rank_p50", "rank_p95", "tier_stability")
+    bands = U.rank_bands(U.simulated(field, W.DRAWS).histogram).select("key", "rank_p5", "rank_p50", "rank_p95", "tier_stability")
     domains = cut_lineage(X.domain_scores(spark, sf))
     composites = C.composite(C.phase_scores(domains, X.TOTALS).where("in_composite"), list(X.PHASES))
     # nine digits first, so that a value on the rounding edge is published alike on every run

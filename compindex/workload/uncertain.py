@@ -53,7 +53,7 @@ _MC = _draw_ctes(_FIELD, "key")
 
 @query("mc_rank_bands", X.sql("scored dom", "SELECT key, rank_p5, rank_p50, rank_p95, round(tier_stability, 6) AS tier_stability FROM bands", _MC))
 def mc_rank_bands(spark, sf):
-    out = U.rank_bands(U.draw_ranks(field(spark, sf), DRAWS))
+    out = U.rank_bands(U.simulated(field(spark, sf), DRAWS).histogram)
     return out.select("key", "rank_p5", "rank_p50", "rank_p95", F.round("tier_stability", 6).alias("tier_stability"))
 
 
@@ -68,22 +68,23 @@ def mc_rank_bands_named(spark, sf):
     """The same with customer names as keys."""
     names = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), "c_name")
     named = field(spark, sf).join(names, "key").drop("key").withColumnRenamed("c_name", "key")
-    out = U.rank_bands(U.draw_ranks(named, DRAWS))
+    out = U.rank_bands(U.simulated(named, DRAWS).histogram)
     return out.select("key", "rank_p5", "rank_p50", "rank_p95", F.round("tier_stability", 6).alias("tier_stability"))
 
 
 @query(
     "mc_summary",
     X.sql("scored dom", """SELECT (SELECT max(n) FROM d) AS n, (SELECT count(*) FROM d) AS draws, (SELECT round(quantile_cont(rho, 0.5), 6) FROM d) AS rho_median,
-      (SELECT round(quantile_cont(rho, 0.05), 6) FROM d) AS rho_p5, (SELECT round(avg(kept), 6) FROM d WHERE draw % 20 = 1) AS top_retention,
+      (SELECT round(quantile_cont(rho, 0.05), 6) FROM d) AS rho_p5, (SELECT round(avg(kept), 6) FROM d WHERE draw % 20 = 1) AS top_retention, (SELECT round(avg(kept_decile), 6) FROM d WHERE draw % 20 = 1) AS top_decile_retention,
       (SELECT round(quantile_cont(band_width, 0.5), 6) FROM bands) AS median_band_width, (SELECT round(avg(tier_stability), 6) FROM bands) AS tier_stability_mean,
       (SELECT round(avg((band_width <= 10)::INT), 6) FROM bands) AS share_within_10""",
-      {**_MC, "d": "SELECT draw, count(*) AS n, corr(rank, base_rank) AS rho, count(*) FILTER (WHERE rank <= 10 AND base_rank <= 10) / 10.0 AS kept FROM ranks GROUP BY draw"}),
+      {**_MC, "d": "SELECT draw, count(*) AS n, corr(rank, base_rank) AS rho, count(*) FILTER (WHERE rank <= 10 AND base_rank <= 10) / 10.0 AS kept, "
+      "count(*) FILTER (WHERE rank <= k AND base_rank <= k) / CAST(k AS DOUBLE) AS kept_decile FROM ranks, (SELECT greatest(1, CAST(round_even(count(*) / 10.0, 0) AS INTEGER)) AS k FROM base) GROUP BY draw, k"}),
 )
 def mc_summary(spark, sf):
-    ranks = cut_lineage(U.draw_ranks(field(spark, sf), DRAWS))
-    out = U.simulation_summary(ranks, U.rank_bands(ranks))
-    rounded = ("rho_median", "rho_p5", "top_retention", "median_band_width", "tier_stability_mean", "share_within_10")
+    found = U.simulated(field(spark, sf), DRAWS)
+    out = U.simulation_summary(found.agreement, U.rank_bands(found.histogram))
+    rounded = ("rho_median", "rho_p5", "top_retention", "top_decile_retention", "median_band_width", "tier_stability_mean", "share_within_10")
     return out.select("n", "draws", *[F.round(c, 6).alias(c) for c in rounded])
 
 
