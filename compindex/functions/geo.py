@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,22 +20,6 @@ def in_box(lon: Column, lat: Column, south: float = -60.0, north: float = 84.0)
     return lat.between(south, north) & lon.between(-180.0, 180.0)
 
 
-def chord_km(band_km: float) -> float:
-    """Straight-line length that belongs to a great-circle distance."""
-    return 2.0 * EARTH_KM * math.sin(min(band_km / (2.0 * EARTH_KM), math.pi / 2.0))
-
-
-def sphere_cells(lon: Column, lat: Column, side_km: float) -> list[Column]:
-    """Cube cell of a point on the sphere.
-
-    Two points no further apart than ``side_km`` in a straight line lie in the same or in
-    adjacent cubes, at the poles and across the date line too.
-    """
-    ring = F.cos(F.radians(lat)) * EARTH_KM
-    parts = (ring * F.cos(F.radians(lon)), ring * F.sin(F.radians(lon)), F.sin(F.radians(lat)) * EARTH_KM)
-    return [F.floor(part / side_km).cast("int") for part in parts]
-
-
 def plane_cells(x: Column, y: Column, side: Column | float) -> list[Column]:
     return [F.floor(x / side).cast("int"), F.floor(y / side).cast("int")]
 

@@ -1,15 +1,15 @@
-"""Sums over neighbouring points without one row per pair.
+"""Sums over pairs of points without one row per pair.
 
-Points collapse to distinct locations, locations fall into cells, and a cell is split by hash
-into blocks of bounded size. Only blocks are joined; a task compares two blocks with numpy and
-returns one row per probe location. A cell that holds a third of all points becomes many
-blocks, whose pairs spread over the cluster, and nothing quadratic is ever shuffled.
+Points collapse to distinct locations. Where every location counts for every other (``grid_sums``), locations are dealt
+to a square grid of tasks: each goes to one row and one column of it, so with t tasks every location moves about 2 * sqrt(t) times,
+and the pairs are compared inside the tasks, block against block. Where only neighbours count (``block_pairs``), locations fall
+into cells, and a cell is split by hash into blocks of bounded size, of which those of adjacent cells are joined.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ from compindex.session import compute_tasks, cut_lineage
 
 BLOCK_ROWS = 2048
 CELL_ROWS = 256
+GRID_ROWS, GRID_BLOCK = 65_536, 1_024
 
 
 def locations(points: DataFrame, x: str, y: str, sums: dict[str, Column]) -> DataFrame:
@@ -93,53 +94,35 @@ def near_pairs(lon1, lat1, lon2, lat2, band_km: float):
     return i[keep], j[keep], far[keep]
 
 
-def pair_sums(
-    pairs: DataFrame,
-    x: str,
-    y: str,
-    carried: list[str],
-    outputs: list[str],
-    kernel: Callable[[dict, dict], dict],
-) -> DataFrame:
-    """Apply ``kernel(probe arrays, source arrays)`` to every block pair and add up per probe location."""
-    wanted = [f"p_{x}", f"p_{y}", *[f"p_{c}" for c in carried], f"s_{x}", f"s_{y}", *[f"s_{c}" for c in carried]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            gathered: dict[str, list] = {c: [] for c in (x, y, *outputs)}
-            for row in batch.itertuples(index=False):
-                fields = dict(zip(wanted, row))
-                probe = {c: np.asarray(fields[f"p_{c}"]) for c in (x, y, *carried)}
-                source = {c: np.asarray(fields[f"s_{c}"]) for c in (x, y, *carried)}
-                for name, part in {x: probe[x], y: probe[y], **kernel(probe, source)}.items():
-                    gathered[name].append(part)
-            if gathered[x]:
-                yield pd.DataFrame({name: np.concatenate(parts) for name, parts in gathered.items()})
-
-    schema = ", ".join(f"{c} double" for c in (x, y, *outputs))
-    partial = pairs.select(*wanted).mapInPandas(run, schema)
-    return partial.groupBy(x, y).agg(*[F.sum(o).alias(o) for o in outputs])
-
-
-def band_sums(
-    locs: DataFrame, band_km: float, carried: list[str], outputs: list[str], kernel: Callable, rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Per location: sums over the locations within a great-circle band (and possibly beyond it;
-    the kernel applies the exact distance).
-
-    Cells are at least as wide as the band. Where points are sparse they grow until a cell
-    holds about ``CELL_ROWS`` locations, so that a task compares arrays and not single points.
+def grid_sums(locs: DataFrame, carried: list[str], outputs: list[str], kernel: Callable[[dict, dict], dict]) -> DataFrame:
+    """Per location (lon, lat): the sums of ``kernel(probe arrays, source arrays)`` over all locations, in a square grid of tasks.
+
+    A task holds at most about ``GRID_ROWS`` locations of either side and compares ``GRID_BLOCK`` of them at once.
     """
-    locs = cut_lineage(locs)
-    chord = G.chord_km(band_km) * (1.0 + 1e-9)
-    per_cell = locs.count() * chord * chord / (4.0 * math.pi * G.EARTH_KM**2)
-    side = chord * max(1.0, math.sqrt(CELL_ROWS / max(per_cell, 1e-9)))
-    cells = G.sphere_cells(F.col("lon"), F.col("lat"), side)
-    parts = cut_lineage(blocked(locs, cells, ["lon", "lat", *carried], ["lon", "lat"], rows))
-    return pair_sums(block_pairs(parts, parts, 3, True), "lon", "lat", carried, outputs, kernel)
-
-
-def all_pairs(locs: DataFrame, carried: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every block beside every block, for statistics that are defined over all pairs of locations."""
-    parts = cut_lineage(blocked(locs, [F.lit(0)], ["lon", "lat", *carried], ["lon", "lat"], rows))
-    return block_pairs(parts, parts, 1, False)
+    locs = cut_lineage(locs.select("lon", "lat", *carried))
+    side = max(math.ceil(math.sqrt(compute_tasks(locs))), math.ceil(locs.count() / GRID_ROWS))
+    place = F.pmod(F.xxhash64("lon", "lat"), F.lit(side)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    dealt = lambda own, other, is_probe: locs.withColumn(own, place).withColumn(other, every).withColumn("is_probe", F.lit(is_probe))
+    both = dealt("row", "col", True).unionByName(dealt("col", "row", False)).repartition(side * side, "row", "col")
+    columns = ["lon", "lat", *carried]
+
+    def parts(frame: pd.DataFrame) -> list[dict]:
+        return [{c: frame[c].to_numpy()[at : at + GRID_BLOCK] for c in columns} for at in range(0, len(frame), GRID_BLOCK)]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        probe, source = rows[rows["is_probe"]], rows[~rows["is_probe"]]
+        if probe.empty:
+            return pd.DataFrame({c: [] for c in ("lon", "lat", *outputs)}, dtype=float)
+        sources, found = parts(source), []
+        for block in parts(probe):
+            total = {o: np.zeros(len(block["lon"])) for o in outputs}
+            for other in sources:
+                for name, part in kernel(block, other).items():
+                    total[name] += part
+            found.append(pd.DataFrame({"lon": block["lon"], "lat": block["lat"], **total}))
+        return pd.concat(found)
+
+    schema = ", ".join(f"{c} double" for c in ("lon", "lat", *outputs))
+    met = both.groupBy("row", "col").applyInPandas(run, schema)
+    return met.groupBy("lon", "lat").agg(*[F.sum(o).alias(o) for o in outputs])

@@ -131,7 +131,7 @@ def inverse_distance_lag(points: DataFrame, value: Column, band_km: float = 4000
         add = lambda v: np.bincount(i, v, len(probe["lon"]))
         return {"n_near": add(source["w"][j]), "w_sum": add(source["w"][j] / far), "w_x": add(source["sx"][j] / far)}
 
-    sums = K.band_sums(locs, band_km, ["w", "sx"], ["n_near", "w_sum", "w_x"], kernel)
+    sums = K.grid_sums(locs, ["w", "sx"], ["n_near", "w_sum", "w_x"], kernel)
     return sums.withColumn("lag", F.when(F.col("w_sum") > 0, F.try_divide(F.col("w_x"), F.col("w_sum"))).otherwise(0.0))
 
 
@@ -342,4 +342,4 @@ def kde_at_points(points: DataFrame, weight: str) -> DataFrame:
         return {"density": np.concatenate(parts) * norm}
 
     carried = ["sw", "ia", "ib", "ic", "norm"]
-    return K.pair_sums(K.all_pairs(locs, carried), "lon", "lat", carried, ["density"], kernel)
+    return K.grid_sums(locs, carried, ["density"], kernel)
