@@ -36,10 +36,12 @@ def _shift(column: str, bits: Column) -> Column:
     return F.call_function("shiftright", F.col(column), bits.cast("int"))
 
 
-def _cell(level: Column) -> Column:
-    """Number of the cell of that level that holds the finest cell (i_x, i_y, i_z)."""
-    parts = [_shift(f"i{a}", F.lit(DEPTH) - level).cast("long") for a in AXES]
-    return parts[0] * (1 << 2 * DEPTH) + parts[1] * (1 << DEPTH) + parts[2]
+def cell_of(level: Column, axes: tuple[str, ...] = AXES) -> Column:
+    """Number of the cell of that level that holds the finest cell (a column ``i<axis>`` for each axis)."""
+    number = F.lit(0).cast("long")
+    for a in axes:
+        number = number * (1 << DEPTH) + _shift(f"i{a}", F.lit(DEPTH) - level).cast("long")
+    return number
 
 
 def placed(locs: DataFrame) -> DataFrame:
@@ -50,13 +52,13 @@ def placed(locs: DataFrame) -> DataFrame:
     return locs.withColumns(unit).withColumns({f"i{a}": index(a).cast("int") for a in AXES})
 
 
-def with_leaves(locs: DataFrame) -> DataFrame:
-    """``locs`` with the leaf (level, cell) and the block of each location; every step sizes ``STEP`` levels at once."""
-    todo, level, found = cut_lineage(placed(locs)), 0, None
-    keys = [f"d{a}" for a in AXES]
+def with_leaves(cells: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Locations (lon, lat and finest cell) with their leaf (level, cell) and block; every step sizes ``STEP`` levels at once."""
+    todo, level, found = cut_lineage(cells), 0, None
+    keys = [f"d{a}" for a in axes]
     while True:
         top = min(level + STEP - 1, DEPTH)
-        todo = todo.withColumns({f"d{a}": _shift(f"i{a}", F.lit(DEPTH - top)) for a in AXES})
+        todo = todo.withColumns({f"d{a}": _shift(f"i{a}", F.lit(DEPTH - top)) for a in axes})
         sizes = todo.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         for k in range(level, top + 1):
             upper = Window.partitionBy(*[_shift(d, F.lit(top - k)) for d in keys])
@@ -66,7 +68,7 @@ def with_leaves(locs: DataFrame) -> DataFrame:
         # a crowded cell must not become one join key: the size table goes to the locations
         known = cut_lineage(attach(todo, sizes.select(*keys, first.alias("level"), size.alias("in_cell")), keys).drop(*keys))
         blocks = F.ceil(F.col("in_cell") / LEAF)
-        done = known.where("level IS NOT NULL").withColumn("cell", _cell(F.col("level"))).withColumn("block", F.pmod(F.xxhash64("lon", "lat"), blocks).cast("int")).drop("in_cell")
+        done = known.where("level IS NOT NULL").withColumn("cell", cell_of(F.col("level"), axes)).withColumn("block", F.pmod(F.xxhash64("lon", "lat"), blocks).cast("int")).drop("in_cell")
         found = done if found is None else found.unionByName(done)
         todo = known.where("level IS NULL").drop("level", "in_cell")
         if top == DEPTH or todo.isEmpty():
@@ -84,7 +86,7 @@ def nodes(leaved: DataFrame, sums: list[str]) -> DataFrame:
     finest = [F.min(f"i{a}").alias(f"i{a}") for a in AXES]
     leaves = leaved.groupBy("level", "cell").agg(*[F.sum(s).alias(s) for s in sums], *squares, *ends, *finest)
     above = leaves.withColumn("leaf_level", F.col("level")).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("level"))))
-    above = above.withColumn("cell", _cell(F.col("level")))
+    above = above.withColumn("cell", cell_of(F.col("level")))
     outer = [f(f"{n}{a}").alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]
     finest = [F.min(f"i{a}").alias(f"i{a}") for a in AXES]
     names = [*sums, *[f"{s}2" for s in sums]]
@@ -92,7 +94,7 @@ def nodes(leaved: DataFrame, sums: list[str]) -> DataFrame:
     half = lambda a: (F.col(f"hi{a}") - F.col(f"lo{a}")) / 2.0
     radius = F.sqrt(sum((half(a) * half(a) for a in AXES[1:]), half("_x") * half("_x")))
     centre = [((F.col(f"hi{a}") + F.col(f"lo{a}")) / 2.0).alias(f"m{a}") for a in AXES]
-    parent = F.when(F.col("level") > 0, _cell(F.col("level") - 1))
+    parent = F.when(F.col("level") > 0, cell_of(F.col("level") - 1))
     return cells.select("level", "cell", parent.alias("parent"), "is_leaf", radius.alias("radius"), *centre, *names)
 
 
@@ -156,7 +158,7 @@ def distance_bins(locs: DataFrame, weight: str, products: list[str], edges_km: t
     """(bin, pairs, products): over unordered pairs of different locations with edge k <= distance < edge k + 1, the products
     of their weights and of each summed attribute."""
     sums = [weight, *products]
-    leaved = cut_lineage(with_leaves(locs))
+    leaved = cut_lineage(with_leaves(placed(locs)))
     bounds = [chord(e) for e in edges_km if chord(e) < math.inf]
 
     def bin_of(distance: Column) -> Column:
@@ -190,7 +192,7 @@ def band_totals(locs: DataFrame, sums: list[str], band_km: float) -> DataFrame:
 
     A cell that lies wholly within the band of another hands on its sums; they reach the locations through their leaf.
     """
-    leaved = cut_lineage(with_leaves(locs))
+    leaved = cut_lineage(with_leaves(placed(locs)))
     limit = chord(band_km)
     tree = nodes(leaved, sums)
     settled, opened = settle(tree, lambda low, high: F.when(high < limit, 1).when(low > limit, -1), sums)
@@ -200,7 +202,7 @@ def band_totals(locs: DataFrame, sums: list[str], band_km: float) -> DataFrame:
     handed = handed.groupBy("level", "cell").agg(*[F.sum(s).alias(s) for s in sums])
     leaves = leaved.groupBy("level", "cell").agg(*[F.min(f"i{a}").alias(f"i{a}") for a in AXES])
     above = leaves.select(F.col("level").alias("leaf_level"), F.col("cell").alias("leaf_cell"), *[f"i{a}" for a in AXES], F.explode(F.sequence(F.lit(0), F.col("level"))).alias("level"))
-    reached = above.withColumn("cell", _cell(F.col("level"))).join(handed, ["level", "cell"]).groupBy("leaf_level", "leaf_cell").agg(*[F.sum(s).alias(s) for s in sums])
+    reached = above.withColumn("cell", cell_of(F.col("level"))).join(handed, ["level", "cell"]).groupBy("leaf_level", "leaf_cell").agg(*[F.sum(s).alias(s) for s in sums])
     reached = reached.select(F.col("leaf_level").alias("level"), F.col("leaf_cell").alias("cell"), *sums)
     whole = attach(leaved.select("lon", "lat", "level", "cell"), reached, ["level", "cell"]).select("lon", "lat", *sums)
     columns = ["lon", "lat", *sums]

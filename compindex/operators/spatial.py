@@ -14,64 +14,13 @@ from compindex.functions import geo as G
 from compindex.operators import blocks as K
 from compindex.operators import celltree as CT
 from compindex.operators import ranking as R
+from compindex.operators.within import points_within
 from compindex.session import compute_tasks, cut_lineage
 
 
 # --- polygons --------------------------------------------------------------------------
 
 
-def ring_edges(rings: Column) -> Column:
-    """All edges of all rings; rings are closed, holes are rings like any other."""
-    ends = lambda r: F.transform(
-        F.sequence(F.lit(1), F.size(r) - 1),
-        lambda i: F.struct(
-            F.get(r, i - 1)["x"].alias("x1"), F.get(r, i - 1)["y"].alias("y1"),
-            F.get(r, i)["x"].alias("x2"), F.get(r, i)["y"].alias("y2"),
-        ),
-    )
-    return F.flatten(F.transform(rings, ends))
-
-
-def points_within(points: DataFrame, polygons: DataFrame, cell: float = 5.0) -> DataFrame:
-    """Points strictly inside a polygon, with the polygon id as ``unit``.
-
-    Polygons spread over the grid cells of their bounding box, points look up their own cell,
-    and the crossing parity over the polygon's edges decides. Points on an edge do not match.
-    """
-    shaped = polygons.select(F.col("id").alias("unit"), ring_edges(F.col("rings")).alias("edges"))
-    ends = lambda pick, a, b: pick(F.flatten(F.array(F.transform("edges", lambda e: e[a]), F.transform("edges", lambda e: e[b]))))
-    boxed = shaped.select(
-        "unit", "edges",
-        ends(F.array_min, "x1", "x2").alias("x_lo"), ends(F.array_max, "x1", "x2").alias("x_hi"),
-        ends(F.array_min, "y1", "y2").alias("y_lo"), ends(F.array_max, "y1", "y2").alias("y_hi"),
-    )
-    index = lambda c: F.floor(c / cell).cast("int")
-    celled = boxed.withColumn("cx", F.explode(F.sequence(index(F.col("x_lo")), index(F.col("x_hi"))))).withColumn(
-        "cy", F.explode(F.sequence(index(F.col("y_lo")), index(F.col("y_hi"))))
-    )
-    placed = points.withColumn("cx", index(F.col("lon"))).withColumn("cy", index(F.col("lat")))
-    near = placed.join(celled, ["cx", "cy"]).where(
-        (F.col("lon") > F.col("x_lo")) & (F.col("lon") < F.col("x_hi"))
-        & (F.col("lat") > F.col("y_lo")) & (F.col("lat") < F.col("y_hi"))
-    )
-    lon, lat = F.col("lon"), F.col("lat")
-    cross = lambda e: (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
-    spans = lambda e: (e["y1"] > lat) != (e["y2"] > lat)
-    # the crossing lies to the right of the point when the cross product has the sign of the climb
-    hits = lambda e: spans(e) & ((cross(e) > 0) == (e["y2"] > e["y1"])) & (cross(e) != 0)
-    touches = lambda e: (
-        (cross(e) == 0)
-        & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-    )
-    code = F.aggregate(
-        "edges", F.lit(0),
-        lambda acc, e: F.when((acc < 0) | touches(e), F.lit(-1)).otherwise((acc + hits(e).cast("int")) % 2),
-    )
-    tested = near.select(*points.columns, "unit", code.alias("_in"))
-    return tested.where(F.col("_in") == 1).drop("_in")
-
-
 def unit_events(matched: DataFrame, year: str) -> DataFrame:
     """Events and distinct years per polygon."""
     return matched.groupBy("unit").agg(F.count(F.lit(1)).alias("events"), F.count_distinct(year).alias("years"))

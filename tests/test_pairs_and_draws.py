@@ -8,6 +8,7 @@ from compindex.operators import blocks as K
 from compindex.operators import celltree as CT
 from compindex.operators import spatial as G
 from compindex.operators import uncertainty as U
+from compindex.operators import within as W
 
 
 def places(seed=1):
@@ -91,3 +92,34 @@ def test_an_empty_field_has_no_bands(spark):
     scored = field(spark, False).where("false")
     found = U.simulated(scored, 5)
     assert U.rank_bands(found.histogram).count() == 0 and found.agreement.count() == 0
+
+
+def star(rng, cx, cy, size, corners):
+    """A slanted, mostly concave ring around a centre."""
+    angle = np.sort(rng.uniform(0, 2 * np.pi, corners))
+    reach = size * rng.uniform(0.2, 1.0, corners)
+    ring = [(float(cx + r * np.cos(a)), float(cy + r * np.sin(a))) for a, r in zip(angle, reach)]
+    return [*ring, ring[0]]
+
+
+def parity(x, y, rings):
+    inside = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) / (y2 - y1) * (x2 - x1):
+                inside = not inside
+    return inside
+
+
+def test_points_in_slanted_and_many_part_polygons(spark, leaf):
+    rng = np.random.default_rng(4)
+    shapes = [(k, [star(rng, *rng.uniform(-50, 50, 2), 10.0 ** rng.uniform(-2, 1.7), 9) for _ in range(1 + k % 3)]) for k in range(40)]
+    shapes += [(40, [star(rng, 500.0, 500.0, 5.0, 5)]), (41, [[(-99.0, -99.0), (99.0, -99.0), (99.0, 99.0), (-99.0, 99.0), (-99.0, -99.0)]])]
+    places = [(k, float(x), float(y)) for k, (x, y) in enumerate(np.vstack([rng.uniform(-60, 60, (150, 2)), rng.normal(7, 0.01, (150, 2))]))]
+    places += [(900, *places[3][1:]), (901, None, 1.0), (902, 1.0, None)] + [(1000 + k, *places[200][1:]) for k in range(100)]
+    points = spark.createDataFrame(places, "k long, lon double, lat double").repartition(5)
+    polygons = spark.createDataFrame(shapes, "id int, rings array<array<struct<x: double, y: double>>>")
+    want = sorted((k, u) for k, x, y in places if x is not None and y is not None for u, rings in shapes if parity(x, y, rings))
+    found = W.points_within(points, polygons)
+    assert sorted((r["k"], r["unit"]) for r in found.collect()) == want and len(want) > 400
+    assert W.points_within(points.where("false"), polygons).count() == 0 and W.points_within(points, polygons.where("false")).count() == 0
