@@ -18,6 +18,8 @@ from __future__ import annotations
 import os
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.packer = lru_cache(1_000)(lambda n: Struct(f"<{n}I"))
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -63,7 +66,7 @@ class Encoder:
         if found is None:
             found = self.older.get(word)
             if found is None:
-                found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                found = self.packer(len(ids := self.tokenizer.encode(word, add_special_tokens=False).ids)).pack(*ids)
             if len(word) <= 100:
                 if len(self.recent) >= REMEMBERED:
                     self.older, self.recent = self.recent, {}
