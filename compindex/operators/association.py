@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from compindex.functions import noise as Z
 from compindex.operators import order as O
 from compindex.operators import ranking as R
 from compindex.operators import stats as T
-from compindex.session import cut_lineage
+from compindex.session import compute_tasks, cut_lineage
 
 ISOLATE = "Isolate (no neighbours)"
 NOT_SIGNIFICANT = "Not-Significant"
@@ -82,14 +86,32 @@ def group_moran(df: DataFrame, group: str, value: str) -> DataFrame:
     return agg.select("n", F.try_divide(F.col("n") * F.col("_num"), F.col("_w") * F.col("_den")).alias("moran_i"))
 
 
-def moran_permutations(units: DataFrame, edges: DataFrame, perms: int, seed: int) -> DataFrame:
-    """Global I with its pseudo-p and z from seeded reshuffles of the values.
+# A layer that every task may hold: units and edges, a few numbers each.
+UNITS_AT_ONCE, EDGES_AT_ONCE, LAYERS_AT_ONCE = 50_000, 500_000, 100
 
-    The permutation number is a column: all reshuffles are ranked, joined and summed at once.
-    """
-    base = cut_lineage(centred(units, []))
-    edges = cut_lineage(kept_edges(edges, base, []))
-    observed = cut_lineage(moran(lagged(base, edges, []), []))
+
+def fits(base: DataFrame, edges: DataFrame) -> bool:
+    return 0 < base.count() <= UNITS_AT_ONCE and edges.count() <= EDGES_AT_ONCE
+
+
+def permuted_products(base: DataFrame, edges: DataFrame, perms: int, seed: int) -> DataFrame:
+    """(_num): per permutation the sum of z times lag after a reshuffle, each task for its own range of permutations."""
+    told = base.select("id", number_of(base).cast("long").alias("no"), "z").orderBy("id").toPandas()
+    number, z = told["no"].to_numpy(np.int64), told["z"].to_numpy(float)
+    place = pd.Series(np.arange(len(told)), index=told["id"])
+    pairs = edges.select("i", "j", "w").toPandas()
+    i, j, w = place.reindex(pairs["i"]).to_numpy(), place.reindex(pairs["j"]).to_numpy(), pairs["w"].to_numpy(float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            moved = (z[np.argsort(Z.mixed_array(p, number, seed), kind="stable")] for p in batch["id"].tolist())
+            yield pd.DataFrame({"_num": [float((m[i] * m[j] * w).sum()) for m in moved]})
+
+    return cut_lineage(base.sparkSession.range(1, perms + 1, 1, compute_tasks(base)).mapInPandas(run, "_num double"))
+
+
+def reshuffled(base: DataFrame, edges: DataFrame, perms: int, seed: int) -> DataFrame:
+    """The same for a layer of any size: all reshuffles are ranked, joined and summed at once."""
     drawn = base.select("id", "z", F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm"))
     drawn = drawn.withColumn("_h", Z.mixed(F.col("perm"), number_of(base), seed))
     shuffled = O.ranked(drawn, ["perm"], [F.col("_h"), F.col("id")], "place").select("perm", "place", "z")
@@ -101,6 +123,19 @@ def moran_permutations(units: DataFrame, edges: DataFrame, perms: int, seed: int
     sums = lag.join(seated.withColumnRenamed("id", "i"), ["perm", "i"]).groupBy("perm").agg(
         F.sum(F.col("z") * F.col("lag")).alias("_num")
     )
+    return sums
+
+
+def moran_permutations(units: DataFrame, edges: DataFrame, perms: int, seed: int) -> DataFrame:
+    """Global I with its pseudo-p and z from seeded reshuffles of the values.
+
+    A layer of up to ``UNITS_AT_ONCE`` units and ``EDGES_AT_ONCE`` edges (both are counted) goes to every task, and a task returns one
+    number per reshuffle. A larger one is reshuffled as a table with the permutation number as a column.
+    """
+    base = cut_lineage(centred(units, []))
+    edges = cut_lineage(kept_edges(edges, base, []))
+    observed = cut_lineage(moran(lagged(base, edges, []), []))
+    sums = permuted_products(base, edges, perms, seed) if fits(base, edges) else reshuffled(base, edges, perms, seed)
     row = observed.select(F.struct("n", "n_isolates", "moran_i")).scalar()
     ss = base.agg(F.max("ss")).scalar()
     active = row["n"] - row["n_isolates"]
@@ -154,6 +189,48 @@ def simulated(base: DataFrame, layers: list[str], value: str, perms: int, seed:
     )
 
 
+def conditional_counts(lag: DataFrame, layers: list[str], perms: int, seed: int) -> DataFrame | None:
+    """(layers, id, _plain, _signed, _perms, _shift, _squares): every unit's neighbour sum against those of ``perms`` orders, counted where it is drawn.
+
+    ``_signed`` counts simulated local statistics, ``_plain`` simulated sums with the unit itself, that are at least its own; ``_shift`` and
+    ``_squares`` add up how far simulated means of neighbours lie from its own. None if the layers are too large for one task.
+    """
+    told_layers = [r.asDict() for r in lag.groupBy(*layers).count().limit(LAYERS_AT_ONCE + 1).collect()] if layers else [{"count": lag.count()}]
+    if not told_layers or len(told_layers) > LAYERS_AT_ONCE or sum(t["count"] for t in told_layers) > UNITS_AT_ONCE or not told_layers[0]["count"]:
+        return None
+    told = lag.select(*layers, "id", number_of(lag).cast("long").alias("no"), "z", "k", (F.col("lag") * F.col("k")).alias("own"), "n", "ss").orderBy(*layers, "id").toPandas()
+    parts = [group for _, group in told.groupby(layers, sort=True)] if layers else [told]
+    arrays = [tuple(p[c].to_numpy() for c in ("no", "z", "k", "own", "n", "ss")) + (p.index.to_numpy(),) for p in parts]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain, signed, count = np.zeros(len(told), np.int64), np.zeros(len(told), np.int64), 0
+        shift, squares = np.zeros(len(told)), np.zeros(len(told))
+        for perm in (p for batch in batches for p in batch["id"].tolist()):
+            count += 1
+            for number, z, k, own, n, ss, rows in arrays:
+                order = np.argsort(Z.mixed_array(perm, number, seed), kind="stable")
+                seat = np.empty(len(z), np.int64)
+                seat[order] = np.arange(len(z))
+                upto = np.append(0.0, np.cumsum(z[order]))
+                after = np.append(z[order], 0.0)
+                # the first k units of the order, the unit itself skipped
+                sim = upto[k] + np.where(seat < k, after[k] - z, 0.0)
+                size = np.maximum(k, 1)
+                plain[rows] += (z + sim) / (k + 1) >= (z + own) / (k + 1) - np.sqrt(ss / n) * TIE
+                signed[rows] += (n - 1) / ss * z * sim / size >= (n - 1) / ss * z * own / size - TIE
+                away = (sim - own) / size
+                shift[rows] += away
+                squares[rows] += away * away
+        if count:
+            yield pd.DataFrame({"row": np.arange(len(told)), "_plain": plain, "_signed": signed, "_perms": count, "_shift": shift, "_squares": squares})
+
+    spark = lag.sparkSession
+    drawn = spark.range(1, perms + 1, 1, compute_tasks(lag)).mapInPandas(run, "row long, _plain long, _signed long, _perms long, _shift double, _squares double")
+    counted = drawn.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("_plain", "_signed", "_perms", "_shift", "_squares")])
+    names = spark.createDataFrame(told[[*layers, "id"]].assign(row=range(len(told))), lag.select(*layers, "id", F.lit(0).cast("long").alias("row")).schema)
+    return cut_lineage(names.join(counted, "row").drop("row"))
+
+
 def local_moran(units: DataFrame, edges: DataFrame, layers: list[str], perms: int, seed: int, alpha: float = 0.05):
     """Local I, quadrant, conditional-permutation p, FDR and cluster labels.
 
@@ -164,13 +241,24 @@ def local_moran(units: DataFrame, edges: DataFrame, layers: list[str], perms: in
     lag = cut_lineage(lagged(base, edges, layers))
     scale = (F.col("n") - 1) / F.col("ss")
     local = scale * F.col("z") * F.col("lag")
-    sims = simulated(lag, layers, "z", perms, seed)
-    sim_i = scale * F.col("z") * F.col("_sim_sum") / F.col("k")
-    counted = sims.groupBy(*layers, "id").agg(
-        F.count_if(sim_i >= local - TIE).alias("_larger"), F.count(F.lit(1)).alias("_perms"),
-        F.avg(sim_i).alias("_mean"), F.stddev_pop(sim_i).alias("_sd"),
-    )
-    joined = lag.join(counted, [*layers, "id"], "left").select(
+    counted = conditional_counts(lag, layers, perms, seed)
+    if counted is None:
+        sims = simulated(lag, layers, "z", perms, seed)
+        sim_i = scale * F.col("z") * F.col("_sim_sum") / F.col("k")
+        counted = sims.groupBy(*layers, "id").agg(
+            F.count_if(sim_i >= local - TIE).alias("_larger"), F.count(F.lit(1)).alias("_perms"),
+            F.avg(sim_i).alias("_mean"), F.stddev_pop(sim_i).alias("_sd"),
+        )
+        joined = lag.join(counted, [*layers, "id"], "left")
+    else:
+        # deviations from the unit's own value, which the local statistic only scales
+        mean = F.col("_shift") / F.col("_perms")
+        spread = F.sqrt(F.greatest(F.col("_squares") / F.col("_perms") - mean * mean, F.lit(0.0)))
+        unit = scale * F.col("z")
+        joined = lag.join(counted, [*layers, "id"], "left").withColumns(
+            {"_larger": F.when(F.col("k") > 0, F.col("_signed")), "_mean": local + unit * mean, "_sd": F.when(F.col("k") > 0, F.abs(unit) * spread)}
+        )
+    joined = joined.select(
         *layers, "id", "y", "k", local.alias("local_i"), B.quadrant(F.col("z"), F.col("lag")).alias("quadrant"),
         F.when(F.col("_sd") > 0, F.try_divide(local - F.col("_mean"), F.col("_sd"))).alias("z_sim"),
         folded_p(F.col("_larger"), F.col("_perms")).alias("p_raw"),
@@ -190,11 +278,15 @@ def local_gi_star(units: DataFrame, edges: DataFrame, layers: list[str], perms:
     spread = F.sqrt(F.col("ss") / F.col("n"))
     scale = spread * F.sqrt((F.col("n") / size - 1.0) / (F.col("n") - 1))
     z = F.when(scale > 0, F.try_divide(star, scale)).otherwise(0.0)
-    sims = simulated(lag, layers, "z", perms, seed)
-    sim_star = (F.col("z") + F.col("_sim_sum")) / size
-    counted = sims.groupBy(*layers, "id").agg(
-        F.count_if(sim_star >= star - spread * TIE).alias("_larger"), F.count(F.lit(1)).alias("_perms")
-    )
+    counted = conditional_counts(lag, layers, perms, seed)
+    if counted is None:
+        sims = simulated(lag, layers, "z", perms, seed)
+        sim_star = (F.col("z") + F.col("_sim_sum")) / size
+        counted = sims.groupBy(*layers, "id").agg(
+            F.count_if(sim_star >= star - spread * TIE).alias("_larger"), F.count(F.lit(1)).alias("_perms")
+        )
+    else:
+        counted = counted.join(lag.select(*layers, "id", "k"), [*layers, "id"]).select(*layers, "id", F.when(F.col("k") > 0, F.col("_plain")).alias("_larger"), "_perms")
     joined = lag.join(counted, [*layers, "id"], "left").select(
         *layers, "id", "k", z.alias("gistar_z"), folded_p(F.col("_larger"), F.col("_perms")).alias("gistar_p")
     )

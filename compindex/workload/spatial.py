@@ -113,17 +113,23 @@ _PERM = {
 }
 
 
-@query(
-    "moran_permutation_test",
-    X.sql("", f"""SELECT o.n, round(o.i, 8) AS moran_i, round((o.i - s.m) / s.sd, 6) AS z_sim, round((least(s.c, {PERMS} - s.c) + 1) / {PERMS + 1}.0, 8) AS p_sim
-      FROM obs o, (SELECT count(*) FILTER (WHERE sim >= (SELECT i FROM obs) - 1e-12) AS c, avg(sim) AS m, stddev_pop(sim) AS sd FROM sims) s""",
-      {**_PERM,
+_MORAN_PERM_SQL = f"""SELECT o.n, round(o.i, 8) AS moran_i, round((o.i - s.m) / s.sd, 6) AS z_sim, round((least(s.c, {PERMS} - s.c) + 1) / {PERMS + 1}.0, 8) AS p_sim
+      FROM obs o, (SELECT count(*) FILTER (WHERE sim >= (SELECT i FROM obs) - 1e-12) AS c, avg(sim) AS m, stddev_pop(sim) AS sd FROM sims) s"""
+
+
+_SIMS = {
        "obs": "SELECT max(n) AS n, max(n) * sum(z * lag) / (count(*) FILTER (WHERE k > 0) * max(ss)) AS i FROM lag",
        "seat": "SELECT id, row_number() OVER (ORDER BY id) AS place FROM zed",
        "seated": "SELECT p.perm, s.id, p.z FROM placed p JOIN seat s USING (place)",
        "deg": "SELECT i, count(*) AS k FROM adj GROUP BY i",
        "sims": "SELECT a.perm, (SELECT max(n) FROM zed) * sum(a.z * b.z / deg.k) / ((SELECT count(*) FROM deg) * (SELECT max(ss) FROM zed)) AS sim "
-               "FROM adj JOIN deg USING (i) JOIN seated a ON a.id = adj.i JOIN seated b ON b.id = adj.j AND b.perm = a.perm GROUP BY a.perm"}),
+               "FROM adj JOIN deg USING (i) JOIN seated a ON a.id = adj.i JOIN seated b ON b.id = adj.j AND b.perm = a.perm GROUP BY a.perm"}
+
+
+@query(
+    "moran_permutation_test",
+    X.sql("", _MORAN_PERM_SQL,
+      {**_PERM, **_SIMS}),
 )
 def moran_permutation_test(spark, sf):
     out = M.moran_permutations(unit_means(spark, sf), G.queen_edges(polygons(spark, sf)), PERMS, SEED)
@@ -140,20 +146,26 @@ _BHSQL = """SELECT id, least(CAST(1 AS DOUBLE), min(p * m / i) OVER (ORDER BY i
   (SELECT id, p, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS m FROM pv)"""
 
 
-@query(
-    "local_moran",
-    X.sql("", """SELECT l.id, round((l.n - 1) * l.z * l.lag / l.ss, 8) AS local_i,
+_LOCAL_MORAN_SQL = """SELECT l.id, round((l.n - 1) * l.z * l.lag / l.ss, 8) AS local_i,
       CASE WHEN z > 0 AND lag > 0 THEN 'High-High' WHEN z <= 0 AND lag > 0 THEN 'Low-High' WHEN z <= 0 THEN 'Low-Low' ELSE 'High-Low' END AS quadrant,
       round(pv.zs, 6) AS z_sim, round(pv.p, 8) AS p_raw, round(bh.q, 8) AS p_fdr,
       CASE WHEN l.k = 0 THEN 'Isolate (no neighbours)' WHEN pv.p < 0.05 THEN CASE WHEN z > 0 AND lag > 0 THEN 'High-High' WHEN z <= 0 AND lag > 0 THEN 'Low-High'
         WHEN z <= 0 THEN 'Low-Low' ELSE 'High-Low' END ELSE 'Not-Significant' END AS cluster_raw,
       CASE WHEN l.k = 0 THEN 'Isolate (no neighbours)' WHEN bh.q < 0.05 THEN CASE WHEN z > 0 AND lag > 0 THEN 'High-High' WHEN z <= 0 AND lag > 0 THEN 'Low-High'
         WHEN z <= 0 THEN 'Low-Low' ELSE 'High-Low' END ELSE 'Not-Significant' END AS cluster_fdr
-      FROM lag l LEFT JOIN pv USING (id) LEFT JOIN bh USING (id)""",
-      {**_LOCAL,
+      FROM lag l LEFT JOIN pv USING (id) LEFT JOIN bh USING (id)"""
+
+
+_LOCAL_P = {
        "pv": f"SELECT id, (least(c, {PERMS} - c) + 1) / {PERMS + 1}.0 AS p, zs FROM (SELECT id, count(*) FILTER (WHERE (n - 1) / ss * z * slag >= (n - 1) / ss * z * lag - 1e-12) AS c, "
              "any_value((n - 1) / ss * z * lag) AS i0, (any_value((n - 1) / ss * z * lag) - avg((n - 1) / ss * z * slag)) / stddev_pop((n - 1) / ss * z * slag) AS zs FROM sim GROUP BY id)",
-       "bh": _BHSQL}),
+       "bh": _BHSQL}
+
+
+@query(
+    "local_moran",
+    X.sql("", _LOCAL_MORAN_SQL,
+      {**_LOCAL, **_LOCAL_P}),
 )
 def local_moran(spark, sf):
     out = M.local_moran(unit_means(spark, sf), G.queen_edges(polygons(spark, sf)), [], PERMS, SEED)
@@ -171,13 +183,19 @@ def cluster_counts(spark, sf):
     return out.groupBy(F.col("cluster_raw").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_GI_SQL = """SELECT l.id, round((z + lag * k) / (k + 1) / (sqrt(ss / n) * sqrt((n / (k + 1) - 1) / (n - 1))), 8) AS gistar_z, round(pv.p, 8) AS gistar_p, round(bh.q, 8) AS gistar_p_fdr,
+      CASE WHEN k = 0 THEN 'Isolate (no neighbours)' WHEN bh.q >= 0.05 THEN 'Not-Significant' WHEN (z + lag * k) > 0 THEN 'Hot-Spot' ELSE 'Cold-Spot' END AS gistar_cluster
+      FROM lag l LEFT JOIN pv USING (id) LEFT JOIN bh USING (id)"""
+
+
+_GI_P = { "pv": f"SELECT id, (least(c, {PERMS} - c) + 1) / {PERMS + 1}.0 AS p FROM (SELECT id, count(*) FILTER (WHERE (z + slag * k) / (k + 1) >= (z + lag * k) / (k + 1) - 1e-12 * sqrt(ss / n)) AS c FROM sim GROUP BY id)",
+       "bh": _BHSQL}
+
+
 @query(
     "contiguity_gi_star",
-    X.sql("", """SELECT l.id, round((z + lag * k) / (k + 1) / (sqrt(ss / n) * sqrt((n / (k + 1) - 1) / (n - 1))), 8) AS gistar_z, round(pv.p, 8) AS gistar_p, round(bh.q, 8) AS gistar_p_fdr,
-      CASE WHEN k = 0 THEN 'Isolate (no neighbours)' WHEN bh.q >= 0.05 THEN 'Not-Significant' WHEN (z + lag * k) > 0 THEN 'Hot-Spot' ELSE 'Cold-Spot' END AS gistar_cluster
-      FROM lag l LEFT JOIN pv USING (id) LEFT JOIN bh USING (id)""",
-      {**_LOCAL, "pv": f"SELECT id, (least(c, {PERMS} - c) + 1) / {PERMS + 1}.0 AS p FROM (SELECT id, count(*) FILTER (WHERE (z + slag * k) / (k + 1) >= (z + lag * k) / (k + 1) - 1e-12 * sqrt(ss / n)) AS c FROM sim GROUP BY id)",
-       "bh": _BHSQL}),
+    X.sql("", _GI_SQL,
+      {**_LOCAL, **_GI_P}),
 )
 def contiguity_gi_star(spark, sf):
     out = M.local_gi_star(unit_means(spark, sf), G.queen_edges(polygons(spark, sf)), [], PERMS, SEED)
@@ -223,10 +241,13 @@ _DISC_LOCAL = {
 }
 
 
+_SETS_SQL = """SELECT count(*) FILTER (WHERE a) AS n_composite, count(*) FILTER (WHERE b) AS n_reference, count(*) FILTER (WHERE c) AS n_residual, count(*) FILTER (WHERE a AND c) AS n_surviving,
+      count(*) FILTER (WHERE a AND b AND NOT c) AS n_explained, coalesce(CAST(count(*) FILTER (WHERE a AND b) AS DOUBLE) / nullif(count(*) FILTER (WHERE a OR b), 0), CAST(0 AS DOUBLE)) AS jaccard FROM hh"""
+
+
 @query(
     "discriminant_sets",
-    X.sql("", """SELECT count(*) FILTER (WHERE a) AS n_composite, count(*) FILTER (WHERE b) AS n_reference, count(*) FILTER (WHERE c) AS n_residual, count(*) FILTER (WHERE a AND c) AS n_surviving,
-      count(*) FILTER (WHERE a AND b AND NOT c) AS n_explained, coalesce(CAST(count(*) FILTER (WHERE a AND b) AS DOUBLE) / nullif(count(*) FILTER (WHERE a OR b), 0), CAST(0 AS DOUBLE)) AS jaccard FROM hh""", _DISC_LOCAL),
+    X.sql("", _SETS_SQL, _DISC_LOCAL),
 )
 def discriminant_sets(spark, sf):
     """Survivors of the High-High set and the Jaccard overlap with the reference set."""

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compindex.operators import association as M
 from compindex.operators import blocks as K
 from compindex.operators import celltree as CT
 from compindex.operators import spatial as G
@@ -123,3 +124,19 @@ def test_points_in_slanted_and_many_part_polygons(spark, leaf):
     found = W.points_within(points, polygons)
     assert sorted((r["k"], r["unit"]) for r in found.collect()) == want and len(want) > 400
     assert W.points_within(points.where("false"), polygons).count() == 0 and W.points_within(points, polygons.where("false")).count() == 0
+
+
+def test_permutations_counted_in_tasks_equal_those_of_tables(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    units = [(layer, i - 3, float(rng.normal())) for layer in "ab" for i in range(30)] + [("a", 99, 1.0), ("b", 98, None), ("b", 99, 2.0)]
+    pairs = {(int(a) - 3, int(b) - 3) for a, b in rng.integers(0, 30, (70, 2)) if a != b} | {(-3, k) for k in range(0, 20)}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs | {(b, a) for a, b in pairs}], "i long, j long, w double")
+    table, out = spark.createDataFrame(units, "layer string, id long, y double"), []
+    one = table.where("layer = 'a'").drop("layer")
+    for limit in (50_000, 10):
+        monkeypatch.setattr(M, "UNITS_AT_ONCE", limit)
+        row = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+        local = M.local_moran(table, edges, ["layer"], 60, 5).select("layer", "id", "local_i", "z_sim", "p_raw", "p_fdr", "cluster_raw")
+        star = M.local_gi_star(one, edges, [], 60, 5).select("id", "gistar_z", "gistar_p", "gistar_p_fdr")
+        out.append([sorted(map(row, f.collect())) for f in (local, star, M.moran_permutations(one, edges, 60, 5))])
+    assert out[0] == out[1] and len(out[0][0]) == 62
