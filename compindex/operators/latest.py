@@ -111,6 +111,11 @@ def category_weighted_sum(
     return df.groupBy(*keys).agg(F.sum(weight * F.coalesce(F.col(size), F.lit(0.0))).alias("weighted_size"))
 
 
+def largest_per_key(shares: DataFrame, areas: DataFrame, area: str, key: str = "key", value: str = "share") -> DataFrame:
+    """Areas as keys: the larger value where several areas map to one key; areas without a key are left out."""
+    return shares.join(areas.where(F.col(key).isNotNull()), area).groupBy(key).agg(F.max(value).alias(value))
+
+
 def channel_share(
     cells: DataFrame,
     area: str,

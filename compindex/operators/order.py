@@ -118,6 +118,23 @@ def ladder(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return prefix(counts, groups, [F.col(value)], sums={"below": "n"}, totals={"total": "n"})
 
 
+def share_at(probes: DataFrame, steps: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    """``probes`` with the share of the population whose value is at most theirs; the values need not occur in it.
+
+    ``steps`` is the ``ladder`` of the population. Its rows and the distinct asked values are sorted together by range, and each
+    asked value takes the last step at or below it, so neither side is looked up by equality and no value is a hot key. A value below
+    all others has a share of 0, one of a group without population null; null values keep null.
+    """
+    probes = cut_lineage(probes)
+    asked = probes.where(F.col(value).isNotNull()).select(*groups, value).distinct()
+    line = steps.select(*groups, value, (-(F.col("below") + F.col("n"))).alias("_upto"), F.col("n").alias("_n"), F.lit(False).alias("_asked"))
+    line = line.unionByName(asked.select(*groups, value, F.lit(None).cast("long").alias("_upto"), F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_asked")))
+    # the running minimum of what is negative is the running count
+    run = prefix(line, groups, [F.col(value), F.col("_asked")], mins={"_least": "_upto"}, totals={"_total": "_n"}).where("_asked")
+    share = F.try_divide(F.coalesce(-F.col("_least"), F.lit(0)).cast("double"), F.col("_total"))
+    return attach(probes, run.select(*groups, value, share.alias(name)), [*groups, value], "left").select(*probes.columns, name)
+
+
 def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one column per named share."""
     steps = ladder(df, groups, value)

@@ -104,6 +104,25 @@ def winsor_minmax(long: DataFrame, groups: list[str], value: str = "value", tail
     return joined.withColumn("score", score).drop("_lo", "_hi")
 
 
+# Texts of the flags of a relative scale.
+RELATIVE_FLAG = "RELATIVE-FALLBACK (%s) -- no absolute anchor; not comparable across refreshes"
+RELATIVE_COVERAGE_FLAG = "BELOW-COVERAGE-FLOOR (%d/%d = %.0f%%) -- low-confidence"
+
+
+def relative_meta(scored: DataFrame, universe_size: DataFrame, spec: DataFrame, method: str, series: str = "series") -> DataFrame:
+    """Coverage row of every relatively scaled series; the relative flag is always set, the coverage flag below the floor.
+
+    ``spec`` is that of the absolute scale: its direction still holds, its anchors do not.
+    """
+    meta = coverage_meta(scored, universe_size, spec, series).drop("flags").join(spec.select(F.col("series").alias(series), "inverted"), series)
+    low = F.format_string(RELATIVE_COVERAGE_FLAG, F.col("n_present"), F.col("n_total"), F.col("coverage_pct"))
+    flags = F.array_compact(F.array(F.lit(RELATIVE_FLAG % method), F.when(F.col("below_floor"), low)))
+    direction = F.when(F.col("inverted"), "low_risk").otherwise("high_risk")
+    return meta.select(
+        series, direction.alias("direction"), F.lit(f"relative:{method}").alias("method"), "coverage_pct", "n_present", "n_total", "below_floor", flags.alias("flags")
+    )
+
+
 def percentile_scale(long: DataFrame, groups: list[str], value: str = "value", inverted: bool = False) -> DataFrame:
     """Strictly-below count over ``n - 1``."""
     standing = O.with_standing(long, groups, value)

@@ -55,21 +55,48 @@ def domains_table(
     )
 
 
-def indicators_table(signals: DataFrame, crosswalk: DataFrame, ramped: list[tuple[str, str]]) -> DataFrame:
-    """As-entered values with their positional number; ramped signals pass the materiality ramp."""
+def indicators_table(
+    signals: DataFrame, crosswalk: DataFrame, ramped: list[tuple[str, str]], overrides: DataFrame | None = None, modeled: DataFrame | None = None
+) -> DataFrame:
+    """As-entered values with their positional number; ramped signals pass the materiality ramp.
+
+    ``overrides`` (key, tbl, col, value) replace what was observed and are entered as they are. ``modeled`` (key, tbl, col, value, lo, hi)
+    fill what is neither observed nor overridden; they are marked, carry their interval and pass no ramp.
+    """
+    slot = ["key", "tbl", "col"]
+    signals = signals.where(F.col("value").isNotNull()).select(*slot, "value", F.lit(0).alias("_rank"))
+    for extra, rank in ((overrides, 1), (modeled, 2)):
+        if extra is not None:
+            ends = [(F.col(c) if rank == 2 else F.lit(None).cast("double")).alias(c) for c in ("lo", "hi")]
+            signals = signals.unionByName(extra.select(*slot, "value", *ends, F.lit(rank).alias("_rank")), allowMissingColumns=True)
+    if overrides is not None or modeled is not None:
+        signals = signals if "lo" in signals.columns else signals.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+        first = F.when(F.col("_rank") == 1, 0).when(F.col("_rank") == 0, 1).otherwise(2)
+        best = F.min_by(F.struct("value", "lo", "hi", "_rank"), first).alias("_b")
+        signals = signals.groupBy(*slot).agg(best).select(*slot, "_b.*")
+    else:
+        signals = signals.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
     numbered = R.positional_numbers(crosswalk, "phase", "domain_pos", "pos")
     hit = F.lit(False)
     for tbl, col in ramped:
         hit = hit | ((F.col("tbl") == tbl) & (F.col("col") == col))
-    entered = F.when(hit, S.materiality_ramp(F.col("value"))).otherwise(F.col("value"))
-    return signals.join(numbered, ["tbl", "col"]).select("key", "number", "domain", "tbl", "col", entered.alias("value"))
+    entered = F.when(hit & (F.col("_rank") == 0), S.materiality_ramp(F.col("value"))).otherwise(F.col("value"))
+    return signals.join(numbered, ["tbl", "col"]).select(
+        "key", "number", "domain", "tbl", "col", entered.alias("value"), (F.col("_rank") == 1).alias("overridden"), (F.col("_rank") == 2).alias("modeled"), "lo", "hi"
+    )
+
 
+def modeled_list(indicators: DataFrame) -> DataFrame:
+    """The fenced estimates of an indicator table with their intervals, each indicator of a key once."""
+    return indicators.where("modeled").select("key", "tbl", "col", "value", "lo", "hi").distinct()
 
-def divergence_table(units: DataFrame, ranked: DataFrame, universe_size: Column, share: float = 0.9) -> DataFrame:
+
+def divergence_table(units: DataFrame, ranked: DataFrame, universe_size: Column, share: float = 0.9, events: DataFrame | None = None) -> DataFrame:
     """Worst unit of each group against the group's own standing.
 
     ``units`` is (group, unit, risk); ``ranked`` is (group, rank) of the scored groups.
-    Percentiles run over the scored groups, the quartile cut over the whole universe.
+    Percentiles run over the scored groups, the quartile cut over the whole universe. ``events`` (group, hot) adds the number of
+    significant events and whether the group occurs among them at all.
     """
     units = cut_lineage(units.where(F.col("risk").isNotNull()))
     profile = T.group_profile(units, ["group"], "risk")
@@ -81,13 +108,17 @@ def divergence_table(units: DataFrame, ranked: DataFrame, universe_size: Column,
     cut = O.quantiles(units, [], "risk", {"cut": share}).scalar()
     n_scored = ranked.agg(F.count("rank")).scalar()
     out = profile.join(worst, "group").join(ecdf, "worst_risk").join(ranked, "group", "left")
+    out = O.share_at(out, steps.withColumnRenamed("risk", "p90"), [], "p90", "p90_pctile")
+    if events is not None:
+        out = event_marks(out, events, "group")
+    marks = ["n_hot", "in_layer"] if events is not None else []
     national = R.percentile_from_rank(F.col("rank"), n_scored)
     top = F.col("worst_risk") >= cut
     return out.select(
         "group", "rank", F.when(F.col("rank").isNotNull(), national).alias("national_pctile"), F.col("n").alias("n_units"),
-        F.col("mean").alias("risk_mean"), F.col("p90").alias("risk_p90"), "worst_unit", "worst_risk", "corridor_pctile",
+        F.col("mean").alias("risk_mean"), F.col("p90").alias("risk_p90"), "p90_pctile", "worst_unit", "worst_risk", "corridor_pctile",
         (F.col("corridor_pctile") - F.when(F.col("rank").isNotNull(), national)).alias("divergence"), F.col("range").alias("within_range"),
-        top.alias("top_decile"), F.coalesce(top & (F.col("rank") > universe_size * 0.25), F.lit(False)).alias("headline"),
+        top.alias("top_decile"), F.coalesce(top & (F.col("rank") > universe_size * 0.25), F.lit(False)).alias("headline"), *marks,
     )
 
 
@@ -172,12 +203,26 @@ def ratio_of(amounts: DataFrame, bases: DataFrame, key: str = "key") -> DataFram
     return both.where(F.col("base") != 0).select(key, F.try_divide(F.col("amount"), F.col("base")).alias("ratio"))
 
 
-def registry_document(crosswalk: DataFrame, register: DataFrame, labels: DataFrame) -> DataFrame:
-    """phase > domain > indicator rows with provenance; a missing register row gets a note."""
-    joined = crosswalk.join(register, ["tbl", "col"], "left").join(labels, "domain", "left")
+def registry_document(
+    crosswalk: DataFrame, register: DataFrame, labels: DataFrame, aliases: DataFrame | None = None, circular: DataFrame | None = None, defeaters: tuple[str, ...] = ()
+) -> DataFrame:
+    """phase > domain > indicator rows with provenance and role; a missing register row gets a note.
+
+    ``register`` is (tbl, register_key, source, year_max); ``aliases`` (col, register_key) names the columns that the register keeps under
+    another key. Signals in ``circular`` (domain, tbl, col) are flagged, those of the domains ``defeaters`` only attenuate, all others generate.
+    """
+    keyed = crosswalk if aliases is None else crosswalk.join(aliases, "col", "left")
+    key = F.col("col") if aliases is None else F.coalesce("register_key", "col")
+    keyed = keyed.withColumn("register_key", key)
+    if circular is not None:
+        keyed = keyed.join(circular.select("domain", "tbl", "col", F.lit(True).alias("_circular")).distinct(), ["domain", "tbl", "col"], "left")
+    else:
+        keyed = keyed.withColumn("_circular", F.lit(False))
+    role = F.when(F.col("_circular"), "circular-flagged").when(F.col("domain").isin(*defeaters), "defeater").otherwise("generating")
+    joined = keyed.withColumn("role", role).join(register, ["tbl", "register_key"], "left").join(labels, "domain", "left")
     note = F.when(F.col("source").isNull(), F.lit("no register row"))
     item = F.struct(
-        "pos", F.concat_ws(".", "tbl", "col").alias("indicator"), F.col("source"), F.col("year_max"), note.alias("note")
+        "pos", F.concat_ws(".", "tbl", "col").alias("indicator"), "register_key", "role", F.col("source"), F.col("year_max"), note.alias("note")
     )
     domains = joined.groupBy("phase", "domain", F.coalesce("label", F.col("domain")).alias("label")).agg(
         F.array_sort(F.collect_list(item)).alias("indicators")

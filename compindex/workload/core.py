@@ -189,26 +189,48 @@ _CELLS = """SELECT area, grp, sector, value FROM (SELECT l_suppkey AS area, l_li
     ORDER BY extract(year FROM l_shipdate) DESC, l_orderkey, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1"""
 
 
-@query(
-    "channel_share",
-    f"""WITH c AS ({_CELLS}), w AS (SELECT area,
+_SHARES = f"""WITH c AS ({_CELLS}), w AS (SELECT area,
       max(value) FILTER (WHERE grp = 'O' AND sector = 'total') AS ot, max(value) FILTER (WHERE grp = 'O' AND sector = 's1') AS o1,
       max(value) FILTER (WHERE grp = 'O' AND sector = 's2') AS o2, max(value) FILTER (WHERE grp = 'O' AND sector = 's3') AS o3,
       max(value) FILTER (WHERE grp = 'F' AND sector = 'total') AS ft, max(value) FILTER (WHERE grp = 'F' AND sector = 's1') AS f1,
       max(value) FILTER (WHERE grp = 'F' AND sector = 's4') AS f4 FROM c GROUP BY area),
     s AS (SELECT area, CASE WHEN ot > 0 THEN (o1 + o2 + o3) / ot END AS a,
       CASE WHEN ft > 0 THEN (f1 + coalesce(f4, 0.0)) / ft END AS b FROM w)
-    SELECT area, round(least(1.0, greatest(a, b)), 8) AS share FROM s WHERE greatest(a, b) IS NOT NULL""",
+"""
+
+
+@query(
+    "channel_share",
+    _SHARES + """SELECT area, round(least(1.0, greatest(a, b)), 8) AS share FROM s WHERE greatest(a, b) IS NOT NULL""",
 )
 def channel_share(spark, sf):
-    rows = X.table(spark, sf, "lineitem").select(
+    return _channel_share(_sector_rows(spark, sf)).select("area", r8("share"))
+
+
+def _sector_rows(spark, sf):
+    return X.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("area"), F.col("l_linestatus").alias("grp"),
         F.when(F.col("l_linenumber") == 7, "total").otherwise(F.concat(F.lit("s"), F.col("l_linenumber"))).alias("sector"),
         F.year("l_shipdate").alias("year"), F.col("l_orderkey").alias("seq"), F.col("l_extendedprice").alias("value"),
     )
+
+
+def _channel_share(rows):
     cells = L.latest_value(rows, ["area", "grp", "sector"])
     channels = {"O": {"required": ["s1", "s2", "s3"]}, "F": {"required": ["s1"], "optional": ["s4"]}}
-    return L.channel_share(cells, "area", "grp", "sector", "value", channels, "total").select("area", r8("share"))
+    return L.channel_share(cells, "area", "grp", "sector", "value", channels, "total")
+
+
+@query(
+    "channel_share_by_key",
+    _SHARES + "SELECT CAST(s_nationkey AS INTEGER) AS key, max(round(least(1.0, greatest(a, b)), 8)) AS share FROM s JOIN supplier ON s_suppkey = area WHERE greatest(a, b) IS NOT NULL AND s_nationkey % 4 <> 1 GROUP BY 1",
+)
+def channel_share_by_key(spark, sf):
+    """Areas as keys: several areas map to one key, some to none."""
+    areas = X.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("area"), F.when(F.col("s_nationkey") % 4 != 1, F.col("s_nationkey")).cast("int").alias("key")
+    )
+    return L.largest_per_key(_channel_share(_sector_rows(spark, sf)), areas, "area").select("key", r8("share"))
 
 
 # --- scaling ---------------------------------------------------------------------------
@@ -263,6 +285,20 @@ def winsor_minmax(spark, sf):
     return N.winsor_minmax(latest, ["series"]).select("key", "series", r8("score"))
 
 
+@query(
+    "relative_scale_meta",
+    X.sql("uni lat", """SELECT series, CASE WHEN series IN ('purchase', 'signup') THEN 'low_risk' ELSE 'high_risk' END AS direction, 'relative:winsor_minmax' AS method, round(pct, 8) AS coverage_pct, n_present, n_total, below AS below_floor,
+      'RELATIVE-FALLBACK (winsor_minmax) -- no absolute anchor; not comparable across refreshes' || CASE WHEN below THEN '|BELOW-COVERAGE-FLOOR (' || n_present || '/' || n_total || ' = ' || printf('%.0f', pct) || '%) -- low-confidence' ELSE '' END AS flags
+      FROM (SELECT *, 100.0 * n_present / n_total AS pct, n_present / n_total < 0.5 OR n_present < 2 AS below FROM (SELECT series, count(value) AS n_present, (SELECT count(*) FROM uni) AS n_total FROM lat WHERE key % 3 = 0 OR series <> 'view' GROUP BY series))"""),
+)
+def relative_scale_meta(spark, sf):
+    """Coverage of the relative scale; one series lost most of its keys, so that both flags occur."""
+    latest = L.latest_value(X.observations(spark, sf), ["key", "series"]).where((F.col("key") % 3 == 0) | (F.col("series") != "view"))
+    scaled = N.winsor_minmax(latest, ["series"])
+    meta = N.relative_meta(scaled, X.universe_size(spark, sf), X.spec(spark), "winsor_minmax")
+    return meta.withColumn("flags", F.array_join("flags", "|")).withColumn("coverage_pct", F.round("coverage_pct", 8))
+
+
 @query(
     "percentile_scale",
     X.sql("lat", "SELECT key, series, round(percent_rank() OVER (PARTITION BY series ORDER BY value), 8) AS score FROM lat"),

@@ -134,8 +134,9 @@ def _panel(spark, sf):
     """Supplier by ship year, one text column per year."""
     path = scratch_path(spark, "panel")
     rows = X.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.year("l_shipdate").alias("y"), "l_quantity")
+    span = rows.agg(F.min("y").alias("low"), F.max("y").alias("high")).first()
     wide = rows.groupBy("code").agg(
-        *[F.sum(F.when(F.col("y") == y, F.col("l_quantity"))).alias(str(y)) for y in range(1995, 2000)]
+        *[F.sum(F.when(F.col("y") == y, F.col("l_quantity"))).alias(str(y)) for y in range(span["low"], span["high"] + 1)]
     )
     Y.write_wide(wide.withColumn("label", F.lit("text")), path, ["code"])
     return path
@@ -152,7 +153,7 @@ def scan_year_panel(spark, sf):
 @query(
     "scan_panel_years",
     f"""SELECT CAST(s.code AS VARCHAR) AS key, CAST(years.y AS INTEGER) AS year, p.v AS value FROM (SELECT DISTINCT l_suppkey AS code FROM lineitem) s
-      CROSS JOIN (SELECT unnest(range(1995, 2000)) AS y) years LEFT JOIN ({_PANEL_SQL}) p ON p.code = s.code AND p.y = years.y""",
+      CROSS JOIN (SELECT unnest(range(min(extract(year FROM l_shipdate)), max(extract(year FROM l_shipdate)) + 1)) AS y FROM lineitem) years LEFT JOIN ({_PANEL_SQL}) p ON p.code = s.code AND p.y = years.y""",
 )
 def scan_panel_years(spark, sf):
     return S.scan_panel_years(spark, _panel(spark, sf), "code")

@@ -273,17 +273,48 @@ def domains_table(spark, sf):
     return out.select("key", "domain", "n_present", "scored", r8("score"), "low_conf", "modeled_input", r8("interval_lo"), r8("interval_hi"))
 
 
+_ENTERED = {
+    "given": "SELECT key, tbl, col, value, NULL AS lo, NULL AS hi, 0 AS rk, 1 AS turn FROM sig WHERE value IS NOT NULL UNION ALL SELECT key, 'error', 'h2', (key % 10) / 10.0, NULL, NULL, 1, 0 FROM uni WHERE key % 7 = 0 "
+             "UNION ALL SELECT key, 'view', 'h2', value, value - 0.05, value + 0.1, 2, 2 FROM sig WHERE tbl = 'click' AND col = 'h2'",
+    "entered": "SELECT * FROM given QUALIFY row_number() OVER (PARTITION BY key, tbl, col ORDER BY turn) = 1",
+}
+
+
 @query(
     "indicators_table",
-    X.sql("sig xw", """SELECT key, number, domain, tbl, col, round(CASE WHEN tbl = 'error' AND col = 'h2' AND value < 0.2 THEN value * value / 0.2 ELSE value END, 8) AS value FROM sig JOIN (SELECT domain, tbl, col, dense_rank() OVER (ORDER BY phase)
+    X.sql("sig xw uni", """SELECT key, number, domain, tbl, col, round(CASE WHEN rk = 0 AND tbl = 'error' AND col = 'h2' AND value < 0.2 THEN value * value / 0.2 ELSE value END, 8) AS value,
+      rk = 1 AS overridden, rk = 2 AS modeled, round(lo, 8) AS lo, round(hi, 8) AS hi FROM entered JOIN (SELECT domain, tbl, col, dense_rank() OVER (ORDER BY phase)
       || '.' || dense_rank() OVER (PARTITION BY phase ORDER BY domain) || '.' || row_number() OVER (PARTITION BY domain ORDER BY pos) AS number FROM xw JOIN slots USING (domain)) USING (tbl, col)""",
-      {"slots": X.CTES["slots"][1]}),
+      {"slots": X.CTES["slots"][1], **_ENTERED}),
 )
 def indicators_table(spark, sf):
     phases = config_table(spark, [(d, p) for d, p, *_ in X.DESIGN], "domain string, phase string")
     design = X.crosswalk(spark).join(phases, "domain").withColumn("domain_pos", F.col("domain"))
-    out = P.indicators_table(X.signals(spark, sf), design, [("error", "h2")])
-    return out.select("key", "number", "domain", "tbl", "col", r8("value"))
+    signals = cut_lineage(X.signals(spark, sf))
+    over, guess = _overrides_and_modeled(spark, sf, signals)
+    out = P.indicators_table(signals, design, [("error", "h2")], over, guess)
+    return out.select("key", "number", "domain", "tbl", "col", r8("value"), "overridden", "modeled", r8("lo"), r8("hi"))
+
+
+def _overrides_and_modeled(spark, sf, signals):
+    """Every seventh key's error signal is entered by hand, and absent view signals are estimated from clicks."""
+    keys = X.universe(spark, sf)
+    over = keys.where(F.col("key") % 7 == 0).select("key", F.lit("error").alias("tbl"), F.lit("h2").alias("col"), ((F.col("key") % 10) / 10.0).alias("value"))
+    clicks = signals.where((F.col("tbl") == "click") & (F.col("col") == "h2"))
+    guess = clicks.select("key", F.lit("view").alias("tbl"), "col", "value", (F.col("value") - 0.05).alias("lo"), (F.col("value") + 0.1).alias("hi"))
+    return over, guess
+
+
+@query(
+    "modeled_list",
+    X.sql("sig xw uni", "SELECT DISTINCT key, tbl, col, round(value, 8) AS value, round(lo, 8) AS lo, round(hi, 8) AS hi FROM entered JOIN xw USING (tbl, col) WHERE rk = 2", _ENTERED),
+)
+def modeled_list(spark, sf):
+    phases = config_table(spark, [(d, p) for d, p, *_ in X.DESIGN], "domain string, phase string")
+    design = X.crosswalk(spark).join(phases, "domain").withColumn("domain_pos", F.col("domain"))
+    signals = cut_lineage(X.signals(spark, sf))
+    out = P.modeled_list(P.indicators_table(signals, design, [], *_overrides_and_modeled(spark, sf, signals)))
+    return out.select("key", "tbl", "col", r8("value"), r8("lo"), r8("hi"))
 
 
 def _units(spark, sf):
@@ -306,16 +337,19 @@ def _group_ranks(spark, sf):
     f"""WITH u AS (SELECT * FROM ({_UNITS}) WHERE risk IS NOT NULL), r AS ({_GROUP_RANK}), n AS (SELECT count(*) AS n FROM r),
       w AS (SELECT grp, unit, risk FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY risk DESC, unit) AS rn FROM u) WHERE rn = 1),
       p AS (SELECT grp, count(*) AS n_units, avg(risk) AS risk_mean, quantile_cont(risk, 0.9) AS risk_p90, max(risk) - min(risk) AS within_range FROM u GROUP BY 1)
-    SELECT p.grp AS "group", r.rank, round(1 - (r.rank - 1) / (n.n - 1), 8) AS national_pctile, n_units, round(risk_mean, 8) AS risk_mean, round(risk_p90, 8) AS risk_p90, w.unit AS worst_unit, round(w.risk, 8) AS worst_risk,
+    SELECT p.grp AS "group", coalesce(h.n_hot, 0) AS n_hot, h.grp IS NOT NULL AS in_layer, round((SELECT count(*) FILTER (WHERE u.risk <= risk_p90) / count(*) FROM u), 8) AS p90_pctile, r.rank, round(1 - (r.rank - 1) / (n.n - 1), 8) AS national_pctile, n_units, round(risk_mean, 8) AS risk_mean, round(risk_p90, 8) AS risk_p90, w.unit AS worst_unit, round(w.risk, 8) AS worst_risk,
       round(e.ec, 8) AS corridor_pctile, round(e.ec - (1 - (r.rank - 1) / (n.n - 1)), 8) AS divergence, round(within_range, 8) AS within_range, w.risk >= (SELECT quantile_cont(risk, 0.9) FROM u) AS top_decile,
       coalesce(w.risk >= (SELECT quantile_cont(risk, 0.9) FROM u) AND r.rank > (SELECT count(*) FROM nation) * 0.25, FALSE) AS headline
-    FROM p JOIN w USING (grp) LEFT JOIN r USING (grp), n, LATERAL (SELECT count(*) FILTER (WHERE u.risk <= w.risk) / count(*) AS ec FROM u) e""",
+    FROM p JOIN w USING (grp) LEFT JOIN r USING (grp) LEFT JOIN (SELECT c_nationkey AS grp, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_hot FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 5 <> 2 GROUP BY 1) h USING (grp), n, LATERAL (SELECT count(*) FILTER (WHERE u.risk <= w.risk) / count(*) AS ec FROM u) e""",
 )
 def ecdf_divergence(spark, sf):
     size = X.table(spark, sf, "nation").agg(F.count(F.lit(1))).scalar()
-    out = P.divergence_table(_units(spark, sf), cut_lineage(_group_ranks(spark, sf).select("group", "rank")), size)
-    rounded = ("national_pctile", "risk_mean", "risk_p90", "worst_risk", "corridor_pctile", "divergence", "within_range")
-    return out.select("group", "rank", "n_units", "worst_unit", "top_decile", "headline", *[r8(c) for c in rounded])
+    orders = X.table(spark, sf, "orders").join(X.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).where(F.col("c_nationkey") % 5 != 2)
+    hot = F.when(F.col("o_orderpriority") == "1-URGENT", "99%").when(F.col("o_orderpriority") == "2-HIGH", "95%").otherwise("ns")
+    events = orders.select(F.col("c_nationkey").alias("group"), hot.alias("hot"))
+    out = P.divergence_table(_units(spark, sf), cut_lineage(_group_ranks(spark, sf).select("group", "rank")), size, events=events)
+    rounded = ("p90_pctile", "national_pctile", "risk_mean", "risk_p90", "worst_risk", "corridor_pctile", "divergence", "within_range")
+    return out.select("group", "rank", "n_units", "worst_unit", "top_decile", "headline", "n_hot", "in_layer", *[r8(c) for c in rounded])
 
 
 def _surface_units(spark, sf):
@@ -428,15 +462,23 @@ def overlay_corridors(spark, sf):
 
 @query(
     "registry_document",
-    X.sql("sig xw", """SELECT s.phase, x.domain, x.pos, x.tbl || '.' || x.col AS indicator, CASE WHEN x.tbl <> 'purchase' THEN 'events' END AS source, CASE WHEN x.tbl <> 'purchase' THEN r.n END AS year_max,
-      CASE WHEN x.tbl = 'purchase' THEN 'no register row' END AS note FROM xw x JOIN slots s USING (domain) LEFT JOIN (SELECT tbl, col, count(*) AS n FROM sig GROUP BY 1, 2) r USING (tbl, col)""",
+    X.sql("xw", """SELECT s.phase, x.domain, x.pos, x.tbl || '.' || x.col AS indicator, CASE WHEN x.col = 'h7' THEN 'late' ELSE x.col END AS register_key,
+      CASE WHEN x.domain = 'click_night' AND x.tbl = 'view' THEN 'circular-flagged' WHEN x.domain = 'signup_day' THEN 'defeater' ELSE 'generating' END AS role,
+      CASE WHEN x.tbl <> 'purchase' THEN 'events' END AS source, CASE WHEN x.tbl <> 'purchase' THEN r.y END AS year_max,
+      CASE WHEN x.tbl = 'purchase' OR r.y IS NULL THEN 'no register row' END AS note FROM xw x JOIN slots s USING (domain)
+      LEFT JOIN (SELECT event_type AS tbl, 'h' || CAST(CAST(floor(extract(hour FROM ts) / 3) AS INTEGER) AS VARCHAR) AS col, CAST(max(extract(year FROM ts)) AS INTEGER) AS y FROM events GROUP BY 1, 2) r USING (tbl, col)""",
       {"slots": X.CTES["slots"][1]}),
 )
 def registry_document(spark, sf):
     """Nested registry document, opened again to its indicator rows."""
     phases = config_table(spark, [(d, p) for d, p, *_ in X.DESIGN], "domain string, phase string")
-    register = X.signals(spark, sf).where(F.col("tbl") != "purchase").groupBy("tbl", "col").agg(F.count(F.lit(1)).alias("year_max"))
+    slot = F.concat(F.lit("h"), F.floor(F.hour("ts") / 3).cast("string"))
+    events = X.table(spark, sf, "events").where(F.col("event_type") != "purchase")
+    named = F.when(slot == "h7", "late").otherwise(slot)
+    register = events.groupBy(F.col("event_type").alias("tbl"), named.alias("register_key")).agg(F.max(F.year("ts")).alias("year_max"))
+    aliases = config_table(spark, [("h7", "late")], "col string, register_key string")
+    circular = config_table(spark, [("click_night", "view", "h0")], "domain string, tbl string, col string")
     labels = config_table(spark, [("view_day", "Views by day")], "domain string, label string")
-    doc = P.registry_document(X.crosswalk(spark).join(phases, "domain"), register.withColumn("source", F.lit("events")), labels)
+    doc = P.registry_document(X.crosswalk(spark).join(phases, "domain"), register.withColumn("source", F.lit("events")), labels, aliases, circular, ("signup_day",))
     rows = doc.select("phase", F.inline("domains")).select("phase", "domain", F.inline("indicators"))
-    return rows.select("phase", "domain", "pos", "indicator", "source", "year_max", "note")
+    return rows.select("phase", "domain", "pos", "indicator", "register_key", "role", "source", "year_max", "note")

@@ -251,6 +251,21 @@ def terciles(spark, sf):
     return rows.select("key", B.tercile(F.col("composite"), cuts["lo"], cuts["hi"]).alias("tier"))
 
 
+@query(
+    "ecdf_asof",
+    """WITH g AS (SELECT o_custkey % 25 AS grp, avg(o_totalprice) / 20 AS asked FROM orders GROUP BY 1)
+    SELECT CAST(grp AS BIGINT) AS grp, round((SELECT count(*) FILTER (WHERE c_acctbal <= asked) / count(*) FROM customer WHERE c_nationkey = grp), 8) AS share,
+      round((SELECT count(*) FILTER (WHERE c_acctbal <= asked) / count(*) FROM customer), 8) AS share_of_all FROM g""",
+)
+def ecdf_asof(spark, sf):
+    """Where values that do not occur in a population stand in it, by group and overall."""
+    units = X.table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("grp"), F.col("c_acctbal").alias("v"))
+    asked = X.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 25).cast("long").alias("grp")).agg((F.avg("o_totalprice") / 20).alias("v"))
+    own = O.share_at(asked, O.ladder(units, ["grp"], "v"), ["grp"], "v", "share")
+    both = O.share_at(own, O.ladder(units, [], "v"), [], "v", "share_of_all")
+    return both.select("grp", r8("share"), r8("share_of_all"))
+
+
 @query(
     "ecdf_position",
     """WITH g AS (SELECT c_nationkey AS grp, max(c_acctbal) AS worst FROM customer GROUP BY 1)
