@@ -97,6 +97,10 @@ STRUCTURE_LOW, STRUCTURE_HIGH = 0.20, 0.95
 RETENTION_FAIL = 0.50
 
 
+def incremental_label(shown: Column) -> Column:
+    return F.when(shown, "PASS").when(shown.isNotNull(), "NOT DEMONSTRATED").otherwise("NOT RUN")
+
+
 def verdicts(metrics: DataFrame) -> DataFrame:
     """Verdict per criterion and overall, from one row of metrics.
 
@@ -111,7 +115,7 @@ def verdicts(metrics: DataFrame) -> DataFrame:
         m("r_phases").isNotNull(), "PASS"
     ).otherwise("NOT RUN")
     noise = F.when(m("top_retention") < RETENTION_FAIL, "FAIL").when(m("top_retention").isNotNull(), "PASS").otherwise("NOT RUN")
-    incremental = F.when(m("incremental"), "PASS").when(m("incremental").isNotNull(), "NOT DEMONSTRATED").otherwise("NOT RUN")
+    incremental = incremental_label(m("incremental"))
     rows = metrics.select(
         reference.alias("discriminant"), structure.alias("structure"), noise.alias("uncertainty"), incremental.alias("incremental")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from compindex.functions import geo as G
 from compindex.operators import blocks as K
 from compindex.operators import celltree as CT
+from compindex.operators import order as O
 from compindex.operators import ranking as R
 from compindex.operators.within import points_within
 from compindex.session import compute_tasks, cut_lineage
@@ -141,6 +142,33 @@ def effective_size(points: DataFrame, x: str, y: str) -> DataFrame:
     return total.select(n.cast("long").alias("n"), F.greatest(F.lit(2.0), F.least(n, neff)).alias("n_eff"))
 
 
+def effective_sizes(rows: DataFrame, targets: list[str], x: str, y: str) -> DataFrame:
+    """(target, n, n_eff) for several targets in one walk over the pairs of cells.
+
+    ``rows`` is (target, lon, lat, x, y); every target has its own points, which are columns of sums beside each other.
+    """
+    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("target").isin(*targets))
+    rows = cut_lineage(rows.select("target", "lon", "lat", F.col(x).alias("x"), F.col(y).alias("y")))
+    spread = cut_lineage(rows.groupBy("target").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")
+    ))
+    centred = O.attach(rows, spread, ["target"]).withColumns({"zx": F.col("x") - F.col("mx"), "zy": F.col("y") - F.col("my")})
+    parts = {"w": F.lit(1.0), "zx": F.col("zx"), "zy": F.col("zy"), "qx": F.col("zx") * F.col("zx"), "qy": F.col("zy") * F.col("zy")}
+    own = lambda k, c: F.sum(F.when(F.col("target") == targets[k], c).otherwise(0.0))
+    locs = cut_lineage(centred.groupBy("lon", "lat").agg(*[own(k, c).alias(f"{p}_{k}") for k in range(len(targets)) for p, c in parts.items()]))
+    names = [f"{p}_{k}" for k in range(len(targets)) for p in ("w", "zx", "zy")]
+    across = CT.distance_bins(locs.select("lon", "lat", *names), names[0], names[1:], DISTANCE_EDGES).withColumnRenamed("pairs", names[0])
+    inside = [((F.sum(F.col(f"w_{k}") * (F.col(f"w_{k}") - 1))) / 2).alias(f"w_{k}") for k in range(len(targets))]
+    inside += [(F.sum(F.col(f"z{a}_{k}") * F.col(f"z{a}_{k}") - F.col(f"q{a}_{k}")) / 2).alias(f"z{a}_{k}") for k in range(len(targets)) for a in "xy"]
+    bins = across.unionByName(locs.agg(F.lit(0).alias("bin"), *inside)).groupBy("bin").agg(*[F.sum(n).alias(n) for n in names])
+    named = [F.struct(F.lit(t).alias("target"), F.col(f"w_{k}").alias("pairs"), F.col(f"zx_{k}").alias("cx"), F.col(f"zy_{k}").alias("cy")) for k, t in enumerate(targets)]
+    total = bins.select(F.inline(F.array(*named))).where(F.col("pairs") > 0.5).groupBy("target").agg(F.sum(F.col("cx") * F.col("cy") / F.col("pairs")).alias("_s"))
+    n = F.col("n")
+    inverse = 1.0 / n + 2.0 / (n * n) * F.try_divide(F.col("_s"), F.col("vx") * F.col("vy"))
+    size = F.when(inverse > 0, F.try_divide(F.lit(1.0), inverse)).otherwise(n)
+    return spread.join(total, "target", "left").select("target", n.cast("long").alias("n"), F.greatest(F.lit(2.0), F.least(n, size)).alias("n_eff"))
+
+
 # --- nearest neighbours ----------------------------------------------------------------
 
 

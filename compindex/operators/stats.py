@@ -202,6 +202,27 @@ def correlation_p(df: DataFrame, rho: str, neff: str, name: str = "p") -> DataFr
     return df.withColumn(name, F.when(usable, student_tail(t, df_eff)))
 
 
+def association_family(base: DataFrame, targets: DataFrame, names: list[str], sizes, least: int = 10) -> DataFrame:
+    """Zero-order and residual association of one score with several targets, their effective sizes, p and FDR over the family.
+
+    ``base`` is (key, lon, lat, x, g), ``targets`` (target, key, y). The score's residual on g comes from all keys, a target's from its
+    own. ``sizes(rows, names, x, y)`` gives (target, n_eff) of all targets at once. A target with fewer than ``least`` keys has no row.
+    """
+    fitted = cut_lineage(residuals(base, [], "x", "g", "rx"))
+    rows = cut_lineage(residuals(targets.join(fitted, "key"), ["target"], "y", "g", "ry"))
+    zero = pearson(rows, ["target"], "x", "y").select("target", "n", F.col("r").alias("zero_pearson"))
+    zero_rho = spearman(rows, ["target"], "x", "y").select("target", F.col("rho").alias("zero_spearman"))
+    rho = spearman(rows, ["target"], "rx", "ry").select("target", F.col("rho").alias("residual_spearman"))
+    out = zero.join(zero_rho, "target").join(rho, "target").join(sizes(rows, names, "rx", "ry").select("target", "n_eff"), "target").where(F.col("n") >= least)
+    return benjamini_hochberg(cut_lineage(correlation_p(out, "residual_spearman", "n_eff")), [], "p", "q")
+
+
+def incremental(family: DataFrame, proximate: list[str], alpha: float = 0.05) -> DataFrame:
+    """One row: whether any of the pre-registered targets is positively and significantly associated; null if none was tested."""
+    shown = (F.col("residual_spearman") > 0) & (F.col("q") < alpha)
+    return family.where(F.col("target").isin(*proximate) & F.col("q").isNotNull()).agg(F.max(shown).alias("incremental"))
+
+
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by its continued fraction."""
     if x <= 0.0:

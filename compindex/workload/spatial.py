@@ -441,6 +441,79 @@ def association_triplet(spark, sf):
     return out.select("n", r8("zero_pearson"), r8("zero_spearman"), r8("residual_spearman"), F.round("n_eff", 4).alias("n_eff"), F.round("p", 6).alias("p"))
 
 
+def family_ctes(base: str, targets: str) -> dict[str, str]:
+    """The association family as CTEs over base (key, lon, lat, x, g) and targets (target, key, y)."""
+    return {
+        "base0": base, "targets0": targets,
+        "b1": "SELECT *, x - ((SELECT regr_slope(x, g) FROM base0) * g + (SELECT regr_intercept(x, g) FROM base0)) AS rx FROM base0",
+        "t": "SELECT target, key, lon, lat, x, y, rx, y - (regr_slope(y, g) OVER w * g + regr_intercept(y, g) OVER w) AS ry FROM targets0 JOIN b1 USING (key) WINDOW w AS (PARTITION BY target)",
+        "r0": "SELECT * FROM t WHERE rx IS NOT NULL AND ry IS NOT NULL",
+        "rk": "SELECT target, " + ", ".join(f"rank() OVER (PARTITION BY target ORDER BY {c}) + (count(*) OVER (PARTITION BY target, {c}) - 1) / 2.0 AS k{c}" for c in ("x", "y", "rx", "ry")) + " FROM r0",
+        "z": "SELECT target, key, lon, lat, rx - avg(rx) OVER w AS zx, ry - avg(ry) OVER w AS zy FROM r0 WINDOW w AS (PARTITION BY target)",
+        "bins": f"SELECT target, {_BIN} AS bin, CAST(count(*) AS DOUBLE) AS pairs, sum(px) AS cx, sum(py) AS cy FROM (SELECT a.target, {_HAV} AS d, a.zx * b.zx AS px, a.zy * b.zy AS py "
+                "FROM z a JOIN z b ON a.target = b.target AND a.key < b.key) GROUP BY 1, 2",
+        "eff": "SELECT target, n, greatest(2, least(n, CASE WHEN inv > 0 THEN 1 / inv ELSE n END)) AS n_eff FROM (SELECT target, n, 1 / n + 2 / (n * n) * s / (vx * vy) AS inv FROM (SELECT target, sum(cx * cy / pairs) AS s FROM bins GROUP BY 1) JOIN "
+               "(SELECT target, CAST(count(*) AS DOUBLE) AS n, var_pop(rx) AS vx, var_pop(ry) AS vy FROM r0 GROUP BY 1) USING (target)) WHERE n >= 10",
+        "res": "SELECT target, n_eff, n_eff - 2 AS v, rho, zr, zs, abs(rho) * sqrt((n_eff - 2) / greatest(1e-9, 1 - rho * rho)) AS tt FROM eff JOIN (SELECT target, corr(krx, kry) AS rho, corr(kx, ky) AS zs FROM rk GROUP BY 1) USING (target) "
+               "JOIN (SELECT target, corr(x, y) AS zr FROM r0 GROUP BY 1) USING (target)",
+        "simp": "SELECT target, sum((CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (tt * i / 4000) * (tt * i / 4000) / v, -(v + 1) / 2)) * any_value(tt) / 4000 / 3 "
+                "* exp(lgamma((any_value(v) + 1) / 2) - lgamma(any_value(v) / 2)) / sqrt(any_value(v) * pi()) AS half FROM res, (SELECT unnest(range(4001)) AS i) WHERE v > 0 GROUP BY target",
+        "tested": "SELECT res.*, CASE WHEN v > 0 THEN greatest(0.0, 1 - 2 * half) END AS p FROM res LEFT JOIN simp USING (target)",
+        "family": "SELECT t.*, least(1.0, b.q) AS q FROM tested t LEFT JOIN (SELECT target, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS q FROM (SELECT target, p, row_number() OVER (ORDER BY p, target) AS i, "
+                  "count(*) OVER () AS m FROM tested WHERE p IS NOT NULL)) b USING (target)",
+    }
+
+
+# Targets of the family: one that follows the score, one that does not, the number of orders, and one with too few keys.
+FAMILY = ("follows", "wanders", "orders", "few")
+_FAMILY = family_ctes(
+    "SELECT key, lon, lat, x, lon AS g FROM pts",
+    "SELECT 'follows' AS target, key, x * 0.5 + (key % 7) * 400.0 AS y FROM pts WHERE key % 3 <> 1 UNION ALL SELECT 'wanders', key, CAST((key * key) % 97 AS DOUBLE) + lat FROM pts UNION ALL "
+    "SELECT 'orders', o_custkey, CAST(count(*) AS DOUBLE) FROM orders GROUP BY 2 UNION ALL SELECT 'few', key, x FROM pts WHERE key < 6",
+)
+
+
+def family(spark, sf):
+    rows = cut_lineage(points(spark, sf))
+    y = lambda name, value: F.struct(F.lit(name).alias("target"), value.cast("double").alias("y"))
+    key = F.col("key")
+    some = F.array(
+        F.when(key % 3 != 1, y("follows", F.col("x") * 0.5 + (key % 7) * 400.0)), y("wanders", ((key * key) % 97).cast("double") + F.col("lat")),
+        F.when(key < 6, y("few", F.col("x"))),
+    )
+    targets = rows.select("key", F.inline(F.array_compact(some))).select("target", "key", "y")
+    orders = X.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("y")).select(F.lit("orders").alias("target"), "key", "y")
+    base = rows.select("key", "lon", "lat", F.col("x").cast("double").alias("x"), F.col("lon").alias("g"))
+    return T.association_family(base, targets.unionByName(orders), list(FAMILY), G.effective_sizes)
+
+
+@query(
+    "association_family",
+    X.sql("pts", """SELECT target, round(zr, 8) AS zero_pearson, round(zs, 8) AS zero_spearman, round(rho, 8) AS residual_spearman, round(n_eff, 4) AS n_eff, round(p, 6) AS p, round(q, 6) AS q FROM family""", _FAMILY),
+)
+def association_family(spark, sf):
+    """Triplets of one score with several targets, all in one walk over the pairs."""
+    return family(spark, sf).select(
+        "target", r8("zero_pearson"), r8("zero_spearman"), r8("residual_spearman"), F.round("n_eff", 4).alias("n_eff"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q")
+    )
+
+
+@query(
+    "incremental_verdicts",
+    X.sql("pts", """SELECT proximate, CASE WHEN count(q) = 0 THEN 'NOT RUN' WHEN bool_or(rho > 0 AND q < 0.05) THEN 'PASS' ELSE 'NOT DEMONSTRATED' END AS incremental
+      FROM (SELECT unnest(['follows', 'wanders', 'few']) AS proximate) LEFT JOIN family ON target = proximate GROUP BY 1""", _FAMILY),
+)
+def incremental_verdicts(spark, sf):
+    """The incremental criterion for three choices of the pre-registered target."""
+    from compindex.operators.scenario import incremental_label
+
+    found, out = cut_lineage(family(spark, sf)), None
+    for name in ("follows", "wanders", "few"):
+        row = T.incremental(found, [name]).select(F.lit(name).alias("proximate"), incremental_label(F.col("incremental")).alias("incremental"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _KDE = {
     "w": f"SELECT lon, lat, {_XW} AS w FROM pts",
     "s": "SELECT sum(w) AS sw, sum(w * w) AS ww, sum(w * lon) / sum(w) AS mx, sum(w * lat) / sum(w) AS my FROM w",

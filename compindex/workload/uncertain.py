@@ -9,12 +9,14 @@ from compindex.functions import noise as Z
 from compindex.operators import compose as C
 from compindex.operators import ranking as R
 from compindex.operators import scenario as P
+from compindex.operators import spatial as G
 from compindex.operators import stats as T
 from compindex.operators import uncertainty as U
 from compindex.session import cut_lineage
 from compindex.workload import fixtures as X
 from compindex.workload.core import r8
 from compindex.workload.registry import query
+from compindex.workload.spatial import family_ctes
 
 DRAWS = U.DRAWS
 OFFSET = U.SEED % 1000
@@ -204,11 +206,15 @@ def scenario_rescore(spark, sf):
 
 @query(
     "verdicts",
-    X.sql("scored ref", f"""SELECT CASE WHEN r2 > 0.9 THEN 'FAIL' WHEN r2 > 0.8 THEN 'CONDITIONAL' ELSE 'PASS' END AS discriminant, CASE WHEN re > 0.95 OR re < 0.2 THEN 'FAIL' ELSE 'PASS' END AS structure,
-      CASE WHEN kept < 0.5 THEN 'FAIL' ELSE 'PASS' END AS uncertainty, 'NOT RUN' AS incremental, CASE WHEN r2 > 0.9 OR re > 0.95 OR re < 0.2 THEN 'FAIL' ELSE 'CONDITIONAL' END AS overall FROM
+    X.sql("scored ref pts", f"""SELECT CASE WHEN r2 > 0.9 THEN 'FAIL' WHEN r2 > 0.8 THEN 'CONDITIONAL' ELSE 'PASS' END AS discriminant, CASE WHEN re > 0.95 OR re < 0.2 THEN 'FAIL' ELSE 'PASS' END AS structure,
+      CASE WHEN kept < 0.5 THEN 'FAIL' ELSE 'PASS' END AS uncertainty, inc AS incremental, CASE WHEN r2 > 0.9 OR re > 0.95 OR re < 0.2 THEN 'FAIL' WHEN r2 <= 0.8 AND inc = 'PASS' AND kept >= 0.5 THEN 'PASS' ELSE 'CONDITIONAL' END AS overall FROM
       (SELECT (SELECT corr(composite, g) * corr(composite, g) FROM scored JOIN ref USING (key)) AS r2, (SELECT corr(R, E) FROM scored) AS re,
-        (SELECT count(*) FILTER (WHERE place <= {_TOP} AND base_rank <= {_TOP}) / {_TOP * _NOISE_DRAWS}.0 FROM p) AS kept)""",
-      {"b": "SELECT *, row_number() OVER (ORDER BY composite DESC, key DESC) AS base_rank FROM scored",
+        (SELECT count(*) FILTER (WHERE place <= {_TOP} AND base_rank <= {_TOP}) / {_TOP * _NOISE_DRAWS}.0 FROM p) AS kept,
+        (SELECT CASE WHEN count(q) = 0 THEN 'NOT RUN' WHEN bool_or(rho > 0 AND q < 0.05) THEN 'PASS' ELSE 'NOT DEMONSTRATED' END FROM family) AS inc)""",
+      {**family_ctes(
+          "SELECT s.key, lon, lat, s.composite AS x, ref.g FROM scored s JOIN pts USING (key) LEFT JOIN ref USING (key)",
+          "SELECT 'balance' AS target, c_custkey AS key, CAST(c_acctbal AS DOUBLE) AS y FROM customer UNION ALL SELECT 'orders', o_custkey, CAST(count(*) AS DOUBLE) FROM orders GROUP BY 2"),
+       "b": "SELECT *, row_number() OVER (ORDER BY composite DESC, key DESC) AS base_rank FROM scored",
        "s": f"SELECT key, base_rank, draw, least(1.0, greatest(0.0, composite + CAST(0.02 AS DOUBLE) * {Z.normal_sql('draw', 'key', _NOISE_SEED)})) AS sim FROM b, (SELECT unnest(range(1, {_NOISE_DRAWS + 1})) AS draw)",
        "p": "SELECT *, row_number() OVER (PARTITION BY draw ORDER BY sim DESC, key DESC) AS place FROM s"}),
 )
@@ -218,6 +224,14 @@ def verdicts(spark, sf):
     stability = U.noise_stability(rows, [0.02], _NOISE_DRAWS, _TOP, _NOISE_SEED).select("top_retention").scalar()
     metrics = T.pearson(rows, [], "R", "E").select(
         both.alias("r2_reference"), F.col("r").alias("r_phases"), stability.alias("top_retention"),
-        F.lit(None).cast("boolean").alias("incremental"),
+        T.incremental(_verdict_family(spark, sf, rows), ["balance", "orders"]).scalar().alias("incremental"),
     )
     return P.verdicts(metrics)
+
+
+def _verdict_family(spark, sf, rows):
+    """Association of the composite, beyond its reference, with two attributes of the keys that it is not built from."""
+    base = X.located(rows.select("key", F.col("composite").alias("x"), "g"))
+    balance = X.table(spark, sf, "customer").select(F.lit("balance").alias("target"), F.col("c_custkey").alias("key"), F.col("c_acctbal").cast("double").alias("y"))
+    orders = X.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    return T.association_family(base, balance.unionByName(orders.select(F.lit("orders").alias("target"), "key", "y")), ["balance", "orders"], G.effective_sizes)
