@@ -45,14 +45,28 @@ def _bigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(spots, lambda i: F.substring(text, i, F.lit(2))))
 
 
-def fuzzy_candidates(left: DataFrame, aliases: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """Pairs of names that can reach the cutoff.
+def prefix_bigrams(names: DataFrame, counts: DataFrame, cutoff: float) -> DataFrame:
+    """(norm, _g): of every name its rarest bigrams, as many as a match at the cutoff needs to share one.
 
-    At a ratio of .85 the edits are too few to destroy every pair of adjacent letters, so two
-    such names share one. Lengths that differ too much are excluded at once.
+    Two names of la and lb letters that reach the cutoff c differ by da and db unmatched letters with
+    da + db <= (1 - c)(la + lb). That destroys at most 2 da + db of a's bigrams, which is largest for the shortest possible b and then
+    stays below ``lost`` times la. So all but that many of its bigrams occur in b, and the same holds the other way; in one common order
+    the first lost + 1 of both therefore meet. Rare ones come first, so a frequent bigram is a key only for names that have no other.
     """
-    a = left.select("norm", F.explode(_bigrams(F.col("norm"))).alias("_g"))
-    b = aliases.select(F.col("norm").alias("alias"), F.explode(_bigrams(F.col("norm"))).alias("_g")).distinct()
+    shortest = cutoff / (2.0 - cutoff)
+    lost = 1.5 * (1.0 - cutoff) * (1.0 + shortest) + 0.5 * (1.0 - shortest)
+    grams = names.select("norm", F.explode(_bigrams(F.col("norm"))).alias("_g"))
+    ordered = O.attach(grams, counts, ["_g"]).groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("_n", "_g"))).alias("_all"))
+    most = (F.floor(F.length("norm") * lost + 1e-9) + 1).cast("int")
+    return ordered.select("norm", F.explode(F.slice("_all", F.lit(1), most)).alias("_one")).select("norm", F.col("_one._g").alias("_g"))
+
+
+def fuzzy_candidates(left: DataFrame, aliases: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
+    """Pairs of names that can reach the cutoff: they share one of their rarest bigrams, and lengths and edits allow it."""
+    asked, known = cut_lineage(left.select("norm").distinct()), cut_lineage(aliases.select("norm").distinct())
+    grams = asked.unionByName(known).select(F.explode(_bigrams(F.col("norm"))).alias("_g"))
+    counts = cut_lineage(grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")))
+    a, b = prefix_bigrams(asked, counts, cutoff), prefix_bigrams(known, counts, cutoff).withColumnRenamed("norm", "alias")
     la, lb = F.length("norm"), F.length("alias")
     near = F.abs(la - lb) <= (la + lb) * F.lit(1.0 - cutoff) + 1e-9
     pairs = a.join(b, "_g").where(near).select("norm", "alias").distinct()

@@ -35,29 +35,49 @@ def _leaves(path: Column, value: Column, kind: DataType) -> Column:
     return F.array(_leaf(path, value, kind))
 
 
-def flattened(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., path, text, number): one row per leaf of every other column."""
-    fields = [f for f in df.schema.fields if f.name not in keys]
-    leaves = F.concat(*[_leaves(F.lit("." + f.name), F.col(f"`{f.name}`"), f.dataType) for f in fields])
-    return df.select(*keys, F.inline(leaves))
+_LEAVES = "array<struct<path:string,text:string,number:double>>"
+_DIFFERENCES = "array<struct<path:string,kind:string,a_text:string,b_text:string,delta:double>>"
 
 
-def leaf_diff(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Leaves that differ, with the kind of difference and the numeric delta."""
-    at = [*keys, "path"]
-    a = flattened(first, keys).select(*at, F.col("text").alias("a_text"), F.col("number").alias("a_number"), F.lit(True).alias("_in_a"))
-    b = flattened(second, keys).select(*at, F.col("text").alias("b_text"), F.col("number").alias("b_number"), F.lit(True).alias("_in_b"))
-    both = a.join(b, at, "full_outer")
-    numeric = F.col("a_number").isNotNull() & F.col("b_number").isNotNull()
+def _difference(a: Column, b: Column) -> Column:
+    """What distinguishes two leaves of one path; a missing one is null."""
+    numeric = a["number"].isNotNull() & b["number"].isNotNull()
     kind = (
-        F.when(F.col("_in_b").isNull(), "only_first").when(F.col("_in_a").isNull(), "only_second")
-        .when(numeric, F.when(F.col("a_number") != F.col("b_number"), "numeric"))
-        .when(~F.col("a_text").eqNullSafe(F.col("b_text")), "text")
+        F.when(b["path"].isNull(), "only_first").when(a["path"].isNull(), "only_second")
+        .when(numeric, F.when(a["number"] != b["number"], "numeric"))
+        .when(~a["text"].eqNullSafe(b["text"]), "text")
     )
-    delta = F.when(numeric, F.abs(F.col("a_number") - F.col("b_number")))
-    return both.withColumn("kind", kind).withColumn("delta", delta).where(F.col("kind").isNotNull()).select(
-        *at, "kind", "a_text", "b_text", "delta"
+    delta = F.when(numeric, F.abs(a["number"] - b["number"]))
+    return F.struct(F.coalesce(a["path"], b["path"]).alias("path"), kind.alias("kind"), a["text"].alias("a_text"), b["text"].alias("b_text"), delta.alias("delta"))
+
+
+def leaf_diff(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Leaves that differ, with the kind of difference and the numeric delta.
+
+    The two tables are joined once, row by row as they are; equal rows end there, and of the others only leaves that differ
+    become rows. Rows of either table without a partner are listed leaf by leaf.
+    """
+    fields = lambda df: [f for f in df.schema.fields if f.name not in keys]
+    pack = lambda df, n: df.select(*keys, F.struct(*[F.col(f"`{f.name}`") for f in fields(df)]).alias(n))
+    both = pack(first, "_a").join(pack(second, "_b"), keys, "full_outer")
+    alike = [(f.name, f.dataType) for f in fields(first)] == [(f.name, f.dataType) for f in fields(second)]
+    if alike and "map<" not in first.schema.simpleString():
+        both = both.where(~F.col("_a").eqNullSafe(F.col("_b")))
+    none = F.array().cast(_LEAVES)
+    leaves = lambda df, n: F.when(
+        F.col(n).isNotNull(), F.concat(none, *[_leaves(F.lit("." + f.name), F.col(n)[f.name], f.dataType) for f in fields(df)])
+    ).otherwise(none)
+    told = both.select(*keys, leaves(first, "_a").alias("_a"), leaves(second, "_b").alias("_b"))
+    told = told.select(*keys, F.array_except("_a", "_b").alias("_a"), F.array_except("_b", "_a").alias("_b"))
+    paths = lambda c: F.transform(c, lambda x: x["path"])
+    missing = F.lit(None).cast("struct<path:string,text:string,number:double>")
+    partner = lambda x, c: F.get(F.filter(c, lambda y: y["path"] == x["path"]), 0)
+    one_sided = F.concat(
+        F.transform("_a", lambda x: _difference(x, F.coalesce(partner(x, F.col("_b")), missing))),
+        F.transform(F.filter("_b", lambda y: ~F.array_contains(paths(F.col("_a")), y["path"])), lambda y: _difference(missing, y)),
     )
+    differing = F.when(paths(F.col("_a")) == paths(F.col("_b")), F.zip_with("_a", "_b", _difference)).otherwise(one_sided)
+    return told.select(*keys, F.inline(differing.cast(_DIFFERENCES))).where(F.col("kind").isNotNull()).select(*keys, "path", "kind", "a_text", "b_text", "delta")
 
 
 def diff_summary(diff: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

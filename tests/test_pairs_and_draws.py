@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from compindex.operators import association as M
 from compindex.operators import blocks as K
 from compindex.operators import celltree as CT
+from compindex.operators import keys as N
 from compindex.operators import spatial as G
 from compindex.operators import uncertainty as U
 from compindex.operators import within as W
@@ -140,3 +141,24 @@ def test_permutations_counted_in_tasks_equal_those_of_tables(spark, monkeypatch)
         star = M.local_gi_star(one, edges, [], 60, 5).select("id", "gistar_z", "gistar_p", "gistar_p_fdr")
         out.append([sorted(map(row, f.collect())) for f in (local, star, M.moran_permutations(one, edges, 60, 5))])
     assert out[0] == out[1] and len(out[0][0]) == 62
+
+
+def test_rare_bigrams_lose_no_match(spark):
+    import difflib
+
+    rng = np.random.default_rng(9)
+    letters = list("aaaabcde ")
+    base = ["".join(rng.choice(letters, rng.integers(1, 14))).strip() or "a" for _ in range(120)]
+
+    def typo(name):
+        name = list(name)
+        for _ in range(rng.integers(0, 3)):
+            at = int(rng.integers(0, len(name) + 1))
+            name[at : at + int(rng.integers(0, 2))] = rng.choice(letters, rng.integers(0, 2))
+        return "".join(name)
+
+    asked = sorted({typo(n) for n in base for _ in range(2)} - {""})
+    to_frame = lambda names: spark.createDataFrame([(n,) for n in names], "norm string").repartition(3)
+    found = {tuple(r) for r in N.fuzzy_candidates(to_frame(asked), to_frame(base)).collect()}
+    want = {(a, b) for a in asked for b in set(base) if difflib.SequenceMatcher(None, b, a).ratio() >= N.FUZZY_CUTOFF}
+    assert want <= found and len(want) > 100
