@@ -62,11 +62,11 @@ def _holds(words: Column, i: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_no, value, left2, left1, word, right1) for every candidate."""
     words = docs.where("text IS NOT NULL").select("doc_id", F.split("text", BLANKS).alias("words"))
-    places = F.filter(F.transform("words", lambda w, i: F.when(_holds(F.col("words"), i), i)), lambda i: i.isNotNull())
-    near = lambda d: F.coalesce(F.get("words", F.col("word_no") + d), F.lit(""))
-    found = words.select("doc_id", "words", F.explode(places).alias("word_no")).select(
-        "doc_id", "word_no", near(F.lit(-2)).alias("left2"), near(F.lit(-1)).alias("left1"), near(F.lit(0)).alias("word"), near(F.lit(1)).alias("right1"),
-    )
+    near = lambda i, d: F.coalesce(F.get("words", i + d), F.lit(""))
+    # a candidate takes its neighbours along, so that no row carries the text's words
+    beside = lambda i: F.struct(i.alias("word_no"), *[near(i, d).alias(n) for n, d in (("left2", -2), ("left1", -1), ("word", 0), ("right1", 1))])
+    places = F.filter(F.transform("words", lambda w, i: F.when(_holds(F.col("words"), i), beside(i))), lambda c: c.isNotNull())
+    found = words.select("doc_id", F.inline(places))
     given = _given(F.col("word"), F.col("left1"), F.col("left2"))
     runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda v: v.rlike("[0-9]"))
     # a given value replaces the runs it holds; runs beside it stay
