@@ -64,12 +64,12 @@ def scan_observations(spark: SparkSession, path: str, series: list[str]) -> Data
 PAGE_PATHS = {"pair": "$[1]", "items": "$.items", "value": "$.value"}
 
 
-def scan_api_pages(spark: SparkSession, folder: str, shape: str, row_schema: str) -> DataFrame:
+def scan_api_pages(spark: SparkSession, folder: str, shape: str, row_schema: str, lines: bool = False) -> DataFrame:
     """Rows of landed JSON pages: ``[meta, rows]``, ``{items: rows}`` or ``{value: rows}``.
 
-    One page is one small file, so a page is one record and pages spread over tasks.
+    A page is one small file as it lands, or one line of a few large files, which Spark splits.
     """
-    pages = spark.read.text(folder, wholetext=True)
+    pages = spark.read.text(folder, wholetext=not lines)
     rows = F.from_json(F.get_json_object("value", PAGE_PATHS[shape]), f"array<struct<{row_schema}>>")
     return pages.select(F.inline(rows))
 

@@ -109,7 +109,7 @@ def upsert_refusals(spark, sf):
     "SELECT o_custkey AS key, CAST(extract(year FROM o_orderdate) AS INTEGER) AS year, o_totalprice AS value, shape FROM orders, (VALUES ('pair'), ('items'), ('value')) t(shape)",
 )
 def scan_api_pages(spark, sf):
-    """Orders landed as JSON pages of each shape, about a hundred rows to a page."""
+    """Orders landed as JSON pages of each shape, about a hundred rows to a page, a page to a line."""
     orders = X.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("key"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("value"),
         F.floor(F.col("o_orderkey") / 100).alias("page"),
@@ -123,9 +123,8 @@ def scan_api_pages(spark, sf):
     out = None
     for shape, body in bodies.items():
         folder = scratch_path(spark, f"pages-{shape}")
-        # one file per page, as pages land
-        pages.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
-        part = S.scan_api_pages(spark, folder, shape, "key: bigint, year: int, value: double").withColumn("shape", F.lit(shape))
+        pages.select(body.alias("value")).write.text(folder)
+        part = S.scan_api_pages(spark, folder, shape, "key: bigint, year: int, value: double", lines=True).withColumn("shape", F.lit(shape))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -114,18 +114,21 @@ def scores_table(spark, sf):
 @query(
     "score_invariants",
     X.sql("comp scored dom", """SELECT 'error' AS level, 'rank given twice' AS rule, min(CAST(key AS VARCHAR)) AS key FROM rk GROUP BY shown HAVING count(*) > 1
+      UNION ALL SELECT 'error', 'n_universe differs from the rows', NULL WHERE (SELECT count(*) FROM comp WHERE composite IS NULL) > 0
       UNION ALL SELECT 'error', 'largest rank is not n', NULL FROM rk HAVING max(shown) <> count(*)
       UNION ALL SELECT 'error', 'smallest rank is not 1', NULL FROM rk HAVING min(shown) <> 1
       UNION ALL SELECT 'warning', 'rank outside its band', CAST(key AS VARCHAR) FROM rk JOIN bands USING (key) WHERE NOT shown BETWEEN rank_p5 AND rank_p95""",
       {**W._MC, "rk": "SELECT key, rank, CASE rank WHEN 1 THEN 2 WHEN n THEN n + 1 ELSE rank END AS shown FROM (SELECT key, row_number() OVER (ORDER BY round(round(composite, 9), 4) DESC, key) AS rank, (SELECT count(*) FROM scored) AS n FROM scored)"}),
 )
 def score_invariants(spark, sf):
-    """Rules over the published table, where the first rank was given as 2 and the last as n + 1 on purpose."""
+    """Rules over the published table, where the first rank was given as 2, the last as n + 1 and one unscored key was lost on purpose."""
     table = cut_lineage(published(spark, sf))
     last = table.agg(F.max("rank")).scalar()
     moved = F.when(F.col("rank") == 1, 2).when(F.col("rank") == last, last + 1).otherwise(F.col("rank"))
-    out = cut_lineage(table.withColumn("rank", moved))
-    meta = out.agg(F.count(F.lit(1)).alias("n_universe"), F.count_if("scored").alias("n_scored"))
+    lost = table.agg(F.min(F.when(~F.col("scored"), F.col("key")))).scalar()
+    out = cut_lineage(table.withColumn("rank", moved).where(F.coalesce(F.col("key") != lost, F.lit(True))))
+    # what the table should hold comes from the build, not from the table
+    meta = X.composite(spark, sf).agg(F.count(F.lit(1)).alias("n_universe"), F.count("composite").alias("n_scored"))
     return D.score_violations(out, meta)
 
 
@@ -147,8 +150,9 @@ def regression_counts(spark, sf):
 
 @query(
     "drift_gate",
-    """SELECT 'customer' AS name, (SELECT count(*) FROM customer) AS rows_before, (SELECT count(*) FROM customer) AS rows_after, 'changed' AS status
-      UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation), 'same' UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), NULL, 'gone'
+    """SELECT 'customer' AS name, (SELECT count(*) FROM customer) AS rows_before, (SELECT count(*) FROM customer) AS rows_after,
+        CASE WHEN (SELECT count(*) FROM (SELECT c_custkey, c_acctbal FROM customer EXCEPT SELECT c_custkey, CASE WHEN c_custkey = 5 THEN c_acctbal + 1 ELSE c_acctbal END FROM customer)) > 0 THEN 'changed' ELSE 'same' END AS status
+      UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation), CASE WHEN (SELECT count(*) FROM (FROM nation EXCEPT FROM nation)) > 0 THEN 'changed' ELSE 'same' END UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), NULL, 'gone'
       UNION ALL SELECT 'part', NULL, (SELECT count(*) FROM part), 'new'""",
 )
 def drift_gate(spark, sf):
@@ -215,12 +219,16 @@ def alternate_coverage(spark, sf):
 
 @query(
     "phase_reconciliation",
-    X.sql("dom phase", """SELECT phase, count(*) AS n, round(max(abs(p.score - m.mean)), 6) AS max_diff, TRUE AS within FROM phase p JOIN (SELECT key, phase, avg(score) AS mean FROM dom WHERE score IS NOT NULL GROUP BY 1, 2) m
+    X.sql("dom phase", """SELECT phase, count(*) AS n, round(max(abs(shown - m.mean)), 6) AS max_diff, max(abs(shown - m.mean)) <= 1e-4 AS within
+      FROM (SELECT *, CASE WHEN phase = 'E' AND key % 5 = 2 THEN score + 0.001 ELSE score END AS shown FROM phase) p JOIN (SELECT key, phase, avg(score) AS mean FROM dom WHERE score IS NOT NULL GROUP BY 1, 2) m
       USING (key, phase) WHERE p.score IS NOT NULL GROUP BY 1"""),
 )
 def phase_reconciliation(spark, sf):
     domains = cut_lineage(X.domain_scores(spark, sf))
-    out = D.reconciliation(domains, C.phase_scores(domains, X.TOTALS))
+    phases = C.phase_scores(domains, X.TOTALS)
+    # one phase is published a little too high for every fifth key
+    shown = F.when((F.col("phase") == "E") & (F.col("key") % 5 == 2), F.col("score") + 0.001).otherwise(F.col("score"))
+    out = D.reconciliation(domains, phases.withColumn("score", shown))
     return out.select("phase", "n", F.round("max_diff", 6).alias("max_diff"), "within")
 
 
