@@ -40,10 +40,14 @@ def grams(word: str) -> Iterator[str]:
 
 
 def sample(docs: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
-    """(lang, text) of the first ``rows`` usable ids in hash order; held-out rows and null languages are left out."""
+    """(lang, text) of the first ``rows`` usable ids in hash order; held-out rows and null languages are left out.
+
+    An id that many rows share gives one of them, that of the smallest hash; every task picks its own first.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
     chosen = usable.select("doc_id").distinct().withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(rows)
-    return usable.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id").select("lang", "text")
+    met = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    return met.groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("row")).select("row.lang", "row.text")
 
 
 def _counted(chosen: DataFrame) -> DataFrame:
@@ -138,6 +142,6 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     return returned(docs.select(carried_id(), "text").mapInPandas(run, "doc_id long, lang_pred string, score double"))
 
 
-def languages(docs: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of ``docs``."""
-    return identified(docs, train(sample(docs, rows))).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+def languages(docs: DataFrame, rows: int = LEARN_ROWS, words: int = WORDS, parts: int = GRAMS) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of ``docs``; the model keeps the most frequent ``words`` and ``parts``."""
+    return identified(docs, train(sample(docs, rows), words, parts)).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")

@@ -42,12 +42,16 @@ def features(text: str | None) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
-    """(doc_id, label, text) to learn from: the first ``rows`` labelled ids in hash order, held-out ids left out."""
+    """(doc_id, label, text, order) to learn from: the first ``rows`` labelled ids in hash order, held-out ids left out.
+
+    An id that many rows share gives one text, that of the smallest hash; every task picks its own first.
+    """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
     one_each = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = one_each.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(rows)
     # at most `rows` rows of three numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "label", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compindex.llm import bpe, chat, language, mixing, quality, simhash, stages, toxicity
 
@@ -215,3 +216,14 @@ def test_stages_keep_the_columns_and_whole_rows(spark):
         assert stage(spark, docs.where("false"), "unused").count() == 0
     kept = [r["doc_id"] for r in stages.exact_dedup(spark, docs, "unused").collect()]
     assert 0 not in kept and 8 in kept and kept.count(3) == 1 and None in kept
+
+
+def test_an_id_that_many_rows_share_is_learned_from_once(spark):
+    rows = [(7, f"shared text number {i}", "en") for i in range(300)] + [(i, f"own words {i}", "de") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(d, d % 2) for d in {r[0] for r in rows}], "doc_id long, toxic int")
+    chosen = toxicity.sample(docs, labels)
+    assert chosen.count() == chosen.select("doc_id").distinct().count() <= 21
+    assert language.sample(docs).where("lang = 'en'").count() <= 1
+    again = docs.orderBy(F.desc("text"))
+    assert sorted(map(tuple, toxicity.sample(again, labels).select("doc_id", "text").collect())) == sorted(map(tuple, chosen.select("doc_id", "text").collect()))
