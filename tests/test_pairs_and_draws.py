@@ -8,9 +8,11 @@ from compindex.operators import association as M
 from compindex.operators import blocks as K
 from compindex.operators import celltree as CT
 from compindex.operators import keys as N
+from compindex.operators import order as O
 from compindex.operators import spatial as G
 from compindex.operators import uncertainty as U
 from compindex.operators import within as W
+from compindex.plans import publish as P
 
 
 def places(seed=1):
@@ -162,3 +164,27 @@ def test_rare_bigrams_lose_no_match(spark):
     found = {tuple(r) for r in N.fuzzy_candidates(to_frame(asked), to_frame(base)).collect()}
     want = {(a, b) for a in asked for b in set(base) if difflib.SequenceMatcher(None, b, a).ratio() >= N.FUZZY_CUTOFF}
     assert want <= found and len(want) > 100
+
+
+def test_shares_of_values_that_do_not_occur(spark):
+    steps = O.ladder(spark.createDataFrame([("a", v) for v in (1.0, 2.0, 2.0, 5.0)] + [("b", 3.0), ("b", None)], "g string, v double"), ["g"], "v")
+    asked = [("a", v) for v in (0.5, 1.0, 1.5, 2.0, 4.9, 5.0, 9.0, None)] + [("b", 2.9), ("b", 3.0), ("c", 1.0)] + [("a", 1.5)] * 40
+    got = O.share_at(spark.createDataFrame(asked, "g string, v double").repartition(3), steps, ["g"], "v", "share").collect()
+    want = {("a", 0.5): 0.0, ("a", 1.0): 0.25, ("a", 1.5): 0.25, ("a", 2.0): 0.75, ("a", 4.9): 0.75, ("a", 5.0): 1.0, ("a", 9.0): 1.0, ("a", None): None, ("b", 2.9): 0.0, ("b", 3.0): 1.0, ("c", 1.0): None}
+    assert len(got) == len(asked) and {(r["g"], r["v"]): r["share"] for r in got} == want
+
+
+def test_overrides_go_first_and_modeled_values_only_fill(spark):
+    rows = lambda data, more="": spark.createDataFrame(data, "key long, tbl string, col string, value double" + more)
+    crosswalk = spark.createDataFrame([("d", "P", "d", 1, "t", "c"), ("d", "P", "d", 2, "t", "e")], "domain string, phase string, domain_pos string, pos int, tbl string, col string")
+    signals = rows([(1, "t", "c", 0.1), (2, "t", "c", 0.1), (3, "t", "c", None), (1, "t", "e", 0.7)])
+    over = rows([(2, "t", "c", 0.15), (4, "t", "c", 0.05)])
+    guess = rows([(1, "t", "c", 0.9, 0.8, 1.0), (3, "t", "c", 0.3, 0.2, 0.4)], ", lo double, hi double")
+    table = P.indicators_table(signals, crosswalk, [("t", "c")], over, guess)
+    got = {(r["key"], r["col"]): (round(r["value"], 6), r["overridden"], r["modeled"], r["lo"]) for r in table.collect()}
+    assert got == {
+        (1, "c"): (0.05, False, False, None), (2, "c"): (0.15, True, False, None), (3, "c"): (0.3, False, True, 0.2), (4, "c"): (0.05, True, False, None), (1, "e"): (0.7, False, False, None),
+    }
+    assert [tuple(r) for r in P.modeled_list(table).collect()] == [(3, "t", "c", 0.3, 0.2, 0.4)]
+    plain = P.indicators_table(signals, crosswalk, []).collect()
+    assert sorted((r["key"], r["col"], r["value"]) for r in plain) == [(1, "c", 0.1), (1, "e", 0.7), (2, "c", 0.1)]
