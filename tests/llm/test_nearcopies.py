@@ -45,8 +45,9 @@ def test_near_copies_match_all_pairs(spark, monkeypatch):
     """Crowded buckets go another way than small ones; both must give the same components."""
     docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(5)
     want = groups(rows())
-    for limit in (1_024, 4):
-        monkeypatch.setattr(nearcopies, "SALTED", limit)
+    for limit, block in ((64, 512), (4, 512), (1, 5)):
+        monkeypatch.setattr(nearcopies, "PAIRWISE", limit)
+        monkeypatch.setattr(nearcopies, "BLOCK_SETS", block)
         assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == want
 
 
