@@ -122,14 +122,22 @@ def unit_moran_permutation(spark, sf):
     return out.select("n", r8("moran_i"), F.round("z_sim", 6).alias("z_sim"), r8("p_sim"))
 
 
-@query("unit_local_moran", _sql(S._LOCAL_MORAN_SQL, S._LOCAL, S._LOCAL_P))
+# a unit that touches all others has no spread to be measured by: no z_sim, and a Gi* of 0
+_SPREAD = {"pv": S._LOCAL_P["pv"].replace("/ stddev_pop((n - 1) / ss * z * slag) AS zs", "/ nullif(stddev_pop((n - 1) / ss * z * slag), 0) AS zs")}
+_GI_SPREAD = S._GI_SQL.replace(
+    "round((z + lag * k) / (k + 1) / (sqrt(ss / n) * sqrt((n / (k + 1) - 1) / (n - 1))), 8)",
+    "round(coalesce((z + lag * k) / (k + 1) / nullif(sqrt(ss / n) * sqrt((n / (k + 1) - 1) / (n - 1)), 0), 0), 8)",
+).replace("WHEN (z + lag * k) > 0 THEN 'Hot-Spot'", "WHEN (z + lag * k) > 0 AND n > k + 1 THEN 'Hot-Spot'")
+
+
+@query("unit_local_moran", _sql(S._LOCAL_MORAN_SQL, S._LOCAL, {**S._LOCAL_P, **_SPREAD}))
 def unit_local_moran(spark, sf):
     values, edges = layer(spark, sf)
     out = M.local_moran(values, edges, [], S.PERMS, S.SEED)
     return out.select("id", r8("local_i"), "quadrant", F.round("z_sim", 6).alias("z_sim"), r8("p_raw"), r8("p_fdr"), "cluster_raw", "cluster_fdr")
 
 
-@query("unit_gi_star", _sql(S._GI_SQL, S._LOCAL, S._GI_P))
+@query("unit_gi_star", _sql(_GI_SPREAD, S._LOCAL, S._GI_P))
 def unit_gi_star(spark, sf):
     values, edges = layer(spark, sf)
     return M.local_gi_star(values, edges, [], S.PERMS, S.SEED).select("id", r8("gistar_z"), r8("gistar_p"), r8("gistar_p_fdr"), "gistar_cluster")
