@@ -82,14 +82,13 @@ def with_fingerprint(docs: DataFrame, data: str, only: np.ndarray | None = None)
 
     With the bit map ``only``, texts whose h0 is not in it are left out.
     """
-    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(np.packbits(only))
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        wanted = None if shared is None else np.unpackbits(shared.value)
         for batch in batches:
             rows = pd.DataFrame([polynomial(d) for d in batch], columns=KEY[:3], dtype="int64")
-            if wanted is not None:
-                rows.loc[wanted[rows["h0"] % wanted.size] == 0, "h0"] = -1
+            if shared is not None:
+                rows.loc[~in_map(shared.value, rows["h0"].to_numpy(np.uint64)), "h0"] = -1
             yield rows
 
     udf = F.pandas_udf(hashed, "h0 long, h1 long, h2 long")
@@ -112,19 +111,25 @@ def collided(texts: DataFrame) -> DataFrame:
 
 
 def bit_map(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bit map of the values of a column modulo 2^bits: 2^bits bits whatever the input.
+    """Bit map, eight bits a byte, of the values of a column modulo 2^bits: 2^bits bits whatever the input.
 
     It spares rows without a partner the way through the shuffle; a false hit costs time, nothing else.
     """
     slot = F.pmod(column, F.lit(1 << bits)) + 1
     maps = keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
-    out = np.zeros(1 << bits, np.uint8)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for row in maps.collect():  # 2^bits / 32,768 rows of 4 KB at most
-        own = np.unpackbits(np.frombuffer(bytes(row["bitmap"]), np.uint8), bitorder="little")
+        own = np.frombuffer(bytes(row["bitmap"]), np.uint8)[: out.size]
         out[(row["bucket"] - 1) * own.size :][: own.size] = own
     return out
 
 
+def in_map(bit_map: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether unsigned values are in a bit map; the map stays packed, as every task holds it."""
+    slot = values % np.uint64(8 * bit_map.size)
+    return bit_map[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs`` (doc_id, text)."""
     texts = docs.select("doc_id", F.coalesce(text_bytes(), F.lit(b"")).alias("data"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from compindex.llm.common import carried_id, hot_keys, lookup, returned, text_bytes
-from compindex.llm.exact import bit_map
+from compindex.llm.exact import bit_map, in_map
 from compindex.llm.graph import components
 from compindex.session import cut_lineage
 
@@ -115,12 +115,13 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(w, shingles) of the nodes in the bit map."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_nodes = np.unpackbits(shared.value)
         for part in _parts(batches):
-            found = [f for f in (shingle_set(data.as_py()) for data in part.column(0)) if open_nodes[f[0] % open_nodes.size]]
+            found = [shingle_set(data.as_py()) for data in part.column(0)]
+            hits = in_map(shared.value, np.array([f[0] for f in found], np.uint64))
+            found = [f for f, hit in zip(found, hits) if hit]
             if found:
                 ends = np.cumsum([0, *(len(f[1]) for f in found)], dtype=np.int32)
                 sets = pa.ListArray.from_arrays(ends, np.concatenate([f[1] for f in found]).view(np.int64))

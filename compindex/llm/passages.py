@@ -1,17 +1,21 @@
-"""Passages that repeat across documents: content-cut paragraphs, MinHash banding, exact Jaccard, components.
+"""Passages that repeat across documents: every window of words, and content-cut paragraphs by MinHash banding and components.
 
-Shared passages start in the middle of lines, so line breaks cannot name them. The paragraphs compared here are
-``WINDOW`` words long and start where the text itself says so: of every ``SPAN`` successive starts the one with the
-smallest shingle hash. Any run of WINDOW + SPAN - 1 = 50 words that two documents share therefore yields a
-paragraph they share, wherever it lies. Paragraphs that repeat one of their own shingles (word lists, filler) are left out.
+Shared passages start in the middle of lines, so line breaks cannot name them. A passage is a run of ``WINDOW`` = 20 words or more.
+The windows of 20 words at all places of all texts are looked at, so equal passages are found wherever they lie. Most windows meet no
+other: a window's seed is the smallest hash of its runs of ``SEED`` words, equal windows have equal seeds, neighbours mostly share one,
+and only windows whose seed occurs in two documents become rows.
 
-Equal paragraphs are one node. Paragraphs that collide in a band of MinHashes are compared by exact Jaccard on five-word
-shingles: all pairs of a small bucket; in a crowded one every paragraph is keyed by its shingles less one, and
-those that share a key form a star (16 shingles each: Jaccard of 0.8 is reached exactly by 15 shared ones). Components
-of similar paragraphs that occur in two documents or more are reported. Paragraphs are told apart by a 64-bit hash.
+Beside them, paragraphs of 20 words start where the text itself says so: of every ``SPAN`` successive starts the one with the smallest
+shingle hash. Those that collide in a band of MinHashes are compared by exact Jaccard on bags of five-word shingles (a shingle's second
+occurrence is another one): all pairs of a small bucket; in a crowded one every paragraph is keyed by its shingles less one, and those that
+share a key form a star (16 shingles each: Jaccard of 0.8 is reached exactly by 15 shared ones). A longer passage that changed words
+leave at a Jaccard of 0.8 keeps a run of 20 unchanged words, which the windows find.
 
-Null, empty and shorter texts have no paragraphs; repeated rows of one doc_id are one document; rows without a doc_id
-are reported but do not count as a second document.
+Equal windows are one node. Components of equal and similar ones that occur in two documents or more are reported. Windows are told apart
+by a 64-bit hash.
+
+Null, empty and shorter texts have no windows, and one word 20 times over is none; repeated rows of one doc_id are one document; rows
+without a doc_id are reported but do not count as a second document.
 """
 
 from __future__ import annotations
@@ -25,20 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from compindex.llm.common import carried_id, lookup, returned, text_bytes
-from compindex.llm.exact import bit_map
+from compindex.llm.common import HOT_SHARE, NO_ID, carried_id, lookup, returned, text_bytes
+from compindex.llm.exact import bit_map, in_map
 from compindex.llm.graph import components
 from compindex.session import cut_lineage, scratch_path
 
-SHINGLE, WINDOW, SPAN = 5, 20, 31
+SHINGLE, WINDOW, SPAN, SEED = 5, 20, 31, 8
 SHINGLES = WINDOW - SHINGLE + 1
 SHARED = 15  # least number of equal shingles of two sets of 16 with a Jaccard of 0.8
 # Bands of ROWS MinHashes each: at Jaccard 0.8, 1 - (1 - 0.8^2)^3 = 95 % of pairs meet in a band, each on its own.
 BANDS, ROWS = 3, 2
 PAIRWISE = 64
-# Paragraphs worked on at once.
-BLOCK = 20_000
-FILTER_BITS = 26
+# Paragraphs worked on at once, windows of a text, pairs.
+BLOCK, PIECE, PAIRS = 200_000, 100_000, 20_000
+# Bits of a bit map for each key, and the powers of two between which its size lies: 128 KB to 128 MB.
+FILTER_SHARE, FILTER_BITS = 64, (20, 30)
 _RANDOM = np.random.RandomState(7)
 _FACTORS = _RANDOM.randint(1, 1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RANDOM.randint(1, 1 << 62, size=WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,27 +64,78 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(values[:-rest], values[rest:]) if rest else values
 
 
-def paragraphs(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts (in words) of a text's paragraphs, and a row of shingle hashes for each."""
+def _hashes(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and of its shingles; none of texts that are shorter than a window."""
     words = data.lower().split() if data else []
-    none = np.zeros(0, np.int64), np.zeros((0, SHINGLES), np.uint64)
     if len(words) < WINDOW:
-        return none
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = np.fromiter(map(xxh64_intdigest, words, repeat(3)), np.uint64, len(words))
-    shingles = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        shingles += h[k : len(h) - SHINGLE + 1 + k] * _PLACES[k]
-    shingles = _mix(shingles)
-    heads = shingles[: len(words) - WINDOW + 1]
+    return h, _runs(h, SHINGLE)
+
+
+def _runs(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` words."""
+    out = np.zeros(len(h) - width + 1, np.uint64)
+    for k in range(width):
+        out += h[k : len(h) - width + 1 + k] * _PLACES[k]
+    return _mix(out)
+
+
+def _seeds(h: np.ndarray) -> np.ndarray:
+    """The smallest hash of a window's runs of ``SEED`` words."""
+    return _sliding(_runs(h, SEED), WINDOW - SEED + 1, np.minimum)
+
+
+def _varied(h: np.ndarray) -> np.ndarray:
+    """Whether a window is more than one word over and over."""
+    changes = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+    return changes[WINDOW - 1 :] > changes[: len(h) - WINDOW + 1]
+
+
+def _cut(h: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros((0, SHINGLES), np.uint64)
+    heads = shingles[: len(h) - WINDOW + 1]
     span = min(SPAN, len(heads))
     # a start is chosen if it holds the minimum of some run of `span` starts: the largest of its runs' minima is its own
     lowest = _sliding(heads, span, np.minimum)
     padded = np.concatenate([np.zeros(span - 1, np.uint64), lowest, np.zeros(span - 1, np.uint64)])
-    starts = np.flatnonzero(_sliding(padded, span, np.maximum) == heads)
-    rows = shingles[starts[:, None] + np.arange(SHINGLES)]
-    ordered = np.sort(rows, axis=1)
-    own = (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
-    return starts[own], rows[own]
+    starts = np.flatnonzero((_sliding(padded, span, np.maximum) == heads) & _varied(h))
+    return starts, shingles[starts[:, None] + np.arange(SHINGLES)]
+
+
+def paragraphs(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (in words) of a text's content-cut paragraphs, and a row of shingle hashes for each."""
+    return _cut(*_hashes(data))
+
+
+def windows(data: bytes | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, hashes, seeds) of all windows of a text, about ``PIECE`` at once."""
+    yield from _windows(*_hashes(data))
+
+
+def _windows(h: np.ndarray, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    if not len(h):
+        return
+    seeds, varied = _seeds(h) | np.uint64(1), _varied(h)
+    for at in range(0, len(seeds), PIECE):
+        starts = at + np.flatnonzero(varied[at : at + PIECE])
+        ids = np.zeros(len(starts), np.uint64)
+        for k in range(SHINGLES):
+            ids += shingles[starts + k] * _PLACES[k]
+        yield starts, _mix(ids), seeds[starts]
+
+
+def bags(rows: np.ndarray) -> np.ndarray:
+    """Rows of shingle hashes in which a shingle's second, third, .. occurrence is another one."""
+    order = np.argsort(rows, axis=1, kind="stable")
+    ordered = np.take_along_axis(rows, order, axis=1)
+    again = np.zeros(rows.shape, np.uint64)
+    for k in range(1, rows.shape[1]):
+        again[:, k] = np.where(ordered[:, k] == ordered[:, k - 1], again[:, k - 1] + np.uint64(1), np.uint64(0))
+    out = np.empty_like(rows)
+    np.put_along_axis(out, order, np.where(again > 0, _mix(ordered + again * _PLACES[0]), ordered), axis=1)
+    return out
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
@@ -94,15 +150,15 @@ def _ids(rows: np.ndarray) -> np.ndarray:
     return _mix((rows * _PLACES[:SHINGLES]).sum(axis=1, dtype=np.uint64))
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, start, shingle hashes) of the paragraphs of many texts at once, about ``BLOCK`` rows each."""
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, bags of shingle hashes) of the paragraphs of many texts at once, about ``BLOCK`` rows each."""
     held, rows = [], 0
     for batch in batches:
-        for doc_id, data in zip(batch["doc_id"], batch["data"]):
-            starts, hashes = paragraphs(data)
-            if len(starts):
-                held.append((doc_id, starts, hashes))
-                rows += len(starts)
+        for data in batch["data"]:
+            found = paragraphs(data)[1]
+            if len(found):
+                held.append(found)
+                rows += len(found)
             if rows >= BLOCK:
                 yield _joined(held)
                 held, rows = [], 0
@@ -110,37 +166,76 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
         yield _joined(held)
 
 
-def _joined(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
-    return ids, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+def _joined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.concatenate(held)
+    return _ids(rows), bags(rows)
 
 
-def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, w, k0, k1, ..): paragraphs with their hash and band keys."""
+def _meetings(docs: DataFrame) -> DataFrame:
+    """(key, v): the band keys of paragraphs (even) with 32 bits of their hash, and the seeds of windows (odd) with their doc_id.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, starts, hashes in _blocks(batches):
-            keys = band_keys(hashes).view(np.int64)
-            yield pd.DataFrame({"doc_id": ids, "start": starts, "w": _ids(hashes).view(np.int64)} | {f"k{b}": keys[:, b] for b in range(BANDS)})
+    A key with two values stands for different paragraphs, or for documents that may share a window.
+    """
 
-    found = docs.select(carried_id(), text_bytes().alias("data")).mapInPandas(run, "doc_id long, start long, w long, " + ", ".join(f"k{b} long" for b in range(BANDS)))
-    return returned(found)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, seeds, rows = [], [], 0
+        for batch in batches:
+            for doc_id, data in zip(batch["doc_id"], batch["data"]):
+                h, shingles = _hashes(data)
+                held.append(_cut(h, shingles)[1])
+                if len(h) and doc_id != NO_ID:
+                    seeds.append((doc_id, np.unique(_seeds(h)[_varied(h)]) | np.uint64(1)))
+                rows += len(held[-1])
+                if rows >= BLOCK:
+                    yield found(held, seeds)
+                    held, seeds, rows = [], [], 0
+        if held:
+            yield found(held, seeds)
+
+    def found(held: list[np.ndarray], seeds: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+        w, sets = _joined(held)
+        keys = [*(band_keys(sets) & ~np.uint64(1)).T, *(own for _, own in seeds)]
+        values = [*[(w >> np.uint64(32)).astype(np.int64)] * BANDS, *(np.full(len(own), doc_id, np.int64) for doc_id, own in seeds)]
+        return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "v": np.concatenate(values)}).drop_duplicates()
+
+    return docs.select(carried_id(), text_bytes().alias("data")).mapInPandas(run, "key long, v long")
 
 
 def _candidates(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(key, w, shingles) of paragraphs whose band key is in the bit map; shingles are cut to 32 bits each."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_keys = np.unpackbits(shared.value)
-        for _, _, hashes in _blocks(batches):
-            keys = band_keys(hashes)
-            at, band = np.nonzero(open_keys[keys % np.uint64(open_keys.size)])
-            short = (hashes[at] >> np.uint64(32)).astype("<u4")
-            found = pd.DataFrame({"key": keys[at, band].view(np.int64), "w": _ids(hashes)[at].view(np.int64), "shingles": [r.tobytes() for r in short]})
+        for ids, rows in _blocks(batches):
+            keys = band_keys(rows) & ~np.uint64(1)
+            at, band = np.nonzero(in_map(shared.value, keys))
+            short = (rows[at] >> np.uint64(32)).astype("<u4")
+            found = pd.DataFrame({"key": keys[at, band].view(np.int64), "w": ids[at].view(np.int64), "shingles": [r.tobytes() for r in short]})
             yield found.drop_duplicates(["key", "w"])
 
-    return docs.select(carried_id(), text_bytes().alias("data")).mapInPandas(run, "key long, w long, shingles binary")
+    return docs.select(text_bytes().alias("data")).mapInPandas(run, "key long, w long, shingles binary")
+
+
+def _places(docs: DataFrame, seeds: np.ndarray, linked: np.ndarray) -> DataFrame:
+    """(doc_id, start, w) of the windows whose seed or hash is in a bit map."""
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, linked))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met, similar_ones = shared.value
+        held, rows = [], 0
+        for batch in batches:
+            for doc_id, data in zip(batch["doc_id"], batch["data"]):
+                for starts, ids, own in windows(data):
+                    hit = in_map(met, own) | in_map(similar_ones, ids)
+                    held.append((np.full(int(hit.sum()), doc_id, np.int64), starts[hit], ids[hit].view(np.int64)))
+                    rows += len(held[-1][0])
+                    if rows >= BLOCK:
+                        yield pd.DataFrame({name: np.concatenate(part) for name, part in zip(("doc_id", "start", "w"), zip(*held))})
+                        held, rows = [], 0
+        if rows:
+            yield pd.DataFrame({name: np.concatenate(part) for name, part in zip(("doc_id", "start", "w"), zip(*held))})
+
+    return returned(docs.select(carried_id(), text_bytes().alias("data")).mapInPandas(run, "doc_id long, start long, w long"))
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +282,7 @@ def _buckets(keys: np.ndarray, w: np.ndarray, shingles: np.ndarray) -> Iterator[
     sets = np.frombuffer(b"".join(shingles), "<u4").reshape(-1, SHINGLES)
     for size in np.unique(sizes[(sizes > 1) & (sizes <= PAIRWISE)]):
         own, (i, j) = starts[sizes == size], np.triu_indices(size, 1)
-        step = max(1, BLOCK // len(i))
+        step = max(1, PAIRS // len(i))
         for at in range(0, len(own), step):
             base = own[at : at + step, None]
             first, second = (base + i).ravel(), (base + j).ravel()
@@ -200,13 +295,10 @@ def _buckets(keys: np.ndarray, w: np.ndarray, shingles: np.ndarray) -> Iterator[
                 yield pd.DataFrame({"a": w[first[near]], "b": pd.array(w[second[near]], "Int64"), "shingles": None})
 
 
-def similar(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(a, b): links between different paragraphs with a Jaccard of 0.8 or more that meet in a band."""
-    keyed = marks.select("w", F.explode(F.array(*[F.col(f"k{b}") for b in range(BANDS)])).alias("key"))
-    mixed = cut_lineage(keyed.groupBy("key").agg(F.min("w").alias("low"), F.max("w").alias("high")).where("low <> high").select("key"))
-    found = _candidates(docs, bit_map(mixed, "key", FILTER_BITS)).dropDuplicates(["key", "w"])
-    sorted_buckets = found.repartition("key").sortWithinPartitions("key", "w")
-    compared = cut_lineage(sorted_buckets.mapInPandas(_compared, "a long, b long, shingles binary"))
+def similar(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(a, b): links between different paragraphs with a Jaccard of 0.8 or more that meet in a band of the bit map."""
+    found = _candidates(docs, wanted).repartition("key").dropDuplicates(["key", "w"])
+    compared = cut_lineage(found.sortWithinPartitions("key", "w").mapInPandas(_compared, "a long, b long, shingles binary"))
     members = compared.where("b IS NULL").dropDuplicates(["a"])
     less_one = cut_lineage(members.mapInPandas(_less_one, "w long, part long"))
     centres = cut_lineage(less_one.groupBy("part").agg(F.min("w").alias("low"), F.max("w").alias("high")).where("low <> high").select("part", "low"))
@@ -223,18 +315,29 @@ def _less_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"w": np.repeat(batch["a"].to_numpy(), SHINGLES), "part": parts.ravel().view(np.int64)})
 
 
+def _map(keys: DataFrame, column: str) -> np.ndarray:
+    """Bit map with ``FILTER_SHARE`` bits or more for each key, so that few others hit it."""
+    low, high = FILTER_BITS
+    return bit_map(keys, column, min(max((FILTER_SHARE * keys.count()).bit_length(), low), high))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n_words, component_id, kept) of every paragraph that also occurs in another document.
+    """(doc_id, start, n_words, component_id, kept) of every window that also occurs, or has a similar one, in another document.
 
-    ``component_id`` is the smallest doc_id that has a paragraph of the component; that document keeps it.
+    ``component_id`` is the smallest doc_id that has a window of the component; that document keeps it.
     """
+    met = _meetings(docs).groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("key")
+    met = cut_lineage(met)
+    linked = cut_lineage(components(similar(docs, _map(met.where("key % 2 = 0"), "key"))).select(F.col("node").alias("w"), F.col("component").alias("class")))
     path = scratch_path(docs.sparkSession, "passages")
-    _marks(docs).write.parquet(path)
-    marks = docs.sparkSession.read.parquet(path)
-    linked = components(similar(docs, marks)).select(F.col("node").alias("w"), F.col("component").alias("class"))
-    spread = marks.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    _places(docs, _map(met.where("key % 2 <> 0"), "key"), _map(linked, "w")).write.parquet(path)
+    places = docs.sparkSession.read.parquet(path)
+    spread = places.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
     named = cut_lineage(spread.join(linked, "w", "left").where("low < high OR class IS NOT NULL").withColumn("class", F.coalesce("class", "w")))
     classes = named.groupBy("class").agg(F.min("low").alias("component_id"), F.max("high").alias("last")).where("component_id < last")
-    facts = cut_lineage(lookup(named.select("w", "class"), cut_lineage(classes), ["class"]).select("w", "component_id"))
-    found = lookup(marks.select("doc_id", "start", "w"), facts, ["w"])
+    facts = cut_lineage(lookup(named.select("w", "n", "class"), cut_lineage(classes), ["class"]).select("w", "n", "component_id"))
+    # the windows of hot hashes meet their facts by broadcast; how often a hash occurs is known, so it is not counted again
+    crowded = F.col("n") * HOT_SHARE > places.count()
+    few, rest = F.broadcast(facts.where(crowded).drop("n")), facts.where(~crowded).drop("n")
+    found = places.join(few, "w").unionByName(places.join(few, "w", "left_anti").join(rest, "w"))
     return found.select("doc_id", "start", F.lit(WINDOW).cast("long").alias("n_words"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -55,7 +55,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document with shared passages: the component each belongs to, and where its paragraphs lie."""
+    """Per document with shared passages: the component each belongs to, and how many windows of 20 words it has of it and where."""
     found = passages.repeated(table(spark, sf_dir, "documents"))
     return found.groupBy("doc_id", "component_id", "kept").agg(
         F.count(F.lit(1)).alias("n_paragraphs"), F.min("start").alias("first_word"), F.max(F.col("start") + F.col("n_words") - 1).alias("last_word")

@@ -61,6 +61,40 @@ def test_links_match_brute_force_in_crowded_buckets(spark, monkeypatch):
         assert {r["doc_id"] for r in got} == set(range(90)) and {r["component_id"] for r in got} == {0}
 
 
+def shared_windows(rows):
+    """doc_id to the starts of its windows of 20 words that another document has too, place by place."""
+    owners, out = {}, {}
+    for d, t in rows:
+        own = t.split()
+        for i in range(len(own) - 19):
+            owners.setdefault(tuple(own[i : i + 20]), set()).add(d)
+    for d, t in rows:
+        own = t.split()
+        out[d] = {i for i in range(len(own) - 19) if len(owners[tuple(own[i : i + 20])]) > 1}
+    return {d: places for d, places in out.items() if places}
+
+
+def test_every_window_is_looked_at(spark):
+    """Short runs at any place, refrains and lists, an edited paragraph: all windows that two documents share."""
+    rows = []
+    for i in range(40):
+        run = words(20 + i % 25, 900 + i)
+        rows += [(2 * i + side, " ".join(words(3 * i + 40 * side, 2000 + 2 * i + side) + run + words(90 - i, 3000 + 2 * i + side))) for side in (0, 1)]
+    refrain, body = words(6, 11), words(70, 12)
+    song = [w for k in range(0, 70, 8) for w in body[k : k + 8] + refrain]
+    menu = words(4, 13) * 8
+    paragraph = words(60, 14)
+    changed = paragraph[:30] + ["other"] + paragraph[31:]
+    for at, (a, b) in enumerate([(song, song), (menu, menu), (paragraph, changed)]):
+        rows += [(100 + 2 * at + side, " ".join(words(60, 40 + 2 * at + side) + own + words(70, 50 + 2 * at + side))) for side, own in ((0, a), (1, b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want, got = shared_windows(rows), {}
+    for r in passages.repeated(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["start"])
+    assert set(want) == {d for d, _ in rows}
+    assert got.keys() == want.keys() and all(want[d] <= got[d] for d in want)
+
+
 def test_bands_recall_of_similar_paragraphs():
     rng = np.random.RandomState(3)
     met = 0
