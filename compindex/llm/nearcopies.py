@@ -1,8 +1,10 @@
-"""Near copies of whole documents: Jaccard of 0.8 or more on five-word shingles, MinHash bands for candidates.
+"""Near copies of whole documents: Jaccard of 0.8 or more on five-word shingles, SimHash and MinHash bands for candidates.
 
 A text is the set of its lower-case five-word shingles (the whole text if it is shorter; texts without words are all
-equal). Texts that share a key of ``BANDS`` bands of ``ROWS`` MinHashes are candidates: at Jaccard 0.8 a pair
-misses all of them with odds of (1 - 0.8^4)^20, 3 in 100,000. Candidates are compared by exact Jaccard of the whole sets.
+equal). Texts whose SimHash fingerprints of five-word shingles join up by ``simhash.links`` (pigeonhole probes, two bits) are candidates.
+Many texts with a Jaccard of 0.8 lie farther apart (4 to 14 bits), where probes cost too much; so texts that share a key of ``BANDS`` bands of
+``ROWS`` MinHashes are candidates as well: at Jaccard 0.8 a pair misses all of them with odds of (1 - 0.8^4)^20, 3 in 100,000. A component of
+fingerprints is a bucket like that of a band. Candidates are compared by exact Jaccard of the whole sets.
 
 Texts of equal words are one node. Every member of a bucket is first compared with that one of it which shares most buckets with
 others, so a group of edited copies of one text costs one comparison a member. What that does not join up into one component is compared
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from compindex.llm import simhash
 from compindex.llm.common import carried_id, hot_keys, lookup, returned, text_bytes
 from compindex.llm.exact import bit_map, in_map
 from compindex.llm.graph import components
@@ -83,15 +86,16 @@ def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, w, n, keys, s0, s1, s2): every row's node, number of shingles, band keys and sketch."""
+    """(doc_id, w, fp, n, keys, s0, s1, s2): every row's node, fingerprint, number of shingles, band keys and sketch."""
 
-    schema = "doc_id long, w long, n long, keys array<long>, " + ", ".join(f"{name} long" for name in SKETCH)
+    schema = "doc_id long, w long, fp long, n long, keys array<long>, " + ", ".join(f"{name} long" for name in SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            ids, nodes, sizes, keys, sketches = part.column(0), [], [], [], []
+            ids, nodes, prints, sizes, keys, sketches = part.column(0), [], [], [], [], []
             for data in part.column(1):
                 node, shingles = shingle_set(data.as_py())
+                prints.append(simhash.fingerprint(data.as_py(), SHINGLE))
                 own, sketch = band_keys(shingles)
                 nodes.append(node)
                 sizes.append(len(shingles))
@@ -100,8 +104,8 @@ def _marks(docs: DataFrame) -> DataFrame:
             ends = np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate(keys).view(np.int64))
             sketch = np.stack(sketches).view(np.int64)
-            columns = [ids, np.array(nodes, np.uint64).view(np.int64), np.array(sizes), lists, *(np.ascontiguousarray(sketch[:, k]) for k in range(len(SKETCH)))]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "w", "n", "keys", *SKETCH])
+            columns = [ids, *(np.array(c, np.uint64).view(np.int64) for c in (nodes, prints)), np.array(sizes), lists, *(np.ascontiguousarray(sketch[:, k]) for k in range(len(SKETCH)))]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "w", "fp", "n", "keys", *SKETCH])
 
     return returned(docs.select(carried_id(), text_bytes().alias("data")).mapInArrow(run, schema))
 
@@ -156,10 +160,17 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut_lineage(both.where(shared * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b"))
 
 
+def _fingerprint_keys(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with a key for each component of fingerprints (column fp) that ``simhash.links`` joins up."""
+    found = cut_lineage(components(simhash.links(nodes)).select(F.col("node").alias("fp"), F.col("component").alias("root")))
+    return lookup(nodes, found, ["fp"], "left").withColumn("key", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")))
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) between nodes (w, n, keys, sketch) of ``docs`` that joins up exactly the candidates with a Jaccard of 0.8 or more."""
+    """(a, b) between nodes (w, fp, n, keys, sketch) of ``docs`` that joins up exactly the candidates with a Jaccard of 0.8 or more."""
     facts = ["w", "n", *SKETCH]
-    entries = cut_lineage(nodes.select(*facts, F.explode("keys").alias("key")))
+    banded = nodes.select(*facts, F.explode("keys").alias("key"))
+    entries = cut_lineage(banded.unionByName(_fingerprint_keys(nodes.select(*facts, "fp")).select(*facts, "key")))
     sizes = cut_lineage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = cut_lineage(lookup(entries, sizes, ["key"]))
     # what other texts were edited from meets most of them: the member of the largest buckets is compared first
@@ -224,7 +235,7 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row: the smallest doc_id of its component of near copies."""
     marked = cut_lineage(_marks(docs))
-    nodes = cut_lineage(marked.groupBy("w").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "keys", *SKETCH)]))
+    nodes = cut_lineage(marked.groupBy("w").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "n", "keys", *SKETCH)]))
     found = components(links(docs, nodes)).select(F.col("node").alias("w"), F.col("component").alias("root"))
     named = cut_lineage(nodes.join(found, "w", "left").select("w", "first", F.coalesce("root", "w").alias("root")))
     classes = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id")))

@@ -47,7 +47,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard of 0.8 or more on five-word shingles): the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    SimHash fingerprints of five-word shingles within two bits and MinHash bands name candidates, an exact Jaccard of 0.8 decides.
+    """
     found = nearcopies.near_copies(docs)
     return _without(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 

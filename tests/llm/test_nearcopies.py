@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from compindex.llm import nearcopies, simhash, stages
 
 
@@ -88,3 +90,15 @@ def test_stages_keep_columns_of_any_name(spark):
         assert out.columns == docs.columns
         assert all(r["copy"] == r["doc_id"] == r["_gone"] == r["a.b"] for r in out.collect())
     assert stages.exact_dedup(spark, docs, "").count() == 5
+
+
+def test_fingerprints_alone_find_candidates(spark):
+    """Without any band: near copies within two bits are linked, and nothing below a Jaccard of 0.8."""
+    given = [(i, edited(words(300, 700 + i // 2), i % 2, i)) for i in range(60)] + [(100, None), (101, "two words")]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    nodes = nearcopies._marks(docs).dropDuplicates(["w"]).withColumn("keys", F.expr("cast(array() as array<bigint>)")).cache()
+    prints = {r["doc_id"]: (r["w"], r["fp"]) for r in nodes.collect()}
+    assert all(fp % 2**64 == simhash.fingerprint((dict(given)[d] or "").encode(), 5) for d, (_, fp) in prints.items())
+    want = {frozenset((prints[i][0], prints[i + 1][0])) for i in range(0, 60, 2) if bin((prints[i][1] ^ prints[i + 1][1]) % 2**64).count("1") <= 2}
+    got = {frozenset((r["a"], r["b"])) for r in nearcopies.links(docs, nodes).collect()}
+    assert got == want and len(want) > 5
