@@ -169,12 +169,12 @@ def _fingerprint_keys(nodes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) between nodes (w, fp, n, keys, sketch) of ``docs`` that joins up exactly the candidates with a Jaccard of 0.8 or more."""
     facts = ["w", "n", *SKETCH]
-    banded = nodes.select(*facts, F.explode("keys").alias("key"))
-    entries = cut_lineage(banded.unionByName(_fingerprint_keys(nodes.select(*facts, "fp")).select(*facts, "key")))
+    banded = nodes.select("w", F.explode("keys").alias("key"))
+    entries = cut_lineage(banded.unionByName(_fingerprint_keys(nodes.select("w", "fp")).select("w", "key")))
     sizes = cut_lineage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = cut_lineage(lookup(entries, sizes, ["key"]))
     # what other texts were edited from meets most of them: the member of the largest buckets is compared first
-    crowd = shared.groupBy("w").agg(F.sum("size").alias("crowd"))
+    crowd = shared.groupBy("w").agg(F.sum("size").alias("crowd")).join(nodes.select(*facts), "w")
     ranked = cut_lineage(shared.join(crowd, "w"))
     centres = ranked.groupBy("key").agg(F.max(F.struct("crowd", *facts)).alias("c"))
     centres = cut_lineage(centres.select("key", *[F.col(f"c.{f}").alias(f"c{f}") for f in facts]))
