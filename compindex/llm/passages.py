@@ -14,6 +14,9 @@ leave at a Jaccard of 0.8 keeps a run of 20 unchanged words, which the windows f
 Equal windows are one node. Components of equal and similar ones that occur in two documents or more are reported. Windows are told apart
 by a 64-bit hash.
 
+Of equal texts one row is worked on (a bit map may let a few more through); the windows of all its copies become rows at the very end.
+What a copied text shares with no other text is all it has less the stretches that are shared, so it is never a row for each window.
+
 Null, empty and shorter texts have no windows, and one word 20 times over is none; repeated rows of one doc_id are one document; rows
 without a doc_id are reported but do not count as a second document.
 """
@@ -25,11 +28,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from compindex.llm.common import HOT_SHARE, NO_ID, carried_id, lookup, returned, text_bytes
+from compindex.llm.common import HOT_SHARE, NO_ID, carried_id, lookup, text_bytes
 from compindex.llm.exact import bit_map, in_map
 from compindex.llm.graph import components
 from compindex.session import cut_lineage, scratch_path
@@ -44,6 +47,8 @@ PAIRWISE = 64
 BLOCK, PIECE, PAIRS = 200_000, 100_000, 20_000
 # Bits of a bit map for each key, and the powers of two between which its size lies: 128 KB to 128 MB.
 FILTER_SHARE, FILTER_BITS = 64, (20, 30)
+# Kinds of places: where a copied text's stretch of windows opens, its windows, where the stretch has closed; windows of other texts.
+OPEN, COPIED, CLOSED, SOLE = range(4)
 _RANDOM = np.random.RandomState(7)
 _FACTORS = _RANDOM.randint(1, 1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RANDOM.randint(1, 1 << 62, size=WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,6 +155,30 @@ def _ids(rows: np.ndarray) -> np.ndarray:
     return _mix((rows * _PLACES[:SHINGLES]).sum(axis=1, dtype=np.uint64))
 
 
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(doc_id, t) of all rows with a text, (t, low, high, n, name) of the texts, and whether a text's ``name`` is its hash ``t``.
+
+    It is the smallest doc_id of its rows, unless a doc_id has two texts or a text no doc_id.
+    """
+    marks = cut_lineage(docs.where("text IS NOT NULL").select("doc_id", F.xxhash64(text_bytes()).alias("t")))
+    texts = cut_lineage(marks.groupBy("t").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")))
+    many = marks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b")
+    by_hash = not (many.isEmpty() and texts.where("low IS NULL").isEmpty())
+    return marks, texts.withColumn("name", F.col("t" if by_hash else "low")), by_hash
+
+
+def _first_rows(docs: DataFrame, texts: DataFrame, by_hash: bool) -> tuple[DataFrame, np.ndarray]:
+    """(name, t, row, data) of all rows with a text, and a bit map of ``row`` for one of the rows of each text."""
+    rows = docs.where("text IS NOT NULL").select(carried_id(), text_bytes().alias("data"), F.xxhash64(text_bytes()).alias("t"))
+    rows = rows.select(F.col("t" if by_hash else "doc_id").alias("name"), "t", F.xxhash64("doc_id", "t").alias("row"), "data")
+    return rows, _map(texts.select(F.xxhash64(F.coalesce("low", F.lit(NO_ID)), "t").alias("row")), "row")
+
+
+def _only(batches: Iterator[pd.DataFrame], first: np.ndarray) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[in_map(first, batch["row"].to_numpy().view(np.uint64))]
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, bags of shingle hashes) of the paragraphs of many texts at once, about ``BLOCK`` rows each."""
     held, rows = [], 0
@@ -171,20 +200,21 @@ def _joined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return _ids(rows), bags(rows)
 
 
-def _meetings(docs: DataFrame) -> DataFrame:
-    """(key, v): the band keys of paragraphs (even) with 32 bits of their hash, and the seeds of windows (odd) with their doc_id.
+def _meetings(rows: DataFrame, first: np.ndarray) -> DataFrame:
+    """(key, v): the band keys of paragraphs (even) with 32 bits of their hash, and the seeds of windows (odd) with their text's name.
 
-    A key with two values stands for different paragraphs, or for documents that may share a window.
+    A key with two values stands for different paragraphs, or for texts that may share a window.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, seeds, rows = [], [], 0
-        for batch in batches:
-            for doc_id, data in zip(batch["doc_id"], batch["data"]):
+        for batch in _only(batches, shared.value):
+            for name, data in zip(batch["name"], batch["data"]):
                 h, shingles = _hashes(data)
                 held.append(_cut(h, shingles)[1])
-                if len(h) and doc_id != NO_ID:
-                    seeds.append((doc_id, np.unique(_seeds(h)[_varied(h)]) | np.uint64(1)))
+                if len(h):
+                    seeds.append((name, np.unique(_seeds(h)[_varied(h)]) | np.uint64(1)))
                 rows += len(held[-1])
                 if rows >= BLOCK:
                     yield found(held, seeds)
@@ -195,47 +225,64 @@ def _meetings(docs: DataFrame) -> DataFrame:
     def found(held: list[np.ndarray], seeds: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
         w, sets = _joined(held)
         keys = [*(band_keys(sets) & ~np.uint64(1)).T, *(own for _, own in seeds)]
-        values = [*[(w >> np.uint64(32)).astype(np.int64)] * BANDS, *(np.full(len(own), doc_id, np.int64) for doc_id, own in seeds)]
+        values = [*[(w >> np.uint64(32)).astype(np.int64)] * BANDS, *(np.full(len(own), name, np.int64) for name, own in seeds)]
         return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "v": np.concatenate(values)}).drop_duplicates()
 
-    return docs.select(carried_id(), text_bytes().alias("data")).mapInPandas(run, "key long, v long")
+    return rows.mapInPandas(run, "key long, v long")
 
 
-def _candidates(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _candidates(rows: DataFrame, first: np.ndarray, wanted: np.ndarray) -> DataFrame:
     """(key, w, shingles) of paragraphs whose band key is in the bit map; shingles are cut to 32 bits each."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = rows.sparkSession.sparkContext.broadcast((first, wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, rows in _blocks(batches):
+        first, wanted = shared.value
+        for ids, rows in _blocks(_only(batches, first)):
             keys = band_keys(rows) & ~np.uint64(1)
-            at, band = np.nonzero(in_map(shared.value, keys))
+            at, band = np.nonzero(in_map(wanted, keys))
             short = (rows[at] >> np.uint64(32)).astype("<u4")
             found = pd.DataFrame({"key": keys[at, band].view(np.int64), "w": ids[at].view(np.int64), "shingles": [r.tobytes() for r in short]})
             yield found.drop_duplicates(["key", "w"])
 
-    return docs.select(text_bytes().alias("data")).mapInPandas(run, "key long, w long, shingles binary")
+    return rows.mapInPandas(run, "key long, w long, shingles binary")
 
 
-def _places(docs: DataFrame, seeds: np.ndarray, linked: np.ndarray) -> DataFrame:
-    """(doc_id, start, w) of the windows whose seed or hash is in a bit map."""
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, linked))
+def _places(rows: DataFrame, first: np.ndarray, copied: np.ndarray | None, seeds: np.ndarray, linked: np.ndarray) -> DataFrame:
+    """(name, start, w, kind) of the windows whose seed or hash is in a bit map, and of the ends of all stretches of copied texts' windows.
+
+    Texts whose hash is in the bit map ``copied`` count as copied, all without one.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((first, copied, seeds, linked))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met, similar_ones = shared.value
+        first, copied, met, similar_ones = shared.value
         held, rows = [], 0
-        for batch in batches:
-            for doc_id, data in zip(batch["doc_id"], batch["data"]):
-                for starts, ids, own in windows(data):
-                    hit = in_map(met, own) | in_map(similar_ones, ids)
-                    held.append((np.full(int(hit.sum()), doc_id, np.int64), starts[hit], ids[hit].view(np.int64)))
-                    rows += len(held[-1][0])
-                    if rows >= BLOCK:
-                        yield pd.DataFrame({name: np.concatenate(part) for name, part in zip(("doc_id", "start", "w"), zip(*held))})
-                        held, rows = [], 0
+        for batch in _only(batches, first):
+            several = np.ones(len(batch), bool) if copied is None else in_map(copied, batch["t"].to_numpy().view(np.uint64))
+            for name, again, data in zip(batch["name"], several, batch["data"]):
+                h, shingles = _hashes(data)
+                found = [(starts, ids, COPIED if again else SOLE) for starts, ids in hits(h, shingles, met, similar_ones)]
+                if again and len(h):
+                    ends = np.flatnonzero(np.diff(np.concatenate([[False], _varied(h), [False]]).astype(np.int8)))
+                    found += [(ends[::2], np.zeros(len(ends) // 2, np.uint64), OPEN), (ends[1::2], np.zeros(len(ends) // 2, np.uint64), CLOSED)]
+                for starts, ids, kind in found:
+                    held.append((np.full(len(starts), name, np.int64), starts, ids.view(np.int64), np.full(len(starts), kind, np.int8)))
+                    rows += len(starts)
+                if rows >= BLOCK:
+                    yield joined(held)
+                    held, rows = [], 0
         if rows:
-            yield pd.DataFrame({name: np.concatenate(part) for name, part in zip(("doc_id", "start", "w"), zip(*held))})
+            yield joined(held)
+
+    def hits(h: np.ndarray, shingles: np.ndarray, met: np.ndarray, similar_ones: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for starts, ids, own in _windows(h, shingles):
+            hit = in_map(met, own) | in_map(similar_ones, ids)
+            yield starts[hit], ids[hit]
+
+    def joined(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        return pd.DataFrame({column: np.concatenate(part) for column, part in zip(("name", "start", "w", "kind"), zip(*held))})
 
-    return returned(docs.select(carried_id(), text_bytes().alias("data")).mapInPandas(run, "doc_id long, start long, w long"))
+    return rows.mapInPandas(run, "name long, start long, w long, kind byte")
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,9 +342,9 @@ def _buckets(keys: np.ndarray, w: np.ndarray, shingles: np.ndarray) -> Iterator[
                 yield pd.DataFrame({"a": w[first[near]], "b": pd.array(w[second[near]], "Int64"), "shingles": None})
 
 
-def similar(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def similar(rows: DataFrame, first: np.ndarray, wanted: np.ndarray) -> DataFrame:
     """(a, b): links between different paragraphs with a Jaccard of 0.8 or more that meet in a band of the bit map."""
-    found = _candidates(docs, wanted).repartition("key").dropDuplicates(["key", "w"])
+    found = _candidates(rows, first, wanted).repartition("key").dropDuplicates(["key", "w"])
     compared = cut_lineage(found.sortWithinPartitions("key", "w").mapInPandas(_compared, "a long, b long, shingles binary"))
     members = compared.where("b IS NULL").dropDuplicates(["a"])
     less_one = cut_lineage(members.mapInPandas(_less_one, "w long, part long"))
@@ -321,23 +368,75 @@ def _map(keys: DataFrame, column: str) -> np.ndarray:
     return bit_map(keys, column, min(max((FILTER_SHARE * keys.count()).bit_length(), low), high))
 
 
+def _runs_of_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Successive windows of a text with one component become (name, start, last, component_id, kind), from rows sorted by (name, start)."""
+    before = None
+    for batch in batches:
+        name, start, component = (batch[c].to_numpy() for c in ("name", "start", "component_id"))
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (start[1:] != start[:-1])
+        if len(name):
+            new[0] = before != (name[0], start[0])
+            before = name[-1], start[-1]
+        name, start, component = name[new], start[new], component[new]
+        if len(name):
+            own = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (start[1:] != start[:-1] + 1) | (component[1:] != component[:-1])]))
+            last = start[np.append(own[1:], len(name)) - 1]
+            yield pd.DataFrame({"name": name[own], "start": start[own], "last": last, "component_id": component[own], "kind": np.full(len(own), COPIED, np.int8)})
+
+
+def _stretches(found: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
+    """(name, start, last, component_id): all stretches of copied texts' windows, those that no other text has among them."""
+    schema = "name long, start long, last long, component_id long, kind byte"
+    shared = cut_lineage(found.repartition("name").sortWithinPartitions("name", "start").mapInPandas(_runs_of_places, schema))
+    ends = places.where(F.col("kind").isin(OPEN, CLOSED)).distinct()
+    ends = ends.select("name", "start", (F.col("start") - 1).alias("last"), F.lit(None).cast("long").alias("component_id"), "kind")
+    copies = texts.where("low < high").select("name", "low")
+    along = ends.unionByName(shared).join(copies, "name").withColumn("next", F.lag("last").over(Window.partitionBy("name").orderBy("start", "kind")) + 1)
+    rest = along.where((F.col("kind") != OPEN) & (F.col("next") < F.col("start")))
+    rest = rest.select("name", F.col("next").alias("start"), (F.col("start") - 1).alias("last"), F.col("low").alias("component_id"))
+    return shared.select(rest.columns).unionByName(rest)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, which takes less disk than a checkpoint."""
+    path = scratch_path(df.sparkSession, "passages")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n_words, component_id, kept) of every window that also occurs, or has a similar one, in another document.
 
     ``component_id`` is the smallest doc_id that has a window of the component; that document keeps it.
     """
-    met = _meetings(docs).groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("key")
+    marks, texts, by_hash = _texts(docs)
+    rows, first = _first_rows(docs, texts, by_hash)
+    met = _meetings(rows, first).groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("key")
     met = cut_lineage(met)
-    linked = cut_lineage(components(similar(docs, _map(met.where("key % 2 = 0"), "key"))).select(F.col("node").alias("w"), F.col("component").alias("class")))
-    path = scratch_path(docs.sparkSession, "passages")
-    _places(docs, _map(met.where("key % 2 <> 0"), "key"), _map(linked, "w")).write.parquet(path)
-    places = docs.sparkSession.read.parquet(path)
-    spread = places.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-    named = cut_lineage(spread.join(linked, "w", "left").where("low < high OR class IS NOT NULL").withColumn("class", F.coalesce("class", "w")))
-    classes = named.groupBy("class").agg(F.min("low").alias("component_id"), F.max("high").alias("last")).where("component_id < last")
-    facts = cut_lineage(lookup(named.select("w", "n", "class"), cut_lineage(classes), ["class"]).select("w", "n", "component_id"))
+    links = similar(rows, first, _map(met.where("key % 2 = 0"), "key"))
+    linked = cut_lineage(components(links).select(F.col("node").alias("w"), F.col("component").alias("class")))
+    copied = None if by_hash else _map(texts.where("n > 1"), "t")
+    written = _written(_places(rows, first, copied, _map(met.where("key % 2 <> 0"), "key"), _map(linked, "w")))
+    places = written.where(F.col("kind").isin(COPIED, SOLE))
+    # a text stands for all its documents; one that is named by its smallest doc_id shares a window with another if their names differ
+    owned = lookup(places, texts.select("name", "low", "high"), ["name"]) if by_hash else places.withColumns({"low": F.col("name"), "high": F.col("name")})
+    spread = owned.groupBy("w").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n"))
+    named = _written(spread.join(linked, "w", "left").where("low < high OR class IS NOT NULL"))
+    similar_ones = named.where("class IS NOT NULL")
+    classes = similar_ones.groupBy("class").agg(F.min("low").alias("component_id"), F.max("high").alias("last")).where("component_id < last")
+    facts = lookup(similar_ones.select("w", "n", "class"), cut_lineage(classes), ["class"]).select("w", "n", "component_id")
+    facts = facts.unionByName(named.where("class IS NULL").select("w", "n", F.col("low").alias("component_id")))
     # the windows of hot hashes meet their facts by broadcast; how often a hash occurs is known, so it is not counted again
     crowded = F.col("n") * HOT_SHARE > places.count()
     few, rest = F.broadcast(facts.where(crowded).drop("n")), facts.where(~crowded).drop("n")
-    found = places.join(few, "w").unionByName(places.join(few, "w", "left_anti").join(rest, "w"))
-    return found.select("doc_id", "start", F.lit(WINDOW).cast("long").alias("n_words"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+    def found(kind: int) -> DataFrame:
+        own = places.where(F.col("kind") == kind).drop("kind")
+        return own.join(few, "w").unionByName(own.join(few, "w", "left_anti").join(rest, "w")).select("name", "start", "component_id")
+
+    members = cut_lineage(marks.join(texts.select("t", "name"), "t").select("doc_id", "name"))
+    stretches = lookup(members, cut_lineage(_stretches(found(COPIED), written, texts)), ["name"])
+    copies = stretches.select("doc_id", F.explode(F.sequence("start", "last")).alias("start"), "component_id")
+    out = found(SOLE).withColumnRenamed("name", "doc_id").unionByName(copies)
+    return out.select("doc_id", "start", F.lit(WINDOW).cast("long").alias("n_words"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

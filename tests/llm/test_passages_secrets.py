@@ -95,6 +95,32 @@ def test_every_window_is_looked_at(spark):
     assert got.keys() == want.keys() and all(want[d] <= got[d] for d in want)
 
 
+def test_copies_are_worked_on_once(spark, monkeypatch):
+    """Windows of copies come from stretches, not from rows of their own; what a copy shares with other texts joins their component."""
+    run, long, noise = words(40, 60), words(300, 61), words(90, 62)
+    copied = " ".join(long[:100] + run + long[100:] + ["so"] * 60 + noise + run[:30])
+    rows = [(d, copied) for d in (7, 8, 9, 9)] + [(3, " ".join(words(30, 63) + run)), (20, " ".join(noise)), (21, " ".join(noise)), (30, " ".join(words(80, 64)))]
+    written, places = [], passages._places
+    monkeypatch.setattr(passages, "_places", lambda *a: written.append(places(*a)) or written[-1])
+    for more in ([], [(8, " ".join(noise[:50])), (None, " ".join(long[5:50])), (None, copied)]):  # ids with two texts and without any
+        given = rows + more
+        docs = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+        owners = {}
+        for d, t in given:
+            for at, w in [(at, tuple(t.split()[at : at + 20])) for at in range(len(t.split()) - 19)]:
+                if len(set(w)) > 1:
+                    owners.setdefault(w, set()).add(d)
+        want = []
+        for d, t in given:
+            for at in range(len(t.split()) - 19):
+                ids = owners.get(tuple(t.split()[at : at + 20]), set()) - {None}
+                want += [(d, at, min(ids))] if len(ids) > 1 else []
+        got = [(r["doc_id"], r["start"], r["component_id"]) for r in passages.repeated(docs).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        if not more:
+            assert written[-1].where("kind = 1 OR kind = 3").count() < 300 < len(got)
+
+
 def test_bands_recall_of_similar_paragraphs():
     rng = np.random.RandomState(3)
     met = 0
