@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_digest
 
 from compindex.llm.common import HOT_SHARE, NO_ID, carried_id, lookup, text_bytes
 from compindex.llm.exact import bit_map, in_map
@@ -43,8 +43,8 @@ SHARED = 15  # least number of equal shingles of two sets of 16 with a Jaccard o
 # Bands of ROWS MinHashes each: at Jaccard 0.8, 1 - (1 - 0.8^2)^3 = 95 % of pairs meet in a band, each on its own.
 BANDS, ROWS = 3, 2
 PAIRWISE = 64
-# Paragraphs worked on at once, windows of a text, pairs.
-BLOCK, PIECE, PAIRS = 200_000, 100_000, 20_000
+# Paragraphs worked on at once, those whose band keys are made at once, windows of a text, pairs.
+BLOCK, KEYED, PIECE, PAIRS = 200_000, 2_000, 100_000, 20_000
 # Bits of a bit map for each key, and the powers of two between which its size lies: 128 KB to 128 MB.
 FILTER_SHARE, FILTER_BITS = 64, (20, 30)
 # Kinds of places: where a copied text's stretch of windows opens, its windows, where the stretch has closed; windows of other texts.
@@ -74,7 +74,7 @@ def _hashes(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     words = data.lower().split() if data else []
     if len(words) < WINDOW:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxh64_intdigest, words, repeat(3)), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(xxh64_digest, words, repeat(3))), ">u8").astype(np.uint64)
     return h, _runs(h, SHINGLE)
 
 
@@ -86,14 +86,32 @@ def _runs(h: np.ndarray, width: int) -> np.ndarray:
     return _mix(out)
 
 
+def _doubled(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` values (a power of two), by doubling: ``_weights`` says what each value counts."""
+    for k in range(width.bit_length() - 1):
+        values = values[: -(1 << k)] + values[1 << k :] * _PLACES[k]
+    return _mix(values)
+
+
+def _weights(width: int) -> np.ndarray:
+    """The factors of a run's values in ``_doubled``."""
+    out = np.ones(1, np.uint64)
+    for k in range(width.bit_length() - 1):
+        out = np.concatenate([out, out * _PLACES[k]])
+    return out
+
+
 def _seeds(h: np.ndarray) -> np.ndarray:
-    """The smallest hash of a window's runs of ``SEED`` words."""
-    return _sliding(_runs(h, SEED), WINDOW - SEED + 1, np.minimum)
+    """The smallest hash of a window's runs of ``SEED`` words; odd."""
+    return _sliding(_doubled(h, SEED), WINDOW - SEED + 1, np.minimum) | np.uint64(1)
 
 
 def _varied(h: np.ndarray) -> np.ndarray:
     """Whether a window is more than one word over and over."""
-    changes = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+    changed = h[1:] != h[:-1]
+    if len(changed) - np.count_nonzero(changed) < WINDOW - 1:
+        return np.ones(len(h) - WINDOW + 1, bool)
+    changes = np.concatenate([[0], np.cumsum(changed)])
     return changes[WINDOW - 1 :] > changes[: len(h) - WINDOW + 1]
 
 
@@ -122,17 +140,24 @@ def windows(data: bytes | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 def _windows(h: np.ndarray, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     if not len(h):
         return
-    seeds, varied = _seeds(h) | np.uint64(1), _varied(h)
+    seeds, varied = _seeds(h), _varied(h)
     for at in range(0, len(seeds), PIECE):
-        starts = at + np.flatnonzero(varied[at : at + PIECE])
-        ids = np.zeros(len(starts), np.uint64)
-        for k in range(SHINGLES):
-            ids += shingles[starts + k] * _PLACES[k]
-        yield starts, _mix(ids), seeds[starts]
+        starts = np.flatnonzero(varied[at : at + PIECE])
+        ids = _doubled(shingles[at : at + PIECE + SHINGLES - 1], SHINGLES)
+        yield at + starts, ids[starts], seeds[at + starts]
 
 
 def bags(rows: np.ndarray) -> np.ndarray:
     """Rows of shingle hashes in which a shingle's second, third, .. occurrence is another one."""
+    ordered = np.sort(rows, axis=1)
+    twice = np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1))
+    if len(twice):
+        rows = rows.copy()
+        rows[twice] = _told_apart(rows[twice])
+    return rows
+
+
+def _told_apart(rows: np.ndarray) -> np.ndarray:
     order = np.argsort(rows, axis=1, kind="stable")
     ordered = np.take_along_axis(rows, order, axis=1)
     again = np.zeros(rows.shape, np.uint64)
@@ -145,14 +170,17 @@ def bags(rows: np.ndarray) -> np.ndarray:
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
     """One row of band keys per paragraph."""
-    low = np.stack([_mix(rows * f).min(axis=1) for f in _FACTORS], axis=1).reshape(len(rows), BANDS, ROWS)
-    mixed = low[:, :, 0] * _PLACES[0] + low[:, :, 1] * _PLACES[1] + np.arange(1, BANDS + 1, dtype=np.uint64)
-    return _mix(mixed)
+    keys = np.empty((len(rows), BANDS), np.uint64)
+    for at in range(0, len(rows), KEYED):
+        columns = np.ascontiguousarray(rows[at : at + KEYED].T)  # minima run along whole columns
+        low = np.stack([_mix(columns * f).min(axis=0) for f in _FACTORS], axis=1).reshape(-1, BANDS, ROWS)
+        keys[at : at + KEYED] = low[:, :, 0] * _PLACES[0] + low[:, :, 1] * _PLACES[1] + np.arange(1, BANDS + 1, dtype=np.uint64)
+    return _mix(keys)
 
 
 def _ids(rows: np.ndarray) -> np.ndarray:
     """A paragraph's hash, which depends on the order of its shingles."""
-    return _mix((rows * _PLACES[:SHINGLES]).sum(axis=1, dtype=np.uint64))
+    return _mix((rows * _weights(SHINGLES)).sum(axis=1, dtype=np.uint64))
 
 
 def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -214,7 +242,7 @@ def _meetings(rows: DataFrame, first: np.ndarray) -> DataFrame:
                 h, shingles = _hashes(data)
                 held.append(_cut(h, shingles)[1])
                 if len(h):
-                    seeds.append((name, np.unique(_seeds(h)[_varied(h)]) | np.uint64(1)))
+                    seeds.append((name, successive(_seeds(h)[_varied(h)])))
                 rows += len(held[-1])
                 if rows >= BLOCK:
                     yield found(held, seeds)
@@ -222,11 +250,18 @@ def _meetings(rows: DataFrame, first: np.ndarray) -> DataFrame:
         if held:
             yield found(held, seeds)
 
+    def successive(own: np.ndarray) -> np.ndarray:
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        return own[new]
+
     def found(held: list[np.ndarray], seeds: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
         w, sets = _joined(held)
-        keys = [*(band_keys(sets) & ~np.uint64(1)).T, *(own for _, own in seeds)]
-        values = [*[(w >> np.uint64(32)).astype(np.int64)] * BANDS, *(np.full(len(own), name, np.int64) for name, own in seeds)]
-        return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "v": np.concatenate(values)}).drop_duplicates()
+        keys, values = (band_keys(sets) & ~np.uint64(1)).T.ravel(), np.tile((w >> np.uint64(32)).astype(np.int64), BANDS)
+        bands = pd.DataFrame({"key": keys.view(np.int64), "v": values}).drop_duplicates()
+        names = np.repeat(np.array([name for name, _ in seeds], np.int64), [len(own) for _, own in seeds])
+        keys = np.concatenate([bands["key"].to_numpy(), *(own.view(np.int64) for _, own in seeds)])
+        return pd.DataFrame({"key": keys, "v": np.concatenate([bands["v"].to_numpy(), names])})
 
     return rows.mapInPandas(run, "key long, v long")
 
@@ -277,7 +312,8 @@ def _places(rows: DataFrame, first: np.ndarray, copied: np.ndarray | None, seeds
     def hits(h: np.ndarray, shingles: np.ndarray, met: np.ndarray, similar_ones: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for starts, ids, own in _windows(h, shingles):
             hit = in_map(met, own) | in_map(similar_ones, ids)
-            yield starts[hit], ids[hit]
+            if hit.any():
+                yield starts[hit], ids[hit]
 
     def joined(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
         return pd.DataFrame({column: np.concatenate(part) for column, part in zip(("name", "start", "w", "kind"), zip(*held))})

@@ -121,6 +121,26 @@ def test_copies_are_worked_on_once(spark, monkeypatch):
             assert written[-1].where("kind = 1 OR kind = 3").count() < 300 < len(got)
 
 
+def test_hashes_made_for_many_places_at_once_are_those_of_each_place(monkeypatch):
+    """Runs hashed by doubling, band keys in pieces and bags sorted only where a shingle repeats equal the plain versions."""
+    values = np.random.RandomState(5).randint(1, 1 << 62, size=90, dtype=np.uint64)
+    plain = [(values[i : i + 16] * passages._weights(16)).sum(dtype=np.uint64) for i in range(75)]
+    assert (passages._doubled(values, 16) == passages._mix(np.array(plain))).all()
+    text = " ".join(words(60, 70) + words(3, 71) * 9 + ["so"] * 45 + words(70, 72)).encode()
+    whole = [np.concatenate(part) for part in zip(*passages.windows(text))]
+    monkeypatch.setattr(passages, "PIECE", 37)
+    assert all((a == np.concatenate(part)).all() for a, part in zip(whole, zip(*passages.windows(text))))
+    starts, rows = passages.paragraphs(text)
+    assert len(starts) > 3 and (passages._ids(rows) == whole[1][np.searchsorted(whole[0], starts)]).all()
+    rows = np.concatenate([rows, np.tile(rows[:, :4], (1, 4)), rows[:, :1] + np.zeros((1, 16), np.uint64)])
+    keys = passages.band_keys(rows)
+    monkeypatch.setattr(passages, "KEYED", 7)
+    assert (passages.band_keys(rows) == keys).all() and (passages.band_keys(rows[5:6]) == keys[5]).all()
+    for row, bag in zip(rows, passages.bags(rows)):
+        again = [(row[:k] == v).sum() for k, v in enumerate(row)]
+        assert len(set(bag)) == 16 and all((b == v) == (n == 0) for v, b, n in zip(row, bag, again))
+
+
 def test_bands_recall_of_similar_paragraphs():
     rng = np.random.RandomState(3)
     met = 0
