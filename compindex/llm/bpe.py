@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compindex.llm.common import carried_id, returned
+from compindex.llm.common import carried_id, kept, returned
 
 # Fixed values of the vocabulary's text rules: white space, and the pieces that the merges work on.
 BLANK = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -157,16 +157,9 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(shared) -> Vocabulary:
-    """Parsed once per worker process."""
-    key = hash(shared.value)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(shared.value)
-    return _LOADED[key]
+    """Parsed once per worker process, as long as its tasks are of this kind."""
+    return kept("bpe", hash(shared.value), lambda: Vocabulary(shared.value))
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:

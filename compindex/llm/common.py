@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +16,27 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 NO_ID = -(1 << 63)
 # A key with more than one in HOT_SHARE of all rows counts as hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 500
+# What this worker process keeps for its next tasks: a key and the object, by kind.
+_KEPT: dict[str, tuple[int, object]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(kind: str, key: int, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept by the worker process until ``let_go`` or another key of its kind."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT[kind] = key, make()
+    return _KEPT[kind][1]
+
+
+def let_go() -> None:
+    """Free what earlier tasks left in this worker process, for tasks that need none of it: Spark uses workers again for hours."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: str = "text") -> Column:
     """The whole text as UTF-8 bytes; null stays null."""
     return F.col(column).cast("binary")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compindex.llm.common import lookup, text_bytes
+from compindex.llm.common import let_go, lookup, text_bytes
 from compindex.session import cut_lineage
 
 # Primes below 2^31 and a base for each.
@@ -85,6 +85,7 @@ def with_fingerprint(docs: DataFrame, data: str, only: np.ndarray | None = None)
     shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             rows = pd.DataFrame([polynomial(d) for d in batch], columns=KEY[:3], dtype="int64")
             if shared is not None:

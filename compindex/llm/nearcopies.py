@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from compindex.llm import simhash
-from compindex.llm.common import carried_id, hot_keys, lookup, returned, text_bytes
+from compindex.llm.common import carried_id, hot_keys, let_go, lookup, returned, text_bytes
 from compindex.llm.exact import bit_map, in_map
 from compindex.llm.graph import components
 from compindex.session import cut_lineage
@@ -91,6 +91,7 @@ def _marks(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, w long, fp long, n long, keys array<long>, " + ", ".join(f"{name} long" for name in SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in _parts(batches):
             ids, nodes, prints, sizes, keys, sketches = part.column(0), [], [], [], [], []
             for data in part.column(1):
@@ -122,6 +123,7 @@ def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in _parts(batches):
             found = [shingle_set(data.as_py()) for data in part.column(0)]
             hits = in_map(shared.value, np.array([f[0] for f in found], np.uint64))

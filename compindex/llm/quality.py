@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from compindex.llm.common import carried_id, returned, text_bytes
+from compindex.llm.common import carried_id, let_go, returned, text_bytes
 from compindex.session import cut_lineage
 
 # The characters that count as symbols, and what separates words.
@@ -77,6 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, counts ..) for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             out = pd.DataFrame([counts(t) for t in batch["data"]], columns=list(COUNTS), dtype="int64")
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Rows of a batch for Python workers.
+BATCH_ROWS = 1_000
+
+
 def local_session(cores: int | str = "*", app: str = "compindex", memory: str = "12g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     shuffle = "8" if cores == "*" else str(cores)
@@ -56,6 +60,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let no more than ``BATCH_ROWS`` rows go to a Python worker at once: a batch of whole texts lies in the JVM and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def compute_tasks(df: DataFrame) -> int:
     """Tasks for compute-heavy steps, which size-based coalescing would put into one."""
     spark = df.sparkSession

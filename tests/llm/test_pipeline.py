@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from compindex.llm import bpe, mixing, quality  # noqa: E402
+from compindex.llm import bpe, common, mixing, nearcopies, quality, stages  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -103,6 +104,36 @@ def mixed(rows):
     return out
 
 
+class Captured:
+    """Stands for documents and hands out the function that their tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, run, schema):
+        self.run = run
+        raise StopIteration
+
+    mapInArrow = mapInPandas
+
+
+def test_tasks_let_go_of_the_vocabulary_and_batches_stay_short(spark):
+    """Stages that need no vocabulary free the one that encoding left in their worker; encoding gets short batches."""
+    for operator in (quality.measured, nearcopies._marks):
+        docs = Captured()
+        try:
+            operator(docs)
+        except StopIteration:
+            pass
+        common.kept("bpe", 1, dict)
+        assert list(docs.run(iter([]))) == [] and not common._KEPT
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(i, f"some words {i}", "a") for i in range(3000)], "doc_id long, text string, source string").coalesce(1).cache()
+    stages.encode(spark, docs, "").write.format("noop").mode("overwrite").save()
+    sizes = docs.select("doc_id").mapInPandas(lambda batches: (pd.DataFrame({"rows": [len(b)]}) for b in batches), "rows long").collect()
+    assert [r["rows"] for r in sizes] == [1000] * 3
+
+
 def test_pipeline_matches_the_plain_version(spark, sf_dir):
     from tokenizers import Tokenizer
 
