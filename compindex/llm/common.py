@@ -66,7 +66,12 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that hold more than one in ``HOT_SHARE`` rows of ``df``: fewer than ``HOT_SHARE`` rows by arithmetic."""
     total = df.count()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return cut_lineage(counts.where(F.col("_rows") * HOT_SHARE > total).select(*keys))
+    return cut_lineage(counts.where(F.col("_rows") * HOT_SHARE > total).select(*keys).repartition(1))
+
+
+def together(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of both, in no more tasks than a shuffle has: unions of unions would double tasks and files every time."""
+    return left.unionByName(right).coalesce(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def lookup(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -81,4 +86,4 @@ def lookup(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner")
     few = facts.join(F.broadcast(hot), keys, "left_semi")
     spread = df.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
     rest = df.join(F.broadcast(hot), keys, "left_anti").join(facts, keys, how)
-    return spread.unionByName(rest)
+    return together(spread, rest)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from compindex.llm import simhash
-from compindex.llm.common import carried_id, hot_keys, let_go, lookup, returned, text_bytes
+from compindex.llm.common import carried_id, hot_keys, let_go, lookup, returned, text_bytes, together
 from compindex.llm.exact import bit_map, in_map
 from compindex.llm.graph import components
 from compindex.session import cut_lineage
@@ -119,7 +119,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(w, shingles) of the nodes in the bit map."""
+    """(w, shingles) of the nodes in the bit map, materialised."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,9 @@ def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 sets = pa.ListArray.from_arrays(ends, np.concatenate([f[1] for f in found]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)), sets], ["w", "shingles"])
 
-    return docs.select(text_bytes().alias("data")).mapInArrow(run, "w long, shingles array<long>").dropDuplicates(["w"])
+    found = cut_lineage(docs.select(text_bytes().alias("data")).mapInArrow(run, "w long, shingles array<long>").dropDuplicates(["w"]))
+    shared.destroy()  # else a copy of the map stays on every executor's disk
+    return found
 
 
 def _alike(l: str, r: str) -> Column:
@@ -142,9 +144,9 @@ def _alike(l: str, r: str) -> Column:
     return sizes & (sum((F.bit_count(F.col(f"{l}{s}").bitwiseXOR(F.col(f"{r}{s}"))) for s in SKETCH), F.lit(0)) <= SKETCH_MOST)
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the set of one side. The sets of hot nodes go to ``SALTS`` tasks each; no set is broadcast."""
-    hot = F.broadcast(hot_keys(pairs, [side]).select(side, F.lit(True).alias("hot")))
+def _with_set(pairs: DataFrame, sets: DataFrame, side: str, hot: DataFrame) -> DataFrame:
+    """``pairs`` with the set of one side. The sets of ``hot`` nodes go to ``SALTS`` tasks each; no set is broadcast."""
+    hot = F.broadcast(hot.select(side, F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("a", "b"), F.lit(SALTS))).otherwise(0)
     spread = pairs.join(hot, side, "left").withColumn("salt", salt.cast("int")).drop("hot")
     named = sets.select(F.col("w").alias(side), F.col("shingles").alias(f"s{side}")).join(hot, side, "left")
@@ -155,9 +157,10 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) with an exact Jaccard of 0.8 or more."""
     pairs = cut_lineage(pairs.distinct())
-    nodes = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    sets = cut_lineage(_sets(docs, bit_map(nodes, "w", FILTER_BITS)))
-    both = _with_set(_with_set(pairs, sets, "a"), sets, "b")
+    nodes = together(pairs.select(F.col("a").alias("w")), pairs.select(F.col("b").alias("w"))).distinct()
+    sets = _sets(docs, bit_map(nodes, "w", FILTER_BITS))
+    # hot nodes are told from the bare pairs: every node has its set, and the join with the first sets is made once
+    both = _with_set(_with_set(pairs, sets, "a", hot_keys(pairs, ["a"])), sets, "b", hot_keys(pairs, ["b"]))
     shared = F.size(F.array_intersect("sa", "sb"))
     return cut_lineage(both.where(shared * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b"))
 
@@ -172,7 +175,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) between nodes (w, fp, n, keys, sketch) of ``docs`` that joins up exactly the candidates with a Jaccard of 0.8 or more."""
     facts = ["w", "n", *SKETCH]
     banded = nodes.select("w", F.explode("keys").alias("key"))
-    entries = cut_lineage(banded.unionByName(_fingerprint_keys(nodes.select("w", "fp")).select("w", "key")))
+    entries = cut_lineage(together(banded, _fingerprint_keys(nodes.select("w", "fp")).select("w", "key")))
     sizes = cut_lineage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = cut_lineage(lookup(entries, sizes, ["key"]))
     # what other texts were edited from meets most of them: the member of the largest buckets is compared first
@@ -189,9 +192,9 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     open_ones = cut_lineage(lookup(classed.drop("is_centre"), cut_lineage(split), ["key"]))
     side = lambda s: open_ones.where(F.col("size") <= PAIRWISE).select("key", *[F.col(f).alias(f"{s}{f}") for f in (*facts, "class")])
     few = side("l").join(side("r"), "key").where((F.col("lclass") < F.col("rclass")) & _alike("l", "r"))
-    found = near.unionByName(_verified(docs, few.select(F.least("lw", "rw").alias("a"), F.greatest("lw", "rw").alias("b"))))
+    found = together(near, _verified(docs, few.select(F.least("lw", "rw").alias("a"), F.greatest("lw", "rw").alias("b"))))
     crowded = open_ones.where(F.col("size") > PAIRWISE)
-    return found if crowded.isEmpty() else found.unionByName(_across(docs, crowded.select("key", "w", "n", "class")))
+    return found if crowded.isEmpty() else together(found, _across(docs, crowded.select("key", "w", "n", "class")))
 
 
 def _across(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -203,7 +206,7 @@ def _across(docs: DataFrame, members: DataFrame) -> DataFrame:
     members = cut_lineage(members)
     sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     sized = cut_lineage(lookup(members, cut_lineage(sizes), ["key"]))
-    sets = cut_lineage(_sets(docs, bit_map(members.select("w").distinct(), "w", FILTER_BITS)))
+    sets = _sets(docs, bit_map(members.select("w").distinct(), "w", FILTER_BITS))
     own = F.pmod(F.xxhash64("w"), F.col("parts")).cast("int")
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     # a block meets itself and every other block once: as the lower or as the higher of the two

@@ -11,7 +11,7 @@ texts share a fingerprint; they are one node of the graph.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -158,6 +158,12 @@ def _flips(bits: list[int], most: int) -> Column:
     return F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
 
 
+def _probe(number: int, mask: int) -> Callable[[Column], Column]:
+    """(part, key, exact) of group ``number`` for a flip: the fingerprint's bits of the group with the flip's turned over."""
+    key = lambda flip: F.col("fp").bitwiseXOR(flip).bitwiseAND(F.lit(mask))
+    return lambda flip: F.struct(F.lit(number).alias("part"), key(flip).alias("key"), (flip == 0).alias("exact"))
+
+
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b) between distinct fingerprints that joins up exactly those within ``distance`` bits.
 
@@ -169,15 +175,12 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         raise ValueError("probing of dense buckets is worked out for two bits")
     prints = cut_lineage(prints.select("fp").distinct())
     rows, together = _joint_counts(prints)
-    entries = None
+    # the probes of all groups in one pass: a union has the tasks and files of every group
+    probes = []
     for number, (bits, threshold) in enumerate(plan(rows, together, distance)):
         mask = _signed(sum(1 << (BITS - 1 - b) for b in bits))
-        probe = F.explode(_flips(bits, threshold)) if threshold else F.lit(0).cast("long")
-        own = prints.select("fp", probe.alias("flip")).select(
-            "fp", F.lit(number).alias("part"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(mask)).alias("key"), (F.col("flip") == 0).alias("exact")
-        )
-        entries = own if entries is None else entries.unionByName(own)
-    entries = cut_lineage(entries)
+        probes.append(F.transform(_flips(bits, threshold), _probe(number, mask)))
+    entries = cut_lineage(prints.select("fp", F.explode(F.concat(*probes)).alias("probe")).select("fp", "probe.*"))
     sizes = entries.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = cut_lineage(lookup(entries, sizes, ["part", "key"]))
     light = sized.where(F.col("n") <= PAIRWISE)

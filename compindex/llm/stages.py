@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from compindex.llm import bpe, exact, mixing, nearcopies, quality
-from compindex.session import short_batches
+from compindex.session import frees_shuffles, short_batches
 
 
 def _unused(docs: DataFrame, name: str) -> str:
@@ -34,12 +34,14 @@ def _distinct(docs: DataFrame) -> DataFrame:
     return docs.withColumns(entries).dropDuplicates([c for c in docs.columns if c not in maps] + list(entries)).select([F.col(f"`{c}`") for c in docs.columns])
 
 
+@frees_shuffles
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules accept."""
     short_batches(spark)
     return _without(docs, quality.judged(docs).select("doc_id", "kept"))
 
 
+@frees_shuffles
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id. Fully equal rows become one."""
     short_batches(spark)
@@ -49,6 +51,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept if again else _distinct(kept)
 
 
+@frees_shuffles
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id.
 
@@ -59,6 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
+@frees_shuffles
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     id_name, copies, copy = _unused(docs, "id"), _unused(docs, "copies"), _unused(docs, "copy")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 # Rows of a batch for Python workers.
 BATCH_ROWS = 1_000
+# Spark's setting by which the files of a shuffle go when the query that wrote them has ended, not when the driver next collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", app: str = "compindex", memory: str = "12g") -> SparkSession:
@@ -67,6 +71,25 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def frees_shuffles(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` (spark, ..) with ``FREE_SHUFFLES`` for the queries that it runs; what it returns follows the caller's setting."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, *args, **named) -> DataFrame:
+        before = spark.conf.get(FREE_SHUFFLES, None)
+        spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            out = stage(spark, *args, **named)
+        finally:
+            if before is None:
+                spark.conf.unset(FREE_SHUFFLES)
+            else:
+                spark.conf.set(FREE_SHUFFLES, before)
+        return out.select("*")
+
+    return run
+
+
 def compute_tasks(df: DataFrame) -> int:
     """Tasks for compute-heavy steps, which size-based coalescing would put into one."""
     spark = df.sparkSession
