@@ -1,18 +1,20 @@
 """Monte-Carlo rank bands and noise stability. Noise depends only on (draw, key), never on task layout.
 
 A field of up to ``KEYS_AT_ONCE`` keys (its size is counted) goes to every task as a few numbers per key. A task ranks its share of the
-draws and adds the ranks up per key, so what moves is a histogram of ranks, not one row per key and draw. A larger field is ranked slice
-by slice of the score range in one distributed sort, where a draw is a column, and added up to the same histogram.
+draws and packs the ranks of blocks of keys, so what moves is about two bytes per key and draw, and no row. A larger field is ranked slice
+by slice of the score range in one distributed sort, where a draw is a column, and added up to a histogram of ranks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from compindex.functions import labels as B
@@ -29,16 +31,18 @@ SEED = 20260602
 SD_NORMAL, SD_LOW_CONFIDENCE = 0.04, 0.07
 WEIGHT_LOW, WEIGHT_HIGH = 0.40, 0.60
 FLOOR = 1e-4
-# Keys of a field that every task holds: a few MB. Larger fields are ranked slice by slice.
-KEYS_AT_ONCE = 50_000
-# Draws whose ranks a task adds up at once: bounds its memory to so many numbers per key.
-DRAWS_AT_ONCE = 64
+# Keys of a field that every task holds, at about 50 bytes each. Larger fields are ranked slice by slice.
+KEYS_AT_ONCE = 1_000_000
+# Draws whose ranks a task packs at once, and ranks that a task holds: 64 MB.
+DRAWS_AT_ONCE, CELLS = 64, 1 << 24
+# Shares of a key's ranks that the bands and the noise test read.
+BANDS, ENDS = (0.05, 0.5, 0.95), (0.025, 0.975)
 # Retention is taken on every twentieth draw.
 EVERY = 20
 
 
 class Simulated(NamedTuple):
-    """Ranks per key as (key, rank, n, kept), and per draw (draw, n, rho, top_10, top_decile)."""
+    """Ranks per key as (key, rank, n, kept), good for the shares of ``BANDS``, and per draw (draw, n, rho, top_10, top_decile)."""
 
     histogram: DataFrame
     agreement: DataFrame
@@ -92,42 +96,130 @@ def ranked_in_draws(rows: DataFrame, draws: list[str], score: str, tie: Column,
     return placed.withColumn(name, F.col(name) + F.col("_above")).drop("_slice", "_above")
 
 
-def collected(base: DataFrame, order: list[Column], columns: list[str]) -> pd.DataFrame:
+def collected(base: DataFrame, order: list[Column], columns: list[str]) -> pa.Table:
     """A field of at most ``KEYS_AT_ONCE`` rows on the driver, in the order in which ties are ranked."""
-    return base.orderBy(*order).select("key", *columns).toPandas()
-
-
-def added_up(codes: list[np.ndarray], kept: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, n, kept) of the codes (key x size + rank) of some draws."""
-    code, at, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-    return code, n, np.bincount(at.ravel(), np.concatenate(kept), len(code)).astype(np.int64)
-
-
-def in_draws(spark, levels: int, draws: int, tasks: int, handle: Callable[[int, int], tuple[np.ndarray, np.ndarray, tuple]], size: int) -> DataFrame:
-    """Runs ``handle(level, draw)`` for every draw of every level and adds up what it returns.
+    return base.orderBy(*order).select("key", *columns).toArrow()
+
+
+def placed(sim: np.ndarray) -> np.ndarray:
+    """Rank 1 for the highest value; equal values keep their order."""
+    order = np.argsort(-sim)
+    down = sim[order]
+    if np.isnan(down[-1]):
+        order = np.argsort(-sim, kind="stable")
+    elif (same := down[1:] == down[:-1]).any():
+        # the faster sort swaps equal values, which are put in order here
+        tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
+        run = np.cumsum(np.append(True, ~same))[tied]
+        order[tied] = order[tied][np.lexsort((order[tied], run))]
+    rank = np.empty(len(sim), np.int32)
+    rank[order] = np.arange(1, len(sim) + 1, dtype=np.int32)
+    return rank
+
+
+def packed(ranks: np.ndarray) -> bytes:
+    """Ranks of some rows (row x draw), whatever the order of draws: the lowest of every row, and the steps between the sorted ones byte by byte."""
+    ranks = np.sort(np.ascontiguousarray(ranks), axis=1)
+    steps = np.diff(ranks, axis=1)
+    kind = np.dtype("<u2" if steps.max(initial=0) < 1 << 16 else "<u4")
+    return ranks[:, 0].astype("<u4").tobytes() + steps.astype(kind, order="C").view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, out: np.ndarray) -> None:
+    """Fills ``out`` (row x draw) with what ``packed`` made of it."""
+    rows, width = out.shape
+    out[:, 0] = np.frombuffer(data, "<u4", rows)
+    if width > 1:
+        size = (len(data) - 4 * rows) // (rows * (width - 1))
+        steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=4 * rows).reshape(size, -1).T).view(f"<u{size}")
+        out[:, 1:] = steps.reshape(rows, width - 1)
+        np.cumsum(out, axis=1, out=out)
+
+
+def tallied(ranks: np.ndarray) -> bytes:
+    """Ranks of a key of very many rows: every rank once, then how often each occurs."""
+    return np.concatenate(np.unique(ranks, return_counts=True)).astype("<u4").tobytes()
+
+
+def read_at(total: int, shares: tuple[float, ...]) -> np.ndarray:
+    """Positions among ``total`` sorted values that the interpolated ``shares`` read."""
+    spots = [(total - 1) * share for share in shares]
+    return np.unique([f(x) for x in spots for f in (math.floor, math.ceil)])
+
+
+def in_draws(
+    spark: SparkSession, levels: int, draws: int, handle: Callable[[int], list[tuple[np.ndarray, np.ndarray | None, tuple]]], keys: pa.Array, kind: str,
+    shares: tuple[float, ...], tasks: int,
+) -> DataFrame:
+    """Runs ``handle(draw)`` for every draw and brings all ranks of a key together.
 
-    It returns the rank of every key (an integer below ``size``), whether it counts as kept, and four numbers of the draw. Rows with a
-    key are counts of (level, key, rank); those without are one per draw.
+    It returns for every level the rank of each row of the field, whether the row counts as kept, and three numbers of the draw. Rows of
+    one of the ``keys`` (of SQL type ``kind``) lie together. A task packs the ranks that each row has in its draws, about two bytes each;
+    these meet in one task for a block of keys, which looks up what ``shares`` read. Rows of draw 0 are counts of (level, key, rank):
+    a rank that no share reads is counted at the next one that is read. The others are one per level and draw.
     """
+    size = len(keys)
+    code = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    ends = np.append(starts[1:], size)
+    rows, at_once = max(1, CELLS // draws), max(1, min(DRAWS_AT_ONCE, CELLS // (size * levels)))
+    # a block has about so many rows; a key of more rows is a block of its own
+    often, cuts = ends - starts > rows, np.searchsorted(starts, np.arange(0, size, rows))
+    bounds = np.unique(np.concatenate([starts[cuts[cuts < len(starts)]], starts[often], ends[often], [size]]))
+    alone = np.isin(bounds[:-1], starts[often])
+    moved = "level int, block int, width int, ranks binary, kept binary, draw long, p double, q double, r double"
+    found = f"level int, key {kind}, rank long, n long, kept long, draw long, p double, q double, r double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for level in range(levels):
-                for start in range(0, len(batch), DRAWS_AT_ONCE):
-                    codes, kept, rows = [], [], []
-                    for draw in batch["id"][start : start + DRAWS_AT_ONCE].tolist():
-                        ranks, stays, numbers = handle(level, draw)
-                        codes.append(np.arange(len(ranks)) * size + ranks)
-                        kept.append(stays)
-                        rows.append((draw, *numbers))
-                    code, n, stayed = added_up(codes, kept, size)
-                    yield pd.DataFrame({"level": level, "i": code // size, "rank": code % size, "n": n, "kept": stayed, "draw": 0, **dict.fromkeys("pqr", 0.0)})
-                    draw, p, q, r = (list(c) for c in zip(*rows))
-                    yield pd.DataFrame({"level": level, "i": -1, "rank": 0, "n": 0, "kept": 0, "draw": draw, "p": p, "q": q, "r": r})
-
-    schema = "level int, i long, rank long, n long, kept long, draw long, p double, q double, r double"
-    found = spark.range(1, draws + 1, 1, tasks).mapInPandas(run, schema)
-    return cut_lineage(found.groupBy("level", "i", "rank", "draw").agg(*[F.sum(c).alias(c) for c in ("n", "kept", *"pqr")]))
+            for start in range(0, len(batch), at_once):
+                some = batch["id"].iloc[start : start + at_once].tolist()
+                ranks, kept, told = np.empty((levels, len(some), size), np.int32), np.zeros((levels, size), "<u2"), []
+                for k, draw in enumerate(some):
+                    for level, (rank, stays, numbers) in enumerate(handle(draw)):
+                        ranks[level, k] = rank
+                        if stays is not None:
+                            kept[level] += stays
+                        told.append((level, -1, 0, b"", b"", draw, *numbers))
+                yield pd.DataFrame(told, columns=["level", "block", "width", "ranks", "kept", "draw", *"pqr"])
+                for level in range(levels):
+                    parts = [(b, slice(bounds[b], bounds[b + 1])) for b in range(len(alone))]
+                    yield pd.DataFrame({
+                        "level": level, "block": range(len(alone)), "width": len(some),
+                        "ranks": [(tallied if alone[b] else packed)(ranks[level, :, part].T) for b, part in parts],
+                        "kept": [kept[level, part].tobytes() for _, part in parts], "draw": 0, **dict.fromkeys("pqr", 0.0),
+                    })
+
+    def gather(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        level, block = group
+        if block < 0:
+            return rows.assign(key=None, rank=0, n=0, kept=0)[["level", "key", "rank", "n", "kept", "draw", *"pqr"]]
+        low, high = bounds[block], bounds[block + 1]
+        kept, out = sum(np.frombuffer(k, "<u2").astype(np.int64) for k in rows["kept"]), []
+        if alone[block]:
+            n = np.zeros(0, np.int64)
+            for data in rows["ranks"]:
+                rank, times = np.frombuffer(data, "<u4").reshape(2, -1)
+                n = np.pad(n, (0, max(0, int(rank[-1]) + 1 - len(n))))
+                n[rank] += times
+            upto, of = np.cumsum(n), [low]
+            look = lambda a, b, at: np.searchsorted(upto, at, side="right")
+        else:
+            ranks, at, of = np.empty((high - low, draws), np.int32), 0, starts[(starts >= low) & (starts < high)]
+            for data, width in zip(rows["ranks"], rows["width"]):
+                unpacked(data, ranks[:, at : at + width])
+                at += width
+            look = lambda a, b, at: np.sort(ranks[a:b], axis=None)[at]
+        for a, b in zip(of, [*of[1:], high]):
+            at = read_at((b - a) * draws, shares)
+            n = np.diff(at, prepend=-1)
+            n[-1] += (b - a) * draws - 1 - at[-1]
+            out.append((np.full(len(at), a), look(a - low, b - low, at), n, np.append(kept[a - low : b - low].sum(), np.zeros(len(at) - 1, np.int64))))
+        i, rank, n, kept = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"level": level, "key": pd.Series(keys.take(pa.array(i)).to_pylist(), dtype=object), "rank": rank, "n": n, "kept": kept, "draw": 0, **dict.fromkeys("pqr", 0.0)})
+
+    dealt = spark.range(1, draws + 1, 1, min(tasks, -(-draws // DRAWS_AT_ONCE))).mapInPandas(run, moved)
+    return cut_lineage(dealt.groupBy("level", "block").applyInPandas(gather, found))
 
 
 def simulated(scored: DataFrame, draws: int = DRAWS, seed: int = SEED) -> Simulated:
@@ -148,31 +240,29 @@ def simulated(scored: DataFrame, draws: int = DRAWS, seed: int = SEED) -> Simula
         return Simulated(ranks.groupBy("key", "rank").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_tier").alias("kept")), agreement)
     told = collected(base.select("*", number_of(base, "key").cast("long").alias("_no"), _deviation().alias("_sd")), [F.col("key")], ["_no", "_sd", "R", "E", "_base", "base_rank"])
     number, sd, first, second, before, place = (told[c].to_numpy() for c in ("_no", "_sd", "R", "E", "_base", "base_rank"))
+    keys, kind = told["key"].combine_chunks(), base.schema["key"].dataType.simpleString()
     offset, tier_of, low, high = seed % 1000, lambda v: np.searchsorted(B.TIER_CUTS, v, side="right"), FLOOR, 1.0
     tier, centred = tier_of(before), place - place.mean()
 
-    def handle(_: int, draw: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    def handle(draw: int) -> list[tuple[np.ndarray, np.ndarray, tuple]]:
         weight = WEIGHT_LOW + (WEIGHT_HIGH - WEIGHT_LOW) * Z.uniform_array(draw, np.zeros(1, np.int64), offset + 4)[0]
         halves = [np.clip(v + sd * Z.normal_array(draw, number, offset + s), low, high) for v, s in ((first, 0), (second, 2))]
         sim = halves[0] ** weight * halves[1] ** (1.0 - weight)
-        rank = np.empty(len(sim), np.int64)
-        rank[np.argsort(-sim, kind="stable")] = np.arange(1, len(sim) + 1)
+        rank = placed(sim)
         moved = rank - rank.mean()
         spread = np.sqrt((moved * moved).sum() * (centred * centred).sum())
         rho = float((moved * centred).sum() / spread) if spread > 0 else float("nan")
-        return rank, tier_of(sim) == tier, (rho, *[float(((rank <= k) & (place <= k)).sum() / k) for k in (10, decile)])
+        return [(rank, tier_of(sim) == tier, (rho, *[float(((rank <= k) & (place <= k)).sum() / k) for k in (10, decile)]))]
 
-    spark = scored.sparkSession
-    rows = in_draws(spark, 1, draws, compute_tasks(scored), handle, size + 1)
-    names = spark.createDataFrame(told[["key"]].assign(i=range(size)), base.select("key", F.lit(0).cast("long").alias("i")).schema)
-    histogram = rows.where("i >= 0").join(names, "i").select("key", F.col("rank").cast("int").alias("rank"), "n", "kept")
+    rows = in_draws(scored.sparkSession, 1, draws, handle, keys, kind, BANDS, compute_tasks(scored))
+    histogram = rows.where("draw = 0").select("key", F.col("rank").cast("int").alias("rank"), "n", "kept")
     rho = F.when(~F.isnan("p"), F.col("p"))
-    return Simulated(histogram, rows.where("i < 0").select("draw", F.lit(size).alias("n"), rho.alias("rho"), F.col("q").alias("top_10"), F.col("r").alias("top_decile")))
+    return Simulated(histogram, rows.where("draw > 0").select("draw", F.lit(size).alias("n"), rho.alias("rho"), F.col("q").alias("top_10"), F.col("r").alias("top_decile")))
 
 
 def rank_bands(histogram: DataFrame) -> DataFrame:
     """5th, 50th and 95th percentile of each key's rank, and how often it stays in its tier."""
-    cuts = F.percentile("rank", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), F.col("n"))
+    cuts = F.percentile("rank", F.array(*map(F.lit, BANDS)), F.col("n"))
     agg = histogram.groupBy("key").agg(cuts.alias("_p"), (F.sum("kept") / F.sum("n")).alias("tier_stability"))
     whole = lambda i: F.greatest(F.lit(1), F.bround(F.col("_p")[i], 0).cast("int"))
     return agg.select(
@@ -218,26 +308,29 @@ def noise_stability(
         told = collected(base.select("*", number_of(base, "key").cast("long").alias("_no"), growth.alias("_growth")), [F.col("key").desc()], ["_no", "_growth", "composite", "base_rank"])
         number, growth_of, score, before = (told[c].to_numpy() for c in ("_no", "_growth", "composite", "base_rank"))
 
-        def handle(level: int, draw: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-            sim = np.clip(score + levels[level] * growth_of * Z.normal_array(draw, number, seed), 0.0, 1.0)
-            place = np.empty(size, np.int64)
-            place[np.argsort(-sim, kind="stable")] = np.arange(1, size + 1)
+        def at_level(level: float, noise: np.ndarray) -> tuple[np.ndarray, None, tuple]:
+            sim = np.clip(score + level * growth_of * noise, 0.0, 1.0)
+            place = placed(sim)
             twice = 2 * place
             for edge in (0.0, 1.0):  # only clipped values can tie; they share the mean of their places
                 tied = sim == edge
                 if tied.any():
                     twice[tied] = place[tied].min() + place[tied].max()
             kept = ((place <= top) & (before <= top)).sum(), ((place > size - top) & (before > size - top)).sum()
-            return twice, np.zeros(size, bool), (*map(float, kept), 0.0)
+            return twice, None, (*map(float, kept), 0.0)
+
+        def handle(draw: int) -> list[tuple[np.ndarray, None, tuple]]:
+            noise = Z.normal_array(draw, number, seed)
+            return [at_level(level, noise) for level in levels]
 
-        rows = in_draws(spark, len(levels), draws, compute_tasks(scored), handle, 2 * size + 1)
+        rows = in_draws(spark, len(levels), draws, handle, pa.array(range(size), pa.int64()), "long", ENDS, compute_tasks(scored))
         named = F.array(*[F.lit(float(v)) for v in levels])[F.col("level")]
-        histogram = rows.where("i >= 0").select(named.alias("level"), F.col("i").alias("key"), (F.col("rank") / 2.0).alias("rank"), "n")
-        ends = rows.where("i < 0").groupBy(named.alias("level")).agg(F.sum("p").alias("_top"), F.sum("q").alias("_bottom"))
+        histogram = rows.where("draw = 0").select(named.alias("level"), "key", (F.col("rank") / 2.0).alias("rank"), "n")
+        ends = rows.where("draw > 0").groupBy(named.alias("level")).agg(F.sum("p").alias("_top"), F.sum("q").alias("_bottom"))
     else:
         histogram, ends = _noise_by_slices(base, size, levels, growth, draws, top, seed)
     kept = ends.select("level", (F.col("_top") / (top * draws)).alias("top_retention"), (F.col("_bottom") / (top * draws)).alias("bottom_retention"))
-    cuts = F.percentile("rank", F.array(F.lit(0.025), F.lit(0.975)), F.col("n"))
+    cuts = F.percentile("rank", F.array(*map(F.lit, ENDS)), F.col("n"))
     widths = histogram.groupBy("level", "key").agg(cuts.alias("_p")).select("level", (F.col("_p")[1] - F.col("_p")[0]).alias("width"))
     widths = cut_lineage(widths)
     middle = O.quantiles(widths, ["level"], "width", {"median_width": 0.5})
