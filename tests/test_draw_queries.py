@@ -30,7 +30,7 @@ def by_sql(name, sf):
     return compare.normal([d[0] for d in told.description], told.fetchall()), compare.normal
 
 
-@pytest.mark.parametrize("name", ["mc_rank_bands", "mc_rank_bands_named", "mc_summary", "score_invariants"])
+@pytest.mark.parametrize("name", ["mc_rank_bands", "mc_rank_bands_named", "mc_summary", "score_invariants", "scores_table"])
 def test_a_key_has_no_row_per_rank(spark, monkeypatch, tables, name):
     told, simulated = [], U.simulated
     monkeypatch.setattr(U, "simulated", lambda *a: told.append(simulated(*a)) or told[-1])
