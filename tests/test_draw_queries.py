@@ -1,9 +1,10 @@
-"""Queries over draws, on tables of their own in which a name belongs to two customers."""
+"""Queries over draws, on tables of their own in which a name belongs to two customers, and noise tests of fields beyond 50,000 keys."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compindex.functions import noise as Z
 from compindex.operators import uncertainty as U
 from compindex.workload import catalogue
 from compindex.workload import fixtures as X
@@ -40,3 +41,34 @@ def test_a_key_has_no_row_per_rank(spark, monkeypatch, tables, name):
     counts = told[0].histogram.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
     assert counts.agg(F.max("rows")).first()[0] <= 2 * len(U.BANDS)
     assert counts.where(F.col("n") % U.DRAWS != 0).isEmpty() and counts.count() > 30
+
+
+@pytest.mark.parametrize("levels, flags", [([0.02, 0.04], None)])
+def test_noise_of_a_large_field_is_ranked_in_tasks(spark, monkeypatch, levels, flags):
+    """As the queries verdicts, noise_stability and noise_stability_by_flags have them."""
+    monkeypatch.setattr(U, "_noise_by_slices", lambda *a: pytest.fail("a row per key and draw"))
+    size, draws, top = 50_001, 3, 10
+    field = spark.range(size).select(
+        F.col("id").alias("key"), ((F.col("id") * 7919 % 50_021) / 50_021.0).alias("composite"), (F.col("id") % 4).cast("int").alias("domains_low_conf"),
+    )
+    got = {r["level"]: r for r in U.noise_stability(field, levels, draws, top, 7, flags).collect()}
+    key = np.arange(size - 1, -1, -1)
+    score, growth = key * 7919 % 50_021 / 50_021.0, 1.0 + (0.5 * (key % 4) if flags else 0.0)
+    before = np.empty(size)
+    before[np.argsort(-score, kind="stable")] = np.arange(1, size + 1)
+    for level in levels:
+        kept, ranks = [0, 0], []
+        for draw in range(1, draws + 1):
+            sim = np.clip(score + level * growth * Z.normal_array(draw, key, 7), 0.0, 1.0)
+            place = np.empty(size)
+            place[np.argsort(-sim, kind="stable")] = np.arange(1, size + 1)
+            kept[0] += ((place <= top) & (before <= top)).sum()
+            kept[1] += ((place > size - top) & (before > size - top)).sum()
+            for edge in (0.0, 1.0):
+                if (sim == edge).any():
+                    place = np.where(sim == edge, place[sim == edge].mean(), place)
+            ranks.append(place)
+        low, high = np.quantile(np.array(ranks), U.ENDS, axis=0)
+        want = kept[0] / (top * draws), kept[1] / (top * draws), (high - low).mean(), np.median(high - low)
+        row = got[level]
+        assert (row["top_retention"], row["bottom_retention"], row["mean_width"], row["median_width"]) == pytest.approx(want, abs=1e-6)
