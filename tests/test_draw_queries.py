@@ -43,7 +43,7 @@ def test_a_key_has_no_row_per_rank(spark, monkeypatch, tables, name):
     assert counts.where(F.col("n") % U.DRAWS != 0).isEmpty() and counts.count() > 30
 
 
-@pytest.mark.parametrize("levels, flags", [([0.02, 0.04], None), ([0.01, 0.02, 0.03], "domains_low_conf")])
+@pytest.mark.parametrize("levels, flags", [([0.02], None), ([0.02, 0.04], None), ([0.01, 0.02, 0.03], "domains_low_conf")])
 def test_noise_of_a_large_field_is_ranked_in_tasks(spark, monkeypatch, levels, flags):
     """As the queries verdicts, noise_stability and noise_stability_by_flags have them."""
     monkeypatch.setattr(U, "_noise_by_slices", lambda *a: pytest.fail("a row per key and draw"))
